@@ -80,13 +80,18 @@ def numeric_join(left: DataFrame, right: DataFrame, pairs: Sequence[tuple[str, s
 def contains_join(texts: DataFrame, names: DataFrame, text: str, name: str, gram: int = 3) -> DataFrame:
     """Pairs where the text contains the whole name, ignoring case: an equi-join on the name's first letters.
 
-    Every distinct substring of up to ``gram`` letters of a text is a probe, so no match can be missed and
-    only texts that hold a name's opening are compared with it. Blank names are left out.
+    Every distinct piece of ``gram`` letters of a text is a probe, so no match can be missed and only texts
+    that hold a name's opening are compared with it. Names shorter than a piece meet shorter probes in a
+    branch of their own. Blank names are left out.
     """
     t = texts.withColumn("_t", F.lower(text))
-    pieces = [F.transform(F.sequence(F.lit(1), F.length("_t")), lambda i, g=g: F.substr(F.col("_t"), i, F.lit(g)))
-              for g in range(1, gram + 1)]
-    probes = t.filter(F.length("_t") > 0).withColumn("_g", F.explode(F.array_distinct(F.flatten(F.array(*pieces)))))
     n = names.withColumn("_n", F.lower(name)).filter(F.length("_n") > 0)
-    n = n.withColumn("_g", F.left("_n", F.lit(gram)))
-    return probes.join(n, "_g").filter(F.contains("_t", "_n")).drop("_g", "_t", "_n")
+
+    def probe(sizes: Sequence[int], opening: DataFrame) -> DataFrame:
+        pieces = F.flatten(F.array(*[F.regexp_extract_all("_t", F.lit(f"(?s)(?=(.{{{s}}}))"), F.lit(1)) for s in sizes]))
+        probes = t.withColumn("_g", F.explode_outer(F.array_distinct(pieces)))
+        return probes.join(opening.withColumn("_g", F.left("_n", F.lit(gram))), "_g").filter(F.contains("_t", "_n"))
+
+    long = probe([gram], n.filter(F.length("_n") >= gram))
+    short = probe(list(range(1, gram)), n.filter(F.length("_n") < gram))
+    return long.unionByName(short).drop("_g", "_t", "_n")

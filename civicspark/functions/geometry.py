@@ -46,3 +46,15 @@ def destination(lat: Column, lon: Column, km: Column, bearing_deg: Column) -> tu
     sin_phi2 = F.sin(phi) * F.cos(delta) + F.cos(phi) * F.sin(delta) * F.cos(theta)
     lam2 = lam + F.atan2(F.sin(theta) * F.sin(delta) * F.cos(phi), F.cos(delta) - F.sin(phi) * sin_phi2)
     return F.degrees(F.asin(sin_phi2)), F.degrees(lam2)
+
+
+def rhumb_destination(lat: Column, lon: Column, km: Column, bearing_deg: Column) -> tuple[Column, Column]:
+    """Point reached along a line of constant bearing."""
+    phi, lam, theta = F.radians(lat), F.radians(lon), F.radians(bearing_deg)
+    delta = km / F.lit(EARTH_RADIUS_KM)
+    dphi = delta * F.cos(theta)
+    phi2 = phi + dphi
+    quarter = F.lit(math.pi / 4)
+    dpsi = F.log(F.tan(phi2 / 2 + quarter) / F.tan(phi / 2 + quarter))
+    q = F.when(F.abs(dpsi) > 1e-11, dphi / F.nullif(dpsi, F.lit(0.0))).otherwise(F.cos(phi))
+    return F.degrees(phi2), F.degrees(lam + delta * F.sin(theta) / q)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -9,7 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from civicspark.functions.geometry import KM_PER_DEGREE, chord, haversine_km, planar_sq, unit_sphere
+from civicspark.functions.geometry import KM_PER_DEGREE, chord, haversine_km, rhumb_destination, unit_sphere
+from civicspark.functions.hashing import HASH_SPACE, key_hash
 
 SMALL_PLACES = 50_000       # up to here the places travel with the tasks; beyond, the cell search runs
 BITS = {"planar": 3, "geodesic": 2}      # each level cuts a cell into 2**bits parts per axis: 64 children
@@ -273,6 +275,19 @@ def grid_points(boxes: DataFrame, km: float, shift_km: float = 0.0) -> DataFrame
     return rows.select("poly_id", "row", "col", "lat", (F.col("_lon0") + F.col("col") * F.col("_dlon")).alias("lon"))
 
 
+def jitter(points: DataFrame, key: str, sd_km: float) -> DataFrame:
+    """Move every point by |normal(0, sd)| km along a uniform bearing.
+
+    The noise comes from the key's hash (Box-Muller), so a re-run task moves a point the same way.
+    """
+    u1 = (key_hash(key, 1) + F.lit(1)) / F.lit(HASH_SPACE + 1.0)
+    u2 = key_hash(key, 2) / F.lit(float(HASH_SPACE))
+    normal = F.sqrt(F.lit(-2.0) * F.log(u1)) * F.cos(F.lit(2 * math.pi) * u2)
+    bearing = key_hash(key, 3) / F.lit(float(HASH_SPACE)) * 360.0 - 180.0
+    lat, lon = rhumb_destination(F.col("lat"), F.col("lon"), F.abs(normal) * F.lit(float(sd_km)), bearing)
+    return points.withColumns({"lat": lat, "lon": lon})
+
+
 def regions_by_properties(features: DataFrame, wanted: dict[str, str], column: str = "properties") -> DataFrame:
     """Features whose properties agree with every given entry."""
     cond = F.lit(True)
@@ -286,6 +301,3 @@ def rank_nearby(pairs: DataFrame, n: int) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("point_id").orderBy("km", "place_id")) - 1
     return pairs.withColumn("nearby_rank", rank).filter(F.col("nearby_rank") < n)
 
-
-__all__ = ["assigned_vs_nearest", "bounding_box", "grid_points", "nearest", "nearest_wide", "planar_sq", "points_in_polygons",
-           "polygon_centre", "rank_nearby", "regions_by_properties", "ring_edges", "within_radius"]

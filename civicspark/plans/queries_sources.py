@@ -1 +1,189 @@
-"""To come."""
+"""Sources and sinks, checked by round trip through the shared scratch folder."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from civicspark.plans import bindings as B
+from civicspark.plans.bindings import sql
+from civicspark.plans.registry import query
+from civicspark.session import scratch_path
+from civicspark.sources import files as FI
+from civicspark.sources import sinks as SK
+
+
+def _write_csv(df, name, sep=",", **options):
+    path = scratch_path(df.sparkSession, name)
+    df.write.option("header", True).option("sep", sep).options(**options).csv(path)
+    return path
+
+
+_PEOPLE = "SELECT CAST(c_custkey AS VARCHAR) AS id, c_name AS name, c_mktsegment AS segment FROM customer"
+
+
+def _people(t):
+    return t.customer.select(F.col("c_custkey").cast("string").alias("id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment"))
+
+
+@query("src_csv", _PEOPLE)
+def src_csv(t):
+    return FI.read_delimited(t.spark, _write_csv(_people(t), "src_csv", "|"), sep="|")
+
+
+@query("src_csv_quoting", "SELECT CAST(p_partkey AS VARCHAR) AS id, p_name || ' \"' || p_type || '\", ' || p_brand AS label, 'quoted' AS mode FROM part UNION ALL SELECT CAST(p_partkey AS VARCHAR), '\"' || p_name, 'none' FROM part")
+def src_csv_quoting(t):
+    """Quoted fields hold separators and quotes; without quoting a quote is data."""
+    key = F.col("p_partkey").cast("string").alias("id")
+    quoted = t.part.select(key, F.concat("p_name", F.lit(' "'), "p_type", F.lit('", '), "p_brand").alias("label"))
+    a = FI.read_delimited(t.spark, _write_csv(quoted, "quoted", escape='"'), ["id", "label"])
+    lines = t.part.select(F.concat(F.col("p_partkey").cast("string"), F.lit('|"'), "p_name").alias("value"))
+    path = scratch_path(t.spark, "unquoted")
+    lines.write.text(path)
+    b = FI.read_delimited(t.spark, path, ["id", "label"], sep="|", quoting="none")
+    # the text files carry no header line, so read them without one
+    b = t.spark.read.schema(b.schema).option("sep", "|").option("quote", "").csv(path)
+    return a.withColumn("mode", F.lit("quoted")).unionByName(b.withColumn("mode", F.lit("none")))
+
+
+@query("src_csv_encoding_fallback", "SELECT CAST(s_suppkey AS VARCHAR) AS id, 'Zoë Ångström ' || s_name AS name FROM supplier")
+def src_csv_encoding_fallback(t):
+    line = F.concat(F.col("s_suppkey").cast("string"), F.lit(",Zoë Ångström "), "s_name")
+    raw = F.when(F.col("s_suppkey") % 3 == 0, F.encode(line, "ISO-8859-1")).otherwise(F.encode(line, "UTF-8"))
+    path = scratch_path(t.spark, "mixed")
+    t.supplier.select(raw.cast("string").alias("value")).write.text(path)
+    return FI.read_mixed_encoding(t.spark, path, ["id", "name"])
+
+
+@query("src_multi_file_union", "SELECT CAST(c_custkey AS VARCHAR) AS id, c_name AS name, c_mktsegment AS segment, NULL AS balance FROM customer UNION ALL SELECT CAST(s_suppkey AS VARCHAR), s_name, NULL, CAST(s_nationkey AS VARCHAR) FROM supplier")
+def src_multi_file_union(t):
+    a = _write_csv(_people(t), "file_a")
+    b = _write_csv(t.supplier.select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.col("s_nationkey").alias("balance")), "file_b")
+    return FI.read_many(t.spark, [a, b])
+
+
+def _named(t, names):
+    """Write the nations of each name's slice under a folder that carries the name."""
+    root = scratch_path(t.spark, "named")
+    paths = []
+    for i, name in enumerate(names):
+        path = f"{root}/{name}"
+        t.nation.filter(F.col("n_regionkey") == i).select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name")).write.option("header", True).csv(path)
+        paths.append(path)
+    return paths
+
+
+_METROS = ["Los_Angeles", "New_York", "Atlanta", "Iowa_City", "Akron"]
+
+
+@query("src_filename_features", "SELECT CAST(n_nationkey AS VARCHAR) AS id, n_name AS name, ['Los Angeles', 'New York', 'Atlanta', 'Iowa City', 'Akron'][n_regionkey + 1] AS metro, (n_regionkey + 1) || '.5' AS spacing, CAST(n_regionkey AS VARCHAR) AS query_version FROM nation")
+def src_filename_features(t):
+    paths = _named(t, [f"civicAPI_points_{m}_spacing_{i + 1}.5_version_{i}" for i, m in enumerate(_METROS)])
+    df = FI.with_path(FI.read_delimited(t.spark, paths, ["id", "name"]))
+    return df.select("id", "name", *[c.alias(n) for n, c in FI.filename_features(F.col("filename")).items()])
+
+
+@query("src_metro_from_filename", "SELECT CAST(n_nationkey AS VARCHAR) AS id, ['Los Angeles', 'New York', 'Atlanta', 'Iowa City', 'Akron'][n_regionkey + 1] AS metro FROM nation")
+def src_metro_from_filename(t):
+    paths = _named(t, [f"places_unique_places_{m}_spacing_{i}" for i, m in enumerate(_METROS)])
+    return FI.with_path(FI.read_delimited(t.spark, paths, ["id", "name"])).select("id", FI.metro_from_filename(F.col("filename")).alias("metro"))
+
+
+@query("src_geojson", sql("rings", "SELECT poly_id, n_name AS name, count(*) AS corners, round(min(lon), 4) AS lon_min, round(max(lat), 4) AS lat_max FROM rings JOIN nation ON poly_id = n_nationkey GROUP BY 1, 2"))
+def src_geojson(t):
+    ring = F.transform("ring", lambda p: F.array(p["lon"], p["lat"]))
+    feature = F.struct(F.lit("Feature").alias("type"), F.struct(F.lit("Polygon").alias("type"), F.array(ring).alias("coordinates")).alias("geometry"),
+                       F.struct(F.col("poly_id").cast("string").alias("GEOID"), F.col("name").alias("NAME")).alias("properties"))
+    path = scratch_path(t.spark, "geojson")
+    docs = B.polygons(t).select(F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), F.array(feature).alias("features"))).alias("value"))
+    docs.write.text(path)
+    f = FI.read_geojson(t.spark, path, multiline=False)
+    corner = f.select(F.col("properties")["GEOID"].cast("bigint").alias("poly_id"), F.col("properties")["NAME"].alias("name"),
+                      F.explode(F.get("geometry.coordinates", F.lit(0))).alias("c"))
+    return corner.groupBy("poly_id", "name").agg(F.count(F.lit(1)).alias("corners"), F.round(F.min(F.col("c")[0]), 4).alias("lon_min"),
+                                                 F.round(F.max(F.col("c")[1]), 4).alias("lat_max"))
+
+
+@query("src_delineation", "SELECT CAST(10000 + n_nationkey AS VARCHAR) AS cbsa, n_name AS title, lpad(CAST(n_regionkey AS VARCHAR), 2, '0') AS state_fips FROM nation")
+def src_delineation(t):
+    rows = t.nation.select(F.concat((F.col("n_nationkey") + 10000).cast("string"), F.lit(","), "n_name", F.lit(","), F.lpad(F.col("n_regionkey").cast("string"), 2, "0")).alias("value"))
+    titles = t.region.limit(1).select(F.explode(F.array(F.lit("List 1. Areas and counties"), F.lit("(titles)"), F.lit("CBSA Code,CBSA Title,State"))).alias("value"))
+    path = scratch_path(t.spark, "delineation")
+    titles.unionByName(rows).write.text(path)
+    return FI.read_delineation(t.spark, path, ["cbsa", "title", "state_fips"], "cbsa")
+
+
+@query("src_census_matrix", """SELECT CAST(n_regionkey AS VARCHAR) AS state, CAST(n_nationkey AS VARCHAR) AS tract, CAST(n_nationkey * 97 + 1000 AS VARCHAR) AS "Total", CAST(n_nationkey * 31 % 200 AS VARCHAR) AS "Total_No_vehicle" FROM nation""")
+def src_census_matrix(t):
+    k = F.col("n_nationkey")
+    header = F.array(F.lit("NAME"), F.lit("B01003_001E"), F.lit("B08201_002E"), F.lit("B99999_001E"), F.lit("state"), F.lit("tract"))
+    row = F.array("n_name", (k * 97 + 1000).cast("string"), (k * 31 % 200).cast("string"), F.lit("0"), F.col("n_regionkey").cast("string"), k.cast("string"))
+    responses = t.nation.select(F.to_json(F.array(header, row)).alias("response"))  # one response per area
+    return FI.census_rows(responses, "response", ["state", "tract"], {"B01003_001E": "Total", "B08201_002E": "Total_No_vehicle"})
+
+
+@query("src_parquet", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'F'")
+def src_parquet(t):
+    """Cache-or-compute: the second read comes from the stored table, filters pushed into its scan."""
+    path = scratch_path(t.spark, "orders_cache")
+    for _ in range(2):
+        df = SK.cached(t.spark, path, lambda: t.orders.select("o_orderkey", "o_orderstatus", "o_totalprice"))
+    return df.filter(F.col("o_orderstatus") == "F").select("o_orderkey", "o_totalprice")
+
+
+@query("sink_parquet", "SELECT * FROM nation")
+def sink_parquet(t):
+    path = scratch_path(t.spark, "nation")
+    t.nation.write.parquet(path)
+    return t.spark.read.parquet(path)
+
+
+@query("sink_csv_report", f"SELECT 'report.csv' AS file, * FROM ({_PEOPLE}) UNION ALL SELECT 'report_.csv', * FROM ({_PEOPLE})")
+def sink_csv_report(t):
+    """Written twice under one name: the second report takes a free name."""
+    base = scratch_path(t.spark, "reports")
+    frames = []
+    for _ in range(2):
+        path = SK.write_report(_people(t), f"{base}/report.csv")
+        frames.append(FI.read_delimited(t.spark, path).select(F.lit(path.rsplit("/", 1)[-1]).alias("file"), "*"))
+    return frames[0].unionByName(frames[1])
+
+
+@query("sink_ctas", "SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1")
+def sink_ctas(t):
+    """Two bucketed copies of a query: the aggregation on the bucket key needs no shuffle."""
+    path = scratch_path(t.spark, "ctas")
+    name = "report_" + path.rsplit("-", 1)[-1]
+    SK.write_table(t.orders.select("o_custkey", "o_orderkey"), name, path, ["o_custkey"], 8)
+    return t.spark.table(name).groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("sink_union_headers", "SELECT c_custkey AS id, c_name AS name, NULL AS phone FROM customer UNION ALL SELECT s_suppkey, NULL, 'p' || s_suppkey FROM supplier")
+def sink_union_headers(t):
+    a = t.customer.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.lit(1).alias("_seen"))
+    b = t.supplier.select(F.col("s_suppkey").alias("id"), F.concat(F.lit("p"), F.col("s_suppkey").cast("string")).alias("phone"))
+    path = scratch_path(t.spark, "union_headers")
+    SK.public_columns(a.unionByName(b, allowMissingColumns=True)).write.parquet(path)
+    return t.spark.read.parquet(path)
+
+
+@query("sink_split_files", "SELECT count(*) AS total_rows, 1 AS all_small FROM orders")
+def sink_split_files(t):
+    path = scratch_path(t.spark, "split")
+    SK.write_split(t.orders.select("o_orderkey", "o_custkey"), path, 1000)
+    back = FI.with_path(FI.read_delimited(t.spark, path))
+    sizes = back.groupBy("filename").agg(F.count(F.lit(1)).alias("n"))
+    return sizes.agg(F.sum("n").alias("total_rows"), (F.max("n") <= 1000).cast("int").alias("all_small"))
+
+
+@query("src_html_table", """SELECT page_id, CAST(i - 1 AS INTEGER) AS row_index, trim(regexp_replace(regexp_replace(regexp_extract(r, '(?s)<a\\b[^>]*>(.*?)</a>', 1), '<[^>]+>', '', 'g'), '\\s+', ' ', 'g')) AS cell
+       FROM (SELECT page_id, unnest(rows) AS r, unnest(range(1, len(rows) + 1)) AS i FROM (SELECT page_id, regexp_extract_all(html, '(?s)<li\\b[^>]*>(.*?)</li>', 1) AS rows FROM pages))""")
+def src_html_table(t):
+    """The pages' item lists stand in for table rows: items are rows, links are cells."""
+    rows = FI.html_rows(t.pages, "html", ["page_id"], "li", "a", [" Bldg ", " Apt "])
+    return rows.select("page_id", "row_index", F.coalesce(F.get("cells", F.lit(0)), F.lit("")).alias("cell"))
+
+
+@query("src_latest_snapshot", "SELECT CAST(n_nationkey AS VARCHAR) AS id, n_name AS name FROM nation WHERE n_regionkey = 4")
+def src_latest_snapshot(t):
+    paths = _named(t, [f"vf_2021-0{i + 1}-01" for i in range(5)])
+    return FI.latest_snapshot(FI.read_delimited(t.spark, paths, ["id", "name"]), F.regexp_extract(F.col("_metadata.file_path"), r"vf_([0-9-]+)", 1))

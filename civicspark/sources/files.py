@@ -1,0 +1,121 @@
+"""Readers for dirty delimited text, GeoJSON, stored responses, HTML tables and file series."""
+
+from __future__ import annotations
+
+from collections.abc import Mapping, Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from civicspark.operators.tables import union_all
+
+
+def text_schema(cols: Sequence[str]) -> T.StructType:
+    """Every ingested column is text; typed views come later."""
+    return T.StructType([T.StructField(c, T.StringType()) for c in cols])
+
+
+def header_of(spark: SparkSession, path: str, sep: str = ",") -> list[str]:
+    """The header fields: one line is read, nothing is inferred."""
+    return spark.read.option("header", True).option("sep", sep).option("inferSchema", False).csv(path).columns
+
+
+def read_delimited(spark: SparkSession, path: str | list[str], cols: Sequence[str] | None = None, sep: str = ",",
+                   quoting: str = "minimal", quote: str = '"', escape: str = '"') -> DataFrame:
+    """Delimited text with a header. ``quoting="none"`` takes quote characters as data."""
+    first = path[0] if isinstance(path, list) else path
+    reader = (spark.read.schema(text_schema(cols or header_of(spark, first, sep))).option("header", True).option("sep", sep)
+              .option("mode", "PERMISSIVE").option("enforceSchema", True))
+    if quoting == "none":
+        reader = reader.option("quote", "").option("escape", "\u0000")
+    else:
+        reader = reader.option("quote", quote).option("escape", escape)
+    return reader.csv(path)
+
+
+def decode_lines(lines: DataFrame, col: str = "value", fallback: str = "ISO-8859-1") -> DataFrame:
+    """Decode each line by itself: UTF-8 where its bytes are valid, else ``fallback``. No line is lost."""
+    raw = F.col(col).cast("binary")
+    return lines.withColumn(col, F.when(F.is_valid_utf8(col), F.col(col)).otherwise(F.decode(raw, fallback)))
+
+
+def read_mixed_encoding(spark: SparkSession, path: str, cols: Sequence[str], sep: str = ",") -> DataFrame:
+    """Delimited text whose lines are in mixed encodings."""
+    lines = decode_lines(spark.read.text(path))
+    header = sep.join(cols)
+    fields = ", ".join(f"`{c}` string" for c in cols)
+    rows = lines.filter(F.col("value") != header)
+    return rows.select(F.from_csv("value", fields, {"sep": sep}).alias("r")).select("r.*")
+
+
+def read_many(spark: SparkSession, paths: Sequence[str], sep: str = ",") -> DataFrame:
+    """Several files with their own headers: columns in first-seen order, missing ones NULL."""
+    return union_all([read_delimited(spark, p, sep=sep) for p in paths])
+
+
+def with_path(df: DataFrame, name: str = "filename") -> DataFrame:
+    return df.withColumn(name, F.col("_metadata.file_path"))
+
+
+def filename_features(path: Column) -> dict[str, Column]:
+    """Metro, spacing and version from ``civicAPI_points_<metro>_spacing_<km>_version_<v>``."""
+    pattern = r"civicAPI_points_(.+?)_spacing_([0-9.]+)_version_([0-9]+)"
+    return {"metro": F.translate(F.regexp_extract(path, pattern, 1), "_", " "), "spacing": F.regexp_extract(path, pattern, 2),
+            "query_version": F.regexp_extract(path, pattern, 3)}
+
+
+def metro_from_filename(path: Column) -> Column:
+    """Metro between ``_unique_places_`` and ``_spacing_``."""
+    return F.translate(F.regexp_extract(path, r"_unique_places_(.+?)_spacing_", 1), "_", " ")
+
+
+FEATURE = ("struct<type:string,geometry:struct<type:string,coordinates:array<array<array<double>>>>,properties:map<string,string>>")
+
+
+def read_geojson(spark: SparkSession, path: str, properties_only: bool = False, multiline: bool = True) -> DataFrame:
+    """One row per feature; ``properties_only`` never parses the geometry."""
+    feature = "struct<properties:map<string,string>>" if properties_only else FEATURE
+    docs = spark.read.schema(f"features array<{feature}>").option("multiLine", multiline).json(path)
+    rows = docs.select(F.explode("features").alias("f"))
+    return rows.select("f.properties") if properties_only else rows.select("f.geometry", "f.properties")
+
+
+def read_delineation(spark: SparkSession, path: str, cols: Sequence[str], code: str) -> DataFrame:
+    """A code table under title and header lines: only rows whose ``code`` is a number are data."""
+    return read_delimited_raw(spark, path, cols).filter(F.col(code).rlike("^[0-9]+$"))
+
+
+def read_delimited_raw(spark: SparkSession, path: str, cols: Sequence[str], sep: str = ",") -> DataFrame:
+    return spark.read.schema(text_schema(cols)).option("header", False).option("sep", sep).option("mode", "PERMISSIVE").csv(path)
+
+
+def census_rows(responses: DataFrame, col: str, keys: Sequence[str], labels: Mapping[str, str]) -> DataFrame:
+    """JSON arrays with a header row: keep the keys and the coded variables, renamed to their labels."""
+    cells = responses.withColumn("_m", F.from_json(col, "array<array<string>>"))
+    rows = cells.select(F.get("_m", F.lit(0)).alias("_h"), F.posexplode("_m").alias("_i", "_r")).filter(F.col("_i") > 0)
+    named = rows.select(F.map_from_arrays("_h", "_r").alias("_v"))
+    return named.select(*[F.col("_v")[k].alias(k) for k in keys], *[F.col("_v")[c].alias(n) for c, n in labels.items()])
+
+
+def html_rows(pages: DataFrame, col: str, keep: Sequence[str], row_tag: str = "tr", cell_tag: str = "td",
+              junk: Sequence[str] = ()) -> DataFrame:
+    """Cells of the table rows in an HTML column: (row_index, cells), markup and junk parts removed."""
+    row = F.lit(f"(?s)<{row_tag}\\b[^>]*>(.*?)</{row_tag}>")
+    cell = F.lit(f"(?s)<{cell_tag}\\b[^>]*>(.*?)</{cell_tag}>")
+    rows = pages.select(*keep, F.posexplode(F.regexp_extract_all(col, row, F.lit(1))).alias("row_index", "_row"))
+
+    def clean(c: Column) -> Column:
+        text = F.regexp_replace(c, "<[^>]+>", "")
+        for part in junk:
+            text = F.replace(text, F.lit(part), F.lit(" "))
+        return F.trim(F.regexp_replace(text, r"\s+", " "))
+
+    return rows.select(*keep, "row_index", F.transform(F.regexp_extract_all("_row", cell, F.lit(1)), clean).alias("cells"))
+
+
+def latest_snapshot(df: DataFrame, order: Column | None = None) -> DataFrame:
+    """Rows of the newest file of a series (largest file name), or none when there is no file."""
+    named = df.withColumn("_f", F.col("_metadata.file_path") if order is None else order)
+    newest = named.agg(F.max("_f").alias("f")).scalar()
+    return named.withColumn("_newest", newest).filter(F.col("_f") == F.col("_newest")).drop("_f", "_newest")

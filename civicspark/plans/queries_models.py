@@ -1 +1,180 @@
-"""To come."""
+"""Feature engineering and models."""
+
+from __future__ import annotations
+
+from pyspark.ml.feature import VectorAssembler
+from pyspark.sql import functions as F
+
+from civicspark.operators import features as FE
+from civicspark.operators import joins as J
+from civicspark.operators import models as M
+from civicspark.plans import bindings as B
+from civicspark.plans.bindings import CTES, sql
+from civicspark.plans.registry import query
+
+CATEGORIES = ["demo", "sex"]
+NUMERIC = ["age", "distance", "fraction_no_vehicle", "popDensity"]
+ELECTION = "2000-11-08"
+
+CTES["model_rows"] = f"""SELECT v.*, CAST(v.voter_key * 37 % 1000 AS DOUBLE) / 10.0 AS distance, tr.total, tr.land, tr.no_vehicle, tr.one_vehicle, tr.two_vehicles, h.vote_method
+    FROM raw_voters v JOIN tracts tr ON v.tract_geoid = tr.geo_id LEFT JOIN (SELECT voter_id, max(vote_method) AS vote_method FROM history WHERE election_at = '{ELECTION}' GROUP BY 1) h
+    ON v.voter_key = h.voter_id"""
+
+
+def model_rows(t):
+    """Voters with tract counts, a distance and the method used in one election."""
+    once = B.history(t).filter(F.col("election_at") == ELECTION).groupBy("voter_id").agg(F.max("vote_method").alias("vote_method"))
+    tr = B.tracts(t).select("geo_id", "total", "land", "no_vehicle", "one_vehicle", "two_vehicles")
+    v = B.raw_voters(t).withColumn("distance", (F.col("voter_key") * 37 % 1000).cast("double") / 10.0)
+    return (v.join(tr, F.col("tract_geoid") == F.col("geo_id")).drop("geo_id")
+            .join(once.withColumnRenamed("voter_id", "_v"), F.col("voter_key") == F.col("_v"), "left").drop("_v"))
+
+
+def _prepared(t):
+    shares = {"fraction_no_vehicle": ["no_vehicle"], "fraction_some_vehicle": ["one_vehicle", "two_vehicles"]}
+    rows = model_rows(t).withColumnRenamed("dob", "age")
+    return FE.prepare(rows, ["registered_at"], ("registered_at", "2016-11-08"), ["distance"], ["age"], "vote_method", shares, "total", "land")
+
+
+def _encoded(t):
+    df = _prepared(t).na.drop(subset=["vote_method", *NUMERIC])
+    enc, labels, pipeline = FE.encode(df, CATEGORIES)
+    return enc, labels
+
+
+def _inputs():
+    return [*NUMERIC, *[f"{c}_hot" for c in CATEGORIES]]
+
+
+def _assembled(t):
+    enc, labels = _encoded(t)
+    return FE.assemble(enc, _inputs(), "vote_method"), labels
+
+
+@query("ml_index", sql("raw_voters", """SELECT sex, CAST(row_number() OVER (ORDER BY n DESC, sex) - 1 AS DOUBLE) AS idx, n FROM
+       (SELECT CASE WHEN sex = '' THEN 'NA' ELSE sex END AS sex, count(*) AS n FROM raw_voters GROUP BY 1)"""))
+def ml_index(t):
+    enc, _, _ = FE.encode(B.raw_voters(t).select("voter_key", "sex"), ["sex"], one_hot=False)
+    return enc.groupBy("sex", F.col("sex_index").alias("idx")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _hot(t, cols):
+    enc, labels, _ = FE.encode(B.raw_voters(t).select("voter_key", *cols), cols)
+    for c in cols:
+        enc = FE.vector_to_columns(enc, f"{c}_hot", labels[c][:-1])
+    return enc.drop(*[f"{c}_index" for c in cols]), labels
+
+
+@query("ml_onehot")
+def ml_onehot(t):
+    return _hot(t, ["sex"])[0]
+
+
+@query("ml_onehot_many")
+def ml_onehot_many(t):
+    return _hot(t, CATEGORIES)[0]
+
+
+@query("ml_assemble")
+def ml_assemble(t):
+    return FE.vector_to_columns(_assembled(t)[0], "features", [str(i) for i in range(len(NUMERIC))])
+
+
+@query("ml_prepare", sql("raw_voters tracts history model_rows", """SELECT voter_key, round(date_diff('day', try_cast(dob AS DATE), DATE '2021-02-18') * (1 / 365.0::DOUBLE), 8) AS age, distance,
+       CASE WHEN vote_method = 'voted' THEN 1 ELSE 0 END AS vote_method, round(CAST(no_vehicle AS DOUBLE) / total, 8) AS fraction_no_vehicle,
+       round(CAST(one_vehicle + two_vehicles AS DOUBLE) / total, 8) AS fraction_some_vehicle, round(CAST(total AS DOUBLE) / nullif(land, 0), 8) AS "popDensity"
+       FROM model_rows WHERE try_cast(registered_at AS DATE) <= DATE '2016-11-08'"""))
+def ml_prepare(t):
+    p = _prepared(t)
+    rounded = ["age", "fraction_no_vehicle", "fraction_some_vehicle", "popDensity"]
+    return p.select("voter_key", "distance", "vote_method", *[F.round(c, 8).alias(c) for c in rounded])
+
+
+def _one_row(t, name, value):
+    """A fitted figure as a one-row table."""
+    return t.spark.createDataFrame([(name, float(value))], "model string, auc double")
+
+
+@query("ml_logistic")
+def ml_logistic(t):
+    rows, _ = _assembled(t)
+    train, test = rows.randomSplit([0.8, 0.2], 0)
+    return _one_row(t, "logistic", M.area_under_roc(M.logistic(train).transform(test)))
+
+
+@query("ml_mlp")
+def ml_mlp(t):
+    rows, _ = _assembled(t)
+    inputs = rows.select("features").first()["features"].size
+    return _one_row(t, "perceptron", M.area_under_roc(M.perceptron(rows, inputs).transform(rows)))
+
+
+@query("ml_tree")
+def ml_tree(t):
+    rows, _ = _assembled(t)
+    return _one_row(t, "tree", M.area_under_roc(M.tree(rows).transform(rows)))
+
+
+_RANK = "SELECT label, score, avg(rn) OVER (PARTITION BY score) AS rank FROM (SELECT *, row_number() OVER (ORDER BY score) AS rn FROM scored)"
+
+
+@query("ml_auc", sql("scored", f"""SELECT round((sum(CASE WHEN label = 1 THEN rank END) - p * (p + 1) / 2) / (p * n), 8) AS auc FROM ({_RANK}),
+       (SELECT CAST(count(*) FILTER (label = 1) AS DOUBLE) AS p, CAST(count(*) FILTER (label <> 1) AS DOUBLE) AS n FROM scored) GROUP BY p, n"""))
+def ml_auc(t):
+    return M.auc(B.scored(t)).withColumn("auc", F.round("auc", 8))
+
+
+_STEPS = """SELECT score, CAST(sum(pos) OVER w AS BIGINT) AS tp, CAST(sum(neg) OVER w AS BIGINT) AS fp, CAST(sum(pos) OVER () AS DOUBLE) AS p, CAST(sum(neg) OVER () AS DOUBLE) AS n FROM
+    (SELECT score, count(*) FILTER (label = 1) AS pos, count(*) FILTER (label <> 1) AS neg FROM scored GROUP BY 1) WINDOW w AS (ORDER BY score DESC)"""
+
+
+@query("ml_roc_points", sql("scored", f"SELECT score, tp, fp, round(fp / n, 8) AS fpr, round(tp / p, 8) AS tpr FROM ({_STEPS})"))
+def ml_roc_points(t):
+    return M.roc_points(B.scored(t)).withColumns({c: F.round(c, 8) for c in ("fpr", "tpr")})
+
+
+@query("ml_best_f_threshold", sql("scored", f"""SELECT arg_max(score, {{'f': f, 's': score}}) AS threshold, round(max(f), 8) AS f_measure FROM (SELECT score, coalesce(2 * pr * re / nullif(pr + re, 0), 0) AS f FROM
+       (SELECT score, CAST(tp AS DOUBLE) / (tp + fp) AS pr, tp / p AS re FROM ({_STEPS})))"""))
+def ml_best_f_threshold(t):
+    return M.best_f_threshold(B.scored(t)).withColumn("f_measure", F.round("f_measure", 8))
+
+
+@query("ml_coef_table")
+def ml_coef_table(t):
+    rows, labels = _assembled(t)
+    return M.coefficient_table(t.spark, rows, M.logistic(rows).coefficients.toArray().tolist(), labels)
+
+
+@query("ml_counterfactual")
+def ml_counterfactual(t):
+    enc, _ = _encoded(t)
+    assembler = VectorAssembler(inputCols=_inputs(), outputCol="features")
+    train = assembler.transform(enc).select("features", F.col("vote_method").cast("double").alias("label"))
+    return M.counterfactual(M.logistic(train), enc, assembler, "distance", "voter_key")
+
+
+def _tract_rows(t):
+    """Order lines by the supplier's nation: outcome, a distance, one more number, and an activity flag."""
+    li = t.lineitem.select(F.col("l_orderkey").alias("key"), F.col("l_suppkey"), F.col("l_quantity").alias("distance"), F.col("l_discount").alias("discount"),
+                           (F.col("l_linestatus") == "F").cast("int").alias("outcome"), (F.col("l_returnflag") != "N").alias("active"))
+    return li.join(t.supplier, F.col("l_suppkey") == F.col("s_suppkey")).withColumnRenamed("s_nationkey", "tract").drop("s_name", "s_acctbal", "s_suppkey", "l_suppkey")
+
+
+@query("ml_per_tract")
+def ml_per_tract(t):
+    return M.per_group_sensitivity(_tract_rows(t), "tract", "key", ["distance", "discount"], "distance", "outcome", F.col("active"))
+
+
+@query("ml_fixed_effect")
+def ml_fixed_effect(t):
+    """The tract as a category, on the rows of the most frequent tracts."""
+    df = _prepared(t).na.drop(subset=NUMERIC).withColumn("tract", F.col("tract_geoid").cast("string"))
+    top = J.semi(df, J.top_keys(df, "tract", 8), "tract", "tract")
+    enc, labels, _ = FE.encode(top, ["tract"])
+    rows = FE.assemble(enc, [*NUMERIC, "tract_hot"], "vote_method")
+    return M.coefficient_table(t.spark, rows, M.logistic(rows).coefficients.toArray().tolist(), labels)
+
+
+@query("ml_linear_trend", "SELECT round(regr_slope(l_extendedprice, l_quantity), 6) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 4) AS intercept, count(*) AS n FROM lineitem")
+def ml_linear_trend(t):
+    return M.linear_trend(t.lineitem, "l_quantity", "l_extendedprice").withColumns({"slope": F.round("slope", 6), "intercept": F.round("intercept", 4)})

@@ -123,7 +123,10 @@ def _nearest_cells(points: DataFrame, places: DataFrame, metric: str) -> DataFra
     live = live.select("*", *[F.lit(0).cast("bigint").alias(f"p{i}") for i in axes], F.lit(float("inf")).alias("bound"))
     spot = ["lat", "lon", "place_type"]
     for level in range(1, depth + 1):
-        joined = live.join(summary(level), ["place_type", *key("p")])
+        side = summary(level)
+        # the first two levels have 1 and at most 64 parent cells per type, so shuffling points by them would
+        # put all points in a few tasks; their size is bounded by the cell count
+        joined = live.join(F.broadcast(side) if level <= 2 else side, ["place_type", *key("p")])
 
         def box_gap(c) -> Column:
             gaps = [F.greatest(c[f"lo{i}"] - q[i], F.lit(0.0), q[i] - c[f"hi{i}"]) for i in axes]

@@ -77,21 +77,25 @@ def numeric_join(left: DataFrame, right: DataFrame, pairs: Sequence[tuple[str, s
     return a.join(b, cond, how).drop(*[f"_l{i}" for i in range(len(pairs))], *[f"_r{i}" for i in range(len(pairs))])
 
 
-def contains_join(texts: DataFrame, names: DataFrame, text: str, name: str, gram: int = 3) -> DataFrame:
-    """Pairs where the text contains the whole name, ignoring case: an equi-join on the name's first letters.
+def contains_join(texts: DataFrame, names: DataFrame, key: str, text: str, name: str, gram: int = 3) -> DataFrame:
+    """(key, name) pairs where the text contains the whole name, ignoring case; blank names are left out.
 
-    Every distinct piece of ``gram`` letters of a text is a probe, so no match can be missed and only texts
-    that hold a name's opening are compared with it. Names shorter than a piece meet shorter probes in a
-    branch of their own. Blank names are left out.
+    Two equi-joins, no pairing of texts with names: the positions where a text holds some name's opening
+    ``gram`` letters (one row per opening, with the lengths of the names behind it), then the piece of each such
+    length against the whole name. Names that share an opening cost one probe per distinct length. Names
+    shorter than ``gram`` are matched against all pieces of their size. ``key`` identifies a text.
     """
-    t = texts.withColumn("_t", F.lower(text))
-    n = names.withColumn("_n", F.lower(name)).filter(F.length("_n") > 0)
-
-    def probe(sizes: Sequence[int], opening: DataFrame) -> DataFrame:
-        pieces = F.flatten(F.array(*[F.regexp_extract_all("_t", F.lit(f"(?s)(?=(.{{{s}}}))"), F.lit(1)) for s in sizes]))
-        probes = t.withColumn("_g", F.explode_outer(F.array_distinct(pieces)))
-        return probes.join(opening.withColumn("_g", F.left("_n", F.lit(gram))), "_g").filter(F.contains("_t", "_n"))
-
-    long = probe([gram], n.filter(F.length("_n") >= gram))
-    short = probe(list(range(1, gram)), n.filter(F.length("_n") < gram))
-    return long.unionByName(short).drop("_g", "_t", "_n")
+    t = texts.select(F.col(key), F.lower(text).alias("_t"))
+    n = names.select(name, F.lower(name).alias("_n")).filter(F.length("_n") > 0)
+
+    def pieces(size: int) -> Column:
+        return F.regexp_extract_all("_t", F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1))
+
+    long = n.filter(F.length("_n") >= gram)
+    openings = long.groupBy(F.left("_n", F.lit(gram)).alias("_g")).agg(F.collect_set(F.length("_n")).alias("_lengths"))
+    spots = t.select(key, "_t", F.posexplode_outer(pieces(gram)).alias("_i", "_g")).join(openings, "_g")
+    probes = spots.select(key, "_t", "_i", F.explode("_lengths").alias("_l"))
+    probes = probes.select(key, F.substr(F.col("_t"), F.col("_i") + 1, F.col("_l")).alias("_n"))
+    short = t.select(key, F.explode_outer(F.flatten(F.array(*[pieces(s) for s in range(1, gram)]))).alias("_n"))
+    return (probes.join(long, "_n").unionByName(short.join(n.filter(F.length("_n") < gram), "_n"))
+            .select(key, name).dropDuplicates())

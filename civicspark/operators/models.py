@@ -121,7 +121,8 @@ def grouped_logistic(df: DataFrame, by: Sequence[str], features: Sequence[str],
 
     Newton steps on sums: a step is one aggregation of gradient and Hessian, combined on the map side, and a
     tiny solve per group. A group of any size costs its partial sums only; no group is gathered anywhere.
-    The coefficient table, one row per group, is checkpointed after each step to keep the plan flat.
+    The training columns are checkpointed once, so that steps do not repeat what made them, and so is the
+    coefficient table (one row per group) after each step, to keep the plan flat.
     """
     ensure_checkpoint_dir(df.sparkSession)
     by, d = list(by), len(features) + 1
@@ -141,7 +142,7 @@ def grouped_logistic(df: DataFrame, by: Sequence[str], features: Sequence[str],
             out.append((np.asarray(b, float) + np.clip(step, -10, 10)).tolist())
         return pd.Series(out)
 
-    rows = df.select(*by, *[x.alias(f"_x{i}") for i, x in enumerate(full)], F.col(label).cast("double").alias("_y"))
+    rows = df.select(*by, *[x.alias(f"_x{i}") for i, x in enumerate(full)], F.col(label).cast("double").alias("_y")).checkpoint()
     x = [F.col(f"_x{i}") for i in range(d)]
     coefs = None
     for _ in range(iterations):

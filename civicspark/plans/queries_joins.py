@@ -198,5 +198,5 @@ def join_contains_name(t):
     title = F.concat(F.lit("General Nation_"), (F.col("o_custkey") % 25).cast("string"), F.lit(" Election "), F.year("o_orderdate").cast("string"))
     elections = t.orders.select("o_orderkey", title.alias("title"))
     names = t.nation.select(F.col("n_name").alias("state_name"))
-    return J.contains_join(elections, names, "title", "state_name").select("o_orderkey", "state_name")
+    return J.contains_join(elections, names, "o_orderkey", "title", "state_name")
 

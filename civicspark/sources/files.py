@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,10 +23,10 @@ def header_of(spark: SparkSession, path: str, sep: str = ",") -> list[str]:
 
 
 def read_delimited(spark: SparkSession, path: str | list[str], cols: Sequence[str] | None = None, sep: str = ",",
-                   quoting: str = "minimal", quote: str = '"', escape: str = '"') -> DataFrame:
-    """Delimited text with a header. ``quoting="none"`` takes quote characters as data."""
+                   quoting: str = "minimal", quote: str = '"', escape: str = '"', header: bool = True) -> DataFrame:
+    """Delimited text. ``quoting="none"`` takes quote characters as data; ``header=False`` needs ``cols``."""
     first = path[0] if isinstance(path, list) else path
-    reader = (spark.read.schema(text_schema(cols or header_of(spark, first, sep))).option("header", True).option("sep", sep)
+    reader = (spark.read.schema(text_schema(cols or header_of(spark, first, sep))).option("header", header).option("sep", sep)
               .option("mode", "PERMISSIVE").option("enforceSchema", True))
     if quoting == "none":
         reader = reader.option("quote", "").option("escape", "\u0000")
@@ -114,8 +115,13 @@ def html_rows(pages: DataFrame, col: str, keep: Sequence[str], row_tag: str = "t
     return rows.select(*keep, "row_index", F.transform(F.regexp_extract_all("_row", cell, F.lit(1)), clean).alias("cells"))
 
 
-def latest_snapshot(df: DataFrame, order: Column | None = None) -> DataFrame:
-    """Rows of the newest file of a series (largest file name), or none when there is no file."""
-    named = df.withColumn("_f", F.col("_metadata.file_path") if order is None else order)
-    newest = named.agg(F.max("_f").alias("f")).scalar()
-    return named.withColumn("_newest", newest).filter(F.col("_f") == F.col("_newest")).drop("_f", "_newest")
+def latest_snapshot(df: DataFrame, stamp: str = r"([^/]+)/?[^/]*$") -> DataFrame:
+    """Rows of the newest snapshot of a series, or none when there is no file.
+
+    The newest stamp comes from the file list the plan already holds; the filter on the path then leaves the
+    other files unread.
+    """
+    stamps = [m.group(1) for f in df.inputFiles() if (m := re.search(stamp, f))]
+    if not stamps:
+        return df.limit(0)
+    return df.filter(F.regexp_extract(F.col("_metadata.file_path"), stamp, 1) == F.lit(max(stamps)))

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from civicspark.functions.hashing import HASH_SPACE, key_hash
 from civicspark.operators import ordered as O
-from civicspark.session import ensure_checkpoint_dir
+from civicspark.session import materialise
 
 # The multipliers applied to the distance.
 MULTIPLIERS = [0.05, 0.1, 0.25, 0.5, 0.75, 1.0, 1.5, 2.0]
@@ -116,46 +116,52 @@ def _sigmoid(z: Column) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-z))
 
 
-def grouped_logistic(df: DataFrame, by: Sequence[str], features: Sequence[str], label: str, iterations: int = 7) -> DataFrame:
+def grouped_logistic(df: DataFrame, by: Sequence[str], features: Sequence[str], label: str, iterations: int = 12, tolerance: float = 1e-6) -> DataFrame:
     """One logistic model per group, all groups at once: (by, coefs = [intercept, ...]).
 
     Newton steps on sums: a step is one aggregation of gradient and Hessian, combined on the map side, and a
     tiny solve per group. A group of any size costs its partial sums only; no group is gathered anywhere.
-    The training columns are checkpointed once, so that steps do not repeat what made them, and so is the
-    coefficient table (one row per group) after each step, to keep the plan flat.
+    The training columns are written once to the shared folder, so that steps do not repeat what made them, and
+    the coefficient table (one row per group) after each step, to keep the plan flat. It ends when no group moves.
     """
-    ensure_checkpoint_dir(df.sparkSession)
     by, d = list(by), len(features) + 1
     xs = [F.col(f).cast("double") for f in features]
     full = [F.lit(1.0), *xs]
     pairs = [(i, j) for i in range(d) for j in range(i, d)]
 
-    @F.pandas_udf("array<double>")
-    def solve(coefs: pd.Series, gradient: pd.Series, hessian: pd.Series) -> pd.Series:
-        out = []
+    @F.pandas_udf("coefs array<double>, moved double")
+    def solve(coefs: pd.Series, gradient: pd.Series, hessian: pd.Series) -> pd.DataFrame:
+        out, moved = [], []
         for b, g, h in zip(coefs, gradient, hessian):
             m = np.zeros((d, d))
             for (i, j), v in zip(pairs, h):
                 m[i, j] = m[j, i] = v
             scale = np.trace(m) / d
             step = np.linalg.lstsq(m + RIDGE * max(scale, 1e-12) * np.eye(d), np.asarray(g, float), rcond=None)[0]
-            out.append((np.asarray(b, float) + np.clip(step, -10, 10)).tolist())
-        return pd.Series(out)
-
-    rows = df.select(*by, *[x.alias(f"_x{i}") for i, x in enumerate(full)], F.col(label).cast("double").alias("_y")).checkpoint()
+            step = np.clip(step, -10, 10)
+            out.append((np.asarray(b, float) + step).tolist())
+            moved.append(float(np.abs(step).max()))
+        return pd.DataFrame({"coefs": out, "moved": moved})
+
+    rows = df.select(*by, *[x.alias(f"_x{i}") for i, x in enumerate(full)], F.col(label).cast("double").alias("_y"))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = materialise(rows.repartition(parts), "training_rows")  # even files: hot groups no longer sit together
     x = [F.col(f"_x{i}") for i in range(d)]
     coefs = None
     for _ in range(iterations):
         if coefs is None:
             current = rows.withColumn("coefs", F.array(*[F.lit(0.0)] * d))
         else:
-            current = rows.join(coefs, by)
+            current = rows.join(coefs.drop("moved"), by)
         current = current.withColumn("_p", _sigmoid(_linear(F.col("coefs"), x[1:])))
         w = F.col("_p") * (F.lit(1.0) - F.col("_p"))
         sums = current.groupBy(*by).agg(F.first("coefs").alias("coefs"), *[F.sum(x[i] * (F.col("_y") - F.col("_p"))).alias(f"_g{i}") for i in range(d)],
                                         *[F.sum(w * x[i] * x[j]).alias(f"_h{i}_{j}") for i, j in pairs])
-        coefs = sums.select(*by, solve("coefs", F.array(*[f"_g{i}" for i in range(d)]), F.array(*[f"_h{i}_{j}" for i, j in pairs])).alias("coefs")).checkpoint()
-    return coefs
+        solved = solve("coefs", F.array(*[f"_g{i}" for i in range(d)]), F.array(*[f"_h{i}_{j}" for i, j in pairs]))
+        coefs = materialise(sums.select(*by, solved.alias("s")).select(*by, "s.*"), "coefficients")
+        if (coefs.agg(F.max("moved")).first()[0] or 0.0) < tolerance:
+            break
+    return coefs.drop("moved")
 
 
 def per_group_sensitivity(df: DataFrame, group: str, key: str, features: Sequence[str], distance: str, label: str, active: Column,

@@ -1,7 +1,7 @@
 """Order-dependent operators that never sort a whole table, or a whole key, in one task.
 
-Rows are cut into value ranges by split points. The split points are a bottom-k sample by hash: a pure
-function of the data, so a re-run task assigns every row to the same range. Work inside a range is an
+Rows are cut into value ranges by split points. The split points are a sample by hash: a pure function of the
+data, so a re-run task assigns every row to the same range. Work inside a range is an
 ordinary window; what crosses ranges is a small table of one row per (key, range).
 """
 
@@ -13,35 +13,45 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 STEP = 16
+MAX_RANGES = 256
+ROWS_PER_RANGE = 16_384  # a key below this size stays one range
 
 
-def range_count(df: DataFrame) -> int:
-    """As many ranges as the session has shuffle partitions, within 8..256."""
-    return max(8, min(256, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-
-
-def with_ranges(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
+def with_ranges(df: DataFrame, keys: list[str], order: list[Column], raw: tuple[DataFrame, list[Column]] | None = None) -> DataFrame:
     """Add ``_o`` (the order tuple) and ``_range`` (from 0, increasing in ``_o``) per key.
 
-    Keys must not be NULL. The order tuple must be distinct within a key: duplicates are the caller's to pre-aggregate.
+    A row is a split point when its hash falls on a multiple that grows with the size of its key: about one in
+    ROWS_PER_RANGE, and about MAX_RANGES per key at most. Keys must not be NULL. The order tuple must be
+    distinct within a key: duplicates are the caller's to pre-aggregate; ``raw`` then names the rows (and their
+    order) before that, so that sampling does not repeat the aggregation.
     """
-    ranges = range_count(df)
-    df = df.withColumn("_o", order[0] if len(order) == 1 else F.struct(*order))
-    by_hash = [F.xxhash64("_o"), F.col("_o")]
+
+    def one(cols: list[Column]) -> Column:
+        return cols[0] if len(cols) == 1 else F.struct(*cols)
+
+    df = df.withColumn("_o", one(order))
+    source = raw[0].withColumn("_o", one(raw[1])) if raw else df
+    rows = F.count(F.lit(1))
+    spacing = F.greatest(F.lit(ROWS_PER_RANGE), F.ceil(rows / F.lit(MAX_RANGES))).cast("bigint").alias("_spacing")
+    if keys:
+        sample = source.select(*keys, "_o").join(source.groupBy(*keys).agg(spacing), keys)
+    else:
+        sample = source.select("_o").withColumn("_spacing", source.agg(spacing).scalar())
+    sample = sample.filter(F.pmod(F.xxhash64("_o"), F.col("_spacing")) == 0)
+    # two short scans instead of one over all split points: every STEP-th point, then one block; both arrays
+    # are made once per key, before they meet the rows
+    points = F.array_sort(F.collect_set("_o"))
+    splits = F.struct(points.alias("all"), F.filter(points, lambda s, i: (i + 1) % STEP == 0).alias("steps")).alias("_splits")
     if keys:
-        rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*by_hash))
-        picked = df.select(*keys, "_o").withColumn("_rn", rank).filter(F.col("_rn") < ranges)
-        splits = picked.groupBy(*keys).agg(F.array_sort(F.collect_list("_o")).alias("_splits"))
-        df = df.join(splits, keys, "left")
+        df = df.join(sample.groupBy(*keys).agg(splits), keys, "left")
     else:
-        sample = df.select("_o").orderBy(*by_hash).limit(ranges - 1)
-        df = df.withColumn("_splits", sample.agg(F.array_sort(F.collect_list("_o")).alias("s")).scalar())
-    # two short scans instead of one over all split points: every STEP-th point, then one block
-    df = df.withColumn("_steps", F.filter("_splits", lambda s, i: (i + 1) % STEP == 0))
-    df = df.withColumn("_block", F.size(F.filter("_steps", lambda s: s < F.col("_o"))) * STEP)
-    within = F.slice("_splits", F.col("_block") + 1, STEP)
-    ranged = df.withColumn("_range", F.col("_block") + F.size(F.filter(within, lambda s: s < F.col("_o"))))
-    return ranged.drop("_splits", "_steps", "_block")
+        df = df.withColumn("_splits", sample.agg(splits).scalar())
+    df = df.withColumn("_block", F.size(F.filter("_splits.steps", lambda s: s < F.col("_o"))) * STEP)
+    within = F.slice("_splits.all", F.col("_block") + 1, STEP)
+    found = F.col("_block") + F.size(F.filter(within, lambda s: s < F.col("_o")))
+    # never NULL: otherwise every join on _range would evaluate it twice, to test for NULL
+    ranged = df.withColumn("_range", F.coalesce(F.when(F.col("_splits").isNotNull(), found), F.lit(0)))
+    return ranged.drop("_splits", "_block")
 
 
 def running(df: DataFrame, keys: list[str], order: list[Column], outs: dict[str, tuple[str, Column]],
@@ -80,8 +90,9 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str,
 
     Equal values are merged first, then only the ranges that hold a wanted rank are looked into.
     """
-    points = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_q")).agg(F.count(F.lit(1)).alias("_n"))
-    cut = with_ranges(points, keys, [F.col("_q")])
+    known = df.filter(F.col(value).isNotNull())
+    points = known.groupBy(*keys, F.col(value).alias("_q")).agg(F.count(F.lit(1)).alias("_n"))
+    cut = with_ranges(points, keys, [F.col("_q")], (known, [F.col(value)]))
     part = keys or [F.lit(0)]
     before = Window.partitionBy(*part).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     totals = (cut.groupBy(*keys, "_range").agg(F.sum("_n").alias("_rn"))
@@ -92,7 +103,8 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str,
     wanted = [edge for pos in positions.values() for edge in (F.floor(pos), F.ceil(pos))]
     holds = reduce(lambda a, b: a | b, [(w >= F.col("_start")) & (w < F.col("_start") + F.col("_rn")) for w in wanted])
     edges = totals.filter(holds)
-    kept = cut.join(edges if keys else F.broadcast(edges), [*keys, "_range"])
+    # merge: the window below needs the same partitioning; left alone, the points may be broadcast instead
+    kept = cut.join(edges.hint("merge") if keys else F.broadcast(edges), [*keys, "_range"])
     inside = Window.partitionBy(*keys, "_range").orderBy("_q").rowsBetween(Window.unboundedPreceding, 0)
     ranked = kept.withColumn("_end", F.col("_start") + F.sum("_n").over(inside))
 

@@ -18,7 +18,8 @@ RESPONSE = f"map<string,array<{PLACE}>>"
 
 def count_types(df: DataFrame, col: str) -> DataFrame:
     """Occurrences of each type in a JSON list column."""
-    kinds = df.select(F.explode(F.from_json(col, "array<string>")).alias("kind"))
+    # explode_outer, here and below: plain explode adds a size() test that parses the text a second time
+    kinds = df.select(F.explode_outer(F.from_json(col, "array<string>")).alias("kind")).filter(F.col("kind").isNotNull())
     return kinds.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -83,8 +84,8 @@ def mask_repeats(df: DataFrame, index: Sequence[str], tie: str) -> DataFrame:
 
 def flatten_places(df: DataFrame, col: str, keep: Sequence[str]) -> DataFrame:
     """One row per place and source of a stored response: type, position, address and source fields."""
-    parsed = df.select(*keep, F.explode(F.from_json(col, RESPONSE)).alias("place_type", "places"))
-    places = parsed.select(*keep, "place_type", F.posexplode("places").alias("place_index", "p"))
+    parsed = df.select(*keep, F.explode_outer(F.from_json(col, RESPONSE)).alias("place_type", "places"))
+    places = parsed.select(*keep, "place_type", F.posexplode_outer("places").alias("place_index", "p")).filter(F.col("p").isNotNull())
     flat = places.select(*keep, "place_type", "place_index", F.col("p.pollingHours").alias("Pollinghours"),
                          *[F.col(f"p.address.{f}").alias(f"Address{f[0].upper()}{f[1:].lower()}") for f in ("locationName", "line1", "city")],
                          F.posexplode_outer("p.sources").alias("source_index", "s"))

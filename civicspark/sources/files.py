@@ -94,7 +94,7 @@ def read_delimited_raw(spark: SparkSession, path: str, cols: Sequence[str], sep:
 def census_rows(responses: DataFrame, col: str, keys: Sequence[str], labels: Mapping[str, str]) -> DataFrame:
     """JSON arrays with a header row: keep the keys and the coded variables, renamed to their labels."""
     cells = responses.withColumn("_m", F.from_json(col, "array<array<string>>"))
-    rows = cells.select(F.get("_m", F.lit(0)).alias("_h"), F.posexplode("_m").alias("_i", "_r")).filter(F.col("_i") > 0)
+    rows = cells.select(F.get("_m", F.lit(0)).alias("_h"), F.posexplode_outer("_m").alias("_i", "_r")).filter(F.col("_i") > 0)
     named = rows.select(F.map_from_arrays("_h", "_r").alias("_v"))
     return named.select(*[F.col("_v")[k].alias(k) for k in keys], *[F.col("_v")[c].alias(n) for c, n in labels.items()])
 
@@ -104,7 +104,8 @@ def html_rows(pages: DataFrame, col: str, keep: Sequence[str], row_tag: str = "t
     """Cells of the table rows in an HTML column: (row_index, cells), markup and junk parts removed."""
     row = F.lit(f"(?s)<{row_tag}\\b[^>]*>(.*?)</{row_tag}>")
     cell = F.lit(f"(?s)<{cell_tag}\\b[^>]*>(.*?)</{cell_tag}>")
-    rows = pages.select(*keep, F.posexplode(F.regexp_extract_all(col, row, F.lit(1))).alias("row_index", "_row"))
+    rows = pages.select(*keep, F.posexplode_outer(F.regexp_extract_all(col, row, F.lit(1))).alias("row_index", "_row"))
+    rows = rows.filter(F.col("_row").isNotNull())
 
     def clean(c: Column) -> Column:
         text = F.regexp_replace(c, "<[^>]+>", "")

@@ -24,6 +24,12 @@ from civicspark.sources import jdbc
 from civicspark.streaming import backlog as BL
 
 
+@pytest.fixture(autouse=True)
+def many_ranges(monkeypatch):
+    """Small ranges, so that small tables are cut too."""
+    monkeypatch.setattr(O, "ROWS_PER_RANGE", 20)
+
+
 @pytest.fixture(scope="module")
 def skewed(spark):
     """A third of the rows share one key, and many values are equal."""

@@ -48,13 +48,13 @@ def fair_set_objective(t):
     return _scores(t)
 
 
-@query("fair_combine", sql("set_scores", """SELECT a.set_id, round(a.total + 0.3::DOUBLE * b.total, 5) AS summed, round(0.35::DOUBLE * a.total + 0.65::DOUBLE * b.total, 5) AS balanced
+@query("fair_combine", sql("set_scores", """SELECT a.set_id, round(a.total + 0.3::DOUBLE * b.total, 8) AS summed, round(0.35::DOUBLE * a.total + 0.65::DOUBLE * b.total, 8) AS balanced
        FROM set_scores a JOIN set_scores b ON a.set_id = b.set_id WHERE a.objective = 'distance' AND b.objective = 'prob' AND a.weight = 0 AND b.weight = 0"""))
 def fair_combine(t):
     s = _scores(t).filter(F.col("weight") == 0.0)
     wide = s.groupBy("set_id").agg(*[F.max(F.when(F.col("objective") == k, F.col("total"))).alias(k) for k in ("distance", "prob")])
-    return wide.select("set_id", F.round(FA.combine(F.col("distance"), F.col("prob"), 0.3), 5).alias("summed"),
-                       F.round(FA.combine_balanced(F.col("distance"), F.col("prob"), 0.3), 5).alias("balanced"))
+    return wide.select("set_id", F.round(FA.combine(F.col("distance"), F.col("prob"), 0.3), 8).alias("summed"),
+                       F.round(FA.combine_balanced(F.col("distance"), F.col("prob"), 0.3), 8).alias("balanced"))
 
 
 _BEST = "SELECT objective, weight, arg_max(set_id, {'s': total, 'i': -set_id}) AS set_id, max(total) AS best FROM set_scores GROUP BY 1, 2"
@@ -72,9 +72,9 @@ def fair_lump(t):
     return FA.lump(best, F.concat("objective", F.lit("_"), F.col("weight").cast("string")))
 
 
-@query("fair_group_means", sql("set_dist", f"SELECT set_id, theta, round(avg(r), 6) AS mean_distance, round(avg({_P}), 6) AS mean_prob FROM set_dist GROUP BY 1, 2"))
+@query("fair_group_means", sql("set_dist", f"SELECT set_id, theta, round(avg(r), 9) AS mean_distance, round(avg({_P}), 9) AS mean_prob FROM set_dist GROUP BY 1, 2"))
 def fair_group_means(t):
-    return FA.group_means(_reach(t), BETA).withColumns({c: F.round(c, 6) for c in ("mean_distance", "mean_prob")})
+    return FA.group_means(_reach(t), BETA).withColumns({c: F.round(c, 9) for c in ("mean_distance", "mean_prob")})
 
 
 @query("fair_covariance", sql("set_dist", f"SELECT set_id, round(covar_pop(theta, {_P}), 8) + 0.0 AS cov FROM set_dist GROUP BY 1"))

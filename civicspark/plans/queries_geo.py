@@ -30,9 +30,9 @@ def _cols():
     return [F.col(c) for c in ("vlat", "vlon", "flat", "flon")]
 
 
-@query("geo_distance_km", sql("distances voters facilities", f"SELECT voter_id, facility_id, round({HAVERSINE_SQL.format(a='v', b='f')}, 6) AS km {_PAIR_SQL}"))
+@query("geo_distance_km", sql("distances voters facilities", f"SELECT voter_id, facility_id, round({HAVERSINE_SQL.format(a='v', b='f')}, 4) AS km {_PAIR_SQL}"))
 def geo_distance_km(t):
-    return _pairs(t).select("voter_id", "facility_id", F.round(G.haversine_km(*_cols()), 6).alias("km"))
+    return _pairs(t).select("voter_id", "facility_id", F.round(G.haversine_km(*_cols()), 4).alias("km"))
 
 
 @query("geo_distance_ft", sql("distances voters facilities", f"SELECT voter_id, facility_id, round({HAVERSINE_SQL.format(a='v', b='f')} * 3280.839895013123, 2) AS ft {_PAIR_SQL}"))

@@ -49,21 +49,30 @@ def _nearest_udf(ids: np.ndarray, lat: np.ndarray, lon: np.ndarray, metric: str)
         out.loc[~ok, ["place_lat", "place_lon"]] = np.nan
         return out
 
-    return find
+    # not marked deterministic, so that a filter on the result is not pushed below it: that would search twice
+    return find.asNondeterministic()
 
 
-def _nearest_small(points: DataFrame, places: list, types: Sequence[str], metric: str) -> DataFrame:
-    hits = []
+def _hits(places: list, types: Sequence[str], metric: str) -> dict[str, Column]:
+    """Per type with places: the nearest one as a struct column over ``lat`` and ``lon``."""
+    hits = {}
     for t in types:
         rows = sorted((r["place_id"], r["lat"], r["lon"]) for r in places if r["place_type"] == t)
         if rows:
             ids, lat, lon = (np.array(v) for v in zip(*rows))
-            hits.append(F.struct(F.lit(t).alias("place_type"), _nearest_udf(ids, lat, lon, metric)("lat", "lon").alias("hit")))
+            hits[t] = _nearest_udf(ids, lat, lon, metric)("lat", "lon")
+    return hits
+
+
+def _nearest_small(points: DataFrame, places: list, types: Sequence[str], metric: str) -> DataFrame:
+    found = _hits(places, types, metric)
+    hits = [F.struct(F.lit(t).alias("place_type"), F.col(f"_hit_{i}").alias("hit")) for i, t in enumerate(found)]
     if not hits:
         return points.sparkSession.createDataFrame([], "point_id bigint, lat double, lon double, place_type string,"
                                                        " place_id bigint, place_lat double, place_lon double")
-    found = points.select("point_id", "lat", "lon", F.explode(F.array(*hits)).alias("h"))
-    return found.select("point_id", "lat", "lon", "h.place_type", "h.hit.*").filter(F.col("place_id").isNotNull())
+    searched = points.select("point_id", "lat", "lon", *[h.alias(f"_hit_{i}") for i, h in enumerate(found.values())])
+    long = searched.select("point_id", "lat", "lon", F.explode(F.array(*hits)).alias("h"))
+    return long.select("point_id", "lat", "lon", "h.place_type", "h.hit.*").filter(F.col("place_id").isNotNull())
 
 
 def _cell(dims: list[Column], limits: list[tuple[float, float]], bits: int) -> list[Column]:
@@ -151,6 +160,15 @@ def _nearest_cells(points: DataFrame, places: DataFrame, metric: str) -> DataFra
     return points.join(best, ["lat", "lon"]).select("point_id", "lat", "lon", "place_type", "place_id", "place_lat", "place_lon")
 
 
+def _located(places: DataFrame) -> DataFrame:
+    return places.filter(F.col("lat").isNotNull() & F.col("lon").isNotNull()).select("place_id", "place_type", "lat", "lon")
+
+
+def _head(places: DataFrame, small: int) -> list:
+    """At most ``small + 1`` places: enough to know whether the list is short."""
+    return places.limit(small + 1).collect()
+
+
 def nearest(points: DataFrame, places: DataFrame, metric: str = "planar", small: int = SMALL_PLACES) -> DataFrame:
     """Per point (point_id, lat, lon) and place type: the nearest place and its great-circle distance.
 
@@ -159,8 +177,8 @@ def nearest(points: DataFrame, places: DataFrame, metric: str = "planar", small:
     one goes through the cell search. Points or places without coordinates take no part.
     """
     points = points.filter(F.col("lat").isNotNull() & F.col("lon").isNotNull())
-    places = places.filter(F.col("lat").isNotNull() & F.col("lon").isNotNull())
-    head = places.select("place_id", "place_type", "lat", "lon").limit(small + 1).collect()
+    places = _located(places)
+    head = _head(places, small)
     if len(head) <= small:
         found = _nearest_small(points, head, sorted({r["place_type"] for r in head}), metric)
     else:
@@ -178,6 +196,32 @@ def nearest_wide(found: DataFrame, types: Sequence[str]) -> DataFrame:
     return found.groupBy("point_id").agg(*picks)
 
 
+def attach_nearest(people: DataFrame, key: str, places: DataFrame, types: Sequence[str], metric: str = "planar",
+                   small: int = SMALL_PLACES) -> DataFrame:
+    """People (key, lat, lon, ...) with ``closest_<type>`` and ``dist_to_<type>``; NULL without a point or a place.
+
+    With a short place list this is a projection: no row of the people table moves. A long list goes through
+    ``nearest`` and joins back.
+    """
+    head = _head(_located(places), small)
+    if len(head) > small:
+        points = people.select(F.col(key).alias("point_id"), "lat", "lon")
+        wide = nearest_wide(nearest(points, places, metric, small), types)
+        return people.join(wide, people[key] == wide["point_id"], "left").drop("point_id")
+    hits = _hits(head, types, metric)
+    found = people.withColumns({f"_hit_{t}": h for t, h in hits.items()})
+    made = {}
+    for t in types:
+        if t in hits:
+            h = F.col(f"_hit_{t}")
+            made[f"closest_{t}"] = h["place_id"]
+            km = haversine_km(F.col("lat"), F.col("lon"), h["place_lat"], h["place_lon"])
+            made[f"dist_to_{t}"] = F.when(h["place_id"].isNotNull(), km)
+        else:
+            made |= {f"closest_{t}": F.lit(None).cast("bigint"), f"dist_to_{t}": F.lit(None).cast("double")}
+    return found.select(*people.columns, *[c.alias(n) for n, c in made.items()])
+
+
 def within_radius(points: DataFrame, places: DataFrame, km: float) -> DataFrame:
     """All (point, place) pairs at most ``km`` apart, with their distance.
 

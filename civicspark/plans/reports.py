@@ -14,10 +14,8 @@ from civicspark.operators.joins import star_join
 
 def with_nearest(voters: DataFrame, facilities: DataFrame, types: Sequence[str]) -> DataFrame:
     """Voters with ``closest_<type>`` and ``dist_to_<type>``."""
-    points = voters.select(F.col("voter_id").alias("point_id"), "lat", "lon")
     places = facilities.select(F.col("facility_id").alias("place_id"), "place_type", "lat", "lon")
-    wide = geo.nearest_wide(geo.nearest(points, places), types)
-    return voters.join(wide, voters["voter_id"] == wide["point_id"], "left").drop("point_id")
+    return geo.attach_nearest(voters, "voter_id", places, types)
 
 
 def wide_report(voters: DataFrame, facilities: DataFrame, tracts: DataFrame, types: Sequence[str],

@@ -105,6 +105,16 @@ def test_nearest_ties_missing_coordinates_and_empty_types(spark):
         assert len(wide) == 1 and wide[0]["closest_a"] == 4 and wide[0]["closest_none"] is None
 
 
+def test_attach_nearest_same_on_both_paths(spark):
+    rng = np.random.default_rng(9)
+    plat, plon = _spots(rng, 200)
+    people = spark.createDataFrame(pd.DataFrame({"id": range(200), "lat": plat, "lon": plon})).withColumn("lat", F.when(F.col("id") != 7, F.col("lat")))
+    places = spark.createDataFrame(pd.DataFrame({"place_id": range(90), "place_type": ["a", "b"] * 45, "lat": plat[:90] + 0.3, "lon": plon[:90]}))
+    one, two = (geo.attach_nearest(people, "id", places, ["a", "b", "c"], small=n).orderBy("id").collect() for n in (1000, 0))
+    assert [r.asDict() for r in one] == [r.asDict() for r in two]
+    assert one[7]["closest_a"] is None and one[8]["closest_c"] is None and one[8]["closest_b"] is not None
+
+
 def test_radius_crosses_date_line_and_pole(spark):
     points = spark.createDataFrame([(1, 0.0, 179.9), (2, 89.9, 0.0)], "point_id bigint, lat double, lon double")
     places = spark.createDataFrame([(1, 0.0, -179.9), (2, 89.9, 180.0), (3, 10.0, 10.0)], "place_id bigint, lat double, lon double")

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 STEP = 16
 MAX_RANGES = 256
 ROWS_PER_RANGE = 16_384  # a key below this size stays one range
+SALTS = 16
 
 
 def with_ranges(df: DataFrame, keys: list[str], order: list[Column], raw: tuple[DataFrame, list[Column]] | None = None) -> DataFrame:
@@ -31,19 +32,23 @@ def with_ranges(df: DataFrame, keys: list[str], order: list[Column], raw: tuple[
 
     df = df.withColumn("_o", one(order))
     source = raw[0].withColumn("_o", one(raw[1])) if raw else df
-    rows = F.count(F.lit(1))
-    spacing = F.greatest(F.lit(ROWS_PER_RANGE), F.ceil(rows / F.lit(MAX_RANGES))).cast("bigint").alias("_spacing")
+    hashed = F.xxhash64("_o")
+    # thin the sample of very large keys further; the first filter needs no join, so only it sees every row
+    thin = F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / F.lit(MAX_RANGES * ROWS_PER_RANGE))).cast("bigint").alias("_thin")
+    sample = source.select(*keys, "_o").filter(F.pmod(hashed, F.lit(ROWS_PER_RANGE)) == 0).distinct()
     if keys:
-        sample = source.select(*keys, "_o").join(source.groupBy(*keys).agg(spacing), keys)
+        sample = sample.join(source.groupBy(*keys).agg(thin), keys)
     else:
-        sample = source.select("_o").withColumn("_spacing", source.agg(spacing).scalar())
-    sample = sample.filter(F.pmod(F.xxhash64("_o"), F.col("_spacing")) == 0)
+        sample = sample.withColumn("_thin", source.agg(thin).scalar())
+    sample = sample.filter(F.pmod(F.shiftright(hashed, 20), F.col("_thin")) == 0)
     # two short scans instead of one over all split points: every STEP-th point, then one block; both arrays
     # are made once per key, before they meet the rows
     points = F.array_sort(F.collect_set("_o"))
     splits = F.struct(points.alias("all"), F.filter(points, lambda s, i: (i + 1) % STEP == 0).alias("steps")).alias("_splits")
     if keys:
-        df = df.join(sample.groupBy(*keys).agg(splits), keys, "left")
+        # only large keys have split points; salting keeps the rows of one key in many tasks through this join
+        salted = sample.groupBy(*keys).agg(splits).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")))
+        df = df.withColumn("_salt", F.pmod(hashed, F.lit(SALTS))).join(salted, [*keys, "_salt"], "left").drop("_salt")
     else:
         df = df.withColumn("_splits", sample.agg(splits).scalar())
     df = df.withColumn("_block", F.size(F.filter("_splits.steps", lambda s: s < F.col("_o"))) * STEP)
@@ -69,7 +74,9 @@ def running(df: DataFrame, keys: list[str], order: list[Column], outs: dict[str,
                                *[fns[f](f"_p_{n}").over(before).alias(f"_b_{n}") for n, (f, _) in outs.items()])
     inside = (Window.partitionBy(*keys, "_range").orderBy("_o")
               .rowsBetween(Window.unboundedPreceding, -1 if strict else 0))
-    local = cut.select("*", *[fns[f](f"_v_{n}").over(inside).alias(f"_l_{n}") for n, (f, _) in outs.items()])
+    # spelled out: a table already partitioned by the keys alone would otherwise keep a hot key in one task
+    spread = cut.repartition(*keys, "_range")
+    local = spread.select("*", *[fns[f](f"_v_{n}").over(inside).alias(f"_l_{n}") for n, (f, _) in outs.items()])
     joined = local.join(offsets if keys else F.broadcast(offsets), [*keys, "_range"], "left")
     final = []
     for n, (f, _) in outs.items():

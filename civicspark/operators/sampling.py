@@ -20,7 +20,7 @@ def hash_rank(df: DataFrame, key: str, by: Sequence[str] = (), salt: int = 0, na
     counts = cut.groupBy(*by, "_slice").agg(F.count(F.lit(1)).alias("_n"))
     offsets = counts.select(*by, "_slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     inside = F.row_number().over(Window.partitionBy(*by, "_slice").orderBy("_h", key))
-    ranked = cut.withColumn("_inside", inside)
+    ranked = cut.repartition(*by, "_slice").withColumn("_inside", inside)  # never by the group alone
     joined = ranked.join(offsets if by else F.broadcast(offsets), [*by, "_slice"])  # SLICES rows at most
     return joined.select(*df.columns, (F.col("_before") + F.col("_inside")).cast("bigint").alias(name))
 

@@ -21,9 +21,10 @@ def with_nearest(voters: DataFrame, facilities: DataFrame, types: Sequence[str])
 def wide_report(voters: DataFrame, facilities: DataFrame, tracts: DataFrame, types: Sequence[str],
                 facility_cols: Sequence[str], tract_cols: Sequence[str]) -> DataFrame:
     """Voters with every key and distance present, joined to their tract and to the nearest facility of each type."""
-    enriched = with_nearest(voters, facilities, types)
+    located = voters.filter(P.nonnull(["lat", "lon", "tract_geoid"]))  # before the search, not after it
+    enriched = with_nearest(located, facilities, types)
     keys = [f"closest_{t}" for t in types]
-    where = P.nonnull(["lat", "lon", "tract_geoid", *keys, *[f"dist_to_{t}" for t in types]])
+    where = P.nonnull([*keys, *[f"dist_to_{t}" for t in types]])
     dims = [(tracts, "tract_geoid", "geo_id"), *[(facilities, k, "facility_id") for k in keys]]
     cols = {"tract_geoid": tract_cols, **{k: facility_cols for k in keys}}
     return star_join(enriched, dims, where, cols)

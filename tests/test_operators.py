@@ -60,6 +60,18 @@ def test_row_numbers_and_running_totals(skewed):
     assert np.allclose(run.top.iloc[1:].to_numpy(float), pdf.v.cummax().shift().iloc[1:])
 
 
+def test_hot_key_is_spread_over_tasks(spark):
+    """Input partitioned by the key alone: the ranges of its hot key still end up in several partitions."""
+    df = spark.range(4000).select(F.col("id"), (F.col("id") % 10 > 6).cast("int").alias("k")).repartition(8, "k")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = O.row_numbers(df, ["k"], [F.col("id")])
+        parts = plan.filter(F.col("k") == 0).select(F.spark_partition_id().alias("p")).distinct().count()
+        assert parts > 3 and plan.agg(F.countDistinct("k", "rn")).first()[0] == 4000
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
 def test_samples_are_exact_and_disjoint(skewed):
     df, pdf = skewed
     assert SA.sample_exact(df, "id", 0.137).select("id").distinct().count() == math.floor(0.137 * len(pdf))

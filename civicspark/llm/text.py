@@ -53,8 +53,8 @@ def _power_tables(n: int) -> list[np.ndarray]:
     return _powers
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """Cut batches into runs of rows with at most SLICE_BYTES of text: (rows, bytes, offsets of each row's text)."""
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Cut batches into runs of rows with at most ``size`` bytes of text: (rows, bytes, offsets of each row's text)."""
     for batch in batches:
         texts = batch.column(column)
         if texts.null_count:
@@ -64,7 +64,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[
         data = np.frombuffer(texts.buffers()[2], np.uint8) if texts.buffers()[2] is not None else np.zeros(0, np.uint8)
         i = 0
         while i < len(texts):
-            j = max(i + 1, int(np.searchsorted(ends, ends[i] + SLICE_BYTES, "right")) - 1)
+            j = max(i + 1, int(np.searchsorted(ends, ends[i] + size, "right")) - 1)
             j = min(j, len(texts))
             yield batch.slice(i, j - i), data[ends[i]:ends[j]], ends[i:j + 1] - ends[i]
             i = j

@@ -31,7 +31,8 @@ from civicspark.session import scratch_path
 BLOCK_IDS = 1 << 16
 ENCODE_BYTES = 1 << 23
 PIECES = 4096
-REMEMBERED = 400_000
+REMEMBERED = 300_000
+CLOSING = "!\"#$%&)*+,-./:;=>?@\\]^_`|}~"
 ODD = r"^ | $| \s|\s |[\x0B\x85\xA0\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 BLOCKS = "shard int, block int, first long, n_ids long, doc_ids array<long>, offsets array<long>, bits int, payload binary"
 
@@ -85,32 +86,52 @@ class PieceIds:
         return self._encode(text).tobytes()
 
     def __call__(self, pieces: list[str]) -> list[bytes]:
-        """The ids of each of the given distinct pieces."""
+        """The ids of each of the given distinct pieces.
+
+        The pre-tokenizer always cuts between a letter or digit and closing punctuation: so a new piece that ends in
+        punctuation is its stem and its ending, each encoded once.
+        """
         if len(self.newer) > REMEMBERED:
             self.older, self.newer = self.newer, {}
+        newer, older = self.newer, self.older
         for at in range(0, len(pieces), REMEMBERED):
-            new = []
+            new: dict[str, None] = {}
+            composed = []
             for p in pieces[at:at + REMEMBERED]:
-                if p not in self.newer:
-                    if p in self.older:
-                        self.newer[p] = self.older[p]
-                    else:
-                        new.append(p)
-            self._learn(new)
-        return [self.newer[p] for p in pieces]
+                if p in newer:
+                    continue
+                if p in older:
+                    newer[p] = older[p]
+                    continue
+                stem = p.rstrip(CLOSING)
+                if len(stem) < len(p) and stem[-1:].isalnum():
+                    composed.append((p, stem, p[len(stem):]))
+                    for part in composed[-1][1:]:
+                        if part in older:
+                            newer[part] = older[part]
+                        elif part not in newer:
+                            new[part] = None
+                else:
+                    new[p] = None
+            self._learn(list(new))
+            for p, stem, ending in composed:
+                newer[p] = newer[stem] + newer[ending]
+        return [newer[p] for p in pieces]
 
 
 def encode_texts(encode: PieceIds, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts one after another, and the number of ids of each text.
 
-    A byte-level pre-tokenizer always cuts before a space that stands between two other characters. Texts are cut there,
-    each distinct piece is encoded once, and the pieces' ids are strung together. A text in which a space touches
-    other white space is encoded as one piece, so the ids are always those of the whole text.
+    A byte-level pre-tokenizer always cuts before a space, and before a line break, that stands between two characters which
+    are not white space. Texts are cut there, each distinct piece is encoded once, and the pieces' ids are strung
+    together. A text in which a space touches other white space is encoded as one piece, so the ids are always those of
+    the whole text.
     """
     texts = pc.fill_null(texts, "").cast(pa.large_string())
     n = len(texts)
     odd = pc.match_substring_regex(texts, ODD).to_numpy(zero_copy_only=False)
-    lists = pc.split_pattern(pc.if_else(pa.array(odd), pa.scalar("", pa.large_string()), texts), " ")
+    lines = pc.replace_substring_regex(pc.if_else(pa.array(odd), pa.scalar("", pa.large_string()), texts), r"([^\s\x0B])\n([^\s\x0B])", "\\1 \n\\2")
+    lists = pc.split_pattern(lines, " ")
     pieces = lists.flatten().dictionary_encode()
     which = pieces.indices.to_numpy(zero_copy_only=False).astype(np.int64)
     per_text = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -124,7 +145,7 @@ def encode_texts(encode: PieceIds, texts: pa.Array) -> tuple[np.ndarray, np.ndar
     which[is_first] = len(words) + head_of
     odd_at = np.flatnonzero(odd)
     which[firsts[odd_at]] = len(words) + len(heads) + np.arange(len(odd_at))
-    source = [" " + w for w in words] + [words[h] for h in heads] + texts.take(pa.array(odd_at)).to_pylist()
+    source = [w if w[:1] == "\n" else " " + w for w in words] + [words[h] for h in heads] + texts.take(pa.array(odd_at)).to_pylist()
     used = np.flatnonzero(np.bincount(which, minlength=len(source)))
     short = used[used < len(source) - len(odd_at)]
     ids = encode([source[k] for k in short]) + [encode.whole(source[k]) for k in used[len(short):]]

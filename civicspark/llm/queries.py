@@ -1,6 +1,6 @@
 """Imports every query module, which fills the registry."""
 
-from civicspark.llm import op1, op3, op5, op6, op7, op9, op10  # noqa: F401
+from civicspark.llm import op1, op3, op4, op5, op6, op7, op9, op10  # noqa: F401
 from civicspark.llm.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from civicspark.llm.text import mix64, pack_rows, slices, word_hashes
+from civicspark.llm.text import ngrams, pack_rows, slices, word_hashes
 from civicspark.session import materialise
 
 UNIT_WORDS = 64
@@ -53,17 +53,6 @@ def hashes_of(texts: list[str]) -> list[np.ndarray]:
     return [words[a:b] for a, b in zip(rows, rows[1:])]
 
 
-def ngrams(words: np.ndarray, n: int = NGRAM) -> np.ndarray:
-    """Hashes of all runs of n words; a shorter sequence is one run, nothing if it is empty."""
-    if not len(words):
-        return np.zeros(0, np.uint64)
-    n = min(n, len(words))
-    out = np.full(len(words) - n + 1, n, np.uint64)
-    for k in range(n):
-        out = mix64(out * np.uint64(0x9E3779B97F4A7C15) + words[k:len(words) - n + 1 + k])
-    return out
-
-
 class Shard:
     """Postings of some units, with impacts and block maxima."""
 
@@ -86,7 +75,7 @@ class Shard:
         self.impacts = [[w for _, w in postings[t]] for t in self.terms.tolist()]
         self.block_max = [[max(w[i:i + BLOCK]) for i in range(0, len(w), BLOCK)] for w in self.impacts]
         self.best = np.array([max(w) for w in self.impacts] or [0.0])
-        self.grams = [[(min(NGRAM, len(w)), np.unique(ngrams(w))) for w in hashes_of(list(split_item(t)))] for _, t in items]
+        self.grams = [[(min(NGRAM, len(w)), np.unique(ngrams(w, NGRAM))) for w in hashes_of(list(split_item(t)))] for _, t in items]
 
     def lookup(self, words: np.ndarray) -> np.ndarray:
         """The term number of each word, -1 if the index does not have it."""

@@ -96,3 +96,20 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
 
 def pack_rows(columns: dict[str, list], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], schema=schema)
+
+
+def ngrams(words: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of all runs of n words; a shorter sequence is one run, nothing if it is empty."""
+    if not len(words):
+        return np.zeros(0, np.uint64)
+    n = min(n, len(words))
+    out = np.full(len(words) - n + 1, n, np.uint64)
+    for k in range(n):
+        out = mix64(out * np.uint64(_STEP) + words[k:len(words) - n + 1 + k])
+    return out
+
+
+def shingle_sets(words: np.ndarray, rows: np.ndarray, n: int) -> list[np.ndarray]:
+    """The distinct n-word shingles of each row, ascending; a row of fewer words is one shingle, a blank row has none."""
+    every = ngrams(words, n) if len(words) >= n else np.zeros(0, np.uint64)
+    return [np.unique(every[a:b - n + 1]) if b - a >= n else ngrams(words[a:b], n) for a, b in zip(rows.tolist(), rows[1:].tolist())]

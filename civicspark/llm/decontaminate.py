@@ -231,6 +231,17 @@ def find_contamination(docs: DataFrame, items: DataFrame, threshold: float = 0.5
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, threshold: float = 0.5, overlap: float = 0.6) -> DataFrame:
-    """The documents that hold no benchmark item; all columns are kept. Rows with a NULL id are judged by no pair and stay."""
-    leaked = materialise(find_contamination(docs, items, threshold, overlap).select(F.col("doc_id").alias("leaked")).distinct(), "leaked")
-    return docs.join(leaked, F.col("doc_id") == F.col("leaked"), "left_anti")
+    """The rows of ``docs`` whose text holds no benchmark item, with all their columns. Each shard is one pass; no row is moved."""
+    spark, out = docs.sparkSession, docs
+    for shard in shards_of(items.select(F.col("item_id").cast("long").alias("item_id"), "text")):
+        sent = spark.sparkContext.broadcast(shard)
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            for batch, data, offsets in slices(batches):
+                words, rows = word_hashes(data, offsets)
+                clean = np.ones(batch.num_rows, bool)
+                clean[[f[0] for f in search(sent.value, words, rows, threshold, overlap)]] = False
+                yield batch.filter(pa.array(clean))
+
+        out = out.mapInArrow(run, docs.schema)
+    return out

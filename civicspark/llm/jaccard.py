@@ -26,6 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from civicspark.llm.columns import unused
 from civicspark.llm.components import components
 from civicspark.llm.text import mix64, shingle_sets, slices, word_hashes
 from civicspark.session import materialise
@@ -267,6 +268,7 @@ def one_per_group(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     Of rows that repeat the id one stays. Rows with a NULL id stay only if their component has no other id, one for each.
     """
     found = similar_documents(docs, n, percent)
-    keep = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept")).distinct()
-    kept = docs.join(keep, F.col("doc_id").cast("long").eqNullSafe(F.col("kept")), "left_semi")
+    name = unused(docs, "kept")
+    keep = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(name)).distinct()
+    kept = docs.join(keep, F.col("doc_id").cast("long").eqNullSafe(F.col(name)), "left_semi")
     return kept.dropDuplicates(["doc_id"])

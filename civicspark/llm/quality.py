@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from civicspark.llm.columns import unused
 from civicspark.llm.text import LOWER, slices, word_bounds, word_hashes
 from civicspark.session import materialise
 
@@ -96,8 +97,8 @@ def fit(docs: DataFrame, sample: DataFrame) -> np.ndarray:
     return np.log(counts[0] / counts[0].sum()) - np.log(counts[1] / counts[1].sum())
 
 
-def weigh(docs: DataFrame, ratios: np.ndarray) -> DataFrame:
-    """All columns of ``docs`` and ``__weight``: the log importance weight of its text. A text without n-grams weighs 0."""
+def weigh(docs: DataFrame, ratios: np.ndarray, name: str = "__weight") -> DataFrame:
+    """All columns of ``docs`` and ``name``: the log importance weight of its text. A text without n-grams weighs 0."""
     sent = docs.sparkSession.sparkContext.broadcast(ratios.astype(np.float32))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,9 +106,9 @@ def weigh(docs: DataFrame, ratios: np.ndarray) -> DataFrame:
             weight = np.zeros(batch.num_rows)
             for buckets, rows in ngram_buckets(data, offsets):
                 weight += SPAN * sum_rows(sent.value[buckets], rows) / np.maximum(np.diff(rows), 1)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(weight)], names=[*batch.schema.names, "__weight"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(weight)], names=[*batch.schema.names, name])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("__weight", T.DoubleType())]))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
 def gumbel(id_col: str) -> Column:
@@ -176,7 +177,7 @@ def kept_by(cut: tuple[float, int | None] | None, key: Column, doc_id: Column) -
 
 
 def resample(docs: DataFrame, labels: DataFrame, keep: int | None = None, fit_rows: int = FIT_ROWS) -> DataFrame:
-    """The rows of ``docs`` that the sample keeps, with all their columns, ``__weight`` and ``__key``.
+    """The rows of ``docs`` that the sample keeps, with all their columns, ``__weight`` and ``__key`` (lengthened if taken).
 
     ``docs``: doc_id, text and any other columns; ``labels``: doc_id, quality. NULL or empty texts have no n-grams and weigh 0,
     between good and bad. Rows that share an id share the noise; rows that tie at the cut in key and id are all kept.
@@ -190,5 +191,6 @@ def resample(docs: DataFrame, labels: DataFrame, keep: int | None = None, fit_ro
         known = scored.join(F.broadcast(sample), F.col("doc_id") == F.col("labelled"), "left")
         keep = scored.filter(F.col("__weight") >= F.lit(level(known))).count()
     cut = cut_of_top(scored.select("doc_id", (F.col("__weight") + gumbel("doc_id")).alias("key")), keep)
-    out = weigh(docs, ratios).withColumn("__key", F.col("__weight") + gumbel("doc_id"))
-    return out.filter(kept_by(cut, F.col("__key"), F.col("doc_id").cast("long")))
+    weight, key = unused(docs, "__weight"), unused(docs, "__key")
+    out = weigh(docs, ratios, weight).withColumn(key, F.col(weight) + gumbel("doc_id"))
+    return out.filter(kept_by(cut, F.col(key), F.col("doc_id").cast("long")))

@@ -6,9 +6,10 @@ are sorted by unit and cut into blocks of ``BLOCK`` postings that carry their la
 shards of at most ``SHARD_WORDS`` item words: only one bounded shard at a time is sent to the tasks.
 
 The queries. A passage is a window of ``2 * UNIT_WORDS`` words, moved on by ``UNIT_WORDS``: every unit that a text holds lies
-whole in some window. Windows whose terms' largest impacts sum to less than the threshold hold no pivot and are passed
-over in one vectorised step; on the others WAND moves its cursors by pivot, skipping blocks whose maxima cannot
-reach the threshold. All units above the threshold are retrieved.
+whole in some window. One vectorised step passes over the windows on which no unit can reach the threshold: it sums the
+impacts of the less frequent terms exactly and adds all that a unit can get from frequent ones (at most ``SHARE``). On the
+others WAND moves its cursors by pivot, skipping blocks whose maxima cannot reach the threshold. All units above the threshold
+are retrieved.
 
 The check. Question (all but the last sentence) and answer (the last sentence) of a retrieved unit's item are compared with
 the whole text: shares of their distinct n-grams of words that occur in it. A row is contaminated if both shares reach
@@ -27,13 +28,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from civicspark.llm.text import ngrams, pack_rows, slices, word_hashes
+from civicspark.llm.text import distinct, ngrams, pack_rows, slices, word_hashes
 from civicspark.session import materialise
 
 UNIT_WORDS = 64
 BLOCK = 16
 SHARD_WORDS = 1 << 17
 NGRAM = 4
+SHARE = 0.25
 K1, B = 1.2, 0.75
 _TOKEN = r"[^\x20\x09-\x0D]+"
 
@@ -75,14 +77,55 @@ class Shard:
         self.impacts = [[w for _, w in postings[t]] for t in self.terms.tolist()]
         self.block_max = [[max(w[i:i + BLOCK]) for i in range(0, len(w), BLOCK)] for w in self.impacts]
         self.best = np.array([max(w) for w in self.impacts] or [0.0])
+        self.present = np.zeros(1 << 20, bool)
+        self.present[self.terms & np.uint64(len(self.present) - 1)] = True
+        self._part_terms()
         self.grams = [[(min(NGRAM, len(w)), np.unique(ngrams(w, NGRAM))) for w in hashes_of(list(split_item(t)))] for _, t in items]
 
+    def _part_terms(self) -> None:
+        """Part the terms into frequent ones, whose impacts never sum to more than SHARE on any unit, and the others.
+
+        ``mass`` is a unit's sum over its frequent terms; ``flat_*`` are the postings of the others, one after another.
+        """
+        mass = np.zeros(len(self.unit_item))
+        frequent = np.zeros(len(self.terms), bool)
+        for t in sorted(range(len(self.terms)), key=lambda t: -len(self.units[t])):
+            more = mass.copy()
+            more[self.units[t]] += self.impacts[t]
+            if more.max() > SHARE:
+                break
+            mass, frequent[t] = more, True
+        self.mass = mass
+        lengths = np.array([0 if f else len(u) for f, u in zip(frequent, self.units)], np.int64)
+        self.flat_from = np.cumsum(lengths) - lengths
+        self.flat_length = lengths
+        self.flat_units = np.array([x for f, u in zip(frequent, self.units) if not f for x in u], np.int64)
+        self.flat_impacts = np.array([x for f, w in zip(frequent, self.impacts) if not f for x in w])
+
+    def live_windows(self, window: np.ndarray, term: np.ndarray, threshold: float) -> np.ndarray:
+        """Windows on which some unit can reach the threshold: exact sums of its other terms, plus all its frequent ones."""
+        n = self.flat_length[term]
+        window, term, n = window[n > 0], term[n > 0], n[n > 0]
+        if not len(term):
+            return np.zeros(0, np.int64)
+        at = np.arange(int(n.sum())) + np.repeat(self.flat_from[term] - (np.cumsum(n) - n), n)
+        key = np.repeat(window, n) * len(self.mass) + self.flat_units[at]
+        order = np.argsort(key)
+        key = key[order]
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        sums = np.add.reduceat(self.flat_impacts[at][order], first)
+        pair = key[first]
+        return np.unique(pair[sums + self.mass[pair % len(self.mass)] >= threshold - 1e-9] // len(self.mass))
+
     def lookup(self, words: np.ndarray) -> np.ndarray:
         """The term number of each word, -1 if the index does not have it."""
-        if not len(self.terms):
-            return np.full(len(words), -1, np.int64)
-        at = np.minimum(np.searchsorted(self.terms, words), len(self.terms) - 1)
-        return np.where(self.terms[at] == words, at, -1)
+        out = np.full(len(words), -1, np.int64)
+        maybe = np.flatnonzero(self.present[words & np.uint64(len(self.present) - 1)])
+        if len(maybe):
+            at = np.minimum(np.searchsorted(self.terms, words[maybe]), len(self.terms) - 1)
+            same = self.terms[at] == words[maybe]
+            out[maybe[same]] = at[same]
+        return out
 
     def wand(self, terms: list[int], threshold: float) -> dict[int, float]:
         """All units whose impacts on the distinct terms sum to the threshold or more."""
@@ -145,10 +188,9 @@ def search(shard: Shard, words: np.ndarray, rows: np.ndarray, threshold: float,
     cells_of = np.concatenate([[0], np.cumsum(np.diff(rows) // UNIT_WORDS + 2)])
     own = cells_of[row] + cell
     window, term = np.concatenate([own, own + 1]), np.concatenate([terms[hit], terms[hit]])
-    pairs = np.unique(window * len(shard.terms) + term)
-    window, term = pairs // len(shard.terms), pairs % len(shard.terms)
-    sums = np.bincount(window, shard.best[term], minlength=1)
-    live = np.flatnonzero(sums >= threshold - 1e-9)
+    pairs = distinct(window * len(shard.terms) + term)
+    window, term = np.divmod(pairs, len(shard.terms))
+    live = shard.live_windows(window, term, threshold)
     begin, end = np.searchsorted(window, live), np.searchsorted(window, live, "right")
     best: dict[tuple[int, int], float] = {}
     for w, a, b in zip(live.tolist(), begin.tolist(), end.tolist(), strict=True):

@@ -53,6 +53,12 @@ def _power_tables(n: int) -> list[np.ndarray]:
     return _powers
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    """Distinct values, ascending; by sorting, which is faster on long integer arrays than a hash table."""
+    ranked = np.sort(values)
+    return ranked[np.concatenate([[True], ranked[1:] != ranked[:-1]])] if len(ranked) else ranked
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Cut batches into runs of rows with at most ``size`` bytes of text: (rows, bytes, offsets of each row's text)."""
     for batch in batches:
@@ -112,4 +118,4 @@ def ngrams(words: np.ndarray, n: int) -> np.ndarray:
 def shingle_sets(words: np.ndarray, rows: np.ndarray, n: int) -> list[np.ndarray]:
     """The distinct n-word shingles of each row, ascending; a row of fewer words is one shingle, a blank row has none."""
     every = ngrams(words, n) if len(words) >= n else np.zeros(0, np.uint64)
-    return [np.unique(every[a:b - n + 1]) if b - a >= n else ngrams(words[a:b], n) for a, b in zip(rows.tolist(), rows[1:].tolist())]
+    return [distinct(every[a:b - n + 1]) if b - a >= n else ngrams(words[a:b], n) for a, b in zip(rows.tolist(), rows[1:].tolist())]

@@ -1,4 +1,4 @@
-"""Deterministic hashing for sampling: integer arithmetic only, so any SQL engine can repeat it."""
+"""Deterministic hashing for sampling: md5 of salt and key, which any SQL engine can repeat."""
 
 from __future__ import annotations
 
@@ -9,20 +9,20 @@ HASH_SPACE = 2147483648
 
 
 def key_hash(key: Column | str, salt: int = 0) -> Column:
-    """A well-spread value in [0, 2**31) from a non-negative integer key (and a scenario salt)."""
+    """A value in [0, 2**31) from a key of any type (as text; NULL counts as empty) and a scenario salt.
+
+    Salts give independent values.
+    """
     k = F.col(key) if isinstance(key, str) else key
-    mixed = (k.cast("bigint") % F.lit(2147483647) * F.lit(1103515245) + F.lit(12345 + salt * 7919)) % F.lit(HASH_SPACE)
-    return (mixed * F.lit(69069) + F.lit(1)) % F.lit(HASH_SPACE)
+    text = F.concat(F.lit(f"{salt}:"), F.coalesce(k.cast("string"), F.lit("")))
+    return F.shiftright(F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("bigint"), 1)
 
 
 def key_hash_sql(key: str, salt: int = 0) -> str:
     """The same value as SQL text."""
-    return (
-        f"((((CAST({key} AS BIGINT) % 2147483647) * 1103515245 + {12345 + salt * 7919}) % {HASH_SPACE})"
-        f" * 69069 + 1) % {HASH_SPACE}"
-    )
+    return f"(CAST('0x' || substr(md5('{salt}:' || coalesce(CAST({key} AS VARCHAR), '')), 1, 8) AS BIGINT) >> 1)"
 
 
-def hash_bucket(hashed: Column, buckets: int) -> Column:
+def hash_bucket(hashed: Column, buckets: int | Column) -> Column:
     """Equal slices of the hash space, in hash order."""
-    return F.floor(hashed * F.lit(buckets) / F.lit(HASH_SPACE)).cast("int")
+    return F.floor(hashed * (F.lit(buckets) if isinstance(buckets, int) else buckets) / F.lit(HASH_SPACE)).cast("int")

@@ -24,7 +24,8 @@ STATE_NAMES = {
     "NY": "New York", "NC": "North Carolina", "ND": "North Dakota", "OH": "Ohio", "OK": "Oklahoma",
     "OR": "Oregon", "PA": "Pennsylvania", "RI": "Rhode Island", "SC": "South Carolina", "SD": "South Dakota",
     "TN": "Tennessee", "TX": "Texas", "UT": "Utah", "VT": "Vermont", "VA": "Virginia", "WA": "Washington",
-    "WV": "West Virginia", "WI": "Wisconsin", "WY": "Wyoming",
+    "WV": "West Virginia", "WI": "Wisconsin", "WY": "Wyoming", "MH": "Marshall Islands",
+    "AE": "Armed Forces Middle East", "AA": "Armed Forces Americas", "AP": "Armed Forces Pacific",
 }
 
 
@@ -133,8 +134,9 @@ def logistic(intercept: Column, theta: Column, r: Column, beta: Sequence[float])
 
 
 def log_logistic(intercept: Column, theta: Column, r: Column, beta: Sequence[float]) -> Column:
+    """log(logistic), finite for any finite argument."""
     z = intercept * F.lit(beta[0]) + F.lit(beta[1]) * theta + F.lit(beta[2]) * r
-    return -F.log1p(F.exp(-z))
+    return F.least(z, F.lit(0.0)) - F.log1p(F.exp(-F.abs(z)))
 
 
 def log_gamma_int(n: Column) -> Column:

@@ -7,6 +7,8 @@ A posterior sample is a long table (draw, precinct, grp, cand, b); a precinct ta
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,14 +29,14 @@ def prepare(df: DataFrame, group: str, without: str, total: str) -> DataFrame:
 
 
 def bounds(df: DataFrame) -> DataFrame:
-    """Deterministic bounds of both groups' rates; a group that is absent from a precinct has NULL bounds."""
+    """Deterministic bounds of both groups' rates; NULL for a group absent from a precinct, and where x or t is NULL."""
     x, t = F.col("x"), F.col("t")
     rest = F.nullif(F.lit(1.0) - x, F.lit(0.0))
     some = F.nullif(x, F.lit(0.0))
     zero, one = F.lit(0.0), F.lit(1.0)
 
     def pick(mixed: Column, only_b: Column, only_w: Column) -> Column:
-        return F.when(x == 0, only_w).when(x == 1, only_b).otherwise(mixed)
+        return F.when(x.isNull() | t.isNull(), null).when(x == 0, only_w).when(x == 1, only_b).otherwise(mixed)
 
     null = F.lit(None).cast("double")
     return df.withColumns({
@@ -53,14 +55,18 @@ def bounds_aggregate(df: DataFrame, skip_null: bool = True) -> DataFrame:
 def goodman(df: DataFrame, weight: str | None = None) -> DataFrame:
     """Regress t on x, optionally weighted: intercept is the complement's rate, intercept + slope the group's.
 
-    Closed form from a handful of sums: one pass, one row.
+    Rows without x, t or weight take no part. Sums of centred products, one row; NULL if the weights or x's spread are 0.
     """
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
-    x, t = F.col("x"), F.col("t")
-    sums = df.agg(F.sum(w).alias("w"), F.sum(w * x).alias("wx"), F.sum(w * t).alias("wt"), F.sum(w * x * x).alias("wxx"), F.sum(w * x * t).alias("wxt"))
+    rows = df.select(F.col("x").alias("x"), F.col("t").alias("t"), w.alias("w")).filter("x IS NOT NULL AND t IS NOT NULL AND w IS NOT NULL")
+    means = rows.agg(F.struct(F.avg("x").alias("x"), F.avg("t").alias("t")).alias("m")).scalar()
+    rows = rows.withColumn("_m", means).withColumn("dx", F.col("x") - F.col("_m.x")).withColumn("dt", F.col("t") - F.col("_m.t"))
+    sums = rows.agg(F.sum("w").alias("w"), F.sum(F.col("w") * F.col("dx")).alias("wx"), F.sum(F.col("w") * F.col("dt")).alias("wt"),
+                    F.sum(F.col("w") * F.col("dx") * F.col("dx")).alias("wxx"), F.sum(F.col("w") * F.col("dx") * F.col("dt")).alias("wxt"),
+                    F.avg("x").alias("x0"), F.avg("t").alias("t0"))
     slope = (F.col("w") * F.col("wxt") - F.col("wx") * F.col("wt")) / F.nullif(F.col("w") * F.col("wxx") - F.col("wx") * F.col("wx"), F.lit(0.0))
-    fitted = sums.select(slope.alias("slope"), "w", "wx", "wt")
-    intercept = (F.col("wt") - F.col("slope") * F.col("wx")) / F.col("w")
+    fitted = sums.withColumn("slope", slope)
+    intercept = F.col("t0") - F.col("slope") * F.col("x0") + (F.col("wt") - F.col("slope") * F.col("wx")) / F.nullif(F.col("w"), F.lit(0.0))
     return fitted.select(intercept.alias("intercept"), "slope", intercept.alias("rate_w"), (intercept + F.col("slope")).alias("rate_b"))
 
 
@@ -116,7 +122,7 @@ def district_draws(draws: DataFrame, precincts: DataFrame, weight: Column | None
     """Per draw, group and candidate: the population-weighted share over precincts (``weight`` replaces ``n``)."""
     w = F.col("n").cast("double") if weight is None else weight
     j = draws.join(precincts, "precinct")
-    return j.groupBy("draw", "grp", "cand").agg((F.sum(F.col("b") * w) / F.sum(w)).alias("v"))
+    return j.groupBy("draw", "grp", "cand").agg(weighted_mean(F.col("b"), w).alias("v"))
 
 
 def district_draws_by_group(draws: DataFrame, precincts: DataFrame) -> DataFrame:
@@ -128,7 +134,9 @@ def district_draws_by_group(draws: DataFrame, precincts: DataFrame) -> DataFrame
 def summary(draws: DataFrame, keys: Sequence[str], value: str, interval: dict[str, float] = INTERVAL_95) -> DataFrame:
     """Posterior mean and equal-tailed interval per key."""
     mean = draws.groupBy(*keys).agg(F.avg(value).alias("mean"))
-    return mean.join(O.exact_quantiles(draws, list(keys), value, interval), list(keys))
+    ends = O.exact_quantiles(draws, list(keys), value, interval).select(*[F.col(k).alias(f"_s_{k}") for k in keys], *interval)
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_s_{k}")) for k in keys])
+    return mean.join(ends, same, "left").select(*keys, "mean", *interval)  # a key without values keeps its row, all NULL
 
 
 def group_difference(prefs: DataFrame, cand: int, groups: tuple[int, int]) -> DataFrame:

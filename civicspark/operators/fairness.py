@@ -25,20 +25,36 @@ def utilities(theta: Column, r: Column, beta: Sequence[float]) -> dict[str, Colu
     return {"distance": -r, "prob": S.logistic(one, theta, r, beta), "logprob": S.log_logistic(one, theta, r, beta)}
 
 
-def set_objectives(reach: DataFrame, beta: Sequence[float], weights: Sequence[float]) -> DataFrame:
+def over_everyone(sets: DataFrame, reach: DataFrame, people: DataFrame, far: float, figures: dict[str, Column]) -> DataFrame:
+    """Per set: each figure (an expression over theta and r) summed over *all* people, ``far`` standing in where r is not recorded.
+
+    ``sets``: set_id; ``reach``: set_id, theta, r of recorded pairs; ``people``: theta. No set meets the people it lacks: the sum over
+    all people at ``far`` is one number, to which a set's recorded pairs add their difference. People and pairs without theta
+    take no part.
+    """
+    at_far = people.filter(F.col("theta").isNotNull()).withColumn("r", F.lit(float(far)))
+    base = at_far.agg(F.struct(*[F.coalesce(F.sum(f), F.lit(0.0)).alias(n) for n, f in figures.items()]).alias("b")).scalar()
+    known = reach.filter("theta IS NOT NULL AND r IS NOT NULL").select("set_id", "theta", "r", *[f.alias(f"_at_{n}") for n, f in figures.items()])
+    known = known.withColumn("r", F.lit(float(far))).select("set_id", *[(F.col(f"_at_{n}") - f).alias(n) for n, f in figures.items()])
+    sums = known.groupBy(F.col("set_id").alias("_set")).agg(*[F.sum(n).alias(n) for n in figures])
+    joined = sets.select("set_id").distinct().join(sums, F.col("set_id") == F.col("_set"), "left").withColumn("_b", base)
+    return joined.select("set_id", *[(F.coalesce(F.col(n), F.lit(0.0)) + F.col(f"_b.{n}")).alias(n) for n in figures])
+
+
+def set_objectives(sets: DataFrame, reach: DataFrame, people: DataFrame, far: float, beta: Sequence[float], weights: Sequence[float]) -> DataFrame:
     """Long scores (set_id, objective, weight, total, low_total); the high group weighs (1 - w)/2, others (1 + w)/2.
 
-    ``low_total`` sums the low group's raw utilities. All objectives come from one pass over the people.
+    ``low_total`` sums the low group's raw utilities. Every set is scored on all people (see ``over_everyone``).
     """
     high = F.col("theta") == F.lit(1.0)
     kinds = utilities(F.col("theta"), F.col("r"), beta)
-    aggs = []
+    figures = {}
     for kind, u in kinds.items():
-        aggs += [F.sum(F.when(high, u)).alias(f"{kind}_high"), F.sum(F.when(~high, u)).alias(f"{kind}_low")]
-    sums = reach.groupBy("set_id").agg(*aggs)
+        figures |= {f"{kind}_high": F.when(high, u).otherwise(0.0), f"{kind}_low": F.when(high, 0.0).otherwise(u)}
+    sums = over_everyone(sets, reach, people, far, figures)
     rows = []
     for kind in kinds:
-        hi, lo = F.coalesce(F.col(f"{kind}_high"), F.lit(0.0)), F.coalesce(F.col(f"{kind}_low"), F.lit(0.0))
+        hi, lo = F.col(f"{kind}_high"), F.col(f"{kind}_low")
         rows += [F.struct(F.lit(kind).alias("objective"), F.lit(float(w)).alias("weight"),
                           (hi * F.lit((1 - w) / 2) + lo * F.lit((1 + w) / 2)).alias("total"), lo.alias("low_total")) for w in weights]
     return sums.select("set_id", F.explode(F.array(*rows)).alias("s")).select("set_id", "s.*")
@@ -64,21 +80,33 @@ def lump(best: DataFrame, label: Column) -> DataFrame:
     return best.groupBy("set_id").agg(F.concat_ws(",", F.array_sort(F.collect_list(label))).alias("objectives"), F.count(F.lit(1)).alias("n"))
 
 
-def group_means(reach: DataFrame, beta: Sequence[float]) -> DataFrame:
+def group_means(sets: DataFrame, reach: DataFrame, people: DataFrame, far: float, beta: Sequence[float], groups: Sequence[float] = (0.0, 1.0)) -> DataFrame:
+    """Mean distance and probability of each group of people per set; a group without people has NULL means."""
     p = S.logistic(F.lit(1.0), F.col("theta"), F.col("r"), beta)
-    return reach.groupBy("set_id", "theta").agg(F.avg("r").alias("mean_distance"), F.avg(p).alias("mean_prob"))
-
-
-def covariance(reach: DataFrame, beta: Sequence[float]) -> DataFrame:
-    """Population covariance of group value and success probability per set."""
+    figures = {}
+    for i, g in enumerate(groups):
+        mine = F.col("theta") == F.lit(float(g))
+        figures |= {f"d{i}": F.when(mine, F.col("r")).otherwise(0.0), f"p{i}": F.when(mine, p).otherwise(0.0)}
+    sums = over_everyone(sets, reach, people, far, figures)
+    sizes = people.agg(F.array(*[F.count_if(F.col("theta") == F.lit(float(g))) for g in groups]).alias("n")).scalar()
+    rows = F.array(*[F.struct(F.lit(float(g)).alias("theta"), F.col(f"d{i}").alias("d"), F.col(f"p{i}").alias("p"), F.nullif(F.col("_n")[i], F.lit(0)).alias("n"))
+                     for i, g in enumerate(groups)])
+    return (sums.withColumn("_n", sizes).select("set_id", F.explode(rows).alias("g"))
+            .select("set_id", "g.theta", (F.col("g.d") / F.col("g.n")).alias("mean_distance"), (F.col("g.p") / F.col("g.n")).alias("mean_prob")))
+
+
+def covariance(sets: DataFrame, reach: DataFrame, people: DataFrame, far: float, beta: Sequence[float]) -> DataFrame:
+    """Population covariance of group value and success probability per set, over all people."""
     p = S.logistic(F.lit(1.0), F.col("theta"), F.col("r"), beta)
-    return reach.withColumn("_p", p).groupBy("set_id").agg(F.covar_pop("theta", "_p").alias("cov"))
+    centre = people.agg(F.struct(F.avg("theta").alias("mean"), F.count("theta").alias("n")).alias("c")).scalar()
+    sums = over_everyone(sets, reach, people, far, {"p": p, "tp": p * F.col("theta")})
+    return sums.withColumn("_c", centre).select("set_id", (F.col("tp") / F.col("_c.n") - F.col("p") / F.col("_c.n") * F.col("_c.mean")).alias("cov"))
 
 
-def price_of_fairness(reach: DataFrame, beta: Sequence[float]) -> DataFrame:
-    """(best - own) / |best| per set, for total distance and total probability."""
+def price_of_fairness(sets: DataFrame, reach: DataFrame, people: DataFrame, far: float, beta: Sequence[float]) -> DataFrame:
+    """(best - own) / |best| per set, for total distance and total probability over all people."""
     p = S.logistic(F.lit(1.0), F.col("theta"), F.col("r"), beta)
-    own = reach.groupBy("set_id").agg((-F.sum("r")).alias("dist"), F.sum(p).alias("prob"))
+    own = over_everyone(sets, reach, people, far, {"dist": -F.col("r"), "prob": p})
     best = own.agg(F.struct(F.max("dist").alias("dist"), F.max("prob").alias("prob")).alias("b")).scalar()
     rated = own.withColumn("_b", best)
     return rated.select("set_id", *[S.ratio(F.col(f"_b.{c}") - F.col(c), F.abs(F.col(f"_b.{c}"))).alias(f"price_{c}") for c in ("dist", "prob")])

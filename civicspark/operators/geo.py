@@ -5,15 +5,13 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from civicspark.functions.geometry import KM_PER_DEGREE, chord, haversine_km, rhumb_destination, unit_sphere
 from civicspark.functions.hashing import HASH_SPACE, key_hash
+from civicspark.session import materialise
 
-SMALL_PLACES = 50_000       # up to here the places travel with the tasks; beyond, the cell search runs
 BITS = {"planar": 3, "geodesic": 2}      # each level cuts a cell into 2**bits parts per axis: 64 children
 LEVELS = {"planar": 8, "geodesic": 11}
 LEAF_PLACES = 64            # places per cell at which the search stops cutting
@@ -27,61 +25,13 @@ def _limits(metric: str) -> list[tuple[float, float]]:
     return [(-90.0, 90.0), (-180.0, 180.0)] if metric == "planar" else [(-1.0, 1.0)] * 3
 
 
-def _nearest_udf(ids: np.ndarray, lat: np.ndarray, lon: np.ndarray, metric: str):
-    """A vectorised search in one bounded list of places, sorted by id so that ties take the smallest."""
-
-    @F.pandas_udf("place_id bigint, place_lat double, place_lon double")
-    def find(plat: pd.Series, plon: pd.Series) -> pd.DataFrame:
-        a, b = plat.to_numpy(float), plon.to_numpy(float)
-        ok = ~(np.isnan(a) | np.isnan(b))
-        best = np.zeros(len(a), dtype=np.int64)
-        rows = max(1, 4_000_000 // len(ids))
-        for s in range(0, len(a), rows):
-            dlat, dlon = a[s:s + rows, None] - lat[None, :], b[s:s + rows, None] - lon[None, :]
-            if metric == "planar":
-                d = dlat * dlat + dlon * dlon
-            else:
-                d = (np.sin(np.radians(dlat) / 2) ** 2 + np.cos(np.radians(a[s:s + rows, None]))
-                     * np.cos(np.radians(lat[None, :])) * np.sin(np.radians(dlon) / 2) ** 2)
-            best[s:s + rows] = np.argmin(np.where(np.isnan(d), np.inf, d), axis=1)
-        out = pd.DataFrame({"place_id": ids[best], "place_lat": lat[best], "place_lon": lon[best]})
-        out["place_id"] = out["place_id"].astype("Int64").where(pd.Series(ok))
-        out.loc[~ok, ["place_lat", "place_lon"]] = np.nan
-        return out
-
-    # not marked deterministic, so that a filter on the result is not pushed below it: that would search twice
-    return find.asNondeterministic()
-
-
-def _hits(places: list, types: Sequence[str], metric: str) -> dict[str, Column]:
-    """Per type with places: the nearest one as a struct column over ``lat`` and ``lon``."""
-    hits = {}
-    for t in types:
-        rows = sorted((r["place_id"], r["lat"], r["lon"]) for r in places if r["place_type"] == t)
-        if rows:
-            ids, lat, lon = (np.array(v) for v in zip(*rows))
-            hits[t] = _nearest_udf(ids, lat, lon, metric)("lat", "lon")
-    return hits
-
-
-def _nearest_small(points: DataFrame, places: list, types: Sequence[str], metric: str) -> DataFrame:
-    found = _hits(places, types, metric)
-    hits = [F.struct(F.lit(t).alias("place_type"), F.col(f"_hit_{i}").alias("hit")) for i, t in enumerate(found)]
-    if not hits:
-        return points.sparkSession.createDataFrame([], "point_id bigint, lat double, lon double, place_type string,"
-                                                       " place_id bigint, place_lat double, place_lon double")
-    searched = points.select("point_id", "lat", "lon", *[h.alias(f"_hit_{i}") for i, h in enumerate(found.values())])
-    long = searched.select("point_id", "lat", "lon", F.explode(F.array(*hits)).alias("h"))
-    return long.select("point_id", "lat", "lon", "h.place_type", "h.hit.*").filter(F.col("place_id").isNotNull())
-
-
 def _cell(dims: list[Column], limits: list[tuple[float, float]], bits: int) -> list[Column]:
     n = 1 << bits
     return [F.least(F.floor((d - F.lit(lo)) * F.lit(n / (hi - lo))), F.lit(n - 1)).cast("bigint")
             for d, (lo, hi) in zip(dims, limits)]
 
 
-def _nearest_cells(points: DataFrame, places: DataFrame, metric: str) -> DataFrame:
+def _nearest_cells(points: DataFrame, places: DataFrame, metric: str, leaf_places: int) -> DataFrame:
     """Exact nearest place for any number of places, without pairing points and places.
 
     Places are summarised in a hierarchy of cells: bounding box and one real place as witness. Each distinct
@@ -99,8 +49,9 @@ def _nearest_cells(points: DataFrame, places: DataFrame, metric: str) -> DataFra
         _cell([F.col(f"d{i}") for i in axes], limits, bits * n))]).alias("cell")) for n in range(1, levels + 1)]
     spread = unique.select("place_type", F.explode(F.array(*per_level)).alias("l")).select("place_type", "l.*")
     fullest = (spread.groupBy("place_type", "level", "cell").count().groupBy("level").agg(F.max("count").alias("n"))
-               .filter(F.col("n") <= LEAF_PLACES).agg(F.min("level").alias("level")).first())
+               .filter(F.col("n") <= leaf_places).agg(F.min("level").alias("level")).first())
     depth = fullest["level"] or levels
+    unique = materialise(unique, "places")
 
     def key(prefix: str) -> list[str]:
         return [f"{prefix}{i}" for i in axes]
@@ -147,7 +98,8 @@ def _nearest_cells(points: DataFrame, places: DataFrame, metric: str) -> DataFra
         near = rated.withColumn("rated", F.filter("rated", lambda r: r["gap"] <= F.col("bound")))
         # explode_outer: plain explode would push a size() test, with the whole rating inside, into the join
         flat = near.select(*spot, *key("q"), "bound", F.explode_outer("rated").alias("r"))
-        flat = flat.withColumn("bound", F.min("bound").over(Window.partitionBy(*spot)))
+        if level > 1:  # a spot has one row before the first level, so its bound is already the best of its rows
+            flat = flat.withColumn("bound", F.min("bound").over(Window.partitionBy(*spot)))
         live = (flat.filter(F.col("r.gap") <= F.col("bound"))
                 .select(*spot, *key("q"), "bound", *[F.col(f"r.p{i}").alias(f"p{i}") for i in axes]))
     leaf = _cell([F.col(f"d{i}") for i in axes], limits, bits * depth)
@@ -164,25 +116,14 @@ def _located(places: DataFrame) -> DataFrame:
     return places.filter(F.col("lat").isNotNull() & F.col("lon").isNotNull()).select("place_id", "place_type", "lat", "lon")
 
 
-def _head(places: DataFrame, small: int) -> list:
-    """At most ``small + 1`` places: enough to know whether the list is short."""
-    return places.limit(small + 1).collect()
-
-
-def nearest(points: DataFrame, places: DataFrame, metric: str = "planar", small: int = SMALL_PLACES) -> DataFrame:
+def nearest(points: DataFrame, places: DataFrame, metric: str = "planar", leaf: int = LEAF_PLACES) -> DataFrame:
     """Per point (point_id, lat, lon) and place type: the nearest place and its great-circle distance.
 
-    ``metric="planar"`` compares squared degrees, ``"geodesic"`` true distance; ties take the smallest id.
-    Places (place_id, place_type, lat, lon) are counted first: a short list is shipped to the tasks, a long
-    one goes through the cell search. Points or places without coordinates take no part.
+    ``metric="planar"`` compares squared degrees, ``"geodesic"`` true distance; ties take the smallest id. The
+    cell search serves any number of places. Points or places without coordinates take no part.
     """
     points = points.filter(F.col("lat").isNotNull() & F.col("lon").isNotNull())
-    places = _located(places)
-    head = _head(places, small)
-    if len(head) <= small:
-        found = _nearest_small(points, head, sorted({r["place_type"] for r in head}), metric)
-    else:
-        found = _nearest_cells(points, places, metric)
+    found = _nearest_cells(points, _located(places), metric, leaf)
     return found.withColumn("km", haversine_km(F.col("lat"), F.col("lon"), F.col("place_lat"), F.col("place_lon")))
 
 
@@ -196,30 +137,16 @@ def nearest_wide(found: DataFrame, types: Sequence[str]) -> DataFrame:
     return found.groupBy("point_id").agg(*picks)
 
 
-def attach_nearest(people: DataFrame, key: str, places: DataFrame, types: Sequence[str], metric: str = "planar",
-                   small: int = SMALL_PLACES) -> DataFrame:
+def attach_nearest(people: DataFrame, key: str, places: DataFrame, types: Sequence[str], metric: str = "planar") -> DataFrame:
     """People (key, lat, lon, ...) with ``closest_<type>`` and ``dist_to_<type>``; NULL without a point or a place.
 
-    With a short place list this is a projection: no row of the people table moves. A long list goes through
-    ``nearest`` and joins back.
+    Each distinct point is searched once and joined back by its coordinates.
     """
-    head = _head(_located(places), small)
-    if len(head) > small:
-        points = people.select(F.col(key).alias("point_id"), "lat", "lon")
-        wide = nearest_wide(nearest(points, places, metric, small), types)
-        return people.join(wide, people[key] == wide["point_id"], "left").drop("point_id")
-    hits = _hits(head, types, metric)
-    found = people.withColumns({f"_hit_{t}": h for t, h in hits.items()})
-    made = {}
-    for t in types:
-        if t in hits:
-            h = F.col(f"_hit_{t}")
-            made[f"closest_{t}"] = h["place_id"]
-            km = haversine_km(F.col("lat"), F.col("lon"), h["place_lat"], h["place_lon"])
-            made[f"dist_to_{t}"] = F.when(h["place_id"].isNotNull(), km)
-        else:
-            made |= {f"closest_{t}": F.lit(None).cast("bigint"), f"dist_to_{t}": F.lit(None).cast("double")}
-    return found.select(*people.columns, *[c.alias(n) for n, c in made.items()])
+    spots = people.select("lat", "lon").filter(F.col("lat").isNotNull() & F.col("lon").isNotNull()).distinct()
+    spots = spots.select(F.struct("lat", "lon").alias("point_id"), "lat", "lon")
+    wide = nearest_wide(nearest(spots, places, metric), types)
+    wide = wide.select(F.col("point_id.lat").alias("_lat"), F.col("point_id.lon").alias("_lon"), *[c for c in wide.columns if c != "point_id"])
+    return people.join(wide, (F.col("lat") == F.col("_lat")) & (F.col("lon") == F.col("_lon")), "left").drop("_lat", "_lon")
 
 
 def within_radius(points: DataFrame, places: DataFrame, km: float) -> DataFrame:
@@ -345,6 +272,7 @@ def regions_by_properties(features: DataFrame, wanted: dict[str, str], column: s
 
 def rank_nearby(pairs: DataFrame, n: int) -> DataFrame:
     """0-based rank of the places of each point by distance (ties by id), the first ``n`` kept."""
-    rank = F.row_number().over(Window.partitionBy("point_id").orderBy("km", "place_id")) - 1
-    return pairs.withColumn("nearby_rank", rank).filter(F.col("nearby_rank") < n)
+    rank = F.row_number().over(Window.partitionBy("point_id").orderBy("km", "place_id"))
+    near = pairs.withColumn("nearby_rank", rank).filter(F.col("nearby_rank") <= n)  # in this form the limit runs before the shuffle
+    return near.withColumn("nearby_rank", F.col("nearby_rank") - 1)
 

@@ -64,8 +64,9 @@ def top_keys(df: DataFrame, key: str, n: int) -> DataFrame:
 
 
 def lookup(df: DataFrame, table: DataFrame, key: str, values: Sequence[str]) -> DataFrame:
-    """Fill columns from a table with one row per key; NULL where the key is absent."""
-    return df.join(table.select(F.col(key).alias("_k"), *values), F.col(key) == F.col("_k"), "left").drop("_k")
+    """Fill columns from a table; NULL where the key is absent. Of several rows for a key the smallest values count (NULL first)."""
+    one = table.groupBy(F.col(key).alias("_k")).agg(F.min(F.struct(*values)).alias("_v"))
+    return df.join(one, F.col(key) == F.col("_k"), "left").select(*df.columns, *[F.col(f"_v.{v}").alias(v) for v in values])
 
 
 def numeric_join(left: DataFrame, right: DataFrame, pairs: Sequence[tuple[str, str]], how: str = "inner") -> DataFrame:
@@ -82,20 +83,25 @@ def contains_join(texts: DataFrame, names: DataFrame, key: str, text: str, name:
 
     Two equi-joins, no pairing of texts with names: the positions where a text holds some name's opening
     ``gram`` letters (one row per opening, with the lengths of the names behind it), then the piece of each such
-    length against the whole name. Names that share an opening cost one probe per distinct length. Names
+    length against the whole name. A position carries no more of the text than the longest name. Names that share an opening cost one probe per distinct length. Names
     shorter than ``gram`` are matched against all pieces of their size. ``key`` identifies a text.
     """
     t = texts.select(F.col(key), F.lower(text).alias("_t"))
     n = names.select(name, F.lower(name).alias("_n")).filter(F.length("_n") > 0)
+    shortest, longest = n.agg(F.min(F.length("_n")), F.max(F.length("_n"))).first()
+    if longest is None:
+        return t.select(key, F.lit(None).cast(names.schema[name].dataType).alias(name)).limit(0)
 
-    def pieces(size: int) -> Column:
-        return F.regexp_extract_all("_t", F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1))
+    def pieces(size: int, upto: int) -> Column:
+        """At every position, what follows it: ``upto`` characters, at the end of the text fewer, but ``size`` at least."""
+        return F.regexp_extract_all("_t", F.lit(f"(?s)(?=(.{{{size},{max(size, upto)}}}))"), F.lit(1))
 
     long = n.filter(F.length("_n") >= gram)
     openings = long.groupBy(F.left("_n", F.lit(gram)).alias("_g")).agg(F.collect_set(F.length("_n")).alias("_lengths"))
-    spots = t.select(key, "_t", F.posexplode_outer(pieces(gram)).alias("_i", "_g")).join(openings, "_g")
-    probes = spots.select(key, "_t", "_i", F.explode("_lengths").alias("_l"))
-    probes = probes.select(key, F.substr(F.col("_t"), F.col("_i") + 1, F.col("_l")).alias("_n"))
-    short = t.select(key, F.explode_outer(F.flatten(F.array(*[pieces(s) for s in range(1, gram)]))).alias("_n"))
-    return (probes.join(long, "_n").unionByName(short.join(n.filter(F.length("_n") < gram), "_n"))
-            .select(key, name).dropDuplicates())
+    spots = t.select(key, F.explode_outer(pieces(gram, longest)).alias("_p")).withColumn("_g", F.left("_p", F.lit(gram)))
+    probes = spots.join(openings, "_g").select(key, "_p", F.explode("_lengths").alias("_l"))
+    found = probes.select(key, F.left("_p", F.col("_l")).alias("_n")).join(long, "_n").select(key, name)
+    if shortest < gram:
+        short = t.select(key, F.explode_outer(F.flatten(F.array(*[pieces(s, s) for s in range(1, gram)]))).alias("_n"))
+        found = found.unionByName(short.join(n.filter(F.length("_n") < gram), "_n").select(key, name))
+    return found.dropDuplicates()

@@ -10,7 +10,6 @@ import numpy as np
 import pandas as pd
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression, MultilayerPerceptronClassifier
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
@@ -20,8 +19,8 @@ from civicspark.functions.hashing import HASH_SPACE, key_hash
 from civicspark.operators import ordered as O
 from civicspark.session import materialise
 
-# The multipliers applied to the distance.
-MULTIPLIERS = [0.05, 0.1, 0.25, 0.5, 0.75, 1.0, 1.5, 2.0]
+# The multipliers applied to the distance, eight even steps from 0.05 to 2.
+MULTIPLIERS = [0.05 + (2.0 - 0.05) * k / 7 for k in range(8)]
 RIDGE = 1e-8
 
 
@@ -38,10 +37,6 @@ def tree(train: DataFrame):
     return DecisionTreeClassifier(featuresCol="features", labelCol="label").fit(train)
 
 
-def area_under_roc(predictions: DataFrame) -> float:
-    return BinaryClassificationEvaluator(labelCol="label", rawPredictionCol="rawPrediction").evaluate(predictions)
-
-
 def roc_steps(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """One row per distinct score (and group): positives and negatives there, and among scores at least as high."""
     by = list(by)
@@ -70,6 +65,11 @@ def auc(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return s.groupBy(*by).agg((F.sum(part) / F.nullif(F.max(F.col("_p").cast("double") * F.col("_n")), F.lit(0.0))).alias("auc"))
 
 
+def area_under_roc(predictions: DataFrame) -> float:
+    """The exact area for a fitted classifier's probabilities."""
+    return auc(predictions.select("label", vector_to_array("probability")[1].alias("score"))).first()["auc"]
+
+
 def best_f_threshold(df: DataFrame) -> DataFrame:
     """The score threshold with the largest F-measure (ties: the higher score)."""
     s = _with_totals(roc_steps(df), [])

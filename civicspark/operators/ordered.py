@@ -111,7 +111,9 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str,
     holds = reduce(lambda a, b: a | b, [(w >= F.col("_start")) & (w < F.col("_start") + F.col("_rn")) for w in wanted])
     edges = totals.filter(holds)
     # merge: the window below needs the same partitioning; left alone, the points may be broadcast instead
-    kept = cut.join(edges.hint("merge") if keys else F.broadcast(edges), [*keys, "_range"])
+    edges = edges.select(*[F.col(c).alias(f"_e_{c}") for c in keys], F.col("_range").alias("_e_range"), "_rn", "_start", "_total")
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_e_{c}")) for c in keys], F.col("_range") == F.col("_e_range"))
+    kept = cut.join(edges.hint("merge") if keys else F.broadcast(edges), same)
     inside = Window.partitionBy(*keys, "_range").orderBy("_q").rowsBetween(Window.unboundedPreceding, 0)
     ranked = kept.withColumn("_end", F.col("_start") + F.sum("_n").over(inside))
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,13 +38,14 @@ def first_seen_counts(seen: DataFrame) -> DataFrame:
 
 
 def fill_same_address(df: DataFrame, address: Sequence[str], order: str, cols: Sequence[str], any_row: bool = False) -> DataFrame:
-    """Fill NULL columns from the earliest row with the same address.
+    """Fill NULL columns from the earliest row with the same address; an address with no part given matches nothing.
 
     Only earlier rows count unless ``any_row``. The earliest non-NULL value of an address is an aggregate:
     one row per address meets the table, whatever the number of people living there.
     """
     address = list(address)
-    firsts = df.groupBy(*[F.col(a).alias(f"_a_{a}") for a in address]).agg(*[
+    given = reduce(or_, [F.coalesce(F.col(a).cast("string"), F.lit("")) != "" for a in address])
+    firsts = df.filter(given).groupBy(*[F.col(a).alias(f"_a_{a}") for a in address]).agg(*[
         F.min(F.when(F.col(c).isNotNull(), F.struct(F.col(order).alias("at"), F.col(c).alias("v")))).alias(f"_f_{c}") for c in cols])
     cond = [F.col(a).eqNullSafe(F.col(f"_a_{a}")) for a in address]
     joined = df.join(firsts, cond, "left")
@@ -56,8 +59,9 @@ def fill_same_address(df: DataFrame, address: Sequence[str], order: str, cols: S
 def ecdf(df: DataFrame, by: Sequence[str], value: str, tie: str) -> DataFrame:
     """Rank over size per group: ties get consecutive steps."""
     ranked = O.row_numbers(df, list(by), [F.col(value), F.col(tie)], "_rank")
-    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_size"))
-    return ranked.join(sizes, list(by)).withColumn("ecdf", F.col("_rank") / F.col("_size")).drop("_rank", "_size")
+    sizes = df.groupBy(*[F.col(b).alias(f"_b_{b}") for b in by]).agg(F.count(F.lit(1)).alias("_size"))
+    same = reduce(and_, [F.col(b).eqNullSafe(F.col(f"_b_{b}")) for b in by])
+    return ranked.join(sizes, same).withColumn("ecdf", F.col("_rank") / F.col("_size")).drop("_rank", "_size", *[f"_b_{b}" for b in by])
 
 
 def mask_repeats(df: DataFrame, index: Sequence[str], tie: str) -> DataFrame:
@@ -112,12 +116,15 @@ def normalise_address(parts: Sequence[Column]) -> Column:
 def geocode(df: DataFrame, address: str, primary: DataFrame, fallback: DataFrame) -> DataFrame:
     """Coordinates by address: the primary table, then the fallback for what it misses, with match and source.
 
-    Tables: (address, lat, lon, tract), one row per address. Each distinct address is looked up once and the
+    Tables: (address, lat, lon, tract); of several rows for an address the smallest counts. Each distinct address is looked up once and the
     result joined back, so a shared address costs one probe.
     """
     wanted = df.select(F.col(address).alias("_a")).filter(F.col(address) != "").distinct()
-    p = primary.select(F.col("address").alias("_pa"), F.col("lat").alias("_plat"), F.col("lon").alias("_plon"), F.col("tract").alias("_pt"))
-    f = fallback.select(F.col("address").alias("_fa"), F.col("lat").alias("_flat"), F.col("lon").alias("_flon"), F.col("tract").alias("_ft"))
+    def one(table: DataFrame, side: str) -> DataFrame:
+        first = table.groupBy(F.col("address").alias(f"_{side}a")).agg(F.min(F.struct("lat", "lon", "tract")).alias("v"))
+        return first.select(f"_{side}a", F.col("v.lat").alias(f"_{side}lat"), F.col("v.lon").alias(f"_{side}lon"), F.col("v.tract").alias(f"_{side}t"))
+
+    p, f = one(primary, "p"), one(fallback, "f")
     found = wanted.join(p, F.col("_a") == F.col("_pa"), "left").join(f, F.col("_a") == F.col("_fa"), "left")
     hit, second = F.col("_plat").isNotNull(), F.col("_flat").isNotNull()
     coded = found.select("_a", F.when(hit, F.col("_plat")).otherwise(F.col("_flat")).alias("latitude"),

@@ -9,19 +9,25 @@ from pyspark.sql import functions as F
 
 from civicspark.functions.hashing import hash_bucket, key_hash
 
-SLICES = 4096
+ROWS_PER_SLICE = 4096
+
+
+def _sliced(df: DataFrame, key: str, salt: int) -> DataFrame:
+    """``_h``, the key's hash, and ``_slice``, its equal part of the hash space; as many parts as the rows need."""
+    slices = df.agg(F.ceil((F.count(F.lit(1)) + 1) / ROWS_PER_SLICE).alias("n")).scalar()
+    return df.withColumn("_h", key_hash(key, salt)).withColumn("_slice", hash_bucket(F.col("_h"), slices))
 
 
 def hash_rank(df: DataFrame, key: str, by: Sequence[str] = (), salt: int = 0, name: str = "rn") -> DataFrame:
     """1-based rank in hash order, per group when given; a hot group is spread over the hash slices."""
     by = list(by)
-    cut = df.withColumn("_h", key_hash(key, salt)).withColumn("_slice", hash_bucket(F.col("_h"), SLICES))
+    cut = _sliced(df, key, salt)
     before = Window.partitionBy(*(by or [F.lit(0)])).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     counts = cut.groupBy(*by, "_slice").agg(F.count(F.lit(1)).alias("_n"))
     offsets = counts.select(*by, "_slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     inside = F.row_number().over(Window.partitionBy(*by, "_slice").orderBy("_h", key))
     ranked = cut.repartition(*by, "_slice").withColumn("_inside", inside)  # never by the group alone
-    joined = ranked.join(offsets if by else F.broadcast(offsets), [*by, "_slice"])  # SLICES rows at most
+    joined = ranked.join(offsets, [*by, "_slice"])
     return joined.select(*df.columns, (F.col("_before") + F.col("_inside")).cast("bigint").alias(name))
 
 
@@ -30,13 +36,13 @@ def sample_exact(df: DataFrame, key: str, fraction: float, of: DataFrame | None
 
     Hash slices below the cut are kept without moving a row; only the slice holding the cut is ranked.
     """
-    cut = df.withColumn("_h", key_hash(key, salt)).withColumn("_slice", hash_bucket(F.col("_h"), SLICES))
+    cut = _sliced(df, key, salt)
     counts = cut.groupBy("_slice").agg(F.count(F.lit(1)).alias("_n"))
     total = (of if of is not None else df).agg(F.floor(F.count(F.lit(1)) * F.lit(float(fraction))).alias("t")).scalar()
-    everything = Window.partitionBy(F.lit(0)).orderBy("_slice")  # at most SLICES rows
+    everything = Window.partitionBy(F.lit(0)).orderBy("_slice")  # one row per ROWS_PER_SLICE rows
     bounds = counts.select("_slice", F.coalesce(F.sum("_n").over(everything.rowsBetween(Window.unboundedPreceding, -1)),
                                                 F.lit(0)).alias("_before"), "_n").withColumn("_want", total)
-    marked = cut.join(F.broadcast(bounds.filter(F.col("_before") < F.col("_want"))), "_slice")
+    marked = cut.join(bounds.filter(F.col("_before") < F.col("_want")), "_slice")
     inside = marked.filter(F.col("_before") + F.col("_n") <= F.col("_want"))
     edge = marked.filter(F.col("_before") + F.col("_n") > F.col("_want"))
     rank = F.row_number().over(Window.partitionBy("_slice").orderBy("_h", key))

@@ -42,8 +42,12 @@ def insert_absent(target: DataFrame, source: DataFrame, key: str, order: Sequenc
 
 
 def update_from(target: DataFrame, changes: DataFrame, key: str, cols: Sequence[str]) -> DataFrame:
-    """Matched rows take the new values even where they are NULL; others stay. ``changes`` has one row per key."""
-    new = changes.select(F.col(key).alias("_k"), *[F.col(c).alias(f"_new_{c}") for c in cols])
+    """Matched rows take the new values even where they are NULL; others stay.
+
+    Of several changes to a key the one with the smallest values counts (in column order, NULL first).
+    """
+    one = changes.groupBy(F.col(key).alias("_k")).agg(F.min(F.struct(*cols)).alias("_new"))
+    new = one.select("_k", *[F.col(f"_new.{c}").alias(f"_new_{c}") for c in cols])
     joined = target.join(new, target[key] == new["_k"], "left")
     hit = F.col("_k").isNotNull()
     return joined.select(*[F.when(hit, F.col(f"_new_{c}")).otherwise(target[c]).alias(c) if c in cols else target[c]

@@ -215,7 +215,7 @@ CTES["near_wide"] = """SELECT voter_id, """ + ", ".join(
 
 NEEDS = {"near": ["voters", "facilities"], "near_wide": ["near"], "rings": ["corners"], "edges": ["rings"],
          "district": ["draws", "draw_precincts"], "prefs": ["district"], "set_dist": ["distances", "membership", "people"],
-         "set_scores": ["set_dist"]}
+         "set_reach": ["set_dist"], "set_scores": ["set_reach"]}
 
 
 def sql(needs: str, body: str) -> str:

@@ -175,7 +175,7 @@ def win_first_seen(t):
 
 
 @query("win_fill_same_address", sql("raw_voters", """SELECT voter_key, coalesce(city, max_city) AS city FROM (SELECT voter_key, city,
-       first_value(city IGNORE NULLS) OVER (PARTITION BY house, street ORDER BY voter_key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS max_city FROM raw_voters)"""))
+       first_value(CASE WHEN coalesce(house, '') <> '' OR coalesce(street, '') <> '' THEN city END IGNORE NULLS) OVER (PARTITION BY house, street ORDER BY voter_key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS max_city FROM raw_voters)"""))
 def win_fill_same_address(t):
     return PL.fill_same_address(B.raw_voters(t), ["house", "street"], "voter_key", ["city"]).select("voter_key", "city")
 

@@ -11,22 +11,30 @@ from civicspark.plans.registry import query
 
 BETA = (1.0, 0.5, -0.4)
 WEIGHTS = (0.0, 0.5)
+FAR = 10.0  # stands in for a distance that is not recorded: beyond all that are
 
 CTES["set_dist"] = """SELECT set_id, person, theta, min(dist) AS r FROM membership JOIN distances USING (facility) JOIN people USING (person) GROUP BY 1, 2, 3"""
+CTES["set_reach"] = """SELECT s.set_id, p.person, p.theta, coalesce(d.r, 10.0) AS r FROM (SELECT DISTINCT set_id FROM membership) s CROSS JOIN people p
+    LEFT JOIN set_dist d ON d.set_id = s.set_id AND d.person = p.person"""
 _P = "1 / (1 + exp(-(1.0::DOUBLE + 0.5 * theta - 0.4 * r)))"
 _LP = "-ln(1 + exp(-(1.0::DOUBLE + 0.5 * theta - 0.4 * r)))"
 _KINDS = {"distance": "-r", "prob": _P, "logprob": _LP}
 CTES["set_scores"] = " UNION ALL ".join(
     f"""SELECT set_id, '{k}' AS objective, {w}::DOUBLE AS weight, round(sum(CASE WHEN theta = 1 THEN {(1 - w) / 2} ELSE {(1 + w) / 2} END * ({u})), 6) AS total,
-    round(coalesce(sum(CASE WHEN theta <> 1 THEN {u} END), 0), 6) AS low_total FROM set_dist GROUP BY 1""" for k, u in _KINDS.items() for w in WEIGHTS)
+    round(coalesce(sum(CASE WHEN theta <> 1 THEN {u} END), 0), 6) AS low_total FROM set_reach GROUP BY 1""" for k, u in _KINDS.items() for w in WEIGHTS)
 
 
 def _reach(t):
     return FA.set_distance(B.membership(t), B.distances(t)).join(B.people(t), "person")
 
 
+def _all(t):
+    """Sets, recorded pairs, people and the stand-in distance."""
+    return B.membership(t), _reach(t), B.people(t), FAR
+
+
 def _scores(t):
-    s = FA.set_objectives(_reach(t), BETA, WEIGHTS)
+    s = FA.set_objectives(*_all(t), BETA, WEIGHTS)
     return s.withColumns({c: F.round(c, 6) for c in ("total", "low_total")})
 
 
@@ -72,21 +80,21 @@ def fair_lump(t):
     return FA.lump(best, F.concat("objective", F.lit("_"), F.col("weight").cast("string")))
 
 
-@query("fair_group_means", sql("set_dist", f"SELECT set_id, theta, round(avg(r) + 1e-12, 9) AS mean_distance, round(avg({_P}) + 1e-12, 9) AS mean_prob FROM set_dist GROUP BY 1, 2"))
+@query("fair_group_means", sql("set_reach", f"SELECT set_id, theta, round(avg(r) + 1e-12, 9) AS mean_distance, round(avg({_P}) + 1e-12, 9) AS mean_prob FROM set_reach GROUP BY 1, 2"))
 def fair_group_means(t):
     # means of two-decimal distances can end exactly on a rounding tie: both engines step off it the same way
-    return FA.group_means(_reach(t), BETA).withColumns({c: F.round(F.col(c) + F.lit(1e-12), 9) for c in ("mean_distance", "mean_prob")})
+    return FA.group_means(*_all(t), BETA).withColumns({c: F.round(F.col(c) + F.lit(1e-12), 9) for c in ("mean_distance", "mean_prob")})
 
 
-@query("fair_covariance", sql("set_dist", f"SELECT set_id, round(covar_pop(theta, {_P}), 8) + 0.0 AS cov FROM set_dist GROUP BY 1"))
+@query("fair_covariance", sql("set_reach", f"SELECT set_id, round(covar_pop(theta, {_P}), 8) + 0.0 AS cov FROM set_reach GROUP BY 1"))
 def fair_covariance(t):
-    return FA.covariance(_reach(t), BETA).withColumn("cov", F.round("cov", 8) + F.lit(0.0))
+    return FA.covariance(*_all(t), BETA).withColumn("cov", F.round("cov", 8) + F.lit(0.0))
 
 
-@query("fair_price", sql("set_dist", f"""SELECT set_id, round((max(d) OVER () - d) / abs(max(d) OVER ()), 6) + 0.0 AS price_dist, round((max(p) OVER () - p) / abs(max(p) OVER ()), 6) + 0.0 AS price_prob
-       FROM (SELECT set_id, -sum(r) AS d, sum({_P}) AS p FROM set_dist GROUP BY 1)"""))
+@query("fair_price", sql("set_reach", f"""SELECT set_id, round((max(d) OVER () - d) / abs(max(d) OVER ()), 6) + 0.0 AS price_dist, round((max(p) OVER () - p) / abs(max(p) OVER ()), 6) + 0.0 AS price_prob
+       FROM (SELECT set_id, -sum(r) AS d, sum({_P}) AS p FROM set_reach GROUP BY 1)"""))
 def fair_price(t):
-    return FA.price_of_fairness(_reach(t), BETA).withColumns({c: F.round(c, 6) + F.lit(0.0) for c in ("price_dist", "price_prob")})
+    return FA.price_of_fairness(*_all(t), BETA).withColumns({c: F.round(c, 6) + F.lit(0.0) for c in ("price_dist", "price_prob")})
 
 
 @query("fair_pareto", sql("set_scores", f"SELECT * FROM ({_ONE}) a WHERE NOT EXISTS (SELECT 1 FROM ({_ONE}) b WHERE b.total > a.total AND b.low_total > a.low_total)"))

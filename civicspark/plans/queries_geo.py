@@ -62,8 +62,8 @@ def geo_nearest(t):
 
 @query("geo_nearest_many_places", sql("near", "SELECT voter_id, place_type, best.id AS facility_id, round(best.km, 6) AS km FROM near"))
 def geo_nearest_many_places(t):
-    """The path for facility tables of any size: the cell search, forced here."""
-    found = geo.nearest(_points(t), _places(t), small=0)
+    """The search through several levels of cells, as large facility tables need."""
+    found = geo.nearest(_points(t), _places(t), leaf=4)
     return found.select(F.col("point_id").alias("voter_id"), "place_type", F.col("place_id").alias("facility_id"), F.round("km", 6).alias("km"))
 
 

@@ -29,9 +29,11 @@ def build_session(app: str = "civicspark", master: str | None = None, **conf: st
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The cluster's shared folder (``spark.checkpoint.dir``); a local one only where that is unset."""
+    """The cluster's shared folder (``spark.checkpoint.dir``). Only a local master, where all share one disk, may leave it unset."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="civicspark-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")

@@ -104,26 +104,26 @@ def test_nearest_paths_agree_with_brute_force(spark, metric):
         d = np.sin((f - p) / 2) ** 2 + np.cos(p) * np.cos(f) * np.sin(np.radians(flon - plon[:, None]) / 2) ** 2
     kinds = np.where(np.arange(700) % 5 == 0, "a", "b")
     want = {(i, k): int(np.argmin(np.where(kinds == k, d[i], np.inf))) for i in range(400) for k in "ab"}
-    for small in (50_000, 0):
-        found = geo.nearest(points, places, metric, small).select("point_id", "place_type", "place_id").collect()
+    for leaf in (geo.LEAF_PLACES, 3):
+        found = geo.nearest(points, places, metric, leaf).select("point_id", "place_type", "place_id").collect()
         assert {(r[0], r[1]): r[2] for r in found} == want
 
 
 def test_nearest_ties_missing_coordinates_and_empty_types(spark):
     points = spark.createDataFrame([(1, 0.0, 0.0), (2, None, 1.0)], "point_id bigint, lat double, lon double")
     places = spark.createDataFrame([(9, "a", 1.0, 0.0), (4, "a", -1.0, 0.0), (5, "a", None, 0.0)], "place_id bigint, place_type string, lat double, lon double")
-    for small in (10, 0):
-        wide = geo.nearest_wide(geo.nearest(points, places, small=small), ["a", "none"]).collect()
+    for leaf in (10, 1):
+        wide = geo.nearest_wide(geo.nearest(points, places, leaf=leaf), ["a", "none"]).collect()
         assert len(wide) == 1 and wide[0]["closest_a"] == 4 and wide[0]["closest_none"] is None
 
 
-def test_attach_nearest_same_on_both_paths(spark):
+def test_attach_nearest_keeps_everyone(spark):
     rng = np.random.default_rng(9)
     plat, plon = _spots(rng, 200)
     people = spark.createDataFrame(pd.DataFrame({"id": range(200), "lat": plat, "lon": plon})).withColumn("lat", F.when(F.col("id") != 7, F.col("lat")))
     places = spark.createDataFrame(pd.DataFrame({"place_id": range(90), "place_type": ["a", "b"] * 45, "lat": plat[:90] + 0.3, "lon": plon[:90]}))
-    one, two = (geo.attach_nearest(people, "id", places, ["a", "b", "c"], small=n).orderBy("id").collect() for n in (1000, 0))
-    assert [r.asDict() for r in one] == [r.asDict() for r in two]
+    one = geo.attach_nearest(people, "id", places, ["a", "b", "c"]).orderBy("id").collect()
+    assert len(one) == 200 and one[0].asDict().keys() == {"id", "lat", "lon", *(f"{k}_{t}" for k in ("closest", "dist_to") for t in "abc")}
     assert one[7]["closest_a"] is None and one[8]["closest_c"] is None and one[8]["closest_b"] is not None
 
 
@@ -240,7 +240,7 @@ def test_fill_same_address_uses_earlier_rows_only(spark):
     rows = [(1, "a", None), (2, "a", "x"), (3, "a", None), (4, "b", None), (5, "a", "y"), (6, "a", None), (7, None, "z"), (8, None, None)]
     df = spark.createDataFrame(rows, "i bigint, addr string, v string")
     got = {r["i"]: r["v"] for r in PL.fill_same_address(df, ["addr"], "i", ["v"]).collect()}
-    assert got == {1: None, 2: "x", 3: "x", 4: None, 5: "y", 6: "x", 7: "z", 8: "z"}
+    assert got == {1: None, 2: "x", 3: "x", 4: None, 5: "y", 6: "x", 7: "z", 8: None}
     assert {r["i"]: r["v"] for r in PL.fill_same_address(df, ["addr"], "i", ["v"], any_row=True).collect()}[1] == "x"
 
 
@@ -286,6 +286,57 @@ def test_hot_keys_are_limited_before_the_shuffle(spark):
 def test_no_cross_joins_in_nearest(spark):
     points = spark.createDataFrame([(1, 0.0, 0.0)], "point_id bigint, lat double, lon double")
     places = spark.createDataFrame([(1, "a", 1.0, 0.0)], "place_id bigint, place_type string, lat double, lon double")
-    for small in (10, 0):
-        plan = geo.nearest(points, places, small=small)._jdf.queryExecution().executedPlan().toString()
+    for leaf in (10, 1):
+        plan = geo.nearest(points, places, leaf=leaf)._jdf.queryExecution().executedPlan().toString()
         assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_key_hash_salts_are_independent_and_text_keys_work(spark):
+    df = spark.range(20000).select("id", F.concat(F.lit("GA"), "id").alias("key"))
+    a, b = (SA.hash_split(df, "id", 0.8, salt=s).filter("is_train = 0").select("id") for s in (0, 1))
+    assert 700 < a.join(b, "id").count() < 900
+    assert SA.sample_exact(df, "key", 0.1).count() == 2000
+    moved = geo.jitter(df.select("id", F.lit(0.0).alias("lat"), F.lit(0.0).alias("lon")), "id", 1.0).select(
+        F.sqrt(F.col("lat") * F.col("lat") + F.col("lon") * F.col("lon")).alias("d"), F.atan2("lat", "lon").alias("b"))
+    assert abs(moved.stat.corr("d", "b")) < 0.05 and moved.filter("d > 0.018").count() > 500
+
+
+def test_sets_are_scored_on_everyone(spark):
+    sets = spark.createDataFrame([(1,), (2,), (3,)], "set_id bigint")
+    reach = spark.createDataFrame([(1, 1.0, 9.0), (2, 1.0, 5.0), (2, 0.0, 5.0)], "set_id bigint, theta double, r double")
+    people = spark.createDataFrame([(1.0,), (0.0,)], "theta double")
+    got = {r["set_id"]: r["total"] for r in FA.set_objectives(sets, reach, people, 10.0, (1.0, 0.5, -0.4), (0.0,)).filter("objective = 'distance'").collect()}
+    assert got == {1: -9.5, 2: -5.0, 3: -10.0}
+    means = {(r["set_id"], r["theta"]): r["mean_distance"] for r in FA.group_means(sets, reach, people, 10.0, (1.0, 0.5, -0.4)).collect()}
+    assert means == {(1, 0.0): 10.0, (1, 1.0): 9.0, (2, 0.0): 5.0, (2, 1.0): 5.0, (3, 0.0): 10.0, (3, 1.0): 10.0}
+
+
+def test_null_rules_of_ecological_tables(spark):
+    p = spark.createDataFrame([(0.1, 0.145, 10), (0.9, 0.865, 30), (None, 0.5, 1000), (0.5, None, 7), (0.5, 0.505, None)], "x double, t double, n bigint")
+    fit = E.goodman(p, "n").first()
+    assert fit["intercept"] == pytest.approx(0.055) and fit["slope"] == pytest.approx(0.9)
+    assert E.bounds(p).filter("x is null or t is null").select("lower_b", "upper_b", "lower_w", "upper_w").distinct().collect() == [(None,) * 4]
+    draws = spark.createDataFrame([(0, 0, 0, 1, 0.5), (0, 0, 0, 2, None), (0, 1, 0, 3, 0.5)], "draw int, grp int, cand int, precinct int, b double")
+    sizes = spark.createDataFrame([(1, 10), (2, 10), (3, 0)], "precinct int, n bigint")
+    assert {r["grp"]: r["v"] for r in E.district_draws(draws, sizes).collect()} == {0: 0.5, 1: None}
+    got = {r["grp"]: r["mean"] for r in E.summary(draws.withColumn("grp", F.when(F.col("grp") == 0, 0)), ["grp"], "b").collect()}
+    assert got == {0: 0.5, None: 0.5}
+
+
+def test_repeated_changes_take_one(spark):
+    target = spark.createDataFrame([(1, "x"), (2, "y")], "k bigint, v string")
+    changes = spark.createDataFrame([(1, "b"), (1, "a")], "k bigint, v string")
+    assert sorted(tuple(r) for r in TB.update_from(target, changes, "k", ["v"]).collect()) == [(1, "a"), (2, "y")]
+    assert J.lookup(target.select("k"), changes, "k", ["v"]).count() == 2
+
+
+def test_log_logistic_stays_finite(spark):
+    got = spark.range(1).select(S.log_logistic(F.lit(1.0), F.lit(0.0), F.lit(2000.0), (1.0, 0.5, -0.4)).alias("v")).first()["v"]
+    assert got == pytest.approx(-799.0)
+
+
+def test_contains_join_is_linear_in_the_text(spark):
+    text = "abc def " * 8000 + "needle in it"
+    names = spark.createDataFrame([("Needle",), ("def abc",), ("no",), ("",), ("x" * 70000,)], "name string")
+    found = J.contains_join(spark.createDataFrame([(1, text), (2, None)], "k bigint, t string"), names, "k", "t", "name").collect()
+    assert {tuple(r) for r in found} == {(1, "Needle"), (1, "def abc")}

@@ -10,9 +10,9 @@ share a prefix token under each of them.
    tokens. A range counts the documents of its tokens and answers each slice with those that occur twice or more. Tokens of
    one text alone cannot be shared: a text with more of them than its prefix is long has no partner and is done.
 3. The prefixes of the remaining sets meet token by token. A token's holders are first compared with its most central holder
-   (fewest tokens of its own) only; verified links form components; then only holders outside the central one's component
+   (fewest tokens before it) only; verified links form components; then only holders outside the central one's component
    meet the others of the token. So a group of near copies costs one comparison per copy, and no link between components is lost.
-4. A candidate passes the size bound, the bound by unshared tokens and the other orders' prefixes before the sets are intersected.
+4. A candidate passes the bound by sizes and places of its first shared token, and the other orders' prefixes, before the sets are intersected.
 """
 
 from __future__ import annotations
@@ -189,7 +189,10 @@ def gather_sets(table: pa.Table, percent: int) -> Iterator[pa.RecordBatch]:
 
 
 def _may_link(x: tuple[Column, Column], y: tuple[Column, Column], percent: int) -> Column:
-    """Whether sets of these (size, own) can reach the threshold: neither shares its own tokens."""
+    """Whether sets of these (size, place) can reach the threshold if the token at those places is the first they share.
+
+    None of the ``place`` tokens before it is shared. A pair need only pass at its first shared token: it meets there.
+    """
     most = F.least(x[0] - x[1], y[0] - y[1])
     return 100 * most >= percent * (x[0] + y[0] - most)
 
@@ -205,23 +208,24 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def similar_sets(sets: DataFrame, percent: int) -> DataFrame:
     """Labels (node, label) of the components of linked sets. ``sets`` has one row per class (see SETS)."""
-    held = sets.select("fp", "size", "own", F.explode("first").alias("token"))
-    centre = held.groupBy("token").agg(F.count("*").alias("n"), F.min(F.struct((F.col("own") / F.col("size")).alias("share"), F.col("fp").alias("b"),
-                                                                               F.col("size").alias("b_size"), F.col("own").alias("b_own"))).alias("centre"))
-    centre = centre.filter("n > 1").select("token", "centre.b", "centre.b_size", "centre.b_own")
+    held = sets.select("fp", "size", "own", F.posexplode("first").alias("at", "token"))
+    held = held.select("token", "fp", "size", (F.col("own") + F.col("at")).alias("place"))
+    centre = held.groupBy("token").agg(F.count("*").alias("n"), F.min(F.struct((F.col("place") / F.col("size")).alias("share"), F.col("fp").alias("b"),
+                                                                               F.col("size").alias("b_size"), F.col("place").alias("b_place"))).alias("centre"))
+    centre = centre.filter("n > 1").select("token", "centre.b", "centre.b_size", "centre.b_place")
     held = materialise(held.join(centre, "token"), "held")
-    fits = _may_link((F.col("size"), F.col("own")), (F.col("b_size"), F.col("b_own")), percent)
+    fits = _may_link((F.col("size"), F.col("place")), (F.col("b_size"), F.col("b_place")), percent)
     stars = held.filter((F.col("fp") != F.col("b")) & fits).select(F.col("fp").alias("a"), "b").distinct()
     links = materialise(verify(stars, sets, percent), "links")
     labels = components(links)
     known = labels.withColumnRenamed("node", "of")
-    named = held.join(known, F.col("fp") == F.col("of"), "left").select("token", "fp", "size", "own", "b", F.coalesce("label", "fp").alias("label"))
+    named = held.join(known, F.col("fp") == F.col("of"), "left").select("token", "fp", "size", "place", "b", F.coalesce("label", "fp").alias("label"))
     hubs = labels.select(F.col("node").alias("hub"), F.col("label").alias("hub_label"))
     named = named.join(hubs, F.col("b") == F.col("hub"), "left").withColumn("hub_label", F.coalesce("hub_label", "b"))
-    named = materialise(named.select("token", "fp", "size", "own", "label", (F.col("label") != F.col("hub_label")).alias("outside")), "named")
-    x = named.filter("outside").select("token", F.col("fp").alias("a"), F.col("size").alias("a_size"), F.col("own").alias("a_own"), F.col("label").alias("a_label"))
-    y = named.select("token", F.col("fp").alias("b"), F.col("size").alias("b_size"), F.col("own").alias("b_own"), F.col("label").alias("b_label"), F.col("outside").alias("b_outside"))
-    fits = _may_link((F.col("a_size"), F.col("a_own")), (F.col("b_size"), F.col("b_own")), percent)
+    named = materialise(named.select("token", "fp", "size", "place", "label", (F.col("label") != F.col("hub_label")).alias("outside")), "named")
+    x = named.filter("outside").select("token", F.col("fp").alias("a"), F.col("size").alias("a_size"), F.col("place").alias("a_place"), F.col("label").alias("a_label"))
+    y = named.select("token", F.col("fp").alias("b"), F.col("size").alias("b_size"), F.col("place").alias("b_place"), F.col("label").alias("b_label"), F.col("outside").alias("b_outside"))
+    fits = _may_link((F.col("a_size"), F.col("a_place")), (F.col("b_size"), F.col("b_place")), percent)
     once = ~F.col("b_outside") | (F.col("a") < F.col("b"))
     rest = x.join(y, "token").filter((F.col("a_label") != F.col("b_label")) & once & fits)
     rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()

@@ -1,7 +1,7 @@
 """Order-dependent operators that never sort a whole table, or a whole key, in one task.
 
-Rows are cut into value ranges by split points. The split points are a sample by hash: a pure function of the
-data, so a re-run task assigns every row to the same range. Work inside a range is an
+Rows are dealt to ranges of (key, order), as many as the table needs, and the ranges are written to the shared
+folder: the input is computed once and a re-run task finds every row in the same range. Work inside a range is an
 ordinary window; what crosses ranges is a small table of one row per (key, range).
 """
 
@@ -12,51 +12,20 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-STEP = 16
-MAX_RANGES = 256
-ROWS_PER_RANGE = 16_384  # a key below this size stays one range
-SALTS = 16
+from civicspark.session import materialise
 
+ROWS_PER_RANGE = 65_536
 
-def with_ranges(df: DataFrame, keys: list[str], order: list[Column], raw: tuple[DataFrame, list[Column]] | None = None) -> DataFrame:
-    """Add ``_o`` (the order tuple) and ``_range`` (from 0, increasing in ``_o``) per key.
 
-    A row is a split point when its hash falls on a multiple that grows with the size of its key: about one in
-    ROWS_PER_RANGE, and about MAX_RANGES per key at most. Keys must not be NULL. The order tuple must be
-    distinct within a key: duplicates are the caller's to pre-aggregate; ``raw`` then names the rows (and their
-    order) before that, so that sampling does not repeat the aggregation.
-    """
+def with_ranges(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
+    """Add ``_o`` (the order tuple) and ``_range`` (increasing in key and ``_o``); rows that tie share a range.
 
-    def one(cols: list[Column]) -> Column:
-        return cols[0] if len(cols) == 1 else F.struct(*cols)
-
-    df = df.withColumn("_o", one(order))
-    source = raw[0].withColumn("_o", one(raw[1])) if raw else df
-    hashed = F.xxhash64("_o")
-    # thin the sample of very large keys further; the first filter needs no join, so only it sees every row
-    thin = F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / F.lit(MAX_RANGES * ROWS_PER_RANGE))).cast("bigint").alias("_thin")
-    sample = source.select(*keys, "_o").filter(F.pmod(hashed, F.lit(ROWS_PER_RANGE)) == 0).distinct()
-    if keys:
-        sample = sample.join(source.groupBy(*keys).agg(thin), keys)
-    else:
-        sample = sample.withColumn("_thin", source.agg(thin).scalar())
-    sample = sample.filter(F.pmod(F.shiftright(hashed, 20), F.col("_thin")) == 0)
-    # two short scans instead of one over all split points: every STEP-th point, then one block; both arrays
-    # are made once per key, before they meet the rows
-    points = F.array_sort(F.collect_set("_o"))
-    splits = F.struct(points.alias("all"), F.filter(points, lambda s, i: (i + 1) % STEP == 0).alias("steps")).alias("_splits")
-    if keys:
-        # only large keys have split points; salting keeps the rows of one key in many tasks through this join
-        salted = sample.groupBy(*keys).agg(splits).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")))
-        df = df.withColumn("_salt", F.pmod(hashed, F.lit(SALTS))).join(salted, [*keys, "_salt"], "left").drop("_salt")
-    else:
-        df = df.withColumn("_splits", sample.agg(splits).scalar())
-    df = df.withColumn("_block", F.size(F.filter("_splits.steps", lambda s: s < F.col("_o"))) * STEP)
-    within = F.slice("_splits.all", F.col("_block") + 1, STEP)
-    found = F.col("_block") + F.size(F.filter(within, lambda s: s < F.col("_o")))
-    # never NULL: otherwise every join on _range would evaluate it twice, to test for NULL
-    ranged = df.withColumn("_range", F.coalesce(F.when(F.col("_splits").isNotNull(), found), F.lit(0)))
-    return ranged.drop("_splits", "_block")
+    The number of ranges follows the number of rows, and a hot key is cut like any other run of rows.
+    """
+    rows = materialise(df.withColumn("_o", order[0] if len(order) == 1 else F.struct(*order)), "ordered")
+    ranges = -(-rows.count() // ROWS_PER_RANGE) or 1
+    cut = rows.repartitionByRange(ranges, *keys, "_o").withColumn("_range", F.spark_partition_id().cast("bigint"))
+    return materialise(cut, "ranges")
 
 
 def running(df: DataFrame, keys: list[str], order: list[Column], outs: dict[str, tuple[str, Column]],
@@ -77,7 +46,9 @@ def running(df: DataFrame, keys: list[str], order: list[Column], outs: dict[str,
     # spelled out: a table already partitioned by the keys alone would otherwise keep a hot key in one task
     spread = cut.repartition(*keys, "_range")
     local = spread.select("*", *[fns[f](f"_v_{n}").over(inside).alias(f"_l_{n}") for n, (f, _) in outs.items()])
-    joined = local.join(offsets if keys else F.broadcast(offsets), [*keys, "_range"], "left")
+    offsets = offsets.select(*[F.col(k).alias(f"_e_{k}") for k in keys], F.col("_range").alias("_e_range"), *[f"_b_{n}" for n in outs])
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_e_{k}")) for k in keys], F.col("_range") == F.col("_e_range"))
+    joined = local.join(offsets, same, "left")
     final = []
     for n, (f, _) in outs.items():
         if f == "sum":
@@ -99,7 +70,7 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str,
     """
     known = df.filter(F.col(value).isNotNull())
     points = known.groupBy(*keys, F.col(value).alias("_q")).agg(F.count(F.lit(1)).alias("_n"))
-    cut = with_ranges(points, keys, [F.col("_q")], (known, [F.col(value)]))
+    cut = with_ranges(points, keys, [F.col("_q")])
     part = keys or [F.lit(0)]
     before = Window.partitionBy(*part).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     totals = (cut.groupBy(*keys, "_range").agg(F.sum("_n").alias("_rn"))
@@ -110,10 +81,9 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str,
     wanted = [edge for pos in positions.values() for edge in (F.floor(pos), F.ceil(pos))]
     holds = reduce(lambda a, b: a | b, [(w >= F.col("_start")) & (w < F.col("_start") + F.col("_rn")) for w in wanted])
     edges = totals.filter(holds)
-    # merge: the window below needs the same partitioning; left alone, the points may be broadcast instead
     edges = edges.select(*[F.col(c).alias(f"_e_{c}") for c in keys], F.col("_range").alias("_e_range"), "_rn", "_start", "_total")
     same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_e_{c}")) for c in keys], F.col("_range") == F.col("_e_range"))
-    kept = cut.join(edges.hint("merge") if keys else F.broadcast(edges), same)
+    kept = cut.join(edges, same)
     inside = Window.partitionBy(*keys, "_range").orderBy("_q").rowsBetween(Window.unboundedPreceding, 0)
     ranked = kept.withColumn("_end", F.col("_start") + F.sum("_n").over(inside))
 

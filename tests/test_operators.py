@@ -340,3 +340,8 @@ def test_contains_join_is_linear_in_the_text(spark):
     names = spark.createDataFrame([("Needle",), ("def abc",), ("no",), ("",), ("x" * 70000,)], "name string")
     found = J.contains_join(spark.createDataFrame([(1, text), (2, None)], "k bigint, t string"), names, "k", "t", "name").collect()
     assert {tuple(r) for r in found} == {(1, "Needle"), (1, "def abc")}
+
+
+def test_ranges_grow_with_the_rows(spark):
+    counts = [O.with_ranges(spark.range(n).withColumn("k", F.lit(1)), ["k"], [F.col("id")]).select("_range").distinct().count() for n in (100, 400)]
+    assert counts[0] >= 4 and counts[1] >= 3 * counts[0]

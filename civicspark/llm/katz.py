@@ -40,6 +40,7 @@ TOP = 5
 HOT = 200
 SLICE_TOKENS = 1 << 20
 RANGE_TOKENS = 1 << 21
+PARTS_DOCS = 1 << 22
 END = np.uint64(0x5EED0E9D5EED0E9D)
 
 
@@ -57,8 +58,8 @@ def unsqueeze(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).reshape(-1).view("<u8").astype(np.int64)
 
 
-def _range_of(values: np.ndarray, ranges: int) -> np.ndarray:
-    return ((mix64(values) >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
+def _range_of(mixed: np.ndarray, ranges: int) -> np.ndarray:
+    return ((mixed >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
 
 
 def _schema(kinds: dict[str, str]) -> tuple[str, pa.Schema]:
@@ -70,10 +71,10 @@ def _row(schema: pa.Schema, **parts) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([parts.get(f.name)], f.type) for f in schema], schema=schema)
 
 
-SLICES, _SLICES = _schema({"slice": "long", "doc_ids": "array<long>", "held": "binary", "lengths": "binary", "tokens": "binary", "hashes": "binary", "counts": "binary"})
+SLICES, _SLICES = _schema({"slice": "long", "doc_ids": "array<long>", "held": "binary", "lengths": "binary", "tokens": "binary", "end": "long", "hashes": "binary", "counts": "binary"})
 WORDS, _WORDS = _schema({"range": "long", "slice": "long", "hashes": "binary", "counts": "binary"})
 IDS, _IDS = _schema({"range": "long", "slice": "long", "ids": "binary", "counts": "binary", "stats": "array<long>"})
-PAIRS, _PAIRS = _schema({"range": "long", "slice": "long", "n_docs": "long", "h": "binary", "h_count": "binary", "w": "binary", "w_count": "binary",
+PAIRS, _PAIRS = _schema({"range": "long", "slice": "long", "n_docs": "long", "h": "binary", "h_count": "binary", "words": "binary", "word_counts": "binary", "w": "binary",
                          "n": "binary", "n_train": "binary", "docs": "binary", "doc_ids": "array<long>", "held": "binary", "lengths": "binary",
                          "known": "binary", "base": "binary"})
 TABLE, _TABLE = _schema({"range": "long", "slice": "long", "doc_ids": "array<long>", "held": "binary", "lengths": "binary", "known": "binary", "base": "binary",
@@ -83,7 +84,10 @@ PARTS, _PARTS = _schema({"slice": "long", "doc_ids": "array<long>", "held": "bin
 
 
 def sliced(docs: DataFrame) -> DataFrame:
-    """Texts as slices of about SLICE_TOKENS tokens: numbers into the slice's sorted distinct word hashes. ``docs``: doc_id, text, held."""
+    """Texts as slices of about SLICE_TOKENS tokens: numbers into the slice's distinct words. ``docs``: doc_id, text, held.
+
+    The words of a slice are in order of ``mix64`` of their hash, so that those of a range are neighbours, whatever the ranges.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
@@ -91,11 +95,11 @@ def sliced(docs: DataFrame) -> DataFrame:
 
         def emit() -> pa.RecordBatch:
             ids, held, lengths, words = ([x for part in kept for x in part[k]] if k == 0 else np.concatenate([part[k] for part in kept]) for k in range(4))
-            hashes, tokens = np.unique(words, return_inverse=True)
+            hashes, tokens = np.unique(mix64(words), return_inverse=True)
             train = np.repeat(~held, lengths)
             counts = np.bincount(tokens[train], minlength=len(hashes))
             kept.clear()
-            return _row(_SLICES, slice=number, doc_ids=ids, held=held.tobytes(), lengths=squeeze(lengths), tokens=squeeze(tokens), hashes=hashes.astype("<u8").tobytes(),
+            return _row(_SLICES, slice=number, doc_ids=ids, held=held.tobytes(), lengths=squeeze(lengths), tokens=squeeze(tokens), end=int(np.searchsorted(hashes, mix64(np.array([END]))[0])), hashes=hashes.astype("<u8").tobytes(),
                         counts=squeeze(counts))
 
         for batch, data, offsets in slices(batches):
@@ -123,11 +127,10 @@ def count_words(found: DataFrame, ranges: int) -> DataFrame:
         for batch in batches:
             for row in batch.to_pylist():
                 hashes, counts = np.frombuffer(row["hashes"], "<u8"), unsqueeze(row["counts"])
-                spread = _range_of(hashes, ranges)
-                for r in range(ranges):
-                    mine = spread == r
-                    if mine.any():
-                        yield _row(_WORDS, range=r, slice=row["slice"], hashes=hashes[mine].tobytes(), counts=squeeze(counts[mine]))
+                cuts = np.searchsorted(_range_of(hashes, ranges), np.arange(ranges + 1))
+                for r, (a, b) in enumerate(zip(cuts, cuts[1:])):
+                    if a < b:
+                        yield _row(_WORDS, range=r, slice=row["slice"], hashes=hashes[a:b].tobytes(), counts=squeeze(counts[a:b]))
 
     def count(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
@@ -182,15 +185,11 @@ class Words:
         return np.log10((counts + 0.5) / (self.total + 0.5 * (self.distinct + 1)))
 
 
-def deal_pairs(left: pa.Table, right: pa.Table, words: Words, word_ranges: int, ranges: int) -> pa.Table:
+def deal_pairs(left: pa.Table, right: pa.Table, words: Words, ranges: int) -> pa.Table:
     """A slice's base scores, and its distinct pairs (history, word) by range with the texts that hold them."""
     row = left.to_pylist()[0]
-    hashes = np.frombuffer(row["hashes"], "<u8")
-    spread = _range_of(hashes, word_ranges)
-    ids, counts = np.zeros(len(hashes), np.int64), np.zeros(len(hashes), np.int64)
-    for part in right.to_pylist():
-        mine = spread == part["range"]
-        ids[mine], counts[mine] = unsqueeze(part["ids"]), unsqueeze(part["counts"])
+    parts = sorted(right.to_pylist(), key=lambda r: r["range"])
+    ids, counts = (np.concatenate([unsqueeze(part[c]) for part in parts]) for c in ("ids", "counts"))
     tokens, lengths = unsqueeze(row["tokens"]), unsqueeze(row["lengths"])
     held = np.frombuffer(row["held"], bool)
     n_docs = len(lengths)
@@ -199,13 +198,12 @@ def deal_pairs(left: pa.Table, right: pa.Table, words: Words, word_ranges: int,
     known = np.bincount(doc, counts[tokens] > 0, n_docs)
     out = [_row(_PAIRS, range=-row["slice"], slice=row["slice"], n_docs=n_docs, doc_ids=row["doc_ids"], held=row["held"], lengths=row["lengths"],
                 known=squeeze(known.astype(np.int64)), base=base.astype("<f8").tobytes())]
-    end = int(np.searchsorted(hashes, END))
-    before = np.concatenate([[end], tokens[:-1]])
+    before = np.concatenate([[row["end"]], tokens[:-1]])
     # distinct pairs of word numbers, then their range
-    pair, which = np.unique(before * len(hashes) + tokens, return_inverse=True)
-    h, w = pair // len(hashes), pair % len(hashes)
+    pair, which = np.unique(before * len(ids) + tokens, return_inverse=True)
+    h, w = np.divmod(pair, len(ids))
     split = np.where(counts[h] * HOT > words.total, ids[w], 0).astype(np.uint64)
-    of = _range_of(ids[h].astype(np.uint64) + mix64(split), ranges)
+    of = _range_of(mix64(ids[h].astype(np.uint64) + mix64(split)), ranges)
     by_range = np.argsort(of, kind="stable")
     place = np.empty(len(pair), np.int64)
     place[by_range] = np.arange(len(pair))
@@ -220,8 +218,9 @@ def deal_pairs(left: pa.Table, right: pa.Table, words: Words, word_ranges: int,
     for r in range(ranges):
         a, b = cuts[r], cuts[r + 1]
         if a < b:
-            out.append(_row(_PAIRS, range=r, slice=row["slice"], n_docs=n_docs, h=squeeze(ids[h[a:b]]), h_count=squeeze(counts[h[a:b]]), w=squeeze(ids[w[a:b]]),
-                            w_count=squeeze(counts[w[a:b]]), n=squeeze(n[a:b]), n_train=squeeze(n_train[a:b]), docs=squeeze(docs[ends[a]:ends[b]])))
+            own, own_first, own_at = np.unique(ids[w[a:b]], return_index=True, return_inverse=True)
+            out.append(_row(_PAIRS, range=r, slice=row["slice"], n_docs=n_docs, h=squeeze(ids[h[a:b]]), h_count=squeeze(counts[h[a:b]]), words=squeeze(own),
+                            word_counts=squeeze(counts[w[a:b]][own_first]), w=squeeze(own_at), n=squeeze(n[a:b]), n_train=squeeze(n_train[a:b]), docs=squeeze(docs[ends[a]:ends[b]])))
     return pa.Table.from_batches(out, _PAIRS)
 
 
@@ -234,12 +233,14 @@ def count_pairs(table: pa.Table, words: Words) -> pa.Table:
     def every(name: str) -> np.ndarray:
         return np.concatenate([unsqueeze(r[name]) for r in rows])
 
-    h, w, n = every("h"), every("w"), every("n")
+    h, n = every("h"), every("n")
+    at = [unsqueeze(r["w"]) for r in rows]
+    w, w_count = (np.concatenate([unsqueeze(r[name])[k] for r, k in zip(rows, at, strict=True)]) for name in ("words", "word_counts"))
     hs, h_first, h_at = np.unique(h, return_index=True, return_inverse=True)
     ws, w_at = np.unique(w, return_inverse=True)
     pairs, first, at = np.unique(h_at * len(ws) + w_at, return_index=True, return_inverse=True)
     c = np.bincount(at, every("n_train"), len(pairs)).astype(np.int64)
-    h_count, lower = every("h_count")[h_first], words.probability(every("w_count")[first])
+    h_count, lower = every("h_count")[h_first], words.probability(w_count[first])
     h_of = h_at[first]
     seen = (c > 0) & (hs[h_of] > 0)
     c_class = np.where(seen & (c <= TOP), c, 0)
@@ -312,8 +313,8 @@ def score(docs: DataFrame, held: Column, store: str | None = None) -> DataFrame:
     tokens = found.select(F.sum(F.octet_length("tokens"))).first()[0] or 0
     ranges = max(1, math.ceil(tokens / RANGE_TOKENS))
     sent = spark.sparkContext.broadcast(words)
-    dealt = (found.groupBy("slice").cogroup(ids.filter("stats is null").groupBy("slice"))
-             .applyInArrow(lambda a, b: deal_pairs(a, b, sent.value, word_ranges, ranges), PAIRS))
+    dealt = (found.drop("hashes", "counts").groupBy("slice").cogroup(ids.filter("stats is null").groupBy("slice"))
+             .applyInArrow(lambda a, b: deal_pairs(a, b, sent.value, ranges), PAIRS))
     table = dealt.groupBy("range").applyInArrow(lambda t: count_pairs(t, sent.value), TABLE)
     table.write.parquet(store := store or scratch_path(spark, "katz-ranges"))
     table = spark.read.schema(table.schema).parquet(store)
@@ -325,6 +326,13 @@ def score(docs: DataFrame, held: Column, store: str | None = None) -> DataFrame:
 
     def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         discount, hot = weights.value
+        sums: dict[int, np.ndarray] = {}  # of the rows of this task, given on before they grow past PARTS_DOCS texts
+
+        def give() -> Iterator[pa.RecordBatch]:
+            for k, part in sums.items():
+                yield _row(_PARTS, slice=k, part=part.astype("<f8").tobytes())
+            sums.clear()
+
         for batch in batches:
             for row in batch.to_pylist():
                 if row["range"] < 0:
@@ -339,7 +347,10 @@ def score(docs: DataFrame, held: Column, store: str | None = None) -> DataFrame:
                 part = part + np.bincount(unsqueeze(row["unseen_doc"]), weight[unsqueeze(row["unseen_h"])], len(part))
                 ends = np.cumsum([0, *row["n_docs"]])
                 for k, a, b in zip(row["slices"], ends, ends[1:]):
-                    yield _row(_PARTS, slice=k, part=part[a:b].astype("<f8").tobytes())
+                    sums[k] = sums[k] + part[a:b] if k in sums else part[a:b].copy()
+                if sum(map(len, sums.values())) > PARTS_DOCS:
+                    yield from give()
+        yield from give()
 
     out = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()),
                      ("base_score", pa.float64()), ("score", pa.float64())])

@@ -411,7 +411,7 @@ def brute_katz(rows, held):
              sum(math.log10(p(h, x)) for h, x in zip([None, *w[:-1]], w))) for d, w in streams]
 
 
-@pytest.mark.parametrize("range_tokens", [katz.RANGE_TOKENS, 3000])
+@pytest.mark.parametrize("range_tokens", [katz.RANGE_TOKENS, 30000])
 def test_katz_scores_against_plain_counting(spark, odd, monkeypatch, range_tokens):
     df, rows = odd
     monkeypatch.setattr(katz, "RANGE_TOKENS", range_tokens)

@@ -60,20 +60,23 @@ def template_weights(spark: SparkSession, templates: list[tuple[str, str]]) -> D
 def own_licences(segments: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, least: float = 0.5) -> DataFrame:
     """Best licence of each key: ``segments`` has key and segment (several per key); returns key, licence, score.
 
-    The templates are a fixed list, so broadcasting them is bounded.
+    Each distinct segment is compared once, however many texts have it. The templates are a fixed list, so broadcasting them is bounded.
     """
     spark = segments.sparkSession
     weights = template_weights(spark, templates)
     idf = weights.select("term", "idf").distinct()
     unseen = F.log(F.lit(1.0 + len(templates))) + 1
-    counted = (segments.distinct().select("key", "segment", F.explode(terms(F.col("segment"))).alias("term"))
-               .groupBy("key", "segment", "term").agg(F.count("*").alias("tf")))
+    part = F.struct(F.xxhash64("segment").alias("h"), F.length("segment").alias("n"))  # stands for the segment in what follows
+    named = segments.select("key", part.alias("part"), "segment")
+    counted = (named.select("part", "segment").dropDuplicates(["part"]).select("part", F.explode(terms(F.col("segment"))).alias("term"))
+               .groupBy("part", "term").agg(F.count("*").alias("tf")))
     counted = counted.join(F.broadcast(idf), "term", "left").withColumn("w", F.col("tf") * F.coalesce("idf", unseen)).drop("idf")
-    norms = counted.groupBy("key", "segment").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    norms = counted.groupBy("part").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     dots = (counted.join(F.broadcast(weights.select("term", "template", "licence", "share")), "term")
-            .groupBy("key", "segment", "template", "licence").agg(F.sum(F.col("w") * F.col("share")).alias("dot")))
-    scored = dots.join(norms, ["key", "segment"]).withColumn("score", F.round(F.col("dot") / F.col("norm"), 4)).filter(F.col("score") >= least)
-    best = scored.groupBy("key").agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("licence").alias("licence"))).alias("best"))
+            .groupBy("part", "template", "licence").agg(F.sum(F.col("w") * F.col("share")).alias("dot")))
+    scored = dots.join(norms, "part").withColumn("score", F.round(F.col("dot") / F.col("norm"), 4)).filter(F.col("score") >= least)
+    of_part = scored.groupBy("part").agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("licence").alias("licence"))).alias("hit"))
+    best = named.select("key", "part").distinct().join(of_part, "part").groupBy("key").agg(F.min("hit").alias("best"))
     return best.select("key", F.col("best.licence").alias("licence"), (-F.col("best.s")).alias("score"))
 
 

@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 1 << 22
+SLICE_BYTES = 1 << 21
 SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
 _MASK = (1 << 64) - 1
 _STEP = 0x9E3779B97F4A7C15 | 1

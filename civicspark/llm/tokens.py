@@ -29,9 +29,9 @@ from civicspark.llm.text import pack_rows
 from civicspark.session import scratch_path
 
 BLOCK_IDS = 1 << 16
-ENCODE_BYTES = 1 << 23
+ENCODE_BYTES = 1 << 22
 PIECES = 4096
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 CLOSING = "!\"#$%&)*+,-./:;=>?@\\]^_`|}~"
 ODD = r"^ | $| \s|\s |[\x0B\x85\xA0\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 BLOCKS = "shard int, block int, first long, n_ids long, doc_ids array<long>, offsets array<long>, bits int, payload binary"
@@ -193,6 +193,7 @@ def _encode_blocks(tokenizer_json, bits: int, end_id: int) -> Callable:
                 yield pack_rows({"shard": [shard], "block": [block], "first": [first], "n_ids": [b - a], "doc_ids": [doc_ids[i:j]],
                                  "offsets": [(offsets[i:j + 1] - a).tolist()], "bits": [bits], "payload": [pack(with_end[a:b], bits)]}, schema)
                 block, first, i = block + 1, first + b - a, j
+            pa.default_memory_pool().release_unused()
 
     return run
 

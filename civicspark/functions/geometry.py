@@ -49,12 +49,18 @@ def destination(lat: Column, lon: Column, km: Column, bearing_deg: Column) -> tu
 
 
 def rhumb_destination(lat: Column, lon: Column, km: Column, bearing_deg: Column) -> tuple[Column, Column]:
-    """Point reached along a line of constant bearing."""
+    """Point reached along a line of constant bearing; over a pole it comes down on the other side's parallel.
+
+    At a pole itself, where there is no bearing, the longitude stays.
+    """
     phi, lam, theta = F.radians(lat), F.radians(lon), F.radians(bearing_deg)
     delta = km / F.lit(EARTH_RADIUS_KM)
     dphi = delta * F.cos(theta)
-    phi2 = phi + dphi
+    over = phi + dphi
+    half = F.lit(math.pi / 2)
+    phi2 = F.when(over > half, F.lit(math.pi) - over).when(over < -half, F.lit(-math.pi) - over).otherwise(over)
     quarter = F.lit(math.pi / 4)
-    dpsi = F.log(F.tan(phi2 / 2 + quarter) / F.tan(phi / 2 + quarter))
+    dpsi = F.log(F.tan(phi2 / 2 + quarter) / F.nullif(F.tan(phi / 2 + quarter), F.lit(0.0)))
     q = F.when(F.abs(dpsi) > 1e-11, dphi / F.nullif(dpsi, F.lit(0.0))).otherwise(F.cos(phi))
-    return F.degrees(phi2), F.degrees(lam + delta * F.sin(theta) / q)
+    moved = F.when(F.abs(F.cos(phi)) < 1e-9, lam).otherwise(lam + delta * F.sin(theta) / F.nullif(q, F.lit(0.0)))
+    return F.degrees(phi2), F.degrees(moved)

@@ -144,13 +144,12 @@ def geo_grid(t):
 _U = [f"({key_hash_sql('voter_id', s)})" for s in (1, 2, 3)]
 
 
-@query("geo_grid_jitter", sql("voters", f"""SELECT voter_id, round(degrees(p2), 6) AS lat, round(degrees(radians(lon) + d * sin(b) / CASE WHEN abs(psi) > 1e-11 THEN dp / psi ELSE cos(p1) END), 6) AS lon FROM
-       (SELECT *, p1 + dp AS p2, ln(tan((p1 + dp) / 2 + pi() / 4) / tan(p1 / 2 + pi() / 4)) AS psi FROM (SELECT *, d * cos(b) AS dp FROM (SELECT voter_id, lon, radians(lat) AS p1,
+@query("geo_grid_jitter", sql("voters", f"""SELECT voter_id, round(degrees(p2), 6) AS lat, round(degrees(CASE WHEN abs(cos(p1)) < 1e-9 THEN radians(lon) ELSE radians(lon) + d * sin(b) / CASE WHEN abs(psi) > 1e-11 THEN dp / psi ELSE cos(p1) END END), 6) AS lon FROM
+       (SELECT *, CASE WHEN abs(cos(p1)) < 1e-9 THEN 0 ELSE ln(tan(p2 / 2 + pi() / 4) / tan(p1 / 2 + pi() / 4)) END AS psi FROM (SELECT *, CASE WHEN p1 + dp > pi() / 2 THEN pi() - (p1 + dp) WHEN p1 + dp < -pi() / 2 THEN -pi() - (p1 + dp) ELSE p1 + dp END AS p2 FROM (SELECT *, d * cos(b) AS dp FROM (SELECT voter_id, lon, radians(lat) AS p1,
         abs(sqrt(-2.0 * ln(({_U[0]} + 1) / 2147483649.0::DOUBLE)) * cos(2 * pi() * ({_U[1]} / 2147483648.0::DOUBLE))) * 5.0 / 6371.0088 AS d, radians({_U[2]} / 2147483648.0::DOUBLE * 360.0 - 180.0) AS b
-        FROM voters WHERE lat > -89 AND lat < 89)))"""))
+        FROM voters))))"""))
 def geo_grid_jitter(t):
-    v = B.voters(t).select("voter_id", "lat", "lon").filter((F.col("lat") > -89) & (F.col("lat") < 89))  # no bearings at the poles
-    out = geo.jitter(v, "voter_id", 5.0)
+    out = geo.jitter(B.voters(t).select("voter_id", "lat", "lon"), "voter_id", 5.0)
     return out.select("voter_id", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"))
 
 

@@ -86,17 +86,20 @@ def src_metro_from_filename(t):
     return FI.with_path(FI.read_delimited(t.spark, paths, ["id", "name"])).select("id", FI.metro_from_filename(F.col("filename")).alias("metro"))
 
 
-@query("src_geojson", sql("rings", "SELECT poly_id, n_name AS name, count(*) AS corners, round(min(lon), 4) AS lon_min, round(max(lat), 4) AS lat_max FROM rings JOIN nation ON poly_id = n_nationkey GROUP BY 1, 2"))
+@query("src_geojson", sql("rings", "SELECT poly_id, n_name AS name, count(*) * (poly_id % 2 + 1) AS corners, round(min(lon), 4) AS lon_min, round(max(lat), 4) AS lat_max FROM rings JOIN nation ON poly_id = n_nationkey GROUP BY 1, 2"))
 def src_geojson(t):
     ring = F.transform("ring", lambda p: F.array(p["lon"], p["lat"]))
-    feature = F.struct(F.lit("Feature").alias("type"), F.struct(F.lit("Polygon").alias("type"), F.array(ring).alias("coordinates")).alias("geometry"),
+    shape = F.struct(F.when(F.col("poly_id") % 2 == 0, "Polygon").otherwise("MultiPolygon").alias("type"),
+                     F.when(F.col("poly_id") % 2 == 0, F.to_json(F.array(ring))).otherwise(F.to_json(F.array(F.array(ring), F.array(ring)))).alias("coordinates"))
+    feature = F.struct(F.lit("Feature").alias("type"), shape.alias("geometry"),
                        F.struct(F.col("poly_id").cast("string").alias("GEOID"), F.col("name").alias("NAME")).alias("properties"))
     path = scratch_path(t.spark, "geojson")
     docs = B.polygons(t).select(F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), F.array(feature).alias("features"))).alias("value"))
-    docs.write.text(path)
+    # coordinates were put in as text: take their quotes off again
+    docs.select(F.regexp_replace("value", '"(\\[[^"]*\\])"', "$1").alias("value")).write.text(path)
     f = FI.read_geojson(t.spark, path, multiline=False)
     corner = f.select(F.col("properties")["GEOID"].cast("bigint").alias("poly_id"), F.col("properties")["NAME"].alias("name"),
-                      F.explode(F.get("geometry.coordinates", F.lit(0))).alias("c"))
+                      F.explode(F.flatten(F.flatten("geometry.parts"))).alias("c"))
     return corner.groupBy("poly_id", "name").agg(F.count(F.lit(1)).alias("corners"), F.round(F.min(F.col("c")[0]), 4).alias("lon_min"),
                                                  F.round(F.max(F.col("c")[1]), 4).alias("lat_max"))
 
@@ -151,7 +154,7 @@ def sink_ctas(t):
     """Two bucketed copies of a query: the aggregation on the bucket key needs no shuffle."""
     path = scratch_path(t.spark, "ctas")
     name = "report_" + path.rsplit("-", 1)[-1]
-    SK.write_table(t.orders.select("o_custkey", "o_orderkey"), name, path, ["o_custkey"], 8)
+    SK.write_table(t.orders.select("o_custkey", "o_orderkey"), name, path, ["o_custkey"])
     return t.spark.table(name).groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -173,12 +176,13 @@ def sink_split_files(t):
     return sizes.agg(F.sum("n").alias("total_rows"), (F.max("n") <= 1000).cast("int").alias("all_small"))
 
 
-@query("src_html_table", """SELECT page_id, CAST(i - 1 AS INTEGER) AS row_index, trim(regexp_replace(regexp_replace(regexp_extract(r, '(?s)<a\\b[^>]*>(.*?)</a>', 1), '<[^>]+>', '', 'g'), '\\s+', ' ', 'g')) AS cell
-       FROM (SELECT page_id, unnest(rows) AS r, unnest(range(1, len(rows) + 1)) AS i FROM (SELECT page_id, regexp_extract_all(html, '(?s)<li\\b[^>]*>(.*?)</li>', 1) AS rows FROM pages))""")
+@query("src_html_table", """SELECT page_id, row_index, CAST(j - 1 AS INTEGER) AS cell_index, trim(regexp_replace(regexp_replace(c, '<[^>]+>', '', 'g'), '\\s+', ' ', 'g')) AS cell FROM
+       (SELECT page_id, CAST(i - 1 AS INTEGER) AS row_index, unnest(regexp_extract_all(r, '(?s)<a\\b[^>]*>(.*?)</a>', 1)) AS c, unnest(range(1, len(regexp_extract_all(r, '(?s)<a\\b[^>]*>(.*?)</a>', 1)) + 1)) AS j
+       FROM (SELECT page_id, unnest(rows) AS r, unnest(range(1, len(rows) + 1)) AS i FROM (SELECT page_id, regexp_extract_all(html, '(?s)<li\\b[^>]*>(.*?)</li>', 1) AS rows FROM pages)))""")
 def src_html_table(t):
-    """The pages' item lists stand in for table rows: items are rows, links are cells."""
+    """The pages' item lists stand in for table rows: items are rows, links are cells, all of them."""
     rows = FI.html_rows(t.pages, "html", ["page_id"], "li", "a", [" Bldg ", " Apt "])
-    return rows.select("page_id", "row_index", F.coalesce(F.get("cells", F.lit(0)), F.lit("")).alias("cell"))
+    return rows.select("page_id", "row_index", F.posexplode("cells").alias("cell_index", "cell"))
 
 
 @query("src_latest_snapshot", "SELECT CAST(n_nationkey AS VARCHAR) AS id, n_name AS name FROM nation WHERE n_regionkey = 4")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,11 +25,15 @@ def header_of(spark: SparkSession, path: str, sep: str = ",") -> list[str]:
 
 
 def read_delimited(spark: SparkSession, path: str | list[str], cols: Sequence[str] | None = None, sep: str = ",",
-                   quoting: str = "minimal", quote: str = '"', escape: str = '"', header: bool = True) -> DataFrame:
-    """Delimited text. ``quoting="none"`` takes quote characters as data; ``header=False`` needs ``cols``."""
+                   quoting: str = "minimal", quote: str = '"', escape: str = '"', header: bool = True, multiline: bool = False) -> DataFrame:
+    """Delimited text. ``quoting="none"`` takes quote characters as data; ``header=False`` needs ``cols``.
+
+    ``multiline`` reads fields with line breaks in quotes; each file is then read by one task.
+    """
     first = path[0] if isinstance(path, list) else path
+    # with a header, names are checked in every file: columns in another order fail the read instead of changing places
     reader = (spark.read.schema(text_schema(cols or header_of(spark, first, sep))).option("header", header).option("sep", sep)
-              .option("mode", "PERMISSIVE").option("enforceSchema", True))
+              .option("mode", "PERMISSIVE").option("enforceSchema", not header).option("multiLine", multiline))
     if quoting == "none":
         reader = reader.option("quote", "").option("escape", "\u0000")
     else:
@@ -35,24 +41,36 @@ def read_delimited(spark: SparkSession, path: str | list[str], cols: Sequence[st
     return reader.csv(path)
 
 
-def decode_lines(lines: DataFrame, col: str = "value", fallback: str = "ISO-8859-1") -> DataFrame:
+def decode_single_byte(raw: Column, charset: str) -> Column:
+    """Text of a single-byte charset that agrees with Latin-1 but for the controls 0x80-0x9F, such as windows-1252."""
+    latin = F.decode(raw, "ISO-8859-1")
+    pairs = [(chr(b), t) for b in range(0x80, 0xA0) if (t := bytes([b]).decode(charset, "ignore")) and t != chr(b)]
+    return F.translate(latin, "".join(a for a, _ in pairs), "".join(b for _, b in pairs)) if pairs else latin
+
+
+def decode_lines(lines: DataFrame, col: str = "value", fallback: str = "windows-1252") -> DataFrame:
     """Decode each line by itself: UTF-8 where its bytes are valid, else ``fallback``. No line is lost."""
-    raw = F.col(col).cast("binary")
-    return lines.withColumn(col, F.when(F.is_valid_utf8(col), F.col(col)).otherwise(F.decode(raw, fallback)))
+    return lines.withColumn(col, F.when(F.is_valid_utf8(col), F.col(col)).otherwise(decode_single_byte(F.col(col).cast("binary"), fallback)))
+
 
+def read_mixed_encoding(spark: SparkSession, path: str, cols: Sequence[str], sep: str = ",", fallback: str = "windows-1252") -> DataFrame:
+    """Delimited text whose lines are in mixed encodings.
 
-def read_mixed_encoding(spark: SparkSession, path: str, cols: Sequence[str], sep: str = ",") -> DataFrame:
-    """Delimited text whose lines are in mixed encodings."""
-    lines = decode_lines(spark.read.text(path))
-    header = sep.join(cols)
+    A line that names the columns, quoted or not and in any case, is a header.
+    """
+    lines = decode_lines(spark.read.text(path), fallback=fallback)
     fields = ", ".join(f"`{c}` string" for c in cols)
-    rows = lines.filter(F.col("value") != header)
-    return rows.select(F.from_csv("value", fields, {"sep": sep}).alias("r")).select("r.*")
+    rows = lines.select(F.from_csv("value", fields, {"sep": sep}).alias("r")).select("r.*")
+    head = [F.lower(F.trim(F.regexp_replace(F.coalesce(F.col(f"`{c}`"), F.lit("")), "\ufeff", ""))) == c.lower() for c in cols]
+    return rows.filter(~reduce(and_, head))
 
 
 def read_many(spark: SparkSession, paths: Sequence[str], sep: str = ",") -> DataFrame:
-    """Several files with their own headers: columns in first-seen order, missing ones NULL."""
-    return union_all([read_delimited(spark, p, sep=sep) for p in paths])
+    """Several files with their own headers: columns in first-seen order, missing ones NULL. One scan per distinct header."""
+    by_header: dict[tuple[str, ...], list[str]] = {}
+    for p in paths:
+        by_header.setdefault(tuple(header_of(spark, p, sep)), []).append(p)
+    return union_all([read_delimited(spark, files, list(cols), sep) for cols, files in by_header.items()])
 
 
 def with_path(df: DataFrame, name: str = "filename") -> DataFrame:
@@ -71,15 +89,28 @@ def metro_from_filename(path: Column) -> Column:
     return F.translate(F.regexp_extract(path, r"_unique_places_(.+?)_spacing_", 1), "_", " ")
 
 
-FEATURE = ("struct<type:string,geometry:struct<type:string,coordinates:array<array<array<double>>>>,properties:map<string,string>>")
+FEATURE = "struct<type:string,geometry:struct<type:string,coordinates:string>,properties:map<string,string>>"
+RINGS = "array<array<array<double>>>"
+
+
+def polygon_parts(kind: Column, coordinates: Column) -> Column:
+    """Rings of every part of a Polygon or MultiPolygon (its coordinates as JSON text): part, ring, corner, (lon, lat)."""
+    one = F.array(F.from_json(coordinates, RINGS))
+    return F.when(kind == "Polygon", one).when(kind == "MultiPolygon", F.from_json(coordinates, f"array<{RINGS}>"))
 
 
 def read_geojson(spark: SparkSession, path: str, properties_only: bool = False, multiline: bool = True) -> DataFrame:
-    """One row per feature; ``properties_only`` never parses the geometry."""
+    """One row per feature: ``geometry`` (type, and ``parts`` of a Polygon or MultiPolygon) and ``properties``.
+
+    ``properties_only`` never parses the geometry.
+    """
     feature = "struct<properties:map<string,string>>" if properties_only else FEATURE
     docs = spark.read.schema(f"features array<{feature}>").option("multiLine", multiline).json(path)
     rows = docs.select(F.explode("features").alias("f"))
-    return rows.select("f.properties") if properties_only else rows.select("f.geometry", "f.properties")
+    if properties_only:
+        return rows.select("f.properties")
+    parts = polygon_parts(F.col("f.geometry.type"), F.col("f.geometry.coordinates"))
+    return rows.select(F.struct(F.col("f.geometry.type").alias("type"), parts.alias("parts")).alias("geometry"), "f.properties")
 
 
 def read_delineation(spark: SparkSession, path: str, cols: Sequence[str], code: str) -> DataFrame:

@@ -27,8 +27,18 @@ def write_report(df: DataFrame, path: str, sep: str = ",") -> str:
     return target
 
 
-def write_table(df: DataFrame, name: str, path: str | None = None, index: Sequence[str] = (), buckets: int = 16) -> None:
-    """Materialise as a table. Index columns become buckets and sort order: later joins on them skip a shuffle."""
+ROWS_PER_BUCKET = 1 << 20
+
+
+def write_table(df: DataFrame, name: str, path: str | None = None, index: Sequence[str] = (), buckets: int | None = None) -> None:
+    """Materialise as a table. Index columns become buckets and sort order: later joins on them skip a shuffle.
+
+    Unless given, the number of buckets follows the number of rows; rows are dealt to their bucket first, so that
+    each bucket is one file.
+    """
+    if index:
+        buckets = buckets or max(1, -(-df.count() // ROWS_PER_BUCKET))
+        df = df.repartition(buckets, *index)
     writer = df.write.mode("overwrite").format("parquet")
     if path:
         writer = writer.option("path", path)

@@ -15,7 +15,7 @@ def ingest(spark: SparkSession, source: str, target: str, checkpoint: str, cols:
 
     Progress lives in the checkpoint; the file sink commits a batch whole or not at all.
     """
-    stream = (spark.readStream.schema(text_schema(cols)).option("header", True).option("sep", sep)
+    stream = (spark.readStream.schema(text_schema(cols)).option("header", True).option("sep", sep).option("enforceSchema", False)
               .option("maxFilesPerTrigger", files_per_trigger).csv(source))
     done = (stream.writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint)
             .outputMode("append").trigger(availableNow=True).start())

@@ -345,3 +345,25 @@ def test_contains_join_is_linear_in_the_text(spark):
 def test_ranges_grow_with_the_rows(spark):
     counts = [O.with_ranges(spark.range(n).withColumn("k", F.lit(1)), ["k"], [F.col("id")]).select("_range").distinct().count() for n in (100, 400)]
     assert counts[0] >= 4 and counts[1] >= 3 * counts[0]
+
+
+def test_delimited_text_cannot_mislabel_rows(spark, tmp_path):
+    (tmp_path / "a.csv").write_bytes(b'"ID","name"\n1,"caf\x93x\x94"\n')
+    assert [tuple(r) for r in FI.read_mixed_encoding(spark, str(tmp_path / "a.csv"), ["id", "name"]).collect()] == [("1", "caf\u201cx\u201d")]
+    for name, text in (("b", "id,name\n1,x\n"), ("c", "name,id\ny,2\n"), ("d", "id,name\n3,z\n")):
+        (tmp_path / f"{name}.csv").write_text(text)
+    paths = [str(tmp_path / f"{n}.csv") for n in "bcd"]
+    both = FI.read_many(spark, paths)
+    assert sorted((r["id"], r["name"]) for r in both.collect()) == [("1", "x"), ("2", "y"), ("3", "z")]
+    with pytest.raises(Exception):
+        FI.read_delimited(spark, paths[:2]).collect()
+    (tmp_path / "e.csv").write_text('id,name\n1,"two\nlines"\n')
+    assert FI.read_delimited(spark, str(tmp_path / "e.csv"), multiline=True).collect()[0]["name"] == "two\nlines"
+
+
+def test_multipolygon_keeps_all_parts(spark, tmp_path):
+    square = "[[0,0],[0,1],[1,1],[0,0]]"
+    (tmp_path / "g.json").write_text('{"features":[{"type":"Feature","geometry":{"type":"MultiPolygon","coordinates":[[%s],[%s,%s]]},"properties":{"a":"1"}},'
+                                     '{"type":"Feature","geometry":{"type":"Polygon","coordinates":[%s]},"properties":{"a":"2"}}]}' % ((square,) * 4))
+    rows = FI.read_geojson(spark, str(tmp_path / "g.json")).collect()
+    assert [[len(part) for part in r["geometry"]["parts"]] for r in rows] == [[1, 2], [1]]

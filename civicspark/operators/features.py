@@ -70,9 +70,9 @@ def encode(df: DataFrame, cols: Sequence[str], one_hot: bool = True) -> tuple[Da
     return model.transform(clean), {c: list(v) for c, v in labels.items()}, model
 
 
-def assemble(df: DataFrame, cols: Sequence[str], label: str) -> DataFrame:
+def assemble(df: DataFrame, cols: Sequence[str], label: str, keep: Sequence[str] = ()) -> DataFrame:
     packed = VectorAssembler(inputCols=list(cols), outputCol="features").transform(df)
-    return packed.select("features", F.col(label).cast("double").alias("label"))
+    return packed.select(*keep, "features", F.col(label).cast("double").alias("label"))
 
 
 def vector_to_columns(df: DataFrame, col: str, names: Sequence[str]) -> DataFrame:

@@ -208,7 +208,7 @@ def polygon_centre(polygons: DataFrame) -> DataFrame:
 
 
 def points_in_polygons(points: DataFrame, polygons: DataFrame, cell: float = 1.0) -> DataFrame:
-    """(point_id, poly_id) pairs inside the outer ring, by ray casting.
+    """(point_id, poly_id) pairs inside, by ray casting; a polygon of several parts has one row (poly_id, ring) for each.
 
     Points meet the polygons whose bounding box covers their cell, then only the edges that cross their
     latitude band: two equi-joins; crossings are summed on the map side.
@@ -221,15 +221,16 @@ def points_in_polygons(points: DataFrame, polygons: DataFrame, cell: float = 1.0
 
     cover = box.withColumn("cx", bands(F.col("lon_min"), F.col("lon_max")))
     cover = cover.withColumn("cy", bands(F.col("lat_min"), F.col("lat_max"))).select("poly_id", "cx", "cy")
-    p = points.select("point_id", "lat", "lon", F.floor(F.col("lon") / cell).alias("cx"), F.floor(F.col("lat") / cell).alias("cy"))
+    p = points.select("point_id", "lat", "lon").distinct()  # a point that came twice would undo its own crossings
+    p = p.select("*", F.floor(F.col("lon") / cell).alias("cx"), F.floor(F.col("lat") / cell).alias("cy"))
     candidates = p.join(cover, ["cx", "cy"])
     banded = edges.withColumn("cy", bands(F.least("y1", "y2"), F.greatest("y1", "y2")))
     met = candidates.join(banded, ["poly_id", "cy"])
     spans = (F.col("y1") > F.col("lat")) != (F.col("y2") > F.col("lat"))
     at = (F.col("x2") - F.col("x1")) * (F.col("lat") - F.col("y1")) / F.nullif(F.col("y2") - F.col("y1"), F.lit(0.0)) + F.col("x1")
     crossed = met.filter(spans & (F.col("lon") < at))
-    return (crossed.groupBy("point_id", "poly_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") % 2 == 1)
-            .select("point_id", "poly_id"))
+    return (crossed.groupBy("point_id", "lat", "lon", "poly_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") % 2 == 1)
+            .select("point_id", "poly_id").distinct())
 
 
 def grid_points(boxes: DataFrame, km: float, shift_km: float = 0.0) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
-from operator import add
+from operator import add, and_
 
 import numpy as np
 import pandas as pd
@@ -117,7 +117,10 @@ def _sigmoid(z: Column) -> Column:
 
 
 def grouped_logistic(df: DataFrame, by: Sequence[str], features: Sequence[str], label: str, iterations: int = 12, tolerance: float = 1e-6) -> DataFrame:
-    """One logistic model per group, all groups at once: (by, coefs = [intercept, ...]).
+    """One logistic model per group, all groups at once: (by, coefs = [intercept, ...], converged, iterations).
+
+    Rows with a NULL or non-finite feature or label take no part. A group whose coefficients still move after
+    ``iterations`` steps (say, because a line separates its outcomes) is marked not converged.
 
     Newton steps on sums: a step is one aggregation of gradient and Hessian, combined on the map side, and a
     tiny solve per group. A group of any size costs its partial sums only; no group is gathered anywhere.
@@ -144,15 +147,15 @@ def grouped_logistic(df: DataFrame, by: Sequence[str], features: Sequence[str],
         return pd.DataFrame({"coefs": out, "moved": moved})
 
     rows = df.select(*by, *[x.alias(f"_x{i}") for i, x in enumerate(full)], F.col(label).cast("double").alias("_y"))
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = materialise(rows.repartition(parts), "training_rows")  # even files: hot groups no longer sit together
+    whole = [F.col(c).isNotNull() & (F.abs(F.col(c)) < F.lit(float("inf"))) for c in [*(f"_x{i}" for i in range(d)), "_y"]]
+    rows = materialise(rows.filter(reduce(and_, whole)).hint("rebalance"), "training_rows")  # even files: hot groups no longer sit together
     x = [F.col(f"_x{i}") for i in range(d)]
     coefs = None
-    for _ in range(iterations):
+    for step in range(1, iterations + 1):
         if coefs is None:
             current = rows.withColumn("coefs", F.array(*[F.lit(0.0)] * d))
         else:
-            current = rows.join(coefs.drop("moved"), by)
+            current = rows.join(coefs.select(*by, "coefs"), by)
         current = current.withColumn("_p", _sigmoid(_linear(F.col("coefs"), x[1:])))
         w = F.col("_p") * (F.lit(1.0) - F.col("_p"))
         sums = current.groupBy(*by).agg(F.first("coefs").alias("coefs"), *[F.sum(x[i] * (F.col("_y") - F.col("_p"))).alias(f"_g{i}") for i in range(d)],
@@ -161,16 +164,19 @@ def grouped_logistic(df: DataFrame, by: Sequence[str], features: Sequence[str],
         coefs = materialise(sums.select(*by, solved.alias("s")).select(*by, "s.*"), "coefficients")
         if (coefs.agg(F.max("moved")).first()[0] or 0.0) < tolerance:
             break
-    return coefs.drop("moved")
+    return coefs.select(*by, "coefs", (F.col("moved") < tolerance).alias("converged"), F.lit(step).alias("iterations"))
 
 
 def per_group_sensitivity(df: DataFrame, group: str, key: str, features: Sequence[str], distance: str, label: str, active: Column,
                           min_rows: int = 200, splits: int = 4, train: float = 0.8, multipliers: Sequence[float] = MULTIPLIERS) -> DataFrame:
     """Per tract with enough rows: several splits, a model each, then AUC, coefficients and scaled-distance turnout.
 
-    The row threshold counts all rows, the models see the active ones; tracts with a single outcome are left
-    out. Split i uses salt i. Averages over the splits are returned.
+    The row threshold counts all rows, the models see the active ones without NULLs (``n_filtered``); tracts with a
+    single outcome are left out. Split i uses salt i. Averages over the splits are returned; ``converged`` tells
+    whether every split's model settled, otherwise the figures that rest on coefficients are NULL.
     """
+    whole = reduce(and_, [F.col(c).isNotNull() for c in [*features, label]])
+    active = active & whole
     counts = df.groupBy(group).agg(F.count(F.lit(1)).alias("n_samples"), F.count_if(active).alias("n_filtered"),
                                    F.countDistinct(F.when(active, F.col(label))).alias("_classes"))
     kept = counts.filter((F.col("n_samples") >= min_rows) & (F.col("_classes") > 1)).drop("_classes")
@@ -189,8 +195,12 @@ def per_group_sensitivity(df: DataFrame, group: str, key: str, features: Sequenc
     shifted = [F.avg(_sigmoid(z + F.col("coefs")[at] * F.col(distance) * F.lit(m - 1.0))).alias(f"turnout_with_dist_times_{str(m).replace('.', '_')}")
                for m in multipliers]
     turnout = test.groupBy(group).agg(*shifted, F.avg(distance).alias("mean_distance"), F.avg(F.col(label).cast("double")).alias("true_turnout"))
-    means = coefs.groupBy(group).agg(*[F.avg(F.col("coefs")[i]).alias(n) for i, n in enumerate(["intercept", *[f"coef_{f}" for f in features]])])
-    return kept.join(means, group).join(areas, group, "left").join(turnout, group)
+    names = ["intercept", *[f"coef_{f}" for f in features]]
+    means = coefs.groupBy(group).agg(*[F.avg(F.col("coefs")[i]).alias(n) for i, n in enumerate(names)], F.min("converged").alias("converged"),
+                                     F.max("iterations").alias("iterations"))
+    out = kept.join(means, group, "left").join(areas, group, "left").join(turnout, group, "left")
+    rests = {*names, "auc", *[c for c in turnout.columns if c.startswith("turnout_with")]}
+    return out.select(*[F.when(F.col("converged"), F.col(c)).alias(c) if c in rests else c for c in out.columns])
 
 
 def linear_trend(df: DataFrame, x: str, y: str) -> DataFrame:

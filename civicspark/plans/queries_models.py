@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from civicspark.operators import features as FE
 from civicspark.operators import joins as J
 from civicspark.operators import models as M
+from civicspark.operators import sampling as SA
 from civicspark.plans import bindings as B
 from civicspark.plans.bindings import CTES, sql
 from civicspark.plans.registry import query
+from civicspark.session import materialise
 
 CATEGORIES = ["demo", "sex"]
 NUMERIC = ["age", "distance", "fraction_no_vehicle", "popDensity"]
@@ -65,7 +67,8 @@ def _hot(t, cols):
     return enc.drop(*[f"{c}_index" for c in cols]), labels
 
 
-@query("ml_onehot")
+@query("ml_onehot", sql("raw_voters", """SELECT voter_key, CASE WHEN sex = '' THEN 'NA' ELSE sex END AS sex, CASE WHEN sex = 'F' THEN 1.0::DOUBLE ELSE 0.0 END AS "sex_hot[F]",
+       CASE WHEN sex = 'M' THEN 1.0::DOUBLE ELSE 0.0 END AS "sex_hot[M]" FROM raw_voters"""))
 def ml_onehot(t):
     return _hot(t, ["sex"])[0]
 
@@ -75,9 +78,13 @@ def ml_onehot_many(t):
     return _hot(t, CATEGORIES)[0]
 
 
-@query("ml_assemble")
+@query("ml_assemble", sql("raw_voters tracts history model_rows", """SELECT * FROM (SELECT CASE WHEN vote_method = 'voted' THEN 1.0::DOUBLE ELSE 0.0 END AS label,
+       round(date_diff('day', try_cast(dob AS DATE), DATE '2021-02-18') * (1 / 365.0::DOUBLE), 8) AS "features[0]", distance AS "features[1]", round(CAST(no_vehicle AS DOUBLE) / total, 8) AS "features[2]",
+       round(CAST(total AS DOUBLE) / nullif(land, 0), 8) AS "features[3]" FROM model_rows WHERE try_cast(registered_at AS DATE) <= DATE '2016-11-08')
+       WHERE label IS NOT NULL AND "features[0]" IS NOT NULL AND "features[1]" IS NOT NULL AND "features[2]" IS NOT NULL AND "features[3]" IS NOT NULL"""))
 def ml_assemble(t):
-    return FE.vector_to_columns(_assembled(t)[0], "features", [str(i) for i in range(len(NUMERIC))])
+    flat = FE.vector_to_columns(_assembled(t)[0], "features", [str(i) for i in range(len(NUMERIC))])
+    return flat.withColumns({c: F.round(f"`{c}`", 8) for c in flat.columns if c.startswith("features")})
 
 
 @query("ml_prepare", sql("raw_voters tracts history model_rows", """SELECT voter_key, round(date_diff('day', try_cast(dob AS DATE), DATE '2021-02-18') * (1 / 365.0::DOUBLE), 8) AS age, distance,
@@ -95,24 +102,30 @@ def _one_row(t, name, value):
     return t.spark.createDataFrame([(name, float(value))], "model string, auc double")
 
 
+def _split(t):
+    """Training and test rows by the voter's hash, stored once: fitting reads them many times."""
+    enc, _ = _encoded(t)
+    rows = materialise(SA.hash_split(FE.assemble(enc, _inputs(), "vote_method", ["voter_key"]), "voter_key"), "model_rows")
+    return rows.filter("is_train = 1"), rows.filter("is_train = 0")
+
+
 @query("ml_logistic")
 def ml_logistic(t):
-    rows, _ = _assembled(t)
-    train, test = rows.randomSplit([0.8, 0.2], 0)
+    train, test = _split(t)
     return _one_row(t, "logistic", M.area_under_roc(M.logistic(train).transform(test)))
 
 
 @query("ml_mlp")
 def ml_mlp(t):
-    rows, _ = _assembled(t)
-    inputs = rows.select("features").first()["features"].size
-    return _one_row(t, "perceptron", M.area_under_roc(M.perceptron(rows, inputs).transform(rows)))
+    train, test = _split(t)
+    inputs = train.select("features").first()["features"].size
+    return _one_row(t, "perceptron", M.area_under_roc(M.perceptron(train, inputs).transform(test)))
 
 
 @query("ml_tree")
 def ml_tree(t):
-    rows, _ = _assembled(t)
-    return _one_row(t, "tree", M.area_under_roc(M.tree(rows).transform(rows)))
+    train, test = _split(t)
+    return _one_row(t, "tree", M.area_under_roc(M.tree(train).transform(test)))
 
 
 _RANK = "SELECT label, score, avg(rn) OVER (PARTITION BY score) AS rank FROM (SELECT *, row_number() OVER (ORDER BY score) AS rn FROM scored)"

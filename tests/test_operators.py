@@ -367,3 +367,20 @@ def test_multipolygon_keeps_all_parts(spark, tmp_path):
                                      '{"type":"Feature","geometry":{"type":"Polygon","coordinates":[%s]},"properties":{"a":"2"}}]}' % ((square,) * 4))
     rows = FI.read_geojson(spark, str(tmp_path / "g.json")).collect()
     assert [[len(part) for part in r["geometry"]["parts"]] for r in rows] == [[1, 2], [1]]
+
+
+def test_separable_and_broken_groups_are_flagged(spark):
+    rows = [("ok", float(i % 7), int(i * 7919 % 11 < 3 + i % 7)) for i in range(300)] + [("split", float(i), int(i > 50)) for i in range(100)] + [("null", None, i % 2) for i in range(50)]
+    df = spark.createDataFrame(rows, "g string, x double, y int")
+    got = {r["g"]: r["converged"] for r in M.grouped_logistic(df, ["g"], ["x"], "y").collect()}
+    assert got == {"ok": True, "split": False}
+    keyed = df.withColumn("k", F.monotonically_increasing_id())
+    out = {r["g"]: r for r in M.per_group_sensitivity(keyed, "g", "k", ["x"], "x", "y", F.lit(True), min_rows=20, splits=2).collect()}
+    assert out["ok"]["intercept"] is not None and out["split"]["intercept"] is None and not out["split"]["converged"] and "null" not in out
+
+
+def test_repeated_points_and_parts_in_polygons(spark):
+    ring = lambda x: [(x, 0.0), (x + 2, 0.0), (x + 2, 2.0), (x, 2.0)]
+    polys = spark.createDataFrame([(1, ring(0.0)), (1, ring(10.0)), (2, ring(20.0))], "poly_id bigint, ring array<struct<lon: double, lat: double>>")
+    points = spark.createDataFrame([(1, 1.0, 1.0), (1, 1.0, 1.0), (2, 1.0, 11.0), (3, 1.0, 5.0), (4, 1.0, 21.0)], "point_id bigint, lat double, lon double")
+    assert sorted(tuple(r) for r in geo.points_in_polygons(points, polys).collect()) == [(1, 1), (2, 1), (4, 2)]

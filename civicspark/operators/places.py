@@ -13,8 +13,10 @@ from civicspark.functions import scalars as S
 from civicspark.operators import ordered as O
 from civicspark.operators import tables as TB
 
-PLACE = ("struct<address:struct<locationName:string,line1:string,city:string>,"
-         "sources:array<struct<name:string,official:boolean>>,pollingHours:string>")
+ADDRESS = ["locationName", "line1", "line2", "line3", "city", "state", "zip"]
+SCALARS = ["pollingHours", "startDate", "endDate", "notes"]
+PLACE = (f"struct<address:struct<{','.join(f'{f}:string' for f in ADDRESS)}>,"
+         f"sources:array<struct<name:string,official:boolean>>,{','.join(f'{f}:string' for f in SCALARS)}>")
 RESPONSE = f"map<string,array<{PLACE}>>"
 
 
@@ -25,14 +27,18 @@ def count_types(df: DataFrame, col: str) -> DataFrame:
     return kinds.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
 
-def first_seen_counts(seen: DataFrame) -> DataFrame:
+def first_seen_counts(seen: DataFrame, types: Sequence[str] = ()) -> DataFrame:
     """Per point and type: how many places, and how many whose (type, name) no earlier point had.
 
+    With ``types`` each point has a row for each of them, with zeros where it has no place of that type.
     The first point of a name is a minimum, so names are merged before they move; a name counts once.
     """
     totals = seen.groupBy("point", "place_type").agg(F.count(F.lit(1)).alias("total"))
     firsts = seen.groupBy("place_type", "name").agg(F.min("point").alias("point"))
     unseen = firsts.groupBy("point", "place_type").agg(F.count(F.lit(1)).alias("unseen"))
+    if types:
+        blank = seen.select("point").distinct().withColumn("place_type", F.explode(F.array(*[F.lit(t) for t in types])))
+        totals = (totals.unionByName(blank.withColumn("total", F.lit(0).cast("bigint"))).groupBy("point", "place_type").agg(F.sum("total").alias("total")))
     return (totals.join(unseen, ["point", "place_type"], "left")
             .select("point", "place_type", "total", F.coalesce("unseen", F.lit(0)).cast("bigint").alias("unseen")))
 
@@ -87,26 +93,38 @@ def mask_repeats(df: DataFrame, index: Sequence[str], tie: str) -> DataFrame:
 
 
 def flatten_places(df: DataFrame, col: str, keep: Sequence[str]) -> DataFrame:
-    """One row per place and source of a stored response: type, position, address and source fields."""
+    """One row per place and source of a stored response: type, position, and every known place, address and source field."""
     parsed = df.select(*keep, F.explode_outer(F.from_json(col, RESPONSE)).alias("place_type", "places"))
     places = parsed.select(*keep, "place_type", F.posexplode_outer("places").alias("place_index", "p")).filter(F.col("p").isNotNull())
-    flat = places.select(*keep, "place_type", "place_index", F.col("p.pollingHours").alias("Pollinghours"),
-                         *[F.col(f"p.address.{f}").alias(f"Address{f[0].upper()}{f[1:].lower()}") for f in ("locationName", "line1", "city")],
+    flat = places.select(*keep, "place_type", "place_index", *[F.col(f"p.{f}").alias(f.capitalize()) for f in SCALARS],
+                         *[F.col(f"p.address.{f}").alias(f"Address{f.capitalize()}") for f in ADDRESS],
                          F.posexplode_outer("p.sources").alias("source_index", "s"))
     return flat.select(*[c for c in flat.columns if c != "s"], F.col("s.name").alias("SourcesName"),
                        F.col("s.official").cast("int").alias("SourcesOfficial"))
 
 
-def sample_first_place(df: DataFrame, col: str, keep: Sequence[str], types: Sequence[str]) -> DataFrame:
-    """Attributes of the first place of each type, one column per type and attribute."""
-    parsed = df.select(*keep, F.from_json(col, RESPONSE).alias("r"))
-    out = []
-    for kind in types:
-        first = F.get(F.col("r")[kind], F.lit(0))
-        prefix = kind.removesuffix("s")
-        out += [first["pollingHours"].alias(f"{prefix}Pollinghours"), first["address"]["locationName"].alias(f"{prefix}AddressLocationname"),
-                first["address"]["city"].alias(f"{prefix}AddressCity")]
-    return parsed.select(*keep, *out)
+def sample_first_place(df: DataFrame, col: str, keep: Sequence[str], types: Sequence[str] = ()) -> DataFrame:
+    """Every attribute of the first place of each type (all types unless named), as rows (attribute, value).
+
+    Whatever keys a place, its address and its sources carry: ``<type><Key>``, ``<type>Address<Key>`` and
+    ``<type>Sources<i><Key>``, the type without its last letter. Values are text.
+    """
+    parsed = df.select(*keep, F.explode_outer(F.from_json(col, "map<string,array<string>>")).alias("kind", "places"))
+    first = parsed.select(*keep, "kind", F.from_json(F.get("places", F.lit(0)), "map<string,string>").alias("m")).filter(F.col("m").isNotNull())
+    if types:
+        first = first.filter(F.col("kind").isin(list(types)))
+
+    def named(entries: Column, prefix: Column) -> Column:
+        return F.transform(entries, lambda e: F.struct(F.concat(prefix, S.capitalize(e["key"])).alias("attribute"), e["value"].alias("value")))
+
+    none = F.array().cast("array<struct<attribute:string,value:string>>")
+    plain = named(F.filter(F.map_entries("m"), lambda e: ~e["key"].isin("address", "sources") & ~e["value"].rlike(r"^[\[{]")), F.lit(""))
+    address = F.coalesce(named(F.map_entries(F.from_json(F.col("m")["address"], "map<string,string>")), F.lit("Address")), none)
+    sources = F.transform(F.from_json(F.col("m")["sources"], "array<map<string,string>>"),
+                          lambda s, i: named(F.map_entries(s), F.concat(F.lit("Sources"), i.cast("string"))))
+    rows = first.select(*keep, "kind", F.explode(F.concat(plain, address, F.coalesce(F.flatten(sources), none))).alias("a"))
+    kind = F.left("kind", F.length("kind") - 1)
+    return rows.filter(F.col("a.value").isNotNull()).select(*keep, F.concat(kind, F.col("a.attribute")).alias("attribute"), F.col("a.value").alias("value"))
 
 
 def normalise_address(parts: Sequence[Column]) -> Column:

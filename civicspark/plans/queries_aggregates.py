@@ -166,12 +166,13 @@ def win_nearby_rank(t):
     return geo.rank_nearby(pairs, 5)
 
 
-@query("win_first_seen", """SELECT point, place_type, count(*) AS total, count(*) FILTER (rn = 1) AS unseen FROM
+@query("win_first_seen", """SELECT point, place_type, count(rn) AS total, count(*) FILTER (rn = 1) AS unseen FROM (SELECT DISTINCT l_orderkey AS point FROM lineitem)
+       CROSS JOIN (VALUES ('A'), ('N'), ('R')) k(place_type) LEFT JOIN
        (SELECT o_orderkey AS point, l_returnflag AS place_type, row_number() OVER (PARTITION BY l_returnflag, l_suppkey ORDER BY o_orderkey, l_linenumber, l_partkey, l_extendedprice) AS rn
-        FROM lineitem JOIN orders ON l_orderkey = o_orderkey) GROUP BY 1, 2""")
+        FROM lineitem JOIN orders ON l_orderkey = o_orderkey) USING (point, place_type) GROUP BY 1, 2""")
 def win_first_seen(t):
     seen = t.lineitem.select(F.col("l_orderkey").alias("point"), F.col("l_returnflag").alias("place_type"), F.col("l_suppkey").alias("name"))
-    return PL.first_seen_counts(seen)
+    return PL.first_seen_counts(seen, ["A", "N", "R"])
 
 
 @query("win_fill_same_address", sql("raw_voters", """SELECT voter_key, coalesce(city, max_city) AS city FROM (SELECT voter_key, city,

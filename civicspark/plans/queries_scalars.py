@@ -167,11 +167,13 @@ def _responses(t):
     def place(i):
         sources = F.slice(F.array(F.struct(F.lit("src0").alias("name"), F.lit(True).alias("official")),
                                   F.struct(F.lit("src1").alias("name"), F.lit(False).alias("official"))), F.lit(1), (k % 3).cast("int"))
-        address = F.struct(text("Hall ", k + i).alias("locationName"), text(k * 7 + i, " Main St").alias("line1"), text("City ", k % 10).alias("city"))
+        address = F.struct(text("Hall ", k + i).alias("locationName"), text(k * 7 + i, " Main St").alias("line1"), text("City ", k % 10).alias("city"),
+                           F.lit("ST").alias("state"), text(k % 100).alias("zip"))
         return F.struct(address.alias("address"), sources.alias("sources"), text("7-", k % 5 + 15).alias("pollingHours"))
 
     polls = F.transform(F.sequence(F.lit(0).cast("bigint"), k % 2), place)
-    early = F.array(F.struct(F.struct(text("Early ", k).alias("locationName"), F.lit(None).cast("string").alias("line1"), text("City ", k % 10).alias("city")).alias("address"),
+    early = F.array(F.struct(F.struct(text("Early ", k).alias("locationName"), F.lit(None).cast("string").alias("line1"), text("City ", k % 10).alias("city"),
+                                          F.lit("ST").alias("state"), text(k % 100).alias("zip")).alias("address"),
                              F.array().cast("array<struct<name:string,official:boolean>>").alias("sources"), F.lit(None).cast("string").alias("pollingHours")))
     entries = F.array(F.struct(F.lit("pollingLocations"), polls), F.struct(F.lit("earlyVoteSites"), early))
     kept = F.slice(entries, F.lit(1), F.when(k % 4 == 0, 2).otherwise(1))
@@ -183,17 +185,22 @@ _POLL = """SELECT event_id, k, 'pollingLocations' AS place_type, CAST(i AS INTEG
 
 
 @query("json_flatten_place", sql("ek", f"""SELECT event_id, place_type, place_index, hours AS "Pollinghours", name AS "AddressLocationname", line1 AS "AddressLine1", city AS "AddressCity",
-       CAST(j AS INTEGER) AS source_index, 'src' || j AS "SourcesName", CASE j WHEN 0 THEN 1 WHEN 1 THEN 0 END AS "SourcesOfficial" FROM ({_POLL}) LEFT JOIN (SELECT unnest(range(0, 2)) AS j) ON j < ns"""))
+       CAST(j AS INTEGER) AS source_index, NULL AS "Startdate", NULL AS "Enddate", NULL AS "Notes", NULL AS "AddressLine2", NULL AS "AddressLine3", 'ST' AS "AddressState", CAST(k % 100 AS VARCHAR) AS "AddressZip", 'src' || j AS "SourcesName", CASE j WHEN 0 THEN 1 WHEN 1 THEN 0 END AS "SourcesOfficial" FROM ({_POLL}) LEFT JOIN (SELECT unnest(range(0, 2)) AS j) ON j < ns"""))
 def json_flatten_place(t):
     return PL.flatten_places(_responses(t), "response", ["event_id"])
 
 
-@query("json_sample_first", sql("ek", f"""SELECT event_id, max(CASE WHEN place_type LIKE 'poll%' THEN hours END) AS "pollingLocationPollinghours", max(CASE WHEN place_type LIKE 'poll%' THEN name END) AS "pollingLocationAddressLocationname",
-       max(CASE WHEN place_type LIKE 'poll%' THEN city END) AS "pollingLocationAddressCity", max(CASE WHEN place_type LIKE 'early%' THEN hours END) AS "earlyVoteSitePollinghours",
-       max(CASE WHEN place_type LIKE 'early%' THEN name END) AS "earlyVoteSiteAddressLocationname", max(CASE WHEN place_type LIKE 'early%' THEN city END) AS "earlyVoteSiteAddressCity"
-       FROM ({_POLL}) WHERE place_index = 0 GROUP BY 1"""))
+CTES["first_place"] = f"SELECT *, left(place_type, -1) AS p FROM ({_POLL}) WHERE place_index = 0"
+CTES["numbers"] = "SELECT unnest(range(0, 2)) AS j"
+
+
+@query("json_sample_first", sql("ek first_place numbers", """SELECT event_id, attribute, value FROM (SELECT event_id, p || 'Pollinghours' AS attribute, hours AS value FROM first_place
+       UNION ALL SELECT event_id, p || 'AddressLocationname', name FROM first_place UNION ALL SELECT event_id, p || 'AddressLine1', line1 FROM first_place
+       UNION ALL SELECT event_id, p || 'AddressCity', city FROM first_place UNION ALL SELECT event_id, p || 'AddressState', 'ST' FROM first_place
+       UNION ALL SELECT event_id, p || 'AddressZip', CAST(k % 100 AS VARCHAR) FROM first_place UNION ALL SELECT event_id, p || 'Sources' || j || 'Name', 'src' || j FROM first_place, numbers WHERE j < ns
+       UNION ALL SELECT event_id, p || 'Sources' || j || 'Official', CASE j WHEN 0 THEN 'true' ELSE 'false' END FROM first_place, numbers WHERE j < ns) WHERE value IS NOT NULL"""))
 def json_sample_first(t):
-    return PL.sample_first_place(_responses(t), "response", ["event_id"], ["pollingLocations", "earlyVoteSites"])
+    return PL.sample_first_place(_responses(t), "response", ["event_id"])
 
 
 @query("json_pick_component", """SELECT c_custkey, n_name AS state_long, substring(n_name, 1, 2) AS state_short, CASE WHEN c_custkey % 4 > 0 THEN c_mktsegment || ' County' END AS county_long

@@ -11,8 +11,8 @@ impacts of the less frequent terms exactly and adds all that a unit can get from
 others WAND moves its cursors by pivot, skipping blocks whose maxima cannot reach the threshold. All units above the threshold
 are retrieved.
 
-The check. Question (all but the last sentence) and answer (the last sentence) of a retrieved unit's item are compared with
-the whole text: shares of their distinct n-grams of words that occur in it. A row is contaminated if both shares reach
+The check. Question and answer (the closing sentences) of a retrieved unit's item are compared with
+the whole text: shares of their distinct n-grams (of up to ``NGRAM`` words) that occur in it. A row is contaminated if both shares reach
 ``overlap``.
 """
 
@@ -28,30 +28,38 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from civicspark.llm.text import distinct, ngrams, pack_rows, slices, word_hashes
+from civicspark.llm.text import distinct, fold_latin, ngrams, pack_rows, slices, word_hashes
 from civicspark.session import materialise
 
 UNIT_WORDS = 64
 BLOCK = 16
 SHARD_WORDS = 1 << 17
 NGRAM = 4
+ANSWER_WORDS = 8
 SHARE = 0.25
 K1, B = 1.2, 0.75
 _TOKEN = r"[^\x20\x09-\x0D]+"
 
 
 def split_item(text: str) -> tuple[str, str]:
-    """Question and answer: the answer is the last sentence (or line), the question what precedes it; one sentence is both."""
-    parts = [p for p in re.split(r"(?<=[.!?])\s+|\n+", text.strip()) if p]
-    if len(parts) < 2:
-        return text, text
-    return text[:text.rindex(parts[-1])], parts[-1]
+    """Question and answer: the answer is the least number of closing sentences (or lines) with ANSWER_WORDS words, the question
+    what precedes it. Where nothing would precede it, the whole text is both."""
+    starts = [0, *(m.end() for m in re.finditer(r"[.!?]\s+|\n+", text))]
+    for at in reversed(starts):
+        if len(text[at:].split()) >= ANSWER_WORDS:
+            return (text[:at], text[at:]) if text[:at].strip() else (text, text)
+    return text, text
+
+
+def gram_size(words: int) -> int:
+    """Words per n-gram of a part: up to NGRAM, fewer in short parts, so that one changed word leaves others whole; 0 if blank."""
+    return min(NGRAM, max(1, words // 3)) if words else 0
 
 
 def hashes_of(texts: list[str]) -> list[np.ndarray]:
     data = [t.encode() for t in texts]
     offsets = np.concatenate([[0], np.cumsum([len(d) for d in data])]).astype(np.int64)
-    words, rows = word_hashes(np.frombuffer(b"".join(data), np.uint8), offsets)
+    words, rows = word_hashes(fold_latin(np.frombuffer(b"".join(data), np.uint8)), offsets)
     return [words[a:b] for a, b in zip(rows, rows[1:])]
 
 
@@ -80,7 +88,7 @@ class Shard:
         self.present = np.zeros(1 << 20, bool)
         self.present[self.terms & np.uint64(len(self.present) - 1)] = True
         self._part_terms()
-        self.grams = [[(min(NGRAM, len(w)), np.unique(ngrams(w, NGRAM))) for w in hashes_of(list(split_item(t)))] for _, t in items]
+        self.grams = [[(n := gram_size(len(w)), distinct(ngrams(w, n))) for w in hashes_of(list(split_item(t)))] for _, t in items]
 
     def _part_terms(self) -> None:
         """Part the terms into frequent ones, whose impacts never sum to more than SHARE on any unit, and the others.
@@ -225,7 +233,7 @@ def shards_of(items: DataFrame) -> Iterator[Shard]:
 
     def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offsets in slices(batches):
-            words, rows = word_hashes(data, offsets)
+            words, rows = word_hashes(fold_latin(data), offsets)
             for s, a, b in zip(batch.column("shard").to_pylist(), rows, rows[1:]):
                 for at in range(a, b, UNIT_WORDS):
                     found = np.unique(words[at:min(b, at + UNIT_WORDS)]).view(np.int64)
@@ -260,7 +268,7 @@ def find_contamination(docs: DataFrame, items: DataFrame, threshold: float = 0.5
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             shard = sent.value
             for batch, data, offsets in slices(batches):
-                words, rows = word_hashes(data, offsets)
+                words, rows = word_hashes(fold_latin(data), offsets)
                 found = list(search(shard, words, rows, threshold, overlap))
                 if found:
                     ids = batch.column("doc_id").to_pylist()
@@ -280,7 +288,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, threshold: float = 0.5, ove
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             for batch, data, offsets in slices(batches):
-                words, rows = word_hashes(data, offsets)
+                words, rows = word_hashes(fold_latin(data), offsets)
                 clean = np.ones(batch.num_rows, bool)
                 clean[[f[0] for f in search(sent.value, words, rows, threshold, overlap)]] = False
                 yield batch.filter(pa.array(clean))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from civicspark.llm.text import pack_rows, slices
+from civicspark.llm.text import fold_latin, pack_rows, slices
 
 BUCKETS = 1 << 14
 AMBIGUOUS = 0.6
@@ -34,11 +34,7 @@ _FOLD[128:] = np.arange(128, 256)
 def trigrams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Bucket of each trigram of the folded texts, and the trigram offsets of the rows. A text stands between separators."""
     n = len(offsets) - 1
-    folded = _FOLD[data]
-    if len(data):
-        after = np.concatenate([[False], data[:-1] == 0xC3])
-        capital = after & (data >= 0x80) & (data <= 0x9E)
-        folded[capital] += 0x20
+    folded = _FOLD[fold_latin(data)]
     # room for a separator around each text
     out = np.full(len(data) + 2 * n, 32, np.uint8)
     lengths = np.diff(offsets)

@@ -100,6 +100,17 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return mix64((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64)), rows
 
 
+def fold_latin(data: np.ndarray) -> np.ndarray:
+    """The bytes with accented Latin-1 capitals in lower case; lengths stay."""
+    lead = np.flatnonzero(data[:-1] == 0xC3) if len(data) else data
+    if not len(lead):
+        return data
+    data = data.copy()
+    after = data[lead + 1]
+    data[lead + 1] = np.where((after >= 0x80) & (after <= 0x9E) & (after != 0x97), after + 0x20, after)
+    return data
+
+
 def pack_rows(columns: dict[str, list], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], schema=schema)
 

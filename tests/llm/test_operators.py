@@ -84,7 +84,7 @@ def leaks(rows, items, overlap=0.6):
             shares = []
             for part in decontaminate.split_item(item):
                 p = words_of(part)
-                n = min(4, len(p))
+                n = decontaminate.gram_size(len(p))
                 shares.append(len(grams(p, n) & grams(w, n)) / len(grams(p, n)))
             if min(shares) >= overlap:
                 out.add((d, i))

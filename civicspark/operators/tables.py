@@ -73,9 +73,13 @@ def dedup_records(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame
 
 
 def history_pivot(history: DataFrame, key: str, when: str, value: str, known: Sequence[str], name) -> DataFrame:
-    """One row per key, one column per known date holding the largest value (a fixed rule for double entries)."""
-    wide = history.groupBy(key).pivot(when, list(known)).agg(F.max(value))
-    return wide.select(key, *[F.col(f"`{d}`").alias(name(d)) for d in known])
+    """One row per key, one column per known date holding the largest value (a fixed rule for double entries).
+
+    ``n_other`` counts the key's rows of dates that are not known, so that none is dropped without a word.
+    """
+    at = F.col(when).cast("string")
+    picks = [F.max(F.when(at == F.lit(d), F.col(value))).alias(name(d)) for d in known]
+    return history.groupBy(key).agg(*picks, F.count_if(~F.coalesce(at.isin(list(known)), F.lit(False))).alias("n_other"))
 
 
 def stack(df: DataFrame, ids: Sequence[str], values: Sequence[str], variable: str, value: str) -> DataFrame:

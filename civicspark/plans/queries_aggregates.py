@@ -103,10 +103,11 @@ def agg_pivot_mean(t):
 
 @query("agg_pivot_history", sql("history voters", "SELECT v.voter_id, " + ", ".join(
     f"max(CASE WHEN election_at = '{d}' THEN vote_method END) AS {S.election_column_name(d)}" for d in ELECTIONS)
-    + " FROM voters v LEFT JOIN history h ON v.voter_id = h.voter_id GROUP BY v.voter_id"))
+    + ", count(*) FILTER (h.voter_id IS NOT NULL AND election_at NOT IN (" + ", ".join(f"'{d}'" for d in ELECTIONS)
+    + ")) AS n_other FROM voters v LEFT JOIN history h ON v.voter_id = h.voter_id GROUP BY v.voter_id"))
 def agg_pivot_history(t):
     wide = TB.history_pivot(B.history(t), "voter_id", "election_at", "vote_method", ELECTIONS, S.election_column_name)
-    return B.voters(t).select("voter_id").join(wide, "voter_id", "left")
+    return B.voters(t).select("voter_id").join(wide, "voter_id", "left").withColumn("n_other", F.coalesce("n_other", F.lit(0)))
 
 
 @query("agg_type_counter", "SELECT kind, count(*) AS n FROM (SELECT unnest([event_type, 'point_of_interest', 'user_' || CAST(user_id % 7 AS VARCHAR)]) AS kind FROM events) GROUP BY 1")

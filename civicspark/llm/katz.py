@@ -41,6 +41,7 @@ HOT = 200
 SLICE_TOKENS = 1 << 20
 RANGE_TOKENS = 1 << 21
 PARTS_DOCS = 1 << 22
+FINE = float(1 << 30)  # sums of logarithms, none positive, are stored in these parts
 END = np.uint64(0x5EED0E9D5EED0E9D)
 
 
@@ -48,7 +49,7 @@ def squeeze(values: np.ndarray) -> bytes:
     """Unsigned integers as compressed byte planes, lowest byte first."""
     planes = np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T)
     used = max(1, -(-int(values.max()).bit_length() // 8)) if len(values) else 1
-    return bytes([used]) + len(values).to_bytes(8, "little") + zstandard.ZstdCompressor(level=1).compress(planes[:used].tobytes())
+    return bytes([used]) + len(values).to_bytes(8, "little") + zstandard.ZstdCompressor(level=3).compress(planes[:used].tobytes())
 
 
 def unsqueeze(data: bytes) -> np.ndarray:
@@ -261,7 +262,7 @@ def count_pairs(table: pa.Table, words: Words) -> pa.Table:
     unseen_h = np.searchsorted(used, h_of[event[back]])
     of_counts = np.bincount(c[seen & (c <= TOP + 1)], minlength=TOP + 2)[1:]
     return pa.Table.from_batches([_row(
-        _TABLE, range=rows[0]["range"], slices=[r["slice"] for r in rows], n_docs=[r["n_docs"] for r in rows], sums=sums.astype("<f8").tobytes(),
+        _TABLE, range=rows[0]["range"], slices=[r["slice"] for r in rows], n_docs=[r["n_docs"] for r in rows], sums=squeeze(np.rint(-sums * FINE).astype(np.int64)),
         classes=squeeze(classes.reshape(-1)), unseen_doc=squeeze(doc[back]), unseen_h=squeeze(unseen_h), h=squeeze(hs[used]), h_count=squeeze(h_count[used]),
         h_classes=squeeze(h_classes[used].reshape(-1)), h_more=squeeze(h_more[used]), h_lower=h_lower[used].astype("<f8").tobytes(), stats=of_counts.tolist())], _TABLE)
 
@@ -343,7 +344,7 @@ def score(docs: DataFrame, held: Column, store: str | None = None) -> DataFrame:
                                  np.minimum(np.frombuffer(row["h_lower"], "<f8"), 1 - 1e-15), discount)
                 for i in np.flatnonzero(np.isin(h, list(hot))):
                     weight[i] = hot[int(h[i])]
-                part = np.frombuffer(row["sums"], "<f8") + unsqueeze(row["classes"]).reshape(-1, TOP) @ np.log10(discount[1:])
+                part = unsqueeze(row["sums"]) / -FINE + unsqueeze(row["classes"]).reshape(-1, TOP) @ np.log10(discount[1:])
                 part = part + np.bincount(unsqueeze(row["unseen_doc"]), weight[unsqueeze(row["unseen_h"])], len(part))
                 ends = np.cumsum([0, *row["n_docs"]])
                 for k, a, b in zip(row["slices"], ends, ends[1:]):

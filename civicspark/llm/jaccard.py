@@ -148,10 +148,6 @@ SETS = "fp long, size int, own int, tokens array<long>, first array<long>, secon
 _SETS = pa.schema([("fp", pa.int64()), ("size", pa.int32()), ("own", pa.int32()), *((c, pa.list_(pa.int64())) for c in ("tokens", "first", "second", "third"))])
 
 
-def least_overlap(size: int, percent: int) -> int:
-    return -(-size * percent // 100)
-
-
 def gather_sets(table: pa.Table, percent: int) -> Iterator[pa.RecordBatch]:
     """The texts of a slice that may have a partner: size, tokens held alone (``own``), shared tokens, and the prefixes."""
     rows = table.to_pylist()

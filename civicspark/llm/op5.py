@@ -1,7 +1,5 @@
 """Query op5: the language of all documents."""
 
-from pyspark.sql import functions as F
-
 from civicspark.llm.langid import fold_of, predict, train
 from civicspark.llm.registry import query, table
 

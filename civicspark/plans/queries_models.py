@@ -162,8 +162,11 @@ def ml_coef_table(t):
 def ml_counterfactual(t):
     enc, _ = _encoded(t)
     assembler = VectorAssembler(inputCols=_inputs(), outputCol="features")
+    enc = materialise(enc, "encoded")  # every model reads it many times
     train = assembler.transform(enc).select("features", F.col("vote_method").cast("double").alias("label"))
-    return M.counterfactual(M.logistic(train), enc, assembler, "distance", "voter_key")
+    frames = [M.counterfactual(fit(train), enc, assembler, "distance", "voter_key").withColumn("model", F.lit(name))
+              for name, fit in (("logistic", M.logistic), ("tree", M.tree))]
+    return frames[0].unionByName(frames[1])
 
 
 def _tract_rows(t):

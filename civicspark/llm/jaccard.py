@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from civicspark.llm.columns import unused
 from civicspark.llm.components import components
-from civicspark.llm.text import mix64, shingle_sets, slices, word_hashes
+from civicspark.llm.text import mix64, release, shingle_sets, slices, word_hashes
 from civicspark.session import materialise
 
 RANGE_TOKENS = 1 << 21
@@ -70,6 +70,12 @@ def _row(key: int, piece: int, **parts: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(values, _PACKED, strict=True)], schema=_PACKED)
 
 
+def _all(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> pa.Table:
+    out = pa.Table.from_batches(batches, schema)
+    release()
+    return out
+
+
 def _split48(tokens: np.ndarray) -> np.ndarray:
     """The low 48 bits of tokens as 6 bytes each."""
     return np.ascontiguousarray(tokens.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6])
@@ -248,8 +254,8 @@ def similar_documents(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFra
     frequent = spark.sparkContext.broadcast(np.sort(np.array([r.fp for r in often.collect()], np.int64).view(np.uint64)))
     ranges = max(1, math.ceil(total / RANGE_TOKENS))
     dealt = deal_tokens(docs, n, ranges, frequent)
-    counted = dealt.groupBy("key").applyInArrow(lambda t: pa.Table.from_batches(count_range(t), _PACKED), PACKED)
-    sets = counted.groupBy("slice").applyInArrow(lambda t: pa.Table.from_batches(gather_sets(t, percent), _SETS), SETS)
+    counted = dealt.groupBy("key").applyInArrow(lambda t: _all(count_range(t), _PACKED), PACKED)
+    sets = counted.groupBy("slice").applyInArrow(lambda t: _all(gather_sets(t, percent), _SETS), SETS)
     rest = [F.first(c).alias(c) for c in ("size", "own", "tokens", "first", "second", "third")]
     sets = materialise(sets.groupBy("fp").agg(*rest), "sets")
     labels = similar_sets(sets, percent)

@@ -6,6 +6,8 @@ A task never holds more than one slice of ``SLICE_BYTES`` (or one single longer
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -74,6 +76,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", size: int =
             j = min(j, len(texts))
             yield batch.slice(i, j - i), data[ends[i]:ends[j]], ends[i:j + 1] - ends[i]
             i = j
+        release()
 
 
 def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -111,6 +114,13 @@ def fold_latin(data: np.ndarray) -> np.ndarray:
     return data
 
 
+def release() -> None:
+    """Give freed memory back to the system: workers live on from stage to stage, and an executor's are counted together."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # only some C libraries have it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def pack_rows(columns: dict[str, list], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], schema=schema)
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from civicspark.llm.bitpack import pack, unpack, width
-from civicspark.llm.text import pack_rows
+from civicspark.llm.text import pack_rows, release
 from civicspark.session import scratch_path
 
 BLOCK_IDS = 1 << 16
@@ -193,7 +193,7 @@ def _encode_blocks(tokenizer_json, bits: int, end_id: int) -> Callable:
                 yield pack_rows({"shard": [shard], "block": [block], "first": [first], "n_ids": [b - a], "doc_ids": [doc_ids[i:j]],
                                  "offsets": [(offsets[i:j + 1] - a).tolist()], "bits": [bits], "payload": [pack(with_end[a:b], bits)]}, schema)
                 block, first, i = block + 1, first + b - a, j
-            pa.default_memory_pool().release_unused()
+            release()
 
     return run
 

@@ -31,7 +31,7 @@ from civicspark.session import scratch_path
 BLOCK_IDS = 1 << 16
 ENCODE_BYTES = 1 << 22
 PIECES = 4096
-REMEMBERED = 300_000
+REMEMBERED = 600_000  # about 120 MB of a worker for each half that is full
 CLOSING = "!\"#$%&)*+,-./:;=>?@\\]^_`|}~"
 ODD = r"^ | $| \s|\s |[\x0B\x85\xA0\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 BLOCKS = "shard int, block int, first long, n_ids long, doc_ids array<long>, offsets array<long>, bits int, payload binary"
@@ -55,13 +55,14 @@ def piece_ids(definition: str) -> PieceIds:
 class PieceIds:
     """Ids of pieces of text, as little-endian unsigned 32-bit bytes; remembers the pieces met of late.
 
-    At most 2 * REMEMBERED pieces are held: when the newer half is full it becomes the older half.
+    At most twice ``remembered`` pieces are held, but for those of one run: when the newer half is full it becomes the older half.
     Pieces without a tab are joined by tabs and encoded together: a lone tab before other text is cut off by the
     pre-tokenizer and is one id, which no other text yields. The others are encoded one by one.
     """
 
     def __init__(self, tokenizer):
         self.tokenizer = tokenizer
+        self.remembered = REMEMBERED
         self.newer: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.tab = self._encode("\t")[0]
@@ -91,13 +92,13 @@ class PieceIds:
         The pre-tokenizer always cuts between a letter or digit and closing punctuation: so a new piece that ends in
         punctuation is its stem and its ending, each encoded once.
         """
-        if len(self.newer) > REMEMBERED:
+        if len(self.newer) > self.remembered:
             self.older, self.newer = self.newer, {}
         newer, older = self.newer, self.older
-        for at in range(0, len(pieces), REMEMBERED):
+        for at in range(0, len(pieces), self.remembered):
             new: dict[str, None] = {}
             composed = []
-            for p in pieces[at:at + REMEMBERED]:
+            for p in pieces[at:at + self.remembered]:
                 if p in newer:
                     continue
                 if p in older:
@@ -171,13 +172,14 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             i, done = j, int(sizes[j - 1])
 
 
-def _encode_blocks(tokenizer_json, bits: int, end_id: int) -> Callable:
+def _encode_blocks(tokenizer_json, bits: int, end_id: int, remembered: int) -> Callable:
     schema = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("first", pa.int64()), ("n_ids", pa.int64()),
                         ("doc_ids", pa.list_(pa.int64())), ("offsets", pa.list_(pa.int64())), ("bits", pa.int32()), ("payload", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, block, first = TaskContext.get().partitionId(), 0, 0
         encode = piece_ids(tokenizer_json.value)
+        encode.remembered = remembered
         for batch in _runs(batches):
             ids, counts = encode_texts(encode, batch.column("text"))
             offsets = np.concatenate([[0], np.cumsum(counts + 1)])
@@ -198,11 +200,12 @@ def _encode_blocks(tokenizer_json, bits: int, end_id: int) -> Callable:
     return run
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer_file: str, end_id: int = 2) -> None:
+def write_tokens(docs: DataFrame, path: str, tokenizer_file: str, end_id: int = 2, remembered: int = REMEMBERED) -> None:
     """Encode ``docs`` (doc_id, text; other columns are ignored) and write the token table to ``path``.
 
     NULL texts are empty: such a document is its end id alone. Repeated ids are documents of their own. The tokenizer's
-    definition is read on the driver and sent to the tasks; only texts are shuffled, by ranges of doc_id.
+    definition is read on the driver and sent to the tasks; only texts are shuffled, by ranges of doc_id. ``remembered`` bounds the
+    pieces a worker remembers: fewer take less memory and more time, the ids are the same.
     """
     from tokenizers import Tokenizer
 
@@ -212,7 +215,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_file: str, end_id: int =
     bits = width(max(Tokenizer.from_str(definition).get_vocab_size(), end_id + 1))
     ordered = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
                .repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text"))
-    run = _encode_blocks(spark.sparkContext.broadcast(definition), bits, end_id)
+    run = _encode_blocks(spark.sparkContext.broadcast(definition), bits, end_id, remembered)
     ordered.mapInArrow(run, BLOCKS).write.option("compression", "uncompressed").parquet(path)
 
 
@@ -248,8 +251,8 @@ def document_ids(spark: SparkSession, path: str, doc_id: int) -> list[list[int]]
     return [unpack(r.payload, r.bits, a, b).tolist() for r in found for d, a, b in zip(r.doc_ids, r.offsets, r.offsets[1:]) if d == doc_id]
 
 
-def tokenise(docs: DataFrame, tokenizer_file: str, end_id: int = 2, path: str | None = None) -> DataFrame:
+def tokenise(docs: DataFrame, tokenizer_file: str, end_id: int = 2, path: str | None = None, remembered: int = REMEMBERED) -> DataFrame:
     """Write the token table (to a fresh shared folder unless ``path`` is given) and return what it holds per document."""
     path = path or scratch_path(docs.sparkSession, "tokens")
-    write_tokens(docs, path, tokenizer_file, end_id)
+    write_tokens(docs, path, tokenizer_file, end_id, remembered)
     return read_documents(docs.sparkSession, path)

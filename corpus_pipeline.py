@@ -52,7 +52,8 @@ def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Token ids in bit-packed blocks; start, length and checksum of each document from the files."""
     import public_tokenizers
 
-    return tokenise(docs, public_tokenizers.path("byte_bpe_50k.json"), 2)
+    # the workers of earlier stages live on, so fewer pieces are remembered here than in a job of its own
+    return tokenise(docs, public_tokenizers.path("byte_bpe_50k.json"), 2, remembered=150_000)
 
 
 STAGES = [("quality_classifier", quality), ("ngram_jaccard_join", near_duplicates), ("benchmark_decontamination", decontamination),

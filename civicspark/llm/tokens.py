@@ -29,7 +29,7 @@ from civicspark.llm.text import pack_rows, release
 from civicspark.session import scratch_path
 
 BLOCK_IDS = 1 << 16
-ENCODE_BYTES = 1 << 22
+RUN_BYTES = 1 << 23
 PIECES = 4096
 REMEMBERED = 600_000  # about 120 MB of a worker for each half that is full
 CLOSING = "!\"#$%&)*+,-./:;=>?@\\]^_`|}~"
@@ -161,18 +161,18 @@ def encode_texts(encode: PieceIds, texts: pa.Array) -> tuple[np.ndarray, np.ndar
     return ids, sums[np.cumsum(per_text)] - sums[firsts]
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches cut to ENCODE_BYTES of text."""
+def _runs(batches: Iterator[pa.RecordBatch], run_bytes: int) -> Iterator[pa.RecordBatch]:
+    """Batches cut to ``run_bytes`` of text."""
     for batch in batches:
         sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64))
         i, done = 0, 0
         while i < len(sizes):
-            j = max(i + 1, int(np.searchsorted(sizes, done + ENCODE_BYTES, "right")))
+            j = max(i + 1, int(np.searchsorted(sizes, done + run_bytes, "right")))
             yield batch.slice(i, j - i)
             i, done = j, int(sizes[j - 1])
 
 
-def _encode_blocks(tokenizer_json, bits: int, end_id: int, remembered: int) -> Callable:
+def _encode_blocks(tokenizer_json, bits: int, end_id: int, remembered: int, run_bytes: int) -> Callable:
     schema = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("first", pa.int64()), ("n_ids", pa.int64()),
                         ("doc_ids", pa.list_(pa.int64())), ("offsets", pa.list_(pa.int64())), ("bits", pa.int32()), ("payload", pa.binary())])
 
@@ -180,7 +180,8 @@ def _encode_blocks(tokenizer_json, bits: int, end_id: int, remembered: int) -> C
         shard, block, first = TaskContext.get().partitionId(), 0, 0
         encode = piece_ids(tokenizer_json.value)
         encode.remembered = remembered
-        for batch in _runs(batches):
+        release()
+        for batch in _runs(batches, run_bytes):
             ids, counts = encode_texts(encode, batch.column("text"))
             offsets = np.concatenate([[0], np.cumsum(counts + 1)])
             with_end = np.full(int(offsets[-1]), end_id, np.uint32)
@@ -195,17 +196,17 @@ def _encode_blocks(tokenizer_json, bits: int, end_id: int, remembered: int) -> C
                 yield pack_rows({"shard": [shard], "block": [block], "first": [first], "n_ids": [b - a], "doc_ids": [doc_ids[i:j]],
                                  "offsets": [(offsets[i:j + 1] - a).tolist()], "bits": [bits], "payload": [pack(with_end[a:b], bits)]}, schema)
                 block, first, i = block + 1, first + b - a, j
-            release()
+        release()
 
     return run
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer_file: str, end_id: int = 2, remembered: int = REMEMBERED) -> None:
+def write_tokens(docs: DataFrame, path: str, tokenizer_file: str, end_id: int = 2, remembered: int = REMEMBERED, run_bytes: int = RUN_BYTES) -> None:
     """Encode ``docs`` (doc_id, text; other columns are ignored) and write the token table to ``path``.
 
     NULL texts are empty: such a document is its end id alone. Repeated ids are documents of their own. The tokenizer's
     definition is read on the driver and sent to the tasks; only texts are shuffled, by ranges of doc_id. ``remembered`` bounds the
-    pieces a worker remembers: fewer take less memory and more time, the ids are the same.
+    pieces a worker remembers, ``run_bytes`` the text it encodes at once: less takes less memory and more time, the ids are the same.
     """
     from tokenizers import Tokenizer
 
@@ -215,7 +216,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_file: str, end_id: int =
     bits = width(max(Tokenizer.from_str(definition).get_vocab_size(), end_id + 1))
     ordered = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
                .repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text"))
-    run = _encode_blocks(spark.sparkContext.broadcast(definition), bits, end_id, remembered)
+    run = _encode_blocks(spark.sparkContext.broadcast(definition), bits, end_id, remembered, run_bytes)
     ordered.mapInArrow(run, BLOCKS).write.option("compression", "uncompressed").parquet(path)
 
 
@@ -251,8 +252,9 @@ def document_ids(spark: SparkSession, path: str, doc_id: int) -> list[list[int]]
     return [unpack(r.payload, r.bits, a, b).tolist() for r in found for d, a, b in zip(r.doc_ids, r.offsets, r.offsets[1:]) if d == doc_id]
 
 
-def tokenise(docs: DataFrame, tokenizer_file: str, end_id: int = 2, path: str | None = None, remembered: int = REMEMBERED) -> DataFrame:
+def tokenise(docs: DataFrame, tokenizer_file: str, end_id: int = 2, path: str | None = None, remembered: int = REMEMBERED,
+             run_bytes: int = RUN_BYTES) -> DataFrame:
     """Write the token table (to a fresh shared folder unless ``path`` is given) and return what it holds per document."""
     path = path or scratch_path(docs.sparkSession, "tokens")
-    write_tokens(docs, path, tokenizer_file, end_id, remembered)
+    write_tokens(docs, path, tokenizer_file, end_id, remembered, run_bytes)
     return read_documents(docs.sparkSession, path)

@@ -149,14 +149,18 @@ def encode_texts(encode: PieceIds, texts: pa.Array) -> tuple[np.ndarray, np.ndar
     source = [w if w[:1] == "\n" else " " + w for w in words] + [words[h] for h in heads] + texts.take(pa.array(odd_at)).to_pylist()
     used = np.flatnonzero(np.bincount(which, minlength=len(source)))
     short = used[used < len(source) - len(odd_at)]
-    ids = encode([source[k] for k in short]) + [encode.whole(source[k]) for k in used[len(short):]]
+    ids = encode([source[k] for k in short.tolist()]) + [encode.whole(source[k]) for k in used[len(short):].tolist()]
     lengths = np.zeros(len(source), np.int64)
     lengths[used] = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
     flat = np.frombuffer(b"".join(ids), "<u4")
     begins = np.cumsum(lengths) - lengths
     take = lengths[which]
     ends = np.cumsum(take)
-    ids = flat[np.arange(int(take.sum())) + np.repeat(begins[which] - (ends - take), take)]
+    n = int(ends[-1]) if len(ends) else 0
+    narrow = np.int32 if max(n, len(flat)) < 1 << 31 else np.int64
+    at = np.arange(n, dtype=narrow)
+    at += np.repeat((begins[which] - (ends - take)).astype(narrow), take)
+    ids = flat[at]
     sums = np.concatenate([[0], ends])
     return ids, sums[np.cumsum(per_text)] - sums[firsts]
 

@@ -15,7 +15,7 @@ import public_tokenizers
 from civicspark.llm import bitpack, decontaminate, jaccard, katz, langid, licenses, mixing, quality, text, tokens, topk, trie_counts
 from civicspark.llm.components import components
 from civicspark.plans.compare import duck
-from civicspark.llm.registry import ORACLES
+from civicspark.llm.queries import ORACLES, QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -397,13 +397,14 @@ def brute_katz(rows, held):
     d1, d2 = (katz.discounts([sum(v == r for v in c.values()) for r in range(1, 7)]) for c in (c1, c2))
     kept = lambda d, c: c * (d[c] if c <= 5 else 1)
     p1 = {w: kept(d1, c) / (total + 0.5) for w, c in c1.items()}
+    unseen = 1 - sum(p1.values())
     after = collections.defaultdict(list)
     for (h, w), c in c2.items():
         after[h].append((w, c))
     back = {h: (1 - sum(kept(d2, c) for _, c in f) / (c1[h] + 0.5)) / (1 - sum(p1[w] for w, _ in f)) for h, f in after.items()}
 
     def p(h, w):
-        return kept(d2, c2[h, w]) / (c1[h] + 0.5) if (h, w) in c2 else back.get(h, 1.0) * p1.get(w, 1 - sum(p1.values()))
+        return kept(d2, c2[h, w]) / (c1[h] + 0.5) if (h, w) in c2 else back.get(h, 1.0) * p1.get(w, unseen)
 
     for h in [None, *list(back)[:5], "never seen"]:
         assert abs(sum(p(h, w) for w in c1) + p(h, "never seen") - 1) < 1e-9
@@ -503,7 +504,6 @@ def test_mix_takes_epochs_then_a_fraction(spark, odd, empty, monkeypatch):
 
 @pytest.mark.parametrize("name", ["op10_mixing", "op2_jaccard_join"])
 def test_sql_twins_on_odd_rows(spark, odd, tmp_path, name):
-    from civicspark.llm.registry import QUERIES
     from civicspark.plans.compare import compare
 
     odd[0].filter("doc_id is not null and doc_id <> 7000").select("doc_id", "text", "lang", "source").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))

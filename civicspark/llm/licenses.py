@@ -1,7 +1,7 @@
 """Licence scan: sparse TF-IDF cosine of headers and licence files to templates, then inheritance along paths.
 
-DataFrame functions only. A header is a line that names a licence (``NAMES``); a licence file (``LICENSE``, ``COPYING``, ...)
-is also compared as a whole. Terms are runs of a-z and 0-9 of the lower-cased text. A term of the templates weighs
+DataFrame functions only. Every line that could reach ``least`` is compared (``likely``); a licence file (``LICENSE``, ``COPYING``,
+...) is also compared as a whole. Terms are runs of a-z and 0-9 of the lower-cased text. A term of the templates weighs
 ``tf * (ln((1 + n) / (1 + df)) + 1)``, a term that no template has weighs as one with df 0 and only lengthens its segment.
 A segment is joined to templates through shared terms, never by pairing all with all. The best template of a text is that of
 largest cosine (rounded to 4 places; ties by name) if it reaches ``least``.
@@ -12,6 +12,11 @@ Each distinct directory is looked up once along its ancestors by an equi-join on
 
 from __future__ import annotations
 
+import math
+import re
+from collections import Counter
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,7 +41,8 @@ TEMPLATES = [
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("Proprietary", "Copyright. All rights reserved."),
 ]
-NAMES = r"(?i)licen[cs]e|copyright|spdx|creative commons|public domain"
+NAMES = r"(?i)licen[cs]e|copyright|spdx|creative commons|public domain"  # the line test of the SQL twin; narrower than ``likely``
+STOP = frozenset("0 2 3 4 a and are by code for form general in is of public source terms the this to under use v version work".split())
 LICENCE_FILE = r"(?i)^(licen[cs]e|copying|notice|copyright)([.-][^/]*)?$"
 TERM = "[a-z0-9]+"
 
@@ -80,6 +86,35 @@ def own_licences(segments: DataFrame, templates: list[tuple[str, str]] = TEMPLAT
     return best.select("key", F.col("best.licence").alias("licence"), (-F.col("best.s")).alias("score"))
 
 
+def likely(templates: list[tuple[str, str]], least: float) -> Callable[[Column], Column]:
+    """A cheap test that every segment with a cosine of ``least`` to a template passes.
+
+    By Cauchy's inequality such a segment shares terms that hold ``least ** 2`` of the template's squared weight. So it has a
+    template term that is no stop word, or as many stop words of one template as it takes to hold that much.
+    """
+    counts = [Counter(re.findall(TERM, words.lower())) for _, words in templates]
+    df = Counter(t for c in counts for t in c)
+    strong, weak = set(), set()
+    for c in counts:
+        mass = {t: (k * (math.log((1 + len(counts)) / (1 + df[t])) + 1)) ** 2 for t, k in c.items()}
+        stop = sorted((t for t in mass if t in STOP), key=lambda t: (-mass[t], t))
+        strong |= mass.keys() - STOP
+        need, k = (least ** 2 - 1e-3) * sum(mass.values()), 0  # scores are rounded
+        while need > 0 and k < len(stop):
+            need, k = need - mass[stop[k]], k + 1
+        if need <= 0:
+            weak.add((max(1, k), tuple(sorted(stop))))
+    named = f"(?<![a-z0-9])({'|'.join(sorted(strong))})(?![a-z0-9])" if strong else "(?!)"
+
+    def test(segment: Column) -> Column:
+        out = F.lower(segment).rlike(named)
+        for k, stop in sorted(weak):
+            out = out | (F.size(F.array_intersect(terms(segment), F.array(*map(F.lit, stop)))) >= k)
+        return out
+
+    return test
+
+
 def parent(path: Column) -> Column:
     """The directory of a path: what precedes the last slash, the empty text for the root."""
     return F.regexp_replace(path, "/?[^/]*$", "")
@@ -94,12 +129,11 @@ def scan(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, least:
     """
     text = F.col("text").cast("string")
     files = files.select("file_id", F.col("path").cast("string").alias("path"), text.alias("text"))
-    names_it = F.coalesce(F.col("text").rlike(NAMES), F.lit(False))
     whole = F.coalesce(F.regexp_extract("path", "[^/]*$", 0).rlike(LICENCE_FILE), F.lit(False))
     key = F.struct(F.xxhash64("text").alias("h"), F.length("text").alias("n"))
-    marked = files.select("file_id", "path", whole.alias("whole"), F.when(names_it | whole, key).alias("key"),
-                          F.when(names_it | whole, F.array_union(F.filter(F.split("text", "[\r\n]+"), lambda x: x.rlike(NAMES)),
-                                                                 F.when(whole, F.array("text")).otherwise(F.array().cast("array<string>")))).alias("segments"))
+    lines = F.filter(F.split("text", "[\r\n]+"), likely(templates, least))
+    marked = files.select("file_id", "path", whole.alias("whole"), F.when(F.col("text").isNotNull(), key).alias("key"),
+                          F.array_union(lines, F.when(whole, F.array("text")).otherwise(F.array().cast("array<string>"))).alias("segments"))
     marked = materialise(marked, "licence-lines")
     own = own_licences(marked.filter("key is not null").select("key", F.explode("segments").alias("segment")), templates, least)
     found = materialise(marked.drop("segments").join(own.withColumnRenamed("key", "of"), F.col("key") == F.col("of"), "left")

@@ -279,6 +279,27 @@ def test_licences_are_found_and_inherited(spark):
     assert licenses.scan(df.limit(0)).count() == 0
 
 
+def test_lines_that_name_no_licence_are_compared_too(spark):
+    files = [("/a/LICENSE", "Released under the MIT License."), ("/a/x.py", "code\nAll rights reserved.\ncode"), ("/a/y.py", "code"),
+             ("/b/z.py", "Redistribution and use in source and binary forms are permitted.\ncode"), ("/b/w.py", "use of this, in a form of the work")]
+    df = spark.createDataFrame([(i, p, t) for i, (p, t) in enumerate(files)], "file_id long, path string, text string")
+    got = {r.file_id: (r.licence, r.origin) for r in licenses.scan(df).collect()}
+    assert got[1] == ("Proprietary", "own") and got[2] == ("MIT", "inherited") and got[3] == ("BSD-3-Clause", "own")
+
+
+def test_every_line_that_reaches_the_threshold_is_likely(spark):
+    rng = np.random.default_rng(4)
+    lines = {t for _, t in licenses.TEMPLATES}
+    for _, t in licenses.TEMPLATES:
+        words = re.findall(licenses.TERM, t.lower())
+        lines |= {" ".join([*rng.permutation(words)[:rng.integers(1, len(words) + 1)], *["word"] * int(rng.integers(0, 3))]) for _ in range(40)}
+        lines.add(" ".join(sorted({w for w in words if w in licenses.STOP})))
+    df = spark.createDataFrame([(t,) for t in sorted(lines)], "segment string").select(F.col("segment").alias("key"), "segment")
+    found = {r.key for r in licenses.own_licences(df).collect()}
+    kept = {r.key for r in df.filter(licenses.likely(licenses.TEMPLATES, 0.5)(F.col("segment"))).collect()}
+    assert found and found <= kept and "word" not in kept
+
+
 # 5
 
 

@@ -1,7 +1,9 @@
 """Licence scan: sparse TF-IDF cosine of headers and licence files to templates, then inheritance along paths.
 
-DataFrame functions only. Every line that could reach ``least`` is compared (``likely``); a licence file (``LICENSE``, ``COPYING``,
-...) is also compared as a whole. Terms are runs of a-z and 0-9 of the lower-cased text. A term of the templates weighs
+DataFrame functions only. Compared are lines that could reach ``least`` (``likely``), runs of up to ``RUN`` sentences or parts of
+sentences at line breaks that begin with one that names a licence, and the part of each run between the first and the last such
+term. A licence file (``LICENSE``, ``COPYING``, ...) is also compared as a whole: with the notices, and with whole licence texts
+(``licence_texts``), which come first. A version is named only if the segment has its number. Terms are runs of a-z and 0-9 of the lower-cased text. A term of the templates weighs
 ``tf * (ln((1 + n) / (1 + df)) + 1)``, a term that no template has weighs as one with df 0 and only lengthens its segment.
 A segment is joined to templates through shared terms, never by pairing all with all. The best template of a text is that of
 largest cosine (rounded to 4 places; ties by name) if it reaches ``least``.
@@ -16,6 +18,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,8 +46,19 @@ TEMPLATES = [
 ]
 NAMES = r"(?i)licen[cs]e|copyright|spdx|creative commons|public domain"  # the line test of the SQL twin; narrower than ``likely``
 STOP = frozenset("0 2 3 4 a and are by code for form general in is of public source terms the this to under use v version work".split())
+#: Words that tell one licence from another: the part of a sentence between licence terms is compared only if it has one.
+MARK = r"(?<![a-z0-9])(affero|apache|bsd|redistribution|cc|commons|gnu|mit|mozilla|reserved)(?![a-z0-9])"
+PIECE_ENDS = r"(?<=[.!?;])\s+|[\r\n]+"
+RUN = 5
+LEAST_WHOLE = 0.9  # whole texts share so many ordinary words that less says nothing
 LICENCE_FILE = r"(?i)^(licen[cs]e|copying|notice|copyright)([.-][^/]*)?$"
 TERM = "[a-z0-9]+"
+VERSION = r"-([0-9]+)[.0-9]*$"
+
+
+def whole_texts() -> list[tuple[str, str]]:
+    """Licence and text of the whole licence texts beside this module."""
+    return [(p.stem, p.read_text(encoding="utf-8")) for p in sorted((Path(__file__).parent / "licence_texts").glob("*.txt"))]
 
 
 def terms(text: Column) -> Column:
@@ -66,6 +80,7 @@ def template_weights(spark: SparkSession, templates: list[tuple[str, str]]) -> D
 def own_licences(segments: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, least: float = 0.5) -> DataFrame:
     """Best licence of each key: ``segments`` has key and segment (several per key); returns key, licence, score.
 
+    A single shared term counts only if it names licences by itself. A licence whose version number the segment lacks is named without it.
     Each distinct segment is compared once, however many texts have it. The templates are a fixed list, so broadcasting them is bounded.
     """
     spark = segments.sparkSession
@@ -79,40 +94,45 @@ def own_licences(segments: DataFrame, templates: list[tuple[str, str]] = TEMPLAT
     counted = counted.join(F.broadcast(idf), "term", "left").withColumn("w", F.col("tf") * F.coalesce("idf", unseen)).drop("idf")
     norms = counted.groupBy("part").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     dots = (counted.join(F.broadcast(weights.select("term", "template", "licence", "share")), "term")
-            .groupBy("part", "template", "licence").agg(F.sum(F.col("w") * F.col("share")).alias("dot")))
+            .groupBy("part", "template", "licence").agg(F.sum(F.col("w") * F.col("share")).alias("dot"), F.count("*").alias("n"), F.min("term").alias("term"),
+                                                        F.max(F.col("term") == F.regexp_extract("licence", VERSION, 1)).alias("version")))
+    dots = dots.filter((F.col("n") > 1) | F.col("term").rlike(NAMES)).withColumn("licence", F.when(F.col("version"), F.col("licence")).otherwise(F.regexp_replace("licence", VERSION, "")))
     scored = dots.join(norms, "part").withColumn("score", F.round(F.col("dot") / F.col("norm"), 4)).filter(F.col("score") >= least)
     of_part = scored.groupBy("part").agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("licence").alias("licence"))).alias("hit"))
     best = named.select("key", "part").distinct().join(of_part, "part").groupBy("key").agg(F.min("hit").alias("best"))
     return best.select("key", F.col("best.licence").alias("licence"), (-F.col("best.s")).alias("score"))
 
 
+def telling(templates: list[tuple[str, str]]) -> str:
+    """A pattern of the templates' terms that are no stop words, for lower-cased text."""
+    strong = {t for _, words in templates for t in re.findall(TERM, words.lower())} - STOP
+    return f"(?<![a-z0-9])({'|'.join(sorted(strong))})(?![a-z0-9])" if strong else "(?!)"
+
+
 def likely(templates: list[tuple[str, str]], least: float) -> Callable[[Column], Column]:
-    """A cheap test that every segment with a cosine of ``least`` to a template passes.
+    """A cheap test that every segment passes which names a licence or has a term that is no stop word, and reaches ``least``.
 
-    By Cauchy's inequality such a segment shares terms that hold ``least ** 2`` of the template's squared weight. So it has a
-    template term that is no stop word, or as many stop words of one template as it takes to hold that much.
+    By Cauchy's inequality it shares terms that hold ``least ** 2`` of a template's squared weight: so many of them as it takes
+    to hold that much, and two at least (see ``own_licences``). A segment passes if a part of it does.
     """
     counts = [Counter(re.findall(TERM, words.lower())) for _, words in templates]
     df = Counter(t for c in counts for t in c)
-    strong, weak = set(), set()
+    enough = set()
     for c in counts:
-        mass = {t: (k * (math.log((1 + len(counts)) / (1 + df[t])) + 1)) ** 2 for t, k in c.items()}
-        stop = sorted((t for t in mass if t in STOP), key=lambda t: (-mass[t], t))
-        strong |= mass.keys() - STOP
-        need, k = (least ** 2 - 1e-3) * sum(mass.values()), 0  # scores are rounded
-        while need > 0 and k < len(stop):
-            need, k = need - mass[stop[k]], k + 1
-        if need <= 0:
-            weak.add((max(1, k), tuple(sorted(stop))))
-    named = f"(?<![a-z0-9])({'|'.join(sorted(strong))})(?![a-z0-9])" if strong else "(?!)"
-
-    def test(segment: Column) -> Column:
-        out = F.lower(segment).rlike(named)
-        for k, stop in sorted(weak):
-            out = out | (F.size(F.array_intersect(terms(segment), F.array(*map(F.lit, stop)))) >= k)
+        mass = sorted(((k * (math.log((1 + len(counts)) / (1 + df[t])) + 1)) ** 2 for t, k in c.items()), reverse=True)
+        need, k = (least ** 2 - 1e-3) * sum(mass), 0  # scores are rounded
+        while need > 0:
+            need, k = need - mass[k], k + 1
+        enough.add((max(2, k), tuple(sorted(c))))
+    named = telling(templates)
+
+    def shares(words: Column) -> Column:
+        out = F.lit(False)
+        for k, of in sorted(enough):
+            out = out | (F.size(F.array_intersect(words, F.array(*map(F.lit, of)))) >= k)
         return out
 
-    return test
+    return lambda segment: segment.rlike(NAMES) | (F.lower(segment).rlike(named) & F.exists(F.array(terms(segment)), shares))
 
 
 def parent(path: Column) -> Column:
@@ -131,12 +151,25 @@ def scan(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, least:
     files = files.select("file_id", F.col("path").cast("string").alias("path"), text.alias("text"))
     whole = F.coalesce(F.regexp_extract("path", "[^/]*$", 0).rlike(LICENCE_FILE), F.lit(False))
     key = F.struct(F.xxhash64("text").alias("h"), F.length("text").alias("n"))
-    lines = F.filter(F.split("text", "[\r\n]+"), likely(templates, least))
-    marked = files.select("file_id", "path", whole.alias("whole"), F.when(F.col("text").isNotNull(), key).alias("key"),
-                          F.array_union(lines, F.when(whole, F.array("text")).otherwise(F.array().cast("array<string>"))).alias("segments"))
+    named = telling(templates)
+    test, lower = likely(templates, least), F.lower("text")
+    may = F.coalesce(F.col("text").rlike(NAMES) | lower.rlike(named), F.lit(False))
+    marked = files.select("file_id", "path", whole.alias("whole"), F.when(may | whole, key).alias("key"), F.when(whole, F.col("text")).alias("body"),
+                          F.when(may, F.filter(F.split("text", "[\r\n]+"), test)).alias("lines"), F.when(may, F.split(lower, PIECE_ENDS)).alias("pieces"))
+    run = lambda i, k: F.array_join(F.slice("pieces", i, k), " ")
+    starts = F.filter(F.sequence(F.lit(1), F.size("pieces")), lambda i: F.element_at("pieces", i).rlike(named) & test(run(i, F.lit(RUN))))
+    runs = F.flatten(F.transform(starts, lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(RUN), F.size("pieces") - i + 1)), lambda k: run(i, k))))
+    marked = marked.select("file_id", "path", "whole", "key", "body", "lines", F.when(F.size("pieces") > 0, F.filter(runs, test)).alias("runs"))
+    cores = F.filter(F.transform("runs", lambda x: F.regexp_extract(x, f"(?s){named}(.*{named})?", 0)), lambda x: x.rlike(MARK) & test(x))
+    none = F.array().cast("array<string>")
+    marked = marked.select("file_id", "path", "whole", "key", "body", F.array_distinct(F.concat(*(F.coalesce(c, none) for c in (F.col("lines"), F.col("runs"), cores)))).alias("segments"))
     marked = materialise(marked, "licence-lines")
-    own = own_licences(marked.filter("key is not null").select("key", F.explode("segments").alias("segment")), templates, least)
-    found = materialise(marked.drop("segments").join(own.withColumnRenamed("key", "of"), F.col("key") == F.col("of"), "left")
+    segments = marked.filter("key is not null").select("key", F.explode("segments").alias("segment"))
+    bodies = marked.filter("key is not null and body is not null").select("key", F.col("body").alias("segment"))
+    own = own_licences(segments.unionAll(bodies), templates, least).select("key", F.lit(1).alias("rank"), "licence", "score")
+    own = own.unionAll(own_licences(bodies, whole_texts(), LEAST_WHOLE).select("key", F.lit(0), "licence", "score"))
+    own = own.groupBy("key").agg(F.min(F.struct("rank", "licence", "score")).alias("best")).select("key", "best.licence", "best.score")
+    found = materialise(marked.drop("segments", "body").join(own.withColumnRenamed("key", "of"), F.col("key") == F.col("of"), "left")
                         .select("file_id", "path", "whole", "licence", "score", parent(F.col("path")).alias("dir")), "licences")
     of_dir = (found.filter("whole and licence is not null and dir is not null").groupBy(F.col("dir").alias("from_dir"))
               .agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("licence").alias("licence"))).alias("best")))

@@ -287,6 +287,19 @@ def test_lines_that_name_no_licence_are_compared_too(spark):
     assert got[1] == ("Proprietary", "own") and got[2] == ("MIT", "inherited") and got[3] == ("BSD-3-Clause", "own")
 
 
+def test_notices_inside_sentences_over_lines_and_whole_texts(spark):
+    filler = "plain words that say something else about other matters"
+    files = [(f"{filler} {filler}. Released under the MIT License. {filler} {filler} {filler}", "MIT"), (f"Licensed under CC BY 4.0. {filler} {filler}", "CC-BY-4.0"),
+             ("code here\n# This work is licensed under the GNU General\n# Public License, version 3.\nmore code", "GPL-3.0"),
+             ("This work is licensed under the GNU General Public License.", "GPL"), (f"{filler}\nMit\nAll\n{filler}", None),
+             ("This project is licensed under the MIT License - see the file in the root of the project for details of what it says", "MIT")]
+    df = spark.createDataFrame([(i, f"/d{i}/x.py", t) for i, (t, _) in enumerate(files)], "file_id long, path string, text string")
+    whole = [(name, body.replace("<year>", "2020")) for name, body in licenses.whole_texts()]
+    df = df.unionAll(spark.createDataFrame([(100 + i, f"/w{i}/LICENSE", f"Copyright (c) 2020 A. Author\n\n{t}") for i, (_, t) in enumerate(whole)], df.schema))
+    got = {r.file_id: r.licence for r in licenses.scan(df).collect()}
+    assert got == {**{i: n for i, (_, n) in enumerate(files)}, **{100 + i: n for i, (n, _) in enumerate(whole)}}
+
+
 def test_every_line_that_reaches_the_threshold_is_likely(spark):
     rng = np.random.default_rng(4)
     lines = {t for _, t in licenses.TEMPLATES}
@@ -295,7 +308,8 @@ def test_every_line_that_reaches_the_threshold_is_likely(spark):
         lines |= {" ".join([*rng.permutation(words)[:rng.integers(1, len(words) + 1)], *["word"] * int(rng.integers(0, 3))]) for _ in range(40)}
         lines.add(" ".join(sorted({w for w in words if w in licenses.STOP})))
     df = spark.createDataFrame([(t,) for t in sorted(lines)], "segment string").select(F.col("segment").alias("key"), "segment")
-    found = {r.key for r in licenses.own_licences(df).collect()}
+    named = re.compile(licenses.telling(licenses.TEMPLATES))
+    found = {r.key for r in licenses.own_licences(df).collect() if named.search(r.key.lower())}
     kept = {r.key for r in df.filter(licenses.likely(licenses.TEMPLATES, 0.5)(F.col("segment"))).collect()}
     assert found and found <= kept and "word" not in kept
 

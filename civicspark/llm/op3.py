@@ -9,4 +9,4 @@ def op3_token_output(spark, sf_dir):
     """Start, length and checksum of every document's ids, from the files."""
     import public_tokenizers
 
-    return tokenise(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 2)
+    return tokenise(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 2, special_as_text=False)

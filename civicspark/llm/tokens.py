@@ -36,18 +36,21 @@ CLOSING = "!\"#$%&)*+,-./:;=>?@\\]^_`|}~"
 ODD = r"^ | $| \s|\s |[\x0B\x85\xA0\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 BLOCKS = "shard int, block int, first long, n_ids long, doc_ids array<long>, offsets array<long>, bits int, payload binary"
 
-_loaded: dict[int, PieceIds] = {}
+_loaded: dict[tuple[int, bool], PieceIds] = {}
 
 
-def piece_ids(definition: str) -> PieceIds:
-    """The encoder of a tokenizer's definition, loaded once per worker. Strings of special tokens in a text are ordinary text."""
+def piece_ids(definition: str, special_as_text: bool = True) -> PieceIds:
+    """The encoder of a tokenizer's definition, loaded once per worker.
+
+    Strings of special tokens in a text are ordinary text, or, without ``special_as_text``, what the library makes of them: their ids.
+    """
     from tokenizers import Tokenizer
 
-    key = zlib.crc32(definition.encode())
+    key = zlib.crc32(definition.encode()), special_as_text
     if key not in _loaded:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         tokenizer = Tokenizer.from_str(definition)
-        tokenizer.encode_special_tokens = True
+        tokenizer.encode_special_tokens = special_as_text
         _loaded[key] = PieceIds(tokenizer)
     return _loaded[key]
 
@@ -66,6 +69,8 @@ class PieceIds:
         self.newer: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.tab = self._encode("\t")[0]
+        #: Texts that hold one of these are encoded whole.
+        self.added = [t.content for t in tokenizer.get_added_tokens_decoder().values() if not (t.special and tokenizer.encode_special_tokens)]
 
     def _encode(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
@@ -125,12 +130,14 @@ def encode_texts(encode: PieceIds, texts: pa.Array) -> tuple[np.ndarray, np.ndar
 
     A byte-level pre-tokenizer always cuts before a space, and before a line break, that stands between two characters which
     are not white space. Texts are cut there, each distinct piece is encoded once, and the pieces' ids are strung
-    together. A text in which a space touches other white space is encoded as one piece, so the ids are always those of
-    the whole text.
+    together. A text in which a space touches other white space, or that holds an added token, is encoded as one piece, so the
+    ids are always those of the whole text.
     """
     texts = pc.fill_null(texts, "").cast(pa.large_string())
     n = len(texts)
     odd = pc.match_substring_regex(texts, ODD).to_numpy(zero_copy_only=False)
+    for content in encode.added:
+        odd = odd | pc.match_substring(texts, content).to_numpy(zero_copy_only=False)
     lines = pc.replace_substring_regex(pc.if_else(pa.array(odd), pa.scalar("", pa.large_string()), texts), r"([^\s\x0B])\n([^\s\x0B])", "\\1 \n\\2")
     lists = pc.split_pattern(lines, " ")
     pieces = lists.flatten().dictionary_encode()
@@ -176,13 +183,13 @@ def _runs(batches: Iterator[pa.RecordBatch], run_bytes: int) -> Iterator[pa.Reco
             i, done = j, int(sizes[j - 1])
 
 
-def _encode_blocks(tokenizer_json, bits: int, end_id: int, remembered: int, run_bytes: int) -> Callable:
+def _encode_blocks(tokenizer_json, bits: int, end_id: int, remembered: int, run_bytes: int, special_as_text: bool) -> Callable:
     schema = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("first", pa.int64()), ("n_ids", pa.int64()),
                         ("doc_ids", pa.list_(pa.int64())), ("offsets", pa.list_(pa.int64())), ("bits", pa.int32()), ("payload", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, block, first = TaskContext.get().partitionId(), 0, 0
-        encode = piece_ids(tokenizer_json.value)
+        encode = piece_ids(tokenizer_json.value, special_as_text)
         encode.remembered = remembered
         release()
         for batch in _runs(batches, run_bytes):
@@ -205,12 +212,13 @@ def _encode_blocks(tokenizer_json, bits: int, end_id: int, remembered: int, run_
     return run
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer_file: str, end_id: int = 2, remembered: int = REMEMBERED, run_bytes: int = RUN_BYTES) -> None:
+def write_tokens(docs: DataFrame, path: str, tokenizer_file: str, end_id: int = 2, remembered: int = REMEMBERED, run_bytes: int = RUN_BYTES,
+                 special_as_text: bool = True) -> None:
     """Encode ``docs`` (doc_id, text; other columns are ignored) and write the token table to ``path``.
 
     NULL texts are empty: such a document is its end id alone. Repeated ids are documents of their own. The tokenizer's
     definition is read on the driver and sent to the tasks; only texts are shuffled, by ranges of doc_id. ``remembered`` bounds the
-    pieces a worker remembers, ``run_bytes`` the text it encodes at once: less takes less memory and more time, the ids are the same.
+    pieces a worker remembers, ``run_bytes`` the text it encodes at once: less takes less memory and more time, the ids are the same. ``special_as_text``: see ``piece_ids``.
     """
     from tokenizers import Tokenizer
 
@@ -220,7 +228,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_file: str, end_id: int =
     bits = width(max(Tokenizer.from_str(definition).get_vocab_size(), end_id + 1))
     ordered = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
                .repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text"))
-    run = _encode_blocks(spark.sparkContext.broadcast(definition), bits, end_id, remembered, run_bytes)
+    run = _encode_blocks(spark.sparkContext.broadcast(definition), bits, end_id, remembered, run_bytes, special_as_text)
     ordered.mapInArrow(run, BLOCKS).write.option("compression", "uncompressed").parquet(path)
 
 
@@ -257,8 +265,8 @@ def document_ids(spark: SparkSession, path: str, doc_id: int) -> list[list[int]]
 
 
 def tokenise(docs: DataFrame, tokenizer_file: str, end_id: int = 2, path: str | None = None, remembered: int = REMEMBERED,
-             run_bytes: int = RUN_BYTES) -> DataFrame:
+             run_bytes: int = RUN_BYTES, special_as_text: bool = True) -> DataFrame:
     """Write the token table (to a fresh shared folder unless ``path`` is given) and return what it holds per document."""
     path = path or scratch_path(docs.sparkSession, "tokens")
-    write_tokens(docs, path, tokenizer_file, end_id, remembered, run_bytes)
+    write_tokens(docs, path, tokenizer_file, end_id, remembered, run_bytes, special_as_text)
     return read_documents(docs.sparkSession, path)

@@ -53,7 +53,7 @@ def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     import public_tokenizers
 
     # the workers of earlier stages live on, so fewer pieces are remembered here than in a job of its own
-    return tokenise(docs, public_tokenizers.path("byte_bpe_50k.json"), 2, remembered=150_000, run_bytes=1 << 22)
+    return tokenise(docs, public_tokenizers.path("byte_bpe_50k.json"), 2, remembered=150_000, run_bytes=1 << 22, special_as_text=False)
 
 
 STAGES = [("quality_classifier", quality), ("ngram_jaccard_join", near_duplicates), ("benchmark_decontamination", decontamination),

@@ -256,6 +256,23 @@ def test_token_files_hold_whole_encodings(spark, odd, tmp_path):
     assert len(tokens.document_ids(spark, path, 7000)) == 2
 
 
+def test_queries_write_the_plain_encoding_of_special_tokens(spark, tmp_path):
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    texts = ["a<|endoftext|>b", "plain words here", "two <|endoftext|> of <|endoftext|>", "<|endoftext|>", "x\n<|endoftext|> y", "almost <|endoftext| >"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    plain, start, want = Tokenizer.from_file(TOKENIZER), 0, []
+    assert plain.encode(texts[0], add_special_tokens=False).ids == [64, 50256, 65]
+    for d, text_ in enumerate(texts):
+        ids = np.array([*plain.encode(text_, add_special_tokens=False).ids, 2], "<u4")
+        want.append((d, start, len(ids), zlib.crc32(ids.tobytes())))
+        start += len(ids)
+    for out in (QUERIES["op3_token_output"](spark, str(tmp_path)), corpus_pipeline.token_output(spark, docs, str(tmp_path))):
+        assert sorted(tuple(r) for r in out.collect()) == want
+
+
 def test_token_files_of_nothing(empty):
     assert tokens.tokenise(empty, TOKENIZER).count() == 0
 

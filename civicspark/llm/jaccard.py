@@ -42,23 +42,29 @@ def fingerprint(tokens: np.ndarray) -> int:
 
 
 def signatures(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, size, fp of each row, and rows (NULL, count, token) with ``frequent`` for tokens frequent in a slice."""
-    schema = pa.schema([("doc_id", pa.int64()), ("size", pa.int64()), ("fp", pa.int64()), ("frequent", pa.bool_())])
+    """doc_id, size, fp of each row, and rows (NULL, count, token) with ``frequent`` for tokens frequent in a slice.
+
+    A column ``mark`` (long) of ``docs`` is passed on.
+    """
+    marked = "mark" in docs.columns
+    also = [("mark", pa.int64())] if marked else []
+    schema = pa.schema([("doc_id", pa.int64()), ("size", pa.int64()), ("fp", pa.int64()), ("frequent", pa.bool_()), *also])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offsets in slices(batches):
             sets = shingle_sets(*word_hashes(data, offsets), n)
             rows = len(sets)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()),
-                                              pa.array([fingerprint(s) for s in sets], pa.int64()), pa.array(np.zeros(rows, bool))], schema=schema)
+                                              pa.array([fingerprint(s) for s in sets], pa.int64()), pa.array(np.zeros(rows, bool)),
+                                              *([batch.column("mark")] if marked else [])], schema=schema)
             tokens, counts = np.unique(np.concatenate(sets), return_counts=True)
             often = counts >= max(3, rows / FREQUENT)
             if often.any():
                 k = int(often.sum())
                 yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.array(counts[often]), pa.array(tokens[often].view(np.int64)),
-                                                  pa.array(np.ones(k, bool))], schema=schema)
+                                                  pa.array(np.ones(k, bool)), *([pa.nulls(k, pa.int64())] if marked else [])], schema=schema)
 
-    return docs.mapInArrow(run, "doc_id long, size long, fp long, frequent boolean")
+    return docs.mapInArrow(run, "doc_id long, size long, fp long, frequent boolean" + (", mark long" if marked else ""))
 
 
 PACKED = "key long, slice long, tokens binary, counts binary, dfs binary, fps binary, sizes binary, places binary"
@@ -243,13 +249,27 @@ def similar_documents(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFra
     reachable by links, the row's own included (NULL ids count only where nothing else is there). Repeated rows are equal
     sets, hence one component. Empty input gives no rows.
     """
+    rows, classes = linked_rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), n, percent, F.min("doc_id"))
+    if classes is None:
+        return rows.select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    least = classes.groupBy("label").agg(F.min("least").alias("component_id"))
+    found = classes.join(least, "label").select(F.col("fp").alias("of"), "component_id")
+    out = rows.join(found, (F.col("fp") == F.col("of")) & (F.col("n_shingles") > 0), "left")
+    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def linked_rows(docs: DataFrame, n: int, percent: int, least: Column) -> tuple[DataFrame, DataFrame | None]:
+    """The rows (doc_id, n_shingles, fp, and ``mark`` if given) and the classes of equal sets: fp, ``least`` of its rows, label of its component.
+
+    There are no classes if no row has a shingle.
+    """
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = materialise(signatures(docs, n), "signatures")
-    rows = signed.filter("not frequent").select("doc_id", F.col("size").alias("n_shingles"), "fp")
+    rows = signed.filter("not frequent").select("doc_id", F.col("size").alias("n_shingles"), "fp", *(["mark"] if "mark" in docs.columns else []))
+    docs = docs.select("doc_id", "text")
     total, texts = rows.agg(F.sum("n_shingles"), F.count("*")).first()
     if not total:
-        return rows.select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+        return rows, None
     often = signed.filter("frequent").groupBy("fp").agg(F.sum("size").alias("n")).filter(F.col("n") >= texts / FREQUENT).select("fp")
     frequent = spark.sparkContext.broadcast(np.sort(np.array([r.fp for r in often.collect()], np.int64).view(np.uint64)))
     ranges = max(1, math.ceil(total / RANGE_TOKENS))
@@ -259,22 +279,25 @@ def similar_documents(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFra
     rest = [F.first(c).alias(c) for c in ("size", "own", "tokens", "first", "second", "third")]
     sets = materialise(sets.groupBy("fp").agg(*rest), "sets")
     labels = similar_sets(sets, percent)
-    classes = rows.filter("n_shingles > 0").groupBy("fp").agg(F.min("doc_id").alias("least"))
+    classes = rows.filter("n_shingles > 0").groupBy("fp").agg(least.alias("least"))
     classes = classes.join(labels, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
-    classes = materialise(classes, "classes")
-    least = classes.groupBy("label").agg(F.min("least").alias("component_id"))
-    found = classes.join(least, "label").select(F.col("fp").alias("of"), "component_id")
-    out = rows.join(found, (F.col("fp") == F.col("of")) & (F.col("n_shingles") > 0), "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return rows, materialise(classes, "classes")
 
 
 def one_per_group(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
-    """The rows that stand for their component, with all columns: of equal component ids the row with that doc_id stays.
+    """One row of each component, with all columns, and every row without a shingle (NULL and blank texts).
 
-    Of rows that repeat the id one stays. Rows with a NULL id stay only if their component has no other id, one for each.
+    It is the row of the least doc_id (a NULL id only if the component has no other), then of the least hash of the text; rows equal in
+    both are of one component, and any one of them stays. Ids need not be unique.
     """
-    found = similar_documents(docs, n, percent)
-    name = unused(docs, "kept")
-    keep = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(name)).distinct()
-    kept = docs.join(keep, F.col("doc_id").cast("long").eqNullSafe(F.col(name)), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    text = F.col("text").cast("string")
+    mark, of = unused(docs, "mark_of_text"), [unused(docs, c) for c in ("kept_id", "kept_mark")]
+    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64(text).alias("mark"))
+    _, classes = linked_rows(given, n, percent, F.min(F.struct(F.col("doc_id").isNull().alias("blank"), "doc_id", "mark")))
+    if classes is None:
+        return docs
+    keep = classes.groupBy("label").agg(F.min("least").alias("least")).select(F.col("least.doc_id").alias(of[0]), F.col("least.mark").alias(of[1]))
+    blank = ~F.coalesce(text, F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    marked = docs.filter(~blank).withColumn(mark, F.xxhash64(text))
+    kept = marked.join(keep, F.col("doc_id").cast("long").eqNullSafe(F.col(of[0])) & (F.col(mark) == F.col(of[1])), "left_semi")
+    return kept.dropDuplicates(["doc_id", mark]).select(*docs.columns).unionAll(docs.filter(blank))

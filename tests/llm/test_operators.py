@@ -212,6 +212,18 @@ def test_one_of_each_group_stays(spark, odd, empty):
     assert jaccard.one_per_group(empty).count() == 0 and jaccard.similar_documents(empty).count() == 0
 
 
+def test_one_row_of_each_component_whatever_the_ids(spark):
+    base = " ".join(f"w{i}" for i in range(40))
+    rows = [(None, "first text without any id"), (None, "second text that has no id"), (None, "second text that has no id"), (1, base), (None, base), (None, base + " tail"),
+            (2, "shared id but a text of its own"), (2, base), (3, "one id and one text"), (3, "one id and another text"), (3, "one id and one text"),
+            (None, None), (None, ""), (None, None), (4, " "), (4, " ")]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, mark string")
+    kept = jaccard.one_per_group(df, 4, 85)
+    want = [rows[0], rows[1], rows[3], rows[6], rows[8], rows[9], *rows[11:]]
+    assert kept.columns == df.columns and sorted(map(str, ((r.doc_id, r.text) for r in kept.collect()))) == sorted(map(str, want))
+    assert jaccard.one_per_group(df.filter("doc_id = 4")).count() == 2
+
+
 def test_components_of_long_paths(spark):
     chain = [(i, i + 1) for i in range(1, 60)] + [(100 + i, 100) for i in range(30)] + [(5, 5), (1, 2)]
     got = {r.node: r.label for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}

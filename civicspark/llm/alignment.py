@@ -2,7 +2,8 @@
 
 One text. Tokens of A (byte-level BPE) and B (sentencepiece with byte fallback) are reduced to the byte offsets at which they end.
 Divide and conquer: a common end near the middle of an interval is located by bisection, both halves are treated alike, and an
-interval without a common end inside is a leaf group. Every pair of tokens whose bytes overlap is a link.
+interval without a common end inside is a leaf group. Every pair of tokens whose bytes overlap is a link. Many texts are
+halved together, one depth after another.
 
 A corpus. A byte-level pre-tokenizer cuts before a space, and before a line break, between two characters that are not white
 space; if no entry of B's vocabulary reaches over such a place either, both tokenizers end there, so texts fall into pieces
@@ -18,12 +19,11 @@ No pair is sent more than once per slice, so neither a frequent pair nor a frequ
 
 from __future__ import annotations
 
-import bisect
 import hashlib
 import math
 import zlib
 from collections.abc import Iterator
-from itertools import accumulate
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,60 +37,63 @@ from civicspark.llm.text import distinct, mix64, pack_rows, release, slices
 from civicspark.llm.tokens import PieceIds
 from civicspark.session import materialise
 
-SLICE_BYTES = 1 << 22
+SLICE_BYTES = 1 << 21
 PART_PAIRS = 1 << 21
-REMEMBERED = 150_000  # pieces; twice as many are held at most
+REMEMBERED = 60_000  # pieces; little more than twice as many are held
 ODD = r"^\s|\s$| \s|\s |[\x0B\x85\xA0\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 _loaded: dict[tuple[int, int, int], PairEncoder] = {}
 
 
-def shared_cuts(a: list[int], b: list[int]) -> list[tuple[int, int]]:
-    """Groups between common ends: numbers of A and B tokens up to the end of each. ``a``, ``b``: ends of tokens of the same bytes."""
-    out, stack = [], [(0, len(a), 0, len(b))]
-    while stack:
-        i, k, j, m = stack.pop()
-        flip = k - i > m - j  # the side with fewer tokens is searched
-        few, many, lo, hi, low, high = (b, a, j, m, i, k) if flip else (a, b, i, k, j, m)
-        middle = (lo + hi - 1) // 2
-        for step in range(2 * (hi - lo)):
-            at = middle + (step + 1) // 2 * (1 if step % 2 else -1)  # outwards from the middle
-            if lo <= at < hi - 1:
-                other = bisect.bisect_left(many, few[at], low, high - 1)
-                if other < high - 1 and many[other] == few[at]:
-                    x, y = (other + 1, at + 1) if flip else (at + 1, other + 1)
-                    stack += [(x, k, y, m), (i, x, j, y)]
-                    break
-        else:
-            if k > i:
-                out.append((k, m))
-    return out
-
-
-def overlaps(ends_a: list[int], ends_b: list[int]) -> list[tuple[int, int]]:
-    """Numbers of all A and B tokens whose byte ranges overlap."""
-    i = j = 0
-    out = []
-    while i < len(ends_a) and j < len(ends_b):
-        out.append((i, j))
-        a, b = ends_a[i], ends_b[j]
-        i, j = i + (a <= b), j + (b <= a)
-    return out
-
-
-class Aligned:
-    """A piece's tokens: numbers of A and B tokens and groups, the groups as text, the links as A id << 32 | B id."""
-
-    __slots__ = ("groups", "links", "n_a", "n_b", "n_groups")
-
-    def __init__(self, a: list[int], b: list[int], ends_a: list[int], ends_b: list[int]):
-        cuts = shared_cuts(ends_a, ends_b)
-        parts, i, j = [], 0, 0
-        for k, m in cuts:
-            parts.append(f"{','.join(map(str, a[i:k]))}|{','.join(map(str, b[j:m]))}")
-            i, j = k, m
-        self.n_a, self.n_b, self.n_groups = len(a), len(b), len(cuts)
-        self.groups = ";".join(parts)
-        self.links = np.array([a[x] << 32 | b[y] for x, y in overlaps(ends_a, ends_b)], "<u8").tobytes()
+def shared_cuts(ends_a: np.ndarray, ends_b: np.ndarray, firsts: np.ndarray) -> np.ndarray:
+    """Numbers of A tokens up to the end of each group, ascending.
+
+    ``ends_a`` and ``ends_b`` are the ends of the tokens of pieces that stand one after another, ``firsts`` the first A token of each
+    piece. All intervals of a depth are halved together; one is searched outwards from its middle, a step in each round.
+    """
+    lo, hi = firsts, np.append(firsts[1:], len(ends_a))
+    step = np.zeros(len(lo), np.int64)
+    leaves = []
+    while len(lo):
+        at = (lo + hi - 1) // 2 + (step + 1) // 2 * np.where(step % 2, 1, -1)
+        inside = np.flatnonzero((at >= lo) & (at < hi - 1))
+        end = ends_a[at[inside]]
+        cut = np.zeros(len(lo), bool)
+        cut[inside[ends_b[np.searchsorted(ends_b, end)] == end]] = True
+        done = ~cut & (step >= 2 * (hi - lo - 1))
+        leaves.append(hi[done])
+        rest = ~cut & ~done
+        half = at[cut] + 1
+        lo, hi, step = (np.concatenate(x) for x in ((lo[rest], lo[cut], half), (hi[rest], half, hi[cut]), (step[rest] + 1, np.zeros(2 * len(half), np.int64))))
+    return np.sort(np.concatenate([*leaves, np.zeros(0, np.int64)])).astype(np.int64)
+
+
+#: A piece's groups as text, its links as bytes (A id << 32 | B id each), and the numbers of A tokens, B tokens and groups.
+Aligned = tuple[str, bytes, int, int, int]
+
+
+def align_pieces(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, a_bytes: np.ndarray, b_bytes: np.ndarray, written: list[str]) -> list[Aligned]:
+    """Alignments of pieces: ids of their tokens one after another, tokens per piece, bytes per id; ``written`` has id and mark as text."""
+    ends_a, ends_b = np.cumsum(a_bytes[a]), np.cumsum(b_bytes[b])
+    up_to_a = np.cumsum(n_a)
+    cuts = shared_cuts(ends_a, ends_b, up_to_a - n_a)
+    ends = ends_a[cuts - 1]
+    cuts_b = np.searchsorted(ends_b, ends) + 1
+    pieces = ends_a[up_to_a - 1]
+    # A tokens of a group, then its B tokens, each with the mark that follows it
+    group_a, group_b = (np.repeat(np.arange(len(cuts)), np.diff(c, prepend=0)) for c in (cuts, cuts_b))
+    marks_a, marks_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
+    marks_a[cuts - 1] = 1
+    marks_b[cuts_b - 1] = 2 + np.isin(ends, pieces, assume_unique=True)
+    line = np.empty(len(a) + len(b), np.int64)
+    line[np.arange(len(a)) + np.concatenate([[0], cuts_b])[group_a]] = a * 4 + marks_a
+    line[np.arange(len(b)) + cuts[group_b]] = b * 4 + marks_b
+    groups = "".join(map(written.__getitem__, line.tolist())).split("\n")
+    # tokens overlap in each stretch between two ends of either side
+    stretch = np.union1d(ends_a, ends_b)
+    links = (a[np.searchsorted(ends_a, stretch)] << 32 | b[np.searchsorted(ends_b, stretch)]).astype("<u8").tobytes()
+    upto = (np.searchsorted(stretch, pieces, "right") * 8).tolist()
+    n_groups = np.diff(np.searchsorted(ends, pieces, "right"), prepend=0).tolist()
+    return list(zip(groups, (links[x:y] for x, y in zip([0, *upto], upto)), n_a.tolist(), n_b.tolist(), n_groups))
 
 
 class PairEncoder:
@@ -109,6 +112,9 @@ class PairEncoder:
         self.a_bytes = {i: bytes(stands_for[c] for c in entry) for entry, i in tokenizer.get_vocab().items() if all(c in stands_for for c in entry)}
         pieces = [self.b.id_to_piece(i) for i in range(self.b.vocab_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
+        self.a_size = np.array([len(self.a_bytes.get(i, b"")) for i in range(max(self.a_bytes) + 1)])
+        self.b_size = np.array(list(map(len, self.b_bytes)))
+        self.written = [f"{i}{mark}" for i in range(max(len(self.a_size), len(self.b_size))) for mark in ",|;\n"]
         self.b_space = self.b.piece_to_id("▁")
         # whether no entry reaches over a space, or a line break, from what precedes it
         self.cut_spaces = not any("▁" in p.lstrip("▁") for p in pieces)
@@ -117,37 +123,44 @@ class PairEncoder:
         self.older: dict[str, Aligned | None] = {}
         self.remembered = remembered
 
-    def _align(self, piece: str, a: bytes, b: list[int]) -> Aligned | None:
-        """None if the tokens do not spell the piece."""
-        data, ids = piece.encode(), memoryview(a).cast("I").tolist()
-        spelt_a, spelt_b = [self.a_bytes.get(i, b"") for i in ids], [self.b_bytes[i] for i in b]
-        if b"".join(spelt_a) != data or b"".join(spelt_b) != data:
-            return None
-        return Aligned(ids, b, list(accumulate(map(len, spelt_a))), list(accumulate(map(len, spelt_b))))
+    def _align(self, pieces: list[str], a: list[bytes], b: list[list[int]]) -> list[Aligned | None]:
+        """None where the tokens do not spell the piece."""
+        spelt = [b"".join([self.a_bytes.get(i, b"") for i in memoryview(x).cast("I")]) == p.encode() == b"".join([self.b_bytes[i] for i in y])
+                 for p, x, y in zip(pieces, a, b, strict=True)]
+        if not all(spelt):
+            a, b = ([x for x, ok in zip(side, spelt) if ok] for side in (a, b))
+        n_a, n_b = (np.fromiter(map(len, side), np.int64, len(side)) for side in (a, b))
+        ids_b = np.fromiter(chain.from_iterable(b), np.int64, int(n_b.sum()))
+        found = align_pieces(np.frombuffer(b"".join(a), "<u4").astype(np.int64), ids_b, n_a // 4, n_b, self.a_size, self.b_size, self.written) if a else []
+        if len(found) == len(pieces):
+            return found
+        good = iter(found)
+        return [next(good) if ok else None for ok in spelt]
 
     def whole(self, text: str) -> Aligned | None:
         """A text that is not cut. A space precedes it: A's is written, B adds its own."""
-        return self._align(" " + text, self.a.whole(" " + text), self.b.encode(text, num_threads=1)) if text else None
+        return self._align([" " + text], [self.a.whole(" " + text)], [self.b.encode(text, num_threads=1)])[0] if text else None
 
     def __call__(self, pieces: list[str]) -> list[Aligned | None]:
         """The alignment of each of the given distinct pieces: a space or line break and what follows it."""
-        if len(self.newer) > self.remembered:
-            self.older, self.newer = self.newer, {}
-        newer, older = self.newer, self.older
-        new = []
-        for p in pieces:
-            if p not in newer:
-                if p in older:
-                    newer[p] = older[p]
-                else:
-                    new.append(p)
-        for at in range(0, len(new), 1 << 14):
-            part = new[at:at + (1 << 14)]
-            spaced = [p[0] == " " for p in part]
-            b = self.b.encode([p[1:] if s else p for p, s in zip(part, spaced)], num_threads=1)
-            for p, s, ids_a, ids_b in zip(part, spaced, self.a(part), b, strict=True):
-                newer[p] = self._align(p, ids_a, ids_b if s else ids_b[1:])
-        return [newer[p] for p in pieces]
+        out: list[Aligned | None] = []
+        for at in range(0, len(pieces), 1 << 14):
+            if len(self.newer) > self.remembered:
+                self.older, self.newer = self.newer, {}
+            newer, older, part = self.newer, self.older, pieces[at:at + (1 << 14)]
+            new = []
+            for p in part:
+                if p not in newer:
+                    if p in older:
+                        newer[p] = older[p]
+                    else:
+                        new.append(p)
+            if new:
+                spaced = [p[0] == " " for p in new]
+                b = self.b.encode([p[1:] if s else p for p, s in zip(new, spaced)], num_threads=1)
+                newer.update(zip(new, self._align(new, self.a(new), [x if s else x[1:] for x, s in zip(b, spaced)]), strict=True))
+            out += map(newer.__getitem__, part)
+        return out
 
 
 def cut_texts(encode: PairEncoder, texts: pa.Array) -> tuple[list[Aligned | None], np.ndarray, np.ndarray]:
@@ -197,13 +210,13 @@ def slice_row(number: int, doc_ids: list, pieces: list[Aligned | None], which: n
     numbers = np.flatnonzero(np.bincount(which, minlength=len(pieces)))
     kept = [pieces[k] for k in numbers.tolist()]
     which = np.searchsorted(numbers, which)
-    sizes = np.array([(p.n_a, p.n_b, p.n_groups, len(p.links) // 8) for p in kept], np.int64).reshape(-1, 4)
+    sizes = np.array([(n_a, n_b, n_groups, len(links) // 8) for _, links, n_a, n_b, n_groups in kept], np.int64).reshape(-1, 4)
     ends = np.concatenate([[0], np.cumsum(lengths)])
     sums = [np.diff(np.concatenate([[0], np.cumsum(sizes[which, k])])[ends]) for k in range(3)]
-    groups = [p.groups for p in kept]
+    groups = [p[0] for p in kept]
     listed = which.tolist()
     digests = [hashlib.sha256(";".join([groups[k] for k in listed[a:b]]).encode()).digest() if b > a else bytes(32) for a, b in zip(ends.tolist(), ends[1:].tolist())]
-    every = np.frombuffer(b"".join([p.links for p in kept]), "<u8")
+    every = np.frombuffer(b"".join([p[1] for p in kept]), "<u8")
     pairs, links = np.unique(every, return_inverse=True)
     n_links = sizes[:, 3]
     # pieces of a document once, then their pairs once

@@ -6,6 +6,7 @@ import hashlib
 import itertools
 import random
 
+import numpy as np
 import pytest
 import pyarrow as pa
 import pyarrow.parquet as pq
@@ -84,13 +85,20 @@ def found(df):
 
 def test_cuts_are_the_common_ends():
     rng = random.Random(1)
-    for _ in range(3000):
-        n = rng.randint(1, 40)
-        a, b = (sorted({*rng.sample(range(1, n + 1), rng.randint(1, n)), n}) for _ in range(2))
-        assert alignment.shared_cuts(a, b) == [(a.index(c) + 1, b.index(c) + 1) for c in sorted(set(a) & set(b))]
-        spans = [[(x, y) for x, y in zip([0, *e], e)] for e in (a, b)]
-        assert alignment.overlaps(a, b) == [(i, j) for i, (s, e) in enumerate(spans[0]) for j, (t, u) in enumerate(spans[1]) if s < u and t < e]
-    assert alignment.shared_cuts([], []) == []
+    for _ in range(600):
+        pieces, a, b, firsts, want, at = [], [], [], [], [], 0
+        for _ in range(rng.randint(1, 6)):
+            n = rng.randint(1, 40)
+            x, y = (sorted({*rng.sample(range(1, n + 1), rng.randint(1, n)), n}) for _ in range(2))
+            firsts.append(len(a))
+            want += [len(a) + x.index(c) + 1 for c in sorted(set(x) & set(y))]
+            a, b, at = a + [at + e for e in x], b + [at + e for e in y], at + n
+            pieces.append((x, y))
+        assert alignment.shared_cuts(np.array(a), np.array(b), np.array(firsts)).tolist() == want
+    n = 20_000
+    for a, b in ((range(1, n + 1), range(1, n + 1)), (range(2, 2 * n + 1, 2), [*range(1, 2 * n, 2), 2 * n]), (range(2, 2 * n + 1, 2), [*range(1, n, 2), *range(n, 2 * n + 1, 2)])):
+        assert alignment.shared_cuts(np.array(a), np.array(b), np.array([0])).tolist() == [i + 1 for i, e in enumerate(a) if e in set(b)]
+    assert alignment.shared_cuts(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)).tolist() == []
 
 
 @pytest.fixture(scope="module")
@@ -117,8 +125,8 @@ def test_pieces_spell_what_whole_texts_spell(rows):
         if None in mine:
             assert (n_a, n_b) == (0, 0), t
         else:
-            assert ";".join(m.groups for m in mine) == ";".join(groups) and sum(m.n_a for m in mine) == n_a, t
-            assert [int.from_bytes(m.links[k:k + 8], "little") for m in mine for k in range(0, len(m.links), 8)] == [p << 32 | q for p, q in links], t
+            assert ";".join(m[0] for m in mine) == ";".join(groups) and [sum(m[k] for m in mine) for k in (2, 3, 4)] == [n_a, n_b, len(groups)], t
+            assert [int.from_bytes(m[1][k:k + 8], "little") for m in mine for k in range(0, len(m[1]), 8)] == [p << 32 | q for p, q in links], t
 
 
 @pytest.mark.parametrize(("slice_bytes", "part_pairs"), [(1 << 22, 1 << 21), (2000, 700)])

@@ -39,7 +39,7 @@ from civicspark.session import materialise
 
 SLICE_BYTES = 1 << 21
 PART_PAIRS = 1 << 21
-REMEMBERED = 60_000  # pieces; little more than twice as many are held
+REMEMBERED = 250_000  # pieces; little more than twice as many are held
 ODD = r"^\s|\s$| \s|\s |[\x0B\x85\xA0\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 _loaded: dict[tuple[int, int, int], PairEncoder] = {}
 
@@ -83,13 +83,14 @@ def align_pieces(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray,
     group_a, group_b = (np.repeat(np.arange(len(cuts)), np.diff(c, prepend=0)) for c in (cuts, cuts_b))
     marks_a, marks_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
     marks_a[cuts - 1] = 1
-    marks_b[cuts_b - 1] = 2 + np.isin(ends, pieces, assume_unique=True)
+    marks_b[cuts_b - 1] = 2 + (pieces[np.minimum(np.searchsorted(pieces, ends), len(pieces) - 1)] == ends)
     line = np.empty(len(a) + len(b), np.int64)
     line[np.arange(len(a)) + np.concatenate([[0], cuts_b])[group_a]] = a * 4 + marks_a
     line[np.arange(len(b)) + cuts[group_b]] = b * 4 + marks_b
     groups = "".join(map(written.__getitem__, line.tolist())).split("\n")
     # tokens overlap in each stretch between two ends of either side
-    stretch = np.union1d(ends_a, ends_b)
+    stretch = np.sort(np.concatenate([ends_a, ends_b]), kind="stable")
+    stretch = stretch[np.diff(stretch, prepend=-1) > 0]
     links = (a[np.searchsorted(ends_a, stretch)] << 32 | b[np.searchsorted(ends_b, stretch)]).astype("<u8").tobytes()
     upto = (np.searchsorted(stretch, pieces, "right") * 8).tolist()
     n_groups = np.diff(np.searchsorted(ends, pieces, "right"), prepend=0).tolist()
@@ -109,11 +110,11 @@ class PairEncoder:
         self.a.remembered = 1 << 14
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         stands_for = {chr(c): c for c in printable} | {chr(256 + n): c for n, c in enumerate(sorted(set(range(256)).difference(printable)))}
-        self.a_bytes = {i: bytes(stands_for[c] for c in entry) for entry, i in tokenizer.get_vocab().items() if all(c in stands_for for c in entry)}
+        entries = {i: bytes(stands_for[c] for c in entry) for entry, i in tokenizer.get_vocab().items() if all(c in stands_for for c in entry)}
+        self.a_bytes = [entries.get(i, b"") for i in range(tokenizer.get_vocab_size())]
         pieces = [self.b.id_to_piece(i) for i in range(self.b.vocab_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
-        self.a_size = np.array([len(self.a_bytes.get(i, b"")) for i in range(max(self.a_bytes) + 1)])
-        self.b_size = np.array(list(map(len, self.b_bytes)))
+        self.a_size, self.b_size = (np.array(list(map(len, side))) for side in (self.a_bytes, self.b_bytes))
         self.written = [f"{i}{mark}" for i in range(max(len(self.a_size), len(self.b_size))) for mark in ",|;\n"]
         self.b_space = self.b.piece_to_id("▁")
         # whether no entry reaches over a space, or a line break, from what precedes it
@@ -125,17 +126,24 @@ class PairEncoder:
 
     def _align(self, pieces: list[str], a: list[bytes], b: list[list[int]]) -> list[Aligned | None]:
         """None where the tokens do not spell the piece."""
-        spelt = [b"".join([self.a_bytes.get(i, b"") for i in memoryview(x).cast("I")]) == p.encode() == b"".join([self.b_bytes[i] for i in y])
-                 for p, x, y in zip(pieces, a, b, strict=True)]
-        if not all(spelt):
-            a, b = ([x for x, ok in zip(side, spelt) if ok] for side in (a, b))
         n_a, n_b = (np.fromiter(map(len, side), np.int64, len(side)) for side in (a, b))
-        ids_b = np.fromiter(chain.from_iterable(b), np.int64, int(n_b.sum()))
-        found = align_pieces(np.frombuffer(b"".join(a), "<u4").astype(np.int64), ids_b, n_a // 4, n_b, self.a_size, self.b_size, self.written) if a else []
+        n_a //= 4
+        ids_a, ids_b = np.frombuffer(b"".join(a), "<u4").astype(np.int64), np.fromiter(chain.from_iterable(b), np.int64, int(n_b.sum()))
+        data = [p.encode() for p in pieces]
+        spelt = np.ones(len(pieces), bool)
+        for ids, n, known, size in ((ids_a, n_a, self.a_bytes, self.a_size), (ids_b, n_b, self.b_bytes, self.b_size)):
+            spells = list(map(known.__getitem__, ids.tolist()))
+            if b"".join(spells) != b"".join(data) or (np.add.reduceat(np.append(size[ids], 0), np.cumsum(n) - n) * (n > 0) != list(map(len, data))).any():
+                ends = np.cumsum(n).tolist()
+                spelt &= [b"".join(spells[x:y]) == d for x, y, d in zip([0, *ends], ends, data)]
+        if not spelt.all():
+            ids_a, ids_b = ids_a[np.repeat(spelt, n_a)], ids_b[np.repeat(spelt, n_b)]
+            n_a, n_b = n_a[spelt], n_b[spelt]
+        found = align_pieces(ids_a, ids_b, n_a, n_b, self.a_size, self.b_size, self.written) if len(n_a) else []
         if len(found) == len(pieces):
             return found
         good = iter(found)
-        return [next(good) if ok else None for ok in spelt]
+        return [next(good) if ok else None for ok in spelt.tolist()]
 
     def whole(self, text: str) -> Aligned | None:
         """A text that is not cut. A space precedes it: A's is written, B adds its own."""

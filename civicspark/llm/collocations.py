@@ -9,7 +9,7 @@ found by sorting numbers.
    by the threshold: whenever there are more counters, the largest that has to go is subtracted from all. Each subtraction
    takes away at least capacity + 1 times its value, so no counter ever lacks as much as the threshold, and every n-gram that
    occurs that often keeps one. The slices get back one bit for each of their n-grams.
-2. Counts. The slices send the words and counts of the survivors, sorted and packed, once per slice; equal words are added up
+2. Counts. The slices send the words and counts of the survivors, packed, once per slice; equal words are added up
    (words, not hashes, so the counts are exact), and what stays below the threshold goes.
 
 The table of frequent n-grams is scored by joins: a phrase with its first part and its rest at every cut, and with longer phrases.
@@ -123,24 +123,41 @@ class Grams:
         self.hashes, self.counts = every[self.order], np.concatenate([level[3] for level in self.levels])[self.order]
         self.cuts = np.searchsorted(part[self.order], np.arange(parts + 1))
 
-    def phrases(self, kept: np.ndarray) -> list[tuple[int, bytes, int, int]]:
-        """(language number, words, count, place) of the n-grams at some places, ascending by language and words."""
+    def phrases(self, kept: np.ndarray) -> tuple[np.ndarray, pa.LargeBinaryArray, np.ndarray, np.ndarray]:
+        """Language numbers, words, counts and parts of the n-grams at some ascending places, by part; those with one opening stand together."""
         firsts = np.cumsum([0, *(len(level[2]) for level in self.levels)])
-        gram = self.order[kept]
-        out = []
-        ends, data = self.word_at.tolist(), self.data.tobytes()
+        gram, part = self.order[kept], np.searchsorted(self.cuts, kept, "right") - 1
+        by = np.lexsort((gram, part))
+        kept, gram, part = kept[by], gram[by], part[by]
+        words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(self.word_at) - 1, [None, pa.py_buffer(self.word_at), pa.py_buffer(self.data)])
+        langs = np.zeros(len(gram), np.int64)
+        texts, places = [], []
         for n, (a, b) in enumerate(zip(firsts, firsts[1:])):
             mine = np.flatnonzero((gram >= a) & (gram < b))
-            entries = np.zeros((len(mine), n + 1), np.int64)
             at = gram[mine] - a
+            entries = []
             for k in range(n, -1, -1):
                 opening, closing = self.levels[k][:2]
-                entries[:, k], at = closing[at], opening[at]
-            words = self.entry_word[entries].tolist()
-            out += zip(self.entry_lang[entries[:, 0]].tolist(), [b" ".join([data[ends[w]:ends[w + 1]] for w in row]) for row in words],
-                       self.counts[kept[mine]].tolist(), kept[mine].tolist())
-        out.sort()
-        return out
+                entries.insert(0, closing[at])
+                at = opening[at]
+            langs[mine] = self.entry_lang[entries[0]]
+            of = [words.take(pa.array(self.entry_word[e])) for e in entries]
+            texts.append(pc.binary_join_element_wise(*of, pa.scalar(b" ", pa.large_binary())) if n else of[0])
+            places.append(mine)
+        back = np.argsort(np.concatenate(places), kind="stable")
+        return langs, pa.concat_arrays(texts).take(pa.array(back)), self.counts[kept], part
+
+
+def _packed(texts: pa.LargeBinaryArray) -> tuple[bytes, bytes]:
+    """The bytes of some texts one after another, and their lengths."""
+    ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset:texts.offset + len(texts) + 1]
+    data = texts.buffers()[2]
+    return _compress(data.slice(int(ends[0]), int(ends[-1] - ends[0])).to_pybytes() if data is not None else b""), squeeze(np.diff(ends))
+
+
+def _unpacked(data: bytes, lengths: bytes) -> pa.LargeBinaryArray:
+    ends = np.concatenate([[0], np.cumsum(unsqueeze(lengths))])
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(_decompress(data))])
 
 
 class Summary:
@@ -218,7 +235,8 @@ def frequent_phrases(docs: DataFrame, longest: int = 3, threshold: int = 10) ->
 
     dealt = stored.mapInArrow(deal, "part long, slice long, mass long, hashes binary, counts binary")
     survived = dealt.groupBy("part").applyInArrow(survive, "slice long, part long, bits binary")
-    sent_schema = pa.schema([("part", pa.int64()), ("langs", pa.list_(pa.string())), ("of_lang", pa.binary()), ("phrases", pa.binary()), ("counts", pa.binary())])
+    sent_schema = pa.schema([("part", pa.int64()), ("langs", pa.list_(pa.string())), ("of_lang", pa.binary()), ("phrases", pa.binary()), ("lengths", pa.binary()),
+                             ("counts", pa.binary())])
 
     def send(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
@@ -228,12 +246,12 @@ def frequent_phrases(docs: DataFrame, longest: int = 3, threshold: int = 10) ->
             for r in sorted(right.to_pylist(), key=lambda r: r["part"]):
                 a, b = grams.cuts[r["part"]], grams.cuts[r["part"] + 1]
                 places.append(a + np.flatnonzero(np.unpackbits(np.frombuffer(r["bits"], np.uint8), count=int(b - a))))
-            for p, kept in zip(sorted(r for r in right.column("part").to_pylist()), places, strict=True):
-                found = grams.phrases(kept)
-                if found:
-                    lang, phrase, counts, _ = zip(*found)
-                    out.append(pack_rows({"part": [p], "langs": [row["langs"]], "of_lang": [squeeze(np.array(lang, np.int64))], "phrases": [_compress(b"\n".join(phrase))],
-                                          "counts": [squeeze(np.array(counts, np.int64))]}, sent_schema))
+            lang, phrase, counts, part = grams.phrases(np.concatenate([np.zeros(0, np.int64), *places]))
+            found = np.unique(part)
+            for p, x, y in zip(found.tolist(), np.searchsorted(part, found).tolist(), np.searchsorted(part, found, "right").tolist()):
+                texts, lengths = _packed(phrase.slice(x, y - x))
+                out.append(pack_rows({"part": [p], "langs": [row["langs"]], "of_lang": [squeeze(lang[x:y])], "phrases": [texts], "lengths": [lengths],
+                                      "counts": [squeeze(counts[x:y])]}, sent_schema))
         return pa.Table.from_batches(out, sent_schema)
 
     counted_schema = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("f", pa.int64())])
@@ -247,14 +265,14 @@ def frequent_phrases(docs: DataFrame, longest: int = 3, threshold: int = 10) ->
         for batch in table.to_batches(max_chunksize=64):
             for row in batch.to_pylist():
                 lang = pa.array(row["langs"], pa.large_string()).take(pa.array(unsqueeze(row["of_lang"])))
-                held.append(pa.table({"lang": lang, "phrase": pa.array(_decompress(row["phrases"]).split(b"\n"), pa.large_binary()), "f": unsqueeze(row["counts"])}))
+                held.append(pa.table({"lang": lang, "phrase": _unpacked(row["phrases"], row["lengths"]), "f": unsqueeze(row["counts"])}))
                 if sum(map(len, held)) > MERGED + 2 * len(held[0]):
                     held = [added(held)]
         sums = added(held)
         sums = sums.filter(pc.greater_equal(sums["f"], threshold))
         return pa.table([sums["lang"].cast(pa.string()), sums["phrase"].cast(pa.string()), sums["f"]], schema=counted_schema)
 
-    sent = stored.groupBy("slice").cogroup(survived.groupBy("slice")).applyInArrow(send, "part long, langs array<string>, of_lang binary, phrases binary, counts binary")
+    sent = stored.groupBy("slice").cogroup(survived.groupBy("slice")).applyInArrow(send, "part long, langs array<string>, of_lang binary, phrases binary, lengths binary, counts binary")
     counted = sent.groupBy("part").applyInArrow(count, "lang string, phrase string, f long")
     return materialise(counted.withColumn("words", F.size(F.split("phrase", " "))), "phrase-counts"), totals
 

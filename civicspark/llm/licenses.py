@@ -1,12 +1,19 @@
 """Licence scan: sparse TF-IDF cosine of headers and licence files to templates, then inheritance along paths.
 
-DataFrame functions only. Compared are lines that could reach ``least`` (``likely``), runs of up to ``RUN`` sentences or parts of
-sentences at line breaks that begin with one that names a licence, and the part of each run between the first and the last such
-term. A licence file (``LICENSE``, ``COPYING``, ...) is also compared as a whole: with the notices, and with whole licence texts
-(``licence_texts``), which come first. A version is named only if the segment has its number. Terms are runs of a-z and 0-9 of the lower-cased text. A term of the templates weighs
-``tf * (ln((1 + n) / (1 + df)) + 1)``, a term that no template has weighs as one with df 0 and only lengthens its segment.
-A segment is joined to templates through shared terms, never by pairing all with all. The best template of a text is that of
-largest cosine (rounded to 4 places; ties by name) if it reaches ``least``.
+DataFrame functions only. In order of precedence a text's own licence is
+
+0. the first known identifier of its SPDX lines, word for word;
+1. if the file is a licence file by name (``LICENSE``, ``COPYING``, ...), the whole licence text (``licence_texts``) nearest to the whole file,
+   at a cosine of ``LEAST_WHOLE`` or more;
+2. the notice or permission text (``TEMPLATES``) nearest to any of its segments, at ``least`` or more: its lines, its runs of up to ``RUN`` pieces
+   (sentences, cut at line breaks too) that begin with one that has a telling term, the part of each run from its first to its last telling
+   term, and licence files as a whole;
+3. a reservation of all rights (``RIGHTS``), which counts only where nothing else is named.
+
+Terms are runs of a-z and 0-9 of the lower-cased text; telling terms are the templates' terms but for ``STOP``. A term of the templates weighs
+``tf * (ln((1 + n) / (1 + df)) + 1)``, a term that no template has weighs as one with df 0 and only lengthens its segment. A segment must share two
+terms with a template; it is joined to templates through shared terms, never by pairing all with all. A version is named only if the segment has
+its number. Scores are rounded to 4 places, ties go by name.
 
 Files without a licence of their own take that of the nearest directory above them that holds a licence file with a licence.
 Each distinct directory is looked up once along its ancestors by an equi-join on the path.
@@ -25,12 +32,13 @@ from pyspark.sql import functions as F
 
 from civicspark.session import materialise
 
-# The usual short notices of common licences.
+# The usual short notices of common licences, and the sentences by which permission texts are known.
 TEMPLATES = [
     ("AGPL-3.0", "This program is licensed under the GNU Affero General Public License, version 3."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("Apache-2.0", "SPDX-License-Identifier: Apache-2.0"),
     ("BSD-3-Clause", "Use of this source code is governed by a BSD-style license. Redistribution and use in source and binary forms are permitted."),
+    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("BSD-3-Clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software"),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
@@ -38,19 +46,25 @@ TEMPLATES = [
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
     ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
+    ("ISC", "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted"),
     ("LGPL-3.0", "This library is licensed under the GNU Lesser General Public License, version 3."),
     ("MIT", "Released under the MIT License."),
-    ("MIT", "SPDX-License-Identifier: MIT"),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
-    ("Proprietary", "Copyright. All rights reserved."),
 ]
-NAMES = r"(?i)licen[cs]e|copyright|spdx|creative commons|public domain"  # the line test of the SQL twin; narrower than ``likely``
-STOP = frozenset("0 2 3 4 a and are by code for form general in is of public source terms the this to under use v version work".split())
-#: Words that tell one licence from another: the part of a sentence between licence terms is compared only if it has one.
-MARK = r"(?<![a-z0-9])(affero|apache|bsd|redistribution|cc|commons|gnu|mit|mozilla|reserved)(?![a-z0-9])"
-PIECE_ENDS = r"(?<=[.!?;])\s+|[\r\n]+"
+# Identifiers of the SPDX list, without the endings -only, -or-later and +.
+SPDX_IDS = ["0BSD", "AFL-3.0", "AGPL-3.0", "Apache-1.1", "Apache-2.0", "Artistic-2.0", "BSD-2-Clause", "BSD-3-Clause", "BSL-1.0", "CC-BY-4.0", "CC-BY-NC-4.0", "CC-BY-SA-4.0", "CC0-1.0",
+            "EPL-1.0", "EPL-2.0", "EUPL-1.2", "GPL-1.0", "GPL-2.0", "GPL-3.0", "ISC", "LGPL-2.0", "LGPL-2.1", "LGPL-3.0", "MIT", "MIT-0", "MPL-1.1", "MPL-2.0", "MS-PL", "NCSA", "OFL-1.1",
+            "PostgreSQL", "Unlicense", "UPL-1.0", "WTFPL", "Zlib"]
+SPDX = r"(?i)spdx-license-identifier:[ \t(]*([a-z0-9.+-]+)"
+RIGHTS = r"(?i)all[ \t]+rights[ \t]+reserved"
+PROPRIETARY = "Proprietary"
+STOP = frozenset("0 2 3 4 a and any are by code copy for form forms free general in is may modify name names of or permitted person products public purpose source style subject terms that "
+                 "the this to under use used v version with without work".split())
+PIECE_ENDS = r"[.!?;][ \t]+|[\r\n]+"
 RUN = 5
 LEAST_WHOLE = 0.9  # whole texts share so many ordinary words that less says nothing
+SALTS = 16  # one text may be that of a third of all files
 LICENCE_FILE = r"(?i)^(licen[cs]e|copying|notice|copyright)([.-][^/]*)?$"
 TERM = "[a-z0-9]+"
 VERSION = r"-([0-9]+)[.0-9]*$"
@@ -80,7 +94,7 @@ def template_weights(spark: SparkSession, templates: list[tuple[str, str]]) -> D
 def own_licences(segments: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, least: float = 0.5) -> DataFrame:
     """Best licence of each key: ``segments`` has key and segment (several per key); returns key, licence, score.
 
-    A single shared term counts only if it names licences by itself. A licence whose version number the segment lacks is named without it.
+    Two terms at least must be shared. A licence whose version number the segment lacks is named without it.
     Each distinct segment is compared once, however many texts have it. The templates are a fixed list, so broadcasting them is bounded.
     """
     spark = segments.sparkSession
@@ -94,23 +108,28 @@ def own_licences(segments: DataFrame, templates: list[tuple[str, str]] = TEMPLAT
     counted = counted.join(F.broadcast(idf), "term", "left").withColumn("w", F.col("tf") * F.coalesce("idf", unseen)).drop("idf")
     norms = counted.groupBy("part").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     dots = (counted.join(F.broadcast(weights.select("term", "template", "licence", "share")), "term")
-            .groupBy("part", "template", "licence").agg(F.sum(F.col("w") * F.col("share")).alias("dot"), F.count("*").alias("n"), F.min("term").alias("term"),
+            .groupBy("part", "template", "licence").agg(F.sum(F.col("w") * F.col("share")).alias("dot"), F.count("*").alias("n"),
                                                         F.max(F.col("term") == F.regexp_extract("licence", VERSION, 1)).alias("version")))
-    dots = dots.filter((F.col("n") > 1) | F.col("term").rlike(NAMES)).withColumn("licence", F.when(F.col("version"), F.col("licence")).otherwise(F.regexp_replace("licence", VERSION, "")))
+    dots = dots.filter(F.col("n") > 1).withColumn("licence", F.when(F.col("version"), F.col("licence")).otherwise(F.regexp_replace("licence", VERSION, "")))
     scored = dots.join(norms, "part").withColumn("score", F.round(F.col("dot") / F.col("norm"), 4)).filter(F.col("score") >= least)
     of_part = scored.groupBy("part").agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("licence").alias("licence"))).alias("hit"))
     best = named.select("key", "part").distinct().join(of_part, "part").groupBy("key").agg(F.min("hit").alias("best"))
     return best.select("key", F.col("best.licence").alias("licence"), (-F.col("best.s")).alias("score"))
 
 
+def telling_terms(templates: list[tuple[str, str]]) -> list[str]:
+    """The templates' terms that are no stop words."""
+    return sorted({t for _, words in templates for t in re.findall(TERM, words.lower())} - STOP)
+
+
 def telling(templates: list[tuple[str, str]]) -> str:
-    """A pattern of the templates' terms that are no stop words, for lower-cased text."""
-    strong = {t for _, words in templates for t in re.findall(TERM, words.lower())} - STOP
-    return f"(?<![a-z0-9])({'|'.join(sorted(strong))})(?![a-z0-9])" if strong else "(?!)"
+    """A pattern, for lower-cased text, of a telling term; of all from the first to the last one as its group."""
+    strong = "|".join(telling_terms(templates))
+    return f"(?s)(?:^|[^a-z0-9])((?:{strong})(?:[^a-z0-9](?:.*[^a-z0-9])?(?:{strong}))?)(?:$|[^a-z0-9])"
 
 
 def likely(templates: list[tuple[str, str]], least: float) -> Callable[[Column], Column]:
-    """A cheap test that every segment passes which names a licence or has a term that is no stop word, and reaches ``least``.
+    """A cheap test that every segment with a telling term passes which reaches ``least``.
 
     By Cauchy's inequality it shares terms that hold ``least ** 2`` of a template's squared weight: so many of them as it takes
     to hold that much, and two at least (see ``own_licences``). A segment passes if a part of it does.
@@ -124,15 +143,22 @@ def likely(templates: list[tuple[str, str]], least: float) -> Callable[[Column],
         while need > 0:
             need, k = need - mass[k], k + 1
         enough.add((max(2, k), tuple(sorted(c))))
-    named = telling(templates)
+    strong = F.array(*map(F.lit, telling_terms(templates)))
 
     def shares(words: Column) -> Column:
         out = F.lit(False)
         for k, of in sorted(enough):
             out = out | (F.size(F.array_intersect(words, F.array(*map(F.lit, of)))) >= k)
-        return out
+        return F.arrays_overlap(words, strong) & out
+
+    return lambda segment: F.exists(F.array(terms(segment)), shares)
+
 
-    return lambda segment: segment.rlike(NAMES) | (F.lower(segment).rlike(named) & F.exists(F.array(terms(segment)), shares))
+def spdx_licence(text: Column) -> Column:
+    """The first known identifier among a text's SPDX lines, NULL if there is none."""
+    plain = F.transform(F.regexp_extract_all(text, F.lit(SPDX), 1), lambda x: F.regexp_replace(F.lower(x), r"(-only|-or-later|\+)$", ""))
+    names = F.create_map(*[F.lit(x) for i in SPDX_IDS for x in (i.lower(), i)])
+    return F.get(F.filter(F.transform(plain, lambda x: F.try_element_at(names, x)), lambda x: x.isNotNull()), F.lit(0))
 
 
 def parent(path: Column) -> Column:
@@ -145,32 +171,39 @@ def scan(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, least:
 
     origin: ``own``, ``inherited`` (then from_dir is the directory and score that of its licence file) or ``none`` (licence and
     score NULL). NULL or empty texts have no licence of their own. Files with a NULL path inherit nothing. Repeated rows give
-    a row each; of several licence files of a directory the best counts (ties by name). Very long lines are compared whole.
+    a row each; of several licence files of a directory the best counts (ties by name). Very long lines are compared whole. An identifier and a
+    reservation of rights score 1.
     """
     text = F.col("text").cast("string")
     files = files.select("file_id", F.col("path").cast("string").alias("path"), text.alias("text"))
     whole = F.coalesce(F.regexp_extract("path", "[^/]*$", 0).rlike(LICENCE_FILE), F.lit(False))
     key = F.struct(F.xxhash64("text").alias("h"), F.length("text").alias("n"))
-    named = telling(templates)
-    test, lower = likely(templates, least), F.lower("text")
-    may = F.coalesce(F.col("text").rlike(NAMES) | lower.rlike(named), F.lit(False))
-    marked = files.select("file_id", "path", whole.alias("whole"), F.when(may | whole, key).alias("key"), F.when(whole, F.col("text")).alias("body"),
-                          F.when(may, F.filter(F.split("text", "[\r\n]+"), test)).alias("lines"), F.when(may, F.split(lower, PIECE_ENDS)).alias("pieces"))
+    pattern, test, lower = telling(templates), likely(templates, least), F.lower("text")
+    may = F.coalesce(lower.rlike(pattern), F.lit(False))
+    marked = files.select("file_id", "path", whole.alias("whole"), spdx_licence(F.col("text")).alias("spdx"), F.coalesce(F.col("text").rlike(RIGHTS), F.lit(False)).alias("rights"),
+                          F.when(may | whole, key).alias("key"), F.when(whole, F.col("text")).alias("body"),
+                          F.when(may, F.split(lower, "[\r\n]+")).alias("lines"), F.when(may, F.split(lower, PIECE_ENDS)).alias("pieces"))
     run = lambda i, k: F.array_join(F.slice("pieces", i, k), " ")
-    starts = F.filter(F.sequence(F.lit(1), F.size("pieces")), lambda i: F.element_at("pieces", i).rlike(named) & test(run(i, F.lit(RUN))))
+    starts = F.filter(F.sequence(F.lit(1), F.size("pieces")), lambda i: F.element_at("pieces", i).rlike(pattern) & test(run(i, F.lit(RUN))))
     runs = F.flatten(F.transform(starts, lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(RUN), F.size("pieces") - i + 1)), lambda k: run(i, k))))
-    marked = marked.select("file_id", "path", "whole", "key", "body", "lines", F.when(F.size("pieces") > 0, F.filter(runs, test)).alias("runs"))
-    cores = F.filter(F.transform("runs", lambda x: F.regexp_extract(x, f"(?s){named}(.*{named})?", 0)), lambda x: x.rlike(MARK) & test(x))
+    marked = marked.select("file_id", "path", "whole", "spdx", "rights", "key", "body", F.filter("lines", test).alias("lines"), F.when(F.size("pieces") > 0, F.filter(runs, test)).alias("runs"))
+    cores = F.filter(F.transform("runs", lambda x: F.regexp_extract(x, pattern, 1)), test)
     none = F.array().cast("array<string>")
-    marked = marked.select("file_id", "path", "whole", "key", "body", F.array_distinct(F.concat(*(F.coalesce(c, none) for c in (F.col("lines"), F.col("runs"), cores)))).alias("segments"))
+    marked = marked.select("file_id", "path", "whole", "spdx", "rights", "key", "body",
+                           F.array_distinct(F.concat(*(F.coalesce(c, none) for c in (F.col("lines"), F.col("runs"), cores)))).alias("segments"))
     marked = materialise(marked, "licence-lines")
     segments = marked.filter("key is not null").select("key", F.explode("segments").alias("segment"))
-    bodies = marked.filter("key is not null and body is not null").select("key", F.col("body").alias("segment"))
-    own = own_licences(segments.unionAll(bodies), templates, least).select("key", F.lit(1).alias("rank"), "licence", "score")
-    own = own.unionAll(own_licences(bodies, whole_texts(), LEAST_WHOLE).select("key", F.lit(0), "licence", "score"))
-    own = own.groupBy("key").agg(F.min(F.struct("rank", "licence", "score")).alias("best")).select("key", "best.licence", "best.score")
-    found = materialise(marked.drop("segments", "body").join(own.withColumnRenamed("key", "of"), F.col("key") == F.col("of"), "left")
-                        .select("file_id", "path", "whole", "licence", "score", parent(F.col("path")).alias("dir")), "licences")
+    bodies = marked.filter("key is not null and body is not null").select("key", F.lower("body").alias("segment"))
+    own = own_licences(segments.unionAll(bodies), templates, least).select("key", F.lit(2).alias("rank"), "licence", "score")
+    own = own.unionAll(own_licences(bodies, whole_texts(), LEAST_WHOLE).select("key", F.lit(1), "licence", "score"))
+    own = own.groupBy("key").agg(F.min(F.struct("rank", (-F.col("score")).alias("s"), "licence")).alias("best"))
+    # the files of one text may be many: they are dealt over SALTS keys, its one row is repeated for each
+    own = own.select(F.col("key").alias("of"), F.col("best.licence").alias("named"), (-F.col("best.s")).alias("named_score"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("of_salt"))
+    salted = marked.drop("segments", "body").withColumn("salt", F.pmod(F.xxhash64("file_id", "path"), F.lit(SALTS)).cast("int"))
+    joined = salted.join(own, (F.col("key") == F.col("of")) & (F.col("salt") == F.col("of_salt")), "left")
+    licence = F.coalesce("spdx", "named", F.when(F.col("rights"), PROPRIETARY))
+    score = F.when(F.col("spdx").isNotNull(), 1.0).otherwise(F.coalesce("named_score", F.when(F.col("rights"), 1.0)))
+    found = materialise(joined.select("file_id", "path", "whole", licence.alias("licence"), score.alias("score"), parent(F.col("path")).alias("dir")), "licences")
     of_dir = (found.filter("whole and licence is not null and dir is not null").groupBy(F.col("dir").alias("from_dir"))
               .agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("licence").alias("licence"))).alias("best")))
     dirs = found.filter("licence is null and dir is not null").select("dir").distinct()

@@ -13,6 +13,9 @@ k-th distance r. By the triangle inequality a better vector lies, for every pivo
 only cells that meet it are visited, and of these only scores at or above the k-th so far are handed on. Queries travel in
 blocks of neighbours and meet cells through a directory of distances; scores are integer products, so the result is exact.
 
+A pivot's cells are many where the rows are: cells and rings meet by pivot and by bucket of distance, and the number of buckets follows
+the number of cells, so no key of that join grows with the rows.
+
 Equal vectors are one class: of a class only the k + 1 smallest ids can be in any answer (one may be the query itself), so it keeps
 those; equal queries are answered once. Vectors shorter than the longest are padded with zeros.
 """
@@ -30,15 +33,20 @@ from civicspark.session import materialise
 
 PIVOTS, SAMPLE = 32, 4096
 CELL, BLOCK = 512, 128
+CELLS_PER_BUCKET = 64
 SCALE = 1024
+NO_ID = (1 << 63) - 1  # stands for a NULL id, which comes last
+LARGEST = float(1 << 61)  # of a squared norm: all products then fit 64 bits
 
 
 def quantised(rows: DataFrame, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """vec_id and v: integers of whole, finite, non-empty vectors; other rows take no part."""
+    """vec_id (``NO_ID`` for NULL) and v: integers of whole, finite, non-empty vectors; other rows take no part, nor do vectors so long
+    that products with them pass 64 bits."""
     parts = F.col(vector).cast("array<double>")
-    rows = rows.select(F.col(id_col).cast("long").alias("vec_id"), parts.alias("x")).filter(F.col("x").isNotNull() & (F.size("x") > 0))
+    rows = rows.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("vec_id"), parts.alias("x")).filter(F.col("x").isNotNull() & (F.size("x") > 0))
     rows = rows.withColumn("fine", F.forall("x", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))))
-    return rows.filter("fine and vec_id is not null").select("vec_id", F.transform("x", lambda x: F.floor(F.lit(SCALE) * x).cast("long")).alias("v"))
+    norm = F.aggregate("x", F.lit(0.0), lambda s, x: s + F.lit(float(SCALE) ** 2) * x * x)
+    return rows.filter(F.col("fine") & (norm < LARGEST)).select("vec_id", F.transform("x", lambda x: F.floor(F.lit(SCALE) * x).cast("long")).alias("v"))
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
@@ -90,8 +98,7 @@ class Space:
 
 
 def classes_of(rows: DataFrame, k: int) -> DataFrame:
-    """One row per distinct vector: v and the k + 1 smallest ids that hold it, ascending. Repeated rows count once."""
-    rows = rows.distinct()
+    """One row per distinct vector: v and the k + 1 smallest ids that hold it, ascending, as often as rows have them."""
     first = Window.partitionBy("v").orderBy("vec_id")
     kept = rows.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= k + 1)
     return kept.groupBy("v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
@@ -177,12 +184,14 @@ def _best(found: DataFrame, k: int) -> DataFrame:
 def top_k(candidates: DataFrame, queries: DataFrame, k: int = 10, pivots_from: int = SAMPLE) -> DataFrame:
     """The k largest integer inner products of each query among all candidates but its own id: query_id, rank, vec_id, score.
 
-    Both tables: vec_id, embedding; other columns are ignored. Ties go to the smaller vec_id. NULL ids, and vectors that are NULL,
-    empty or hold NULL or non-finite components, take no part. A query with fewer candidates gets them all; empty tables give no rows.
+    Both tables: vec_id, embedding; other columns are ignored. Ties go to the smaller vec_id, NULL last. Vectors that are NULL, empty or hold
+    NULL or non-finite components take no part, nor do those of a squared norm (in integers) of 2**61 or more, whose scores no long can hold.
+    Each row is a candidate, repeated ones too; a query with a NULL id is not answered, repeated queries are answered once, without the rows
+    of their own id. A query with fewer candidates gets them all; empty tables give no rows.
     """
     spark = candidates.sparkSession
     known = materialise(classes_of(quantised(candidates), k), "vectors")
-    asked = quantised(queries).distinct()
+    asked = quantised(queries).filter(F.col("vec_id") != NO_ID).distinct()
     size, largest = known.select(F.size("v").alias("d"), F.aggregate("v", F.lit(0).cast("long"), lambda s, x: s + x * x).alias("m")).agg(F.max("d"), F.max("m")).first()
     if size is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
@@ -195,12 +204,28 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = 10, pivots_from: i
 
     cells = materialise(_cells(_placed(known, space, False), dim, CELL), "cells")
     directory = cells.select("cell", "pivot", "low", "high")
+    widest, of_cells = directory.agg(F.max("high"), F.count("*")).first()
+    buckets = max(1, of_cells // (PIVOTS * CELLS_PER_BUCKET))
+    width = max(widest, 1e-9) / buckets
+
+    def in_buckets(rows: DataFrame, low: str, high: str) -> DataFrame:
+        """A row for each bucket of distance that low .. high meets, and the first of them."""
+        first, last = (F.greatest(F.lit(0.0), F.least(F.floor(F.col(c) / width), F.lit(float(buckets - 1)))).cast("int") for c in (low, high))
+        return rows.withColumn(f"{low}_bucket", first).withColumn("bucket", F.explode(F.sequence(first, last)))
+
+    def meeting(rows: DataFrame, pivot: str, low: str, high: str) -> DataFrame:
+        """Rows joined with the cells of their pivot that meet low .. high; a pair is made in the first bucket that both are in."""
+        rows = in_buckets(rows, low, high).withColumnRenamed("bucket", "_bucket")
+        met = rows.join(in_buckets(directory, "low", "high"), (F.col(pivot) == F.col("pivot")) & (F.col("_bucket") == F.col("bucket"))
+                        & (F.col("low") <= F.col(high)) & (F.col("high") >= F.col(low)))
+        return met.filter(F.col("bucket") == F.greatest(f"{low}_bucket", "low_bucket"))
+
     distinct = asked.groupBy("v").agg(F.array(F.min("vec_id")).alias("ids"))
     blocks = _cells(_placed(distinct, space, True), dim, BLOCK)
     blocks = materialise(blocks.select(F.col("cell").alias("block"), F.col("pivot").alias("own"), F.col("low").alias("q_low"), F.col("high").alias("q_high"),
                                        F.col("vectors").alias("q_vectors")), "query-blocks")
 
-    near = blocks.join(directory, (F.col("own") == F.col("pivot")) & (F.col("low") <= F.col("q_high")) & (F.col("high") >= F.col("q_low")))
+    near = meeting(blocks, "own", "q_low", "q_high")
     near = near.select("block", "q_vectors", F.lit(None).cast("array<long>").alias("bounds"), "cell").join(cells.select("cell", "vectors", "ids", "offsets"), "cell")
     seeds = _best(_visit(near, space, k), k).groupBy("block", "query").agg(F.max("rank").alias("n"), F.min("score").alias("kth"))
     seeds = seeds.filter(F.col("n") == k + 1).groupBy("block").agg(F.map_from_entries(F.collect_list(F.struct("query", "kth"))).alias("known"))
@@ -222,7 +247,7 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = 10, pivots_from: i
                                                   pa.array([bounds] * n, pa.list_(pa.int64()))], schema=annuli_schema)
 
     rings = blocks.select("block", "q_vectors").join(seeds, "block", "left").mapInArrow(annuli, "block long, at int, inner double, outer double, bounds array<long>")
-    pairs = rings.join(directory, (F.col("at") == F.col("pivot")) & (F.col("high") >= F.col("inner")) & (F.col("low") <= F.col("outer"))).select("block", "cell", "bounds")
+    pairs = meeting(rings, "at", "inner", "outer").select("block", "cell", "bounds")
     pairs = pairs.join(cells.select("cell", "vectors", "ids", "offsets"), "cell").join(blocks.select("block", "q_vectors"), "block")
     answers = _best(_visit(pairs, space, k), k).groupBy("block", "query").agg(F.collect_list(F.struct("score", "vec_id")).alias("found"))
 
@@ -243,4 +268,4 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = 10, pivots_from: i
     others = F.filter(F.array_sort(F.transform("found", lambda x: F.struct((-x["score"]).alias("s"), x["vec_id"].alias("vec_id")))),
                       lambda x: x["vec_id"] != F.col("query_id"))
     out = out.select("query_id", F.posexplode(F.slice(others, 1, k)).alias("at", "hit"))
-    return out.select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("hit.vec_id").alias("vec_id"), (-F.col("hit.s")).alias("score"))
+    return out.select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.nullif(F.col("hit.vec_id"), F.lit(NO_ID)).alias("vec_id"), (-F.col("hit.s")).alias("score"))

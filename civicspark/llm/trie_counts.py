@@ -6,7 +6,9 @@ constant for every piece used, so that fewer and earlier pieces win (Zipf's law
 A pre-token is a word after ``PREFIX``. The best score of a prefix of a pre-token depends on that prefix alone; so the distinct
 pre-tokens of a slice of texts are put in a trie and the forward scores are computed once per trie node, that is once per
 distinct prefix. The node where a pre-token ends stores its token count. A trie holds the pre-tokens of one bounded slice and
-is dropped after it, so memory does not grow with the corpus and no distinct words are shuffled.
+is dropped after it, so memory does not grow with the corpus and no distinct words are shuffled. Beyond ``DEPTH`` characters a
+pre-token has no nodes: its scores go on from the last ``longest`` ones, which are all that they depend on, so an unbroken text of
+many megabytes takes no more memory than itself.
 """
 
 from __future__ import annotations
@@ -26,6 +28,7 @@ SHIFT = 2.7
 PER_PIECE = 4.0
 CHARS = 0x110000
 TRIE_BYTES = 1 << 24
+DEPTH = 1024
 
 
 class Pieces:
@@ -46,31 +49,42 @@ class Trie:
         self.best = [0.0]
         self.count = [0]
 
+    def _forward(self, word: str, end: int, tops: list[float], tokens: list[int], base: int) -> tuple[float, int]:
+        """Best score and its number of tokens of the first ``end`` characters; ``tops`` and ``tokens`` hold those of prefixes from ``base`` on."""
+        score, c = self.pieces.score, word[end - 1]
+        size = 1 if c < "\x80" else len(c.encode("utf-8", "surrogatepass"))
+        # the fallback: each byte of the character is a token
+        top, n = tops[end - 1 - base] + size * self.pieces.byte_score, tokens[end - 1 - base] + size
+        for begin in range(max(0, end - self.pieces.longest), end):
+            s = score.get(word[begin:end])
+            if s is not None:
+                s += tops[begin - base]
+                if s > top or (s == top and tokens[begin - base] + 1 < n):
+                    top, n = s, tokens[begin - base] + 1
+        return top, n
+
     def insert(self, word: str) -> int:
         """The number of tokens of ``word``; new nodes are scored, known prefixes are not scored again."""
         child, best, count = self.child, self.best, self.count
-        node, path = 0, [0]
+        node, tops, tokens, base = 0, [0.0], [0], 0
         for end, c in enumerate(word, 1):
-            edge = node * CHARS + ord(c)
-            nxt = child.get(edge)
-            if nxt is None:
-                score = self.pieces.score
-                size = 1 if c < "\x80" else len(c.encode("utf-8", "surrogatepass"))
-                # the fallback: each byte of the character is a token
-                top, tokens = best[node] + size * self.pieces.byte_score, count[node] + size
-                for begin in range(max(0, end - self.pieces.longest), end):
-                    s = score.get(word[begin:end])
-                    if s is not None:
-                        at = path[begin]
-                        s += best[at]
-                        if s > top or (s == top and count[at] + 1 < tokens):
-                            top, tokens = s, count[at] + 1
-                nxt = child[edge] = len(best)
-                best.append(top)
-                count.append(tokens)
-            node = nxt
-            path.append(node)
-        return count[node]
+            if end <= DEPTH:
+                edge = node * CHARS + ord(c)
+                node = child.get(edge, -1)
+                if node < 0:
+                    top, n = self._forward(word, end, tops, tokens, base)
+                    node = child[edge] = len(best)
+                    best.append(top)
+                    count.append(n)
+                top, n = best[node], count[node]
+            else:
+                top, n = self._forward(word, end, tops, tokens, base)
+                if len(tops) > DEPTH + self.pieces.longest:
+                    base += len(tops) - self.pieces.longest
+                    del tops[:-self.pieces.longest], tokens[:-self.pieces.longest]
+            tops.append(top)
+            tokens.append(n)
+        return tokens[-1]
 
 
 def load_pieces(model_file: str) -> list[str]:

@@ -424,24 +424,26 @@ def test_top_k_cut_is_exact(spark, monkeypatch):
 # 7
 
 
-def test_top_k_against_all_products(spark, monkeypatch):
+@pytest.mark.parametrize("per_bucket", [64, 1])
+def test_top_k_against_all_products(spark, monkeypatch, per_bucket):
     rng = np.random.default_rng(7)
     vectors = [(i, (rng.normal(size=8) * (1 + i % 3)).round(2).tolist()) for i in range(700)]
-    vectors += [(1000 + i, vectors[3][1]) for i in range(60)] + [(2000, None), (2100, []), (2200, [1.0, None] * 4), (2300, [float("nan")] * 8),
-                                                                 (2400, [float("inf")] * 8), (2500, [0.0] * 8), (2600, [1.0, 2.0]), (2500, [0.0] * 8), (None, [1.0] * 8)]
+    vectors += [(1000 + i, vectors[3][1]) for i in range(60)] + [(2000, None), (2100, []), (2200, [1.0, None] * 4), (2300, [float("nan")] * 8), (2450, [1e30] + [0.0] * 7),
+                                                                 (2400, [float("inf")] * 8), (2500, [0.0] * 8), (2600, [1.0, 2.0]), (2500, [0.0] * 8), (None, [5.0] * 8), (None, [5.0] * 8),
+                                                                 (2701, [4.0] * 8), (2701, [4.0] * 8), (2700, [1e30] * 8)]
     df = spark.createDataFrame([(*v, "x") for v in vectors], "vec_id long, embedding array<float>, score string")
     monkeypatch.setattr(topk, "CELL", 16)
     monkeypatch.setattr(topk, "BLOCK", 3)
-    got = {tuple(r) for r in topk.top_k(df, df.filter("vec_id % 100 = 0"), 10).collect()}
-    whole = {}
-    for i, v in vectors:
-        if i is not None and v and all(x is not None and math.isfinite(x) for x in v):
-            whole[i] = [math.floor(1024 * float(np.float32(x))) for x in v] + [0] * (8 - len(v))
-    want = set()
-    for q in [i for i in whole if i % 100 == 0]:
-        best = sorted(((-sum(a * b for a, b in zip(whole[q], v)), i) for i, v in whole.items() if i != q))[:10]
-        want |= {(q, r, i, -s) for r, (s, i) in enumerate(best, 1)}
-    assert got == want
+    monkeypatch.setattr(topk, "PIVOTS", 4)
+    monkeypatch.setattr(topk, "CELLS_PER_BUCKET", per_bucket)
+    got = sorted(((r.query_id, r["rank"], r.vec_id, r.score) for r in topk.top_k(df, df.filter("vec_id % 100 = 0"), 10).collect()), key=repr)
+    whole = [(i, [math.floor(1024 * float(np.float32(x))) for x in v] + [0] * (8 - len(v))) for i, v in vectors
+             if v and all(x is not None and math.isfinite(x) and abs(x) < 1e29 for x in v)]
+    want = []
+    for q, own in {i: v for i, v in whole if i is not None and i % 100 == 0}.items():
+        best = sorted(((-sum(a * b for a, b in zip(own, v)), i is None, i or 0) for i, v in whole if i != q))[:10]
+        want += [(q, r, None if no_id else i, -s) for r, (s, no_id, i) in enumerate(best, 1)]
+    assert got == sorted(want, key=repr) and any(r[2] is None for r in got) and any(r[2] == 2701 and x[2] == 2701 for r, x in zip(got, got[1:]))
     few = df.filter("vec_id < 3")
     assert topk.top_k(few, few, 10).count() == 6 and topk.top_k(df.limit(0), df, 10).count() == 0 and topk.top_k(df, df.limit(0), 10).count() == 0
 
@@ -530,6 +532,24 @@ def test_trie_counts_against_plain_segmentation(spark, odd, empty):
 # 10
 
 
+def test_long_runs_have_no_nodes(monkeypatch):
+    """Beyond DEPTH characters the counts are the same, and nothing is kept."""
+    rng = np.random.default_rng(1)
+    pieces = trie_counts.Pieces(trie_counts.load_pieces(public_tokenizers.path("piece_bpe_32k.model")))
+    words = ["▁" + "".join(rng.choice(list("abcdething é日"), rng.integers(1, 300))) for _ in range(150)]
+    whole = trie_counts.Trie(pieces)
+    want = [whole.insert(w) for w in words]
+    monkeypatch.setattr(trie_counts, "DEPTH", 7)
+    short = trie_counts.Trie(pieces)
+    assert [short.insert(w) for w in words] == want and len(short.best) < len(whole.best) / 10
+    import tracemalloc
+
+    tracemalloc.start()
+    short.insert("▁" + "a1b2" * 50_000)
+    assert tracemalloc.get_traced_memory()[1] < 4_000_000
+    tracemalloc.stop()
+
+
 def test_mix_targets_by_water_level(spark):
     sizes = {"a": 100, "b": 10, "c": 0, "d": 5000, None: 40}
     rows = [(i, s, n // 10 + (j < n % 10), None) for i, (s, n, j) in enumerate((s, n, j) for s, n in sizes.items() for j in range(10))]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -39,6 +40,11 @@ def chord(km: float) -> float:
     return 2.0 * math.sin(min(km / EARTH_RADIUS_KM, math.pi) / 2.0)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value written and computed once, however often the body uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def destination(lat: Column, lon: Column, km: Column, bearing_deg: Column) -> tuple[Column, Column]:
     """Latitude and longitude reached from a point by ``km`` along a bearing (0 = north, 90 = east)."""
     phi, lam, theta = F.radians(lat), F.radians(lon), F.radians(bearing_deg)
@@ -61,6 +67,6 @@ def rhumb_destination(lat: Column, lon: Column, km: Column, bearing_deg: Column)
     phi2 = F.when(over > half, F.lit(math.pi) - over).when(over < -half, F.lit(-math.pi) - over).otherwise(over)
     quarter = F.lit(math.pi / 4)
     dpsi = F.log(F.tan(phi2 / 2 + quarter) / F.nullif(F.tan(phi / 2 + quarter), F.lit(0.0)))
-    q = F.when(F.abs(dpsi) > 1e-11, dphi / F.nullif(dpsi, F.lit(0.0))).otherwise(F.cos(phi))
+    q = let(dpsi, lambda d: F.when(F.abs(d) > 1e-11, dphi / F.nullif(d, F.lit(0.0))).otherwise(F.cos(phi)))
     moved = F.when(F.abs(F.cos(phi)) < 1e-9, lam).otherwise(lam + delta * F.sin(theta) / F.nullif(q, F.lit(0.0)))
     return F.degrees(phi2), F.degrees(moved)

@@ -51,6 +51,13 @@ def isin(values: Mapping[str, Sequence[object]]) -> Column | None:
     return _all(F.col(c).isin(list(v)) for c, v in values.items())
 
 
+def in_range(limits: Mapping[str, tuple[float | None, float | None]]) -> Column | None:
+    """Columns strictly between their limits; a limit that is None is open. NULL is in no range."""
+    found = [F.col(c) > F.lit(low) for c, (low, _) in limits.items() if low is not None]
+    found += [F.col(c) < F.lit(high) for c, (_, high) in limits.items() if high is not None]
+    return _all(found)
+
+
 def sampled(key: str, fraction: float, salt: int = 0) -> Column | None:
     """Bernoulli sampling by key hash: the same rows on every run; no condition from 1 upward."""
     if not fraction or fraction >= 1:

@@ -67,6 +67,16 @@ def metro_states(metro: Column) -> Column:
     return F.split(F.trim(F.element_at(F.split(metro, ","), -1)), "-")
 
 
+def state_name(code: Column) -> Column:
+    """The name of a state code, NULL for an unknown one. The table has a fixed size, so it is a literal map instead of a join."""
+    return F.try_element_at(F.create_map(*[F.lit(x) for pair in STATE_NAMES.items() for x in pair]), code)
+
+
+def state_code(name: Column) -> Column:
+    """The code of a state's name in any case, NULL for an unknown one."""
+    return F.try_element_at(F.create_map(*[F.lit(x) for code, full in STATE_NAMES.items() for x in (full.lower(), code)]), F.lower(name))
+
+
 def metro_state(metro: Column, marker: str = "multiple") -> Column:
     """The one state of a metro, or ``marker`` when it spans several."""
     states = metro_states(metro)

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from civicspark.functions import scalars as S
 from civicspark.operators import ordered as O
 from civicspark.operators.aggregates import weighted_mean
+from civicspark.session import materialise
 
 INTERVAL_95 = {"lower": 0.025, "upper": 0.975}
 INTERVAL_80 = {"lower": 0.1, "upper": 0.9}
@@ -180,11 +181,19 @@ def choice_differs(prefs: DataFrame, leave_out: Sequence[int] = ()) -> DataFrame
 
 
 def line_band(pairs: DataFrame, keys: Sequence[str], points: int, interval: dict[str, float]) -> DataFrame:
-    """Mean and band of ``b0 x + b1 (1 - x)`` over draws on an even grid of x; ``pairs`` holds b0 and b1 per draw."""
+    """Mean and band of ``b0 x + b1 (1 - x)`` over draws on an even grid of x; ``pairs`` holds b0 and b1 per draw.
+
+    The draws are stored once; what moves per grid point are counts of value bins and the values of the bins that hold the ends.
+    """
+    keys = list(keys)
+    pairs = materialise(pairs.select(*keys, "b0", "b1"), "pairs")
     steps = F.sequence(F.lit(0), F.lit(points - 1))
     grid = pairs.withColumn("step", F.explode(steps)).withColumn("x", F.col("step") / F.lit(points - 1))
-    lines = grid.withColumn("y", F.col("b0") * F.col("x") + F.col("b1") * (F.lit(1.0) - F.col("x")))
-    return summary(lines, [*keys, "step"], "y", interval)
+    lines = grid.select(*keys, "step", (F.col("b0") * F.col("x") + F.col("b1") * (F.lit(1.0) - F.col("x"))).alias("y"))
+    by = [*keys, "step"]
+    ends = O.binned_quantiles(lines, by, "y", interval).select(*[F.col(k).alias(f"_s_{k}") for k in by], *interval)
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_s_{k}")) for k in by])
+    return lines.groupBy(*by).agg(F.avg("y").alias("mean")).join(ends, same, "left").select(*by, "mean", *interval)
 
 
 def paired(draws: DataFrame, keys: Sequence[str], cand: int, value: str = "b") -> DataFrame:

@@ -8,122 +8,21 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from civicspark.functions.geometry import KM_PER_DEGREE, chord, haversine_km, rhumb_destination, unit_sphere
+from civicspark.functions.geometry import KM_PER_DEGREE, chord, haversine_km, rhumb_destination
 from civicspark.functions.hashing import HASH_SPACE, key_hash
-from civicspark.session import materialise
-
-BITS = {"planar": 3, "geodesic": 2}      # each level cuts a cell into 2**bits parts per axis: 64 children
-LEVELS = {"planar": 8, "geodesic": 11}
-LEAF_PLACES = 64            # places per cell at which the search stops cutting
-
-
-def _dims(metric: str, lat: str, lon: str) -> list[Column]:
-    return [F.col(lat), F.col(lon)] if metric == "planar" else unit_sphere(F.col(lat), F.col(lon))
-
-
-def _limits(metric: str) -> list[tuple[float, float]]:
-    return [(-90.0, 90.0), (-180.0, 180.0)] if metric == "planar" else [(-1.0, 1.0)] * 3
-
-
-def _cell(dims: list[Column], limits: list[tuple[float, float]], bits: int) -> list[Column]:
-    n = 1 << bits
-    return [F.least(F.floor((d - F.lit(lo)) * F.lit(n / (hi - lo))), F.lit(n - 1)).cast("bigint")
-            for d, (lo, hi) in zip(dims, limits)]
-
-
-def _nearest_cells(points: DataFrame, places: DataFrame, metric: str, leaf_places: int) -> DataFrame:
-    """Exact nearest place for any number of places, without pairing points and places.
-
-    Places are summarised in a hierarchy of cells: bounding box and one real place as witness. Each distinct
-    point walks down it; a cell survives while its box is not farther than the best witness seen. Every join
-    is an equi-join on (type, cell) that returns one row per candidate, so hot cells split by skew handling.
-    """
-    limits, bits, levels = _limits(metric), BITS[metric], LEVELS[metric]
-    k = len(limits)
-    axes = range(k)
-    unique = places.groupBy("place_type", "lat", "lon").agg(F.min("place_id").alias("place_id"))
-    unique = unique.select("*", *[d.cast("double").alias(f"d{i}") for i, d in enumerate(_dims(metric, "lat", "lon"))])
-
-    # depth: the first level whose fullest cell is small; one pass, one row per level comes back
-    per_level = [F.struct(F.lit(n).alias("level"), F.struct(*[c.alias(f"c{i}") for i, c in enumerate(
-        _cell([F.col(f"d{i}") for i in axes], limits, bits * n))]).alias("cell")) for n in range(1, levels + 1)]
-    spread = unique.select("place_type", F.explode(F.array(*per_level)).alias("l")).select("place_type", "l.*")
-    fullest = (spread.groupBy("place_type", "level", "cell").count().groupBy("level").agg(F.max("count").alias("n"))
-               .filter(F.col("n") <= leaf_places).agg(F.min("level").alias("level")).first())
-    depth = fullest["level"] or levels
-    unique = materialise(unique, "places")
-
-    def key(prefix: str) -> list[str]:
-        return [f"{prefix}{i}" for i in axes]
-
-    def summary(level: int) -> DataFrame:
-        """Per parent cell at ``level - 1``: its child cells with box and witness (at most 2**(bits k))."""
-        child = _cell([F.col(f"d{i}") for i in axes], limits, bits * level)
-        cells = (unique.groupBy("place_type", *[c.alias(f"c{i}") for i, c in enumerate(child)])
-                 .agg(*[F.min(f"d{i}").alias(f"lo{i}") for i in axes], *[F.max(f"d{i}").alias(f"hi{i}") for i in axes],
-                      F.min(F.struct(*key("d"))).alias("w")))
-        child_row = F.struct(*key("c"), *key("lo"), *key("hi"), "w")
-        parents = [F.shiftright(f"c{i}", bits).alias(f"p{i}") for i in axes]
-        return cells.groupBy("place_type", *parents).agg(F.collect_list(child_row).alias("children"))
-
-    def sq(a, b) -> Column:
-        total = None
-        for x, y in zip(a, b):
-            part = (x - y) * (x - y)
-            total = part if total is None else total + part
-        return total
-
-    spots = points.select("lat", "lon").distinct()
-    spots = spots.select("*", *[d.cast("double").alias(f"q{i}") for i, d in enumerate(_dims(metric, "lat", "lon"))])
-    q = [F.col(f"q{i}") for i in axes]
-    types = places.select("place_type").distinct()
-    # level 0: one root cell per type; the type list is a dimension far smaller than the points
-    live = spots.withColumn("_t", types.agg(F.collect_set("place_type").alias("t")).scalar())
-    live = live.withColumn("place_type", F.explode("_t")).drop("_t")
-    live = live.select("*", *[F.lit(0).cast("bigint").alias(f"p{i}") for i in axes], F.lit(float("inf")).alias("bound"))
-    spot = ["lat", "lon", "place_type"]
-    for level in range(1, depth + 1):
-        side = summary(level)
-        # the first two levels have 1 and at most 64 parent cells per type, so shuffling points by them would
-        # put all points in a few tasks; their size is bounded by the cell count
-        joined = live.join(F.broadcast(side) if level <= 2 else side, ["place_type", *key("p")])
-
-        def box_gap(c) -> Column:
-            gaps = [F.greatest(c[f"lo{i}"] - q[i], F.lit(0.0), q[i] - c[f"hi{i}"]) for i in axes]
-            return sq(gaps, [F.lit(0.0)] * k)
-
-        rated = joined.withColumn("rated", F.transform("children", lambda c: F.struct(
-            box_gap(c).alias("gap"), sq(q, [c["w"][f"d{i}"] for i in axes]).alias("reach"), *[c[f"c{i}"].alias(f"p{i}") for i in axes])))
-        rated = rated.withColumn("bound", F.least("bound", F.array_min(F.transform("rated", lambda r: r["reach"]))))
-        near = rated.withColumn("rated", F.filter("rated", lambda r: r["gap"] <= F.col("bound")))
-        # explode_outer: plain explode would push a size() test, with the whole rating inside, into the join
-        flat = near.select(*spot, *key("q"), "bound", F.explode_outer("rated").alias("r"))
-        if level > 1:  # a spot has one row before the first level, so its bound is already the best of its rows
-            flat = flat.withColumn("bound", F.min("bound").over(Window.partitionBy(*spot)))
-        live = (flat.filter(F.col("r.gap") <= F.col("bound"))
-                .select(*spot, *key("q"), "bound", *[F.col(f"r.p{i}").alias(f"p{i}") for i in axes]))
-    leaf = _cell([F.col(f"d{i}") for i in axes], limits, bits * depth)
-    leaves = unique.select("place_type", *[c.alias(f"p{i}") for i, c in enumerate(leaf)], "place_id",
-                           F.col("lat").alias("place_lat"), F.col("lon").alias("place_lon"), *key("d"))
-    tried = live.join(leaves, ["place_type", *key("p")])
-    tried = tried.withColumn("_d", sq(q, [F.col(f"d{i}") for i in axes]))
-    best = tried.groupBy(*spot).agg(F.min(F.struct("_d", "place_id", "place_lat", "place_lon")).alias("b"))
-    best = best.select(*spot, "b.place_id", "b.place_lat", "b.place_lon")
-    return points.join(best, ["lat", "lon"]).select("point_id", "lat", "lon", "place_type", "place_id", "place_lat", "place_lon")
-
-
-def _located(places: DataFrame) -> DataFrame:
-    return places.filter(F.col("lat").isNotNull() & F.col("lon").isNotNull()).select("place_id", "place_type", "lat", "lon")
-
+from civicspark.operators.nearest import LEAF_PLACES, Tree, spots_of
 
 def nearest(points: DataFrame, places: DataFrame, metric: str = "planar", leaf: int = LEAF_PLACES) -> DataFrame:
     """Per point (point_id, lat, lon) and place type: the nearest place and its great-circle distance.
 
     ``metric="planar"`` compares squared degrees, ``"geodesic"`` true distance; ties take the smallest id. The
-    cell search serves any number of places. Points or places without coordinates take no part.
+    search serves any number of places. Points or places without coordinates take no part.
     """
     points = points.filter(F.col("lat").isNotNull() & F.col("lon").isNotNull())
-    found = _nearest_cells(points, _located(places), metric, leaf)
+    tried = Tree(places, metric, leaf, 1).search(spots_of(points), 1, None)
+    best = tried.groupBy("lat", "lon", "place_type").agg(F.min(F.struct("_d", "place_id", "place_lat", "place_lon")).alias("b"))
+    best = best.select("lat", "lon", "place_type", "b.place_id", "b.place_lat", "b.place_lon")
+    found = points.join(best, ["lat", "lon"]).select("point_id", "lat", "lon", "place_type", "place_id", "place_lat", "place_lon")
     return found.withColumn("km", haversine_km(F.col("lat"), F.col("lon"), F.col("place_lat"), F.col("place_lon")))
 
 
@@ -149,26 +48,37 @@ def attach_nearest(people: DataFrame, key: str, places: DataFrame, types: Sequen
     return people.join(wide, (F.col("lat") == F.col("_lat")) & (F.col("lon") == F.col("_lon")), "left").drop("_lat", "_lon")
 
 
-def within_radius(points: DataFrame, places: DataFrame, km: float) -> DataFrame:
-    """All (point, place) pairs at most ``km`` apart, with their distance.
+def _one_type(places: DataFrame) -> DataFrame:
+    return places.select("place_id", F.lit("").alias("place_type"), "lat", "lon")
+
+
+def within_radius(points: DataFrame, places: DataFrame, km: float, leaf: int = LEAF_PLACES) -> DataFrame:
+    """All (point, place) pairs at most ``km`` apart, with their distance, of any place type; exact at the poles and across the date line.
 
-    Both sides fall into cubes as wide as the radius on the unit sphere, so a match lies in the same or a
-    touching cube: an equi-join, exact at the poles and across the date line.
+    Only cells of the place tree whose box is within the radius are looked into.
     """
-    side = max(chord(km), 1e-9) * (1 + 1e-9)
+    reach = chord(km) * (1 + 1e-9) + 1e-12
+    tried = Tree(_one_type(places), "geodesic", leaf, None).search(spots_of(points), None, reach)
+    return points.select("point_id", "lat", "lon").join(_with_km(tried, km), ["lat", "lon"])
 
-    def cubes(lat: str, lon: str) -> list[Column]:
-        return [F.floor(d / F.lit(side)) for d in unit_sphere(F.col(lat), F.col(lon))]
 
-    p = points.select("point_id", "lat", "lon", *[c.alias(f"c{i}") for i, c in enumerate(cubes("lat", "lon"))])
-    steps = F.array(*[F.lit(s).cast("bigint") for s in (-1, 0, 1)])
-    f = places.select("place_id", F.col("lat").alias("place_lat"), F.col("lon").alias("place_lon"))
-    f = f.select("*", *[c.alias(f"b{i}") for i, c in enumerate(cubes("place_lat", "place_lon"))])
-    for i in range(3):
-        f = f.withColumn("_s", F.explode(steps)).withColumn(f"c{i}", F.col(f"b{i}") + F.col("_s")).drop("_s")
-    near = p.join(f.drop("b0", "b1", "b2"), ["c0", "c1", "c2"]).drop("c0", "c1", "c2")
-    near = near.withColumn("km", haversine_km(F.col("lat"), F.col("lon"), F.col("place_lat"), F.col("place_lon")))
-    return near.filter(F.col("km") <= F.lit(float(km)))
+def nearest_n(points: DataFrame, places: DataFrame, n: int, km: float | None = None, leaf: int = LEAF_PLACES) -> DataFrame:
+    """The ``n`` nearest places of each point, of any type and not beyond ``km``, with distance and ``nearby_rank`` from 0 (ties by id).
+
+    The distance of the n-th place is bounded before any place is compared, so a dense region costs a point no more than some n
+    places.
+    """
+    reach = None if km is None else chord(km) * (1 + 1e-9) + 1e-12
+    tried = _with_km(Tree(_one_type(places), "geodesic", max(leaf, n), n).search(spots_of(points), n, reach), km)
+    spot = Window.partitionBy("lat", "lon").orderBy("km", "place_id")
+    near = tried.withColumn("nearby_rank", F.row_number().over(spot)).filter(F.col("nearby_rank") <= n)  # in this form the limit runs before the shuffle
+    near = near.withColumn("nearby_rank", F.col("nearby_rank") - 1)
+    return points.select("point_id", "lat", "lon").join(near, ["lat", "lon"])
+
+
+def _with_km(tried: DataFrame, km: float | None) -> DataFrame:
+    rows = tried.withColumn("km", haversine_km(F.col("lat"), F.col("lon"), F.col("place_lat"), F.col("place_lon"))).drop("_d", "place_type")
+    return rows if km is None else rows.filter(F.col("km") <= F.lit(float(km)))
 
 
 def assigned_vs_nearest(assigned: DataFrame, found: DataFrame) -> DataFrame:
@@ -195,10 +105,11 @@ def ring_edges(polygons: DataFrame) -> DataFrame:
                     F.col("e.b.lon").alias("x2"), F.col("e.b.lat").alias("y2"))
 
 
-def bounding_box(polygons: DataFrame) -> DataFrame:
-    pts = polygons.select("poly_id", F.explode("ring").alias("p"))
-    return pts.groupBy("poly_id").agg(F.min("p.lon").alias("lon_min"), F.min("p.lat").alias("lat_min"),
-                                      F.max("p.lon").alias("lon_max"), F.max("p.lat").alias("lat_max"))
+def bounding_box(polygons: DataFrame, keys: Sequence[str] = ("poly_id",)) -> DataFrame:
+    """Box of each polygon, over all its parts; of each part if ``keys`` name it."""
+    pts = polygons.select(*keys, F.explode("ring").alias("p"))
+    return pts.groupBy(*keys).agg(F.min("p.lon").alias("lon_min"), F.min("p.lat").alias("lat_min"),
+                                  F.max("p.lon").alias("lon_max"), F.max("p.lat").alias("lat_max"))
 
 
 def polygon_centre(polygons: DataFrame) -> DataFrame:
@@ -207,47 +118,114 @@ def polygon_centre(polygons: DataFrame) -> DataFrame:
     return pts.groupBy("poly_id").agg(F.avg("p.lat").alias("lat"), F.avg("p.lon").alias("lon"))
 
 
-def points_in_polygons(points: DataFrame, polygons: DataFrame, cell: float = 1.0) -> DataFrame:
-    """(point_id, poly_id) pairs inside, by ray casting; a polygon of several parts has one row (poly_id, ring) for each.
+def polygon_cells(polygons: DataFrame, cell: float) -> DataFrame:
+    """Polygons clipped to square cells: (cx, cy, poly_id, corner, edges), a row for every cell that a polygon reaches into.
 
-    Points meet the polygons whose bounding box covers their cell, then only the edges that cross their
-    latitude band: two equi-joins; crossings are summed on the map side.
+    ``edges`` are the edges that touch the cell, NULL in cells wholly inside. ``corner``: whether the cell's lower right corner is
+    inside; from there a point is reached by going up the cell's right side and then left, so that only the cell's own edges are
+    crossed. Rings of one ``poly_id`` (parts and holes) count by the even-odd rule.
     """
-    edges = ring_edges(polygons)
-    box = bounding_box(polygons)
+    edges = ring_edges(polygons).filter("x1 <> x2 or y1 <> y2")
+    edge = F.struct("x1", "y1", "x2", "y2")
 
     def bands(low: Column, high: Column) -> Column:
         return F.explode(F.sequence(F.floor(low / cell), F.floor(high / cell)))
 
-    cover = box.withColumn("cx", bands(F.col("lon_min"), F.col("lon_max")))
-    cover = cover.withColumn("cy", bands(F.col("lat_min"), F.col("lat_max"))).select("poly_id", "cx", "cy")
-    p = points.select("point_id", "lat", "lon").distinct()  # a point that came twice would undo its own crossings
-    p = p.select("*", F.floor(F.col("lon") / cell).alias("cx"), F.floor(F.col("lat") / cell).alias("cy"))
-    candidates = p.join(cover, ["cx", "cy"])
-    banded = edges.withColumn("cy", bands(F.least("y1", "y2"), F.greatest("y1", "y2")))
-    met = candidates.join(banded, ["poly_id", "cy"])
-    spans = (F.col("y1") > F.col("lat")) != (F.col("y2") > F.col("lat"))
-    at = (F.col("x2") - F.col("x1")) * (F.col("lat") - F.col("y1")) / F.nullif(F.col("y2") - F.col("y1"), F.lit(0.0)) + F.col("x1")
-    crossed = met.filter(spans & (F.col("lon") < at))
-    return (crossed.groupBy("point_id", "lat", "lon", "poly_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") % 2 == 1)
-            .select("point_id", "poly_id").distinct())
+    # an edge is cut at the rows it passes, then at the columns between its ends in a row
+    rows = edges.select("poly_id", edge.alias("e"), bands(F.least("y1", "y2"), F.greatest("y1", "y2")).alias("cy"))
+    slope = (F.col("e.x2") - F.col("e.x1")) / F.nullif(F.col("e.y2") - F.col("e.y1"), F.lit(0.0))
+
+    def x_at(y: Column, flat: Column) -> Column:
+        return F.coalesce(F.col("e.x1") + (y - F.col("e.y1")) * slope, flat)
+
+    low, high = F.greatest(F.col("cy") * cell, F.least("e.y1", "e.y2")), F.least((F.col("cy") + 1) * cell, F.greatest("e.y1", "e.y2"))
+    ends = [x_at(low, F.col("e.x1")), x_at(high, F.col("e.x2"))]
+    room = F.lit(cell * 1e-9)  # rounding must not keep an edge from a cell that it touches
+    left, right = F.greatest(F.least(*ends) - room, F.least("e.x1", "e.x2") - room), F.least(F.greatest(*ends) + room, F.greatest("e.x1", "e.x2") + room)
+    touched = rows.select("poly_id", "cy", "e", bands(left, right).alias("cx"))
+    clipped = touched.groupBy("poly_id", "cx", "cy").agg(F.collect_list("e").alias("edges"))
+    # the rows' lower borders: edges that cross them, and the columns between the outermost touched cells of a row
+    border = F.col("cy") * cell
+    crossing = rows.filter((F.col("e.y1") > border) != (F.col("e.y2") > border)).groupBy("poly_id", "cy").agg(F.collect_list("e").alias("crossing"))
+    spans = clipped.groupBy("poly_id", "cy").agg(F.min("cx").alias("_from"), F.max("cx").alias("_to")).join(crossing, ["poly_id", "cy"], "left")
+    cells = spans.select("poly_id", "cy", "crossing", F.explode(F.sequence("_from", "_to")).alias("cx"))
+    beyond = F.filter("crossing", lambda e: _crosses_right(e, (F.col("cx") + 1) * cell, border))
+    cells = cells.select("poly_id", "cx", "cy", (F.coalesce(F.size(beyond), F.lit(0)) % 2 == 1).alias("corner"))
+    return cells.join(clipped, ["poly_id", "cx", "cy"], "left").filter(F.col("corner") | F.col("edges").isNotNull())
 
 
-def grid_points(boxes: DataFrame, km: float, shift_km: float = 0.0) -> DataFrame:
-    """Points every ``km`` over each box, from its south-west corner (shifted north and east if asked).
+def _side_of(e: Column, x: Column, y: Column) -> Column:
+    return (e["x2"] - e["x1"]) * (y - e["y1"]) - (e["y2"] - e["y1"]) * (x - e["x1"])
 
-    Closed form: the latitude step is constant, the longitude step follows each row's latitude.
+
+def _crosses_right(e: Column, x: Column, y: Column) -> Column:
+    """Whether an edge crosses the horizontal line through a point to the right of it."""
+    return ((e["y1"] > y) != (e["y2"] > y)) & (_side_of(e, x, y) != 0.0) & ((_side_of(e, x, y) > 0.0) == (e["y2"] > e["y1"]))
+
+
+def _crosses_above(e: Column, x: Column, y: Column) -> Column:
+    """Whether an edge crosses the vertical line through a point above it; told by the same product as ``_crosses_right``.
+
+    There a point on an edge counts as a little to the right of it, hence below a rising edge and above a falling or level one.
+    """
+    rising = (e["y1"] != e["y2"]) & ((e["y2"] > e["y1"]) == (e["x2"] > e["x1"]))
+    side = _side_of(e, x, y)
+    return ((e["x1"] > x) != (e["x2"] > x)) & F.when(side == 0.0, rising).otherwise((side < 0.0) == (e["x2"] > e["x1"]))
+
+
+def points_in_polygons(points: DataFrame, polygons: DataFrame, cell: float = 1.0) -> DataFrame:
+    """(point_id, poly_id) pairs inside, by ray casting; a polygon of several parts, or with holes, has one row (poly_id, ring) for each ring.
+
+    One equi-join of points with the clipped cells of ``polygon_cells``: a point in a cell wholly inside meets no edge, any other only the
+    edges that touch its own cell. Repeated points give one pair.
+    """
+    right, border = (F.col("cx") + 1) * cell, F.col("cy") * cell
+    p = points.filter(F.col("lat").isNotNull() & F.col("lon").isNotNull()).select(
+        "point_id", "lat", "lon", F.floor(F.col("lon") / cell).alias("cx"), F.floor(F.col("lat") / cell).alias("cy"))
+    met = p.join(polygon_cells(polygons, cell), ["cx", "cy"])
+
+    def crossed(e: Column) -> Column:
+        lat, lon = F.col("lat"), F.col("lon")
+        at = (e["x2"] - e["x1"]) * (lat - e["y1"]) / F.nullif(e["y2"] - e["y1"], F.lit(0.0)) + e["x1"]
+        leftwards = ((e["y1"] > lat) != (e["y2"] > lat)) & (lon < at) & ~_crosses_right(e, right, lat)
+        upwards = _crosses_above(e, right, border) != _crosses_above(e, right, lat)
+        return leftwards.cast("int") + upwards.cast("int")
+
+    times = F.aggregate("edges", F.col("corner").cast("int"), lambda n, e: n + crossed(e))
+    return met.filter(F.when(F.col("edges").isNull(), F.col("corner")).otherwise(times % 2 == 1)).select("point_id", "poly_id").distinct()
+
+
+def grid_points(boxes: DataFrame, km: float, shift_km: float = 0.0, keys: Sequence[str] = ("poly_id",)) -> DataFrame:
+    """Points every ``km`` over each box, from its south-west corner (moved north and then east if asked): keys, row, col, lat, lon.
+
+    Closed form: the latitude step is constant, the longitude step follows each row's latitude; all rows start at the same longitude.
     """
     dlat = km / KM_PER_DEGREE
-    start_lat = F.col("lat_min") + F.lit(shift_km / KM_PER_DEGREE)
-    rows = boxes.withColumn("_lat0", start_lat).filter(F.col("_lat0") <= F.col("lat_max"))
+
+    def degrees_east(lat: str, distance: float) -> Column:
+        return F.lit(distance) / (F.lit(KM_PER_DEGREE) * F.cos(F.radians(lat)))
+
+    rows = boxes.withColumn("_lat0", F.col("lat_min") + F.lit(shift_km / KM_PER_DEGREE))
+    rows = rows.withColumn("_lon0", F.col("lon_min") + degrees_east("_lat0", shift_km)).filter("_lat0 <= lat_max and _lon0 <= lon_max")
     rows = rows.withColumn("row", F.explode(F.sequence(F.lit(0), F.floor((F.col("lat_max") - F.col("_lat0")) / dlat).cast("int"))))
-    rows = rows.withColumn("lat", F.col("_lat0") + F.col("row") * F.lit(dlat))
-    per_km = F.lit(1.0) / (F.lit(KM_PER_DEGREE) * F.cos(F.radians("lat")))
-    rows = rows.withColumn("_dlon", per_km * F.lit(km)).withColumn("_lon0", F.col("lon_min") + per_km * F.lit(shift_km))
-    rows = rows.filter(F.col("_lon0") <= F.col("lon_max"))
+    rows = rows.withColumn("lat", F.col("_lat0") + F.col("row") * F.lit(dlat)).withColumn("_dlon", degrees_east("lat", km))
     rows = rows.withColumn("col", F.explode(F.sequence(F.lit(0), F.floor((F.col("lon_max") - F.col("_lon0")) / F.col("_dlon")).cast("int"))))
-    return rows.select("poly_id", "row", "col", "lat", (F.col("_lon0") + F.col("col") * F.col("_dlon")).alias("lon"))
+    return rows.select(*keys, "row", "col", "lat", (F.col("_lon0") + F.col("col") * F.col("_dlon")).alias("lon"))
+
+
+def region_grid(polygons: DataFrame, km: float, shift_km: float = 0.0, sd_km: float = 0.0, cell: float = 1.0) -> DataFrame:
+    """Grid points of every part (poly_id, part, ring) that lie inside that part: poly_id, part, row, col, lat, lon.
+
+    With ``sd_km`` the points are moved by noise first (see ``jitter``), and those that leave their part are dropped.
+    """
+    own = ["poly_id", "part"]
+    grid = grid_points(bounding_box(polygons, own), km, shift_km, own).withColumn("point_id", F.struct(*own, "row", "col"))
+    if sd_km > 0:
+        number = ((F.col("poly_id") * 1000 + F.col("part")) * 100_000 + F.col("row")) * 100_000 + F.col("col")
+        grid = jitter(grid.withColumn("_number", number), "_number", sd_km).drop("_number")
+    parts = polygons.select(F.struct(*own).alias("poly_id"), "ring")
+    inside = points_in_polygons(grid, parts, cell).filter((F.col("point_id.poly_id") == F.col("poly_id.poly_id")) & (F.col("point_id.part") == F.col("poly_id.part")))
+    return grid.join(inside.select("point_id"), "point_id").select(*own, "row", "col", "lat", "lon")
 
 
 def jitter(points: DataFrame, key: str, sd_km: float) -> DataFrame:
@@ -259,8 +237,9 @@ def jitter(points: DataFrame, key: str, sd_km: float) -> DataFrame:
     u2 = key_hash(key, 2) / F.lit(float(HASH_SPACE))
     normal = F.sqrt(F.lit(-2.0) * F.log(u1)) * F.cos(F.lit(2 * math.pi) * u2)
     bearing = key_hash(key, 3) / F.lit(float(HASH_SPACE)) * 360.0 - 180.0
-    lat, lon = rhumb_destination(F.col("lat"), F.col("lon"), F.abs(normal) * F.lit(float(sd_km)), bearing)
-    return points.withColumns({"lat": lat, "lon": lon})
+    moves = points.withColumns({"_km": F.abs(normal) * F.lit(float(sd_km)), "_bearing": bearing})  # columns, so that no expression holds them twice
+    lat, lon = rhumb_destination(F.col("lat"), F.col("lon"), F.col("_km"), F.col("_bearing"))
+    return moves.withColumns({"lat": lat, "lon": lon}).drop("_km", "_bearing")
 
 
 def regions_by_properties(features: DataFrame, wanted: dict[str, str], column: str = "properties") -> DataFrame:

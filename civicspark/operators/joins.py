@@ -7,6 +7,8 @@ choose the join from real sizes, and split skewed partitions.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -105,3 +107,10 @@ def contains_join(texts: DataFrame, names: DataFrame, key: str, text: str, name:
         short = t.select(key, F.explode_outer(F.flatten(F.array(*[pieces(s, s) for s in range(1, gram)]))).alias("_n"))
         found = found.unionByName(short.join(n.filter(F.length("_n") < gram), "_n").select(key, name))
     return found.dropDuplicates()
+
+
+def join_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on equal keys, where NULL equals NULL; the right side's keys do not come out."""
+    renamed = right.select(*[F.col(k).alias(f"_right_{k}") for k in keys], *[c for c in right.columns if c not in keys])
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys])
+    return left.join(renamed, same, how).drop(*[f"_right_{k}" for k in keys])

@@ -2,21 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 from functools import reduce
 from operator import add, and_
 
 import numpy as np
 import pandas as pd
-from pyspark.ml import PipelineModel
+import pyarrow as pa
 from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression, MultilayerPerceptronClassifier
-from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from civicspark.functions.hashing import HASH_SPACE, key_hash
 from civicspark.operators import ordered as O
+from civicspark.operators.joins import join_keys
 from civicspark.session import materialise
 
 # The multipliers applied to the distance, eight even steps from 0.05 to 2.
@@ -47,7 +48,7 @@ def roc_steps(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 def _with_totals(steps: DataFrame, by: Sequence[str]) -> DataFrame:
     if by:
         totals = steps.groupBy(*by).agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
-        return steps.join(totals, list(by))
+        return join_keys(steps, totals, list(by))
     total = steps.agg(F.struct(F.sum("pos").alias("p"), F.sum("neg").alias("n")).alias("t")).scalar()
     return steps.withColumn("_t", total).withColumn("_p", F.col("_t.p")).withColumn("_n", F.col("_t.n")).drop("_t")
 
@@ -79,33 +80,140 @@ def best_f_threshold(df: DataFrame) -> DataFrame:
     return rated.agg(F.max_by("score", F.struct("f", "score")).alias("threshold"), F.max("f").alias("f_measure"))
 
 
-def coefficient_rows(assembled: DataFrame, coefficients: Sequence[float], labels: dict[str, list[str]]) -> list[tuple[str, str, float]]:
-    """(column, category, coefficient) from the assembled vector's attributes; the dropped category is ``default``."""
-    attrs = assembled.schema["features"].metadata.get("ml_attr", {}).get("attrs", {})
-    flat = sorted((a["idx"], a["name"]) for kind in attrs.values() for a in kind)
-    rows = []
-    for idx, name in flat:
-        column = next((c for c in labels if name.startswith(f"{c}_hot_")), name)
-        category = name[len(column) + 5:] if column != name else ""
-        rows.append((column, category, float(coefficients[idx])))
-    rows += [(c, v[-1], 0.0) for c, v in labels.items() if any(r[0] == c for r in rows)]
-    return rows
+@dataclass(frozen=True)
+class Fit:
+    """A logistic model: ``coefficients`` (intercept first), the columns they belong to, and whether the steps came to rest."""
 
+    columns: list[tuple[str, str]]
+    coefficients: list[float]
+    converged: bool
 
-def coefficient_table(spark, assembled: DataFrame, coefficients: Sequence[float], labels: dict[str, list[str]]) -> DataFrame:
-    """As many rows as the model has coefficients."""
-    return spark.createDataFrame(coefficient_rows(assembled, coefficients, labels), "column string, category string, coefficient double")
+    def inputs(self) -> list[Column]:
+        """The columns as numbers; a category is 1 where its column has that value."""
+        return [F.lit(1.0), *[F.col(c).cast("double") if not v else (F.col(c) == v).cast("double") for c, v in self.columns[1:]]]
 
+    def margin(self) -> Column:
+        return reduce(add, [x * F.lit(b) for x, b in zip(self.inputs(), self.coefficients, strict=True)])
 
-def counterfactual(model, df: DataFrame, assembler: VectorAssembler | PipelineModel, distance: str, key: str,
-                   multipliers: Sequence[float] = MULTIPLIERS) -> DataFrame:
-    """Mean predicted turnout with the distance scaled: every multiplier in one pass over the rows."""
-    scaled = df.withColumn("multiplier", F.explode(F.array(*[F.lit(float(m)) for m in multipliers])))
-    scaled = scaled.withColumn(distance, F.col(distance) * F.col("multiplier"))
-    predicted = model.transform(assembler.transform(scaled))
-    p = vector_to_array(F.col("probability"))[1]
-    return predicted.groupBy("multiplier").agg(F.avg(p).alias("turnout"), F.avg("prediction").alias("turnout_hard"), F.avg(distance).alias("mean_distance"),
-                                               F.stddev(distance).alias("stdev_distance"), F.count(key).alias("n"))
+
+def newton_logistic(df: DataFrame, numeric: Sequence[str], categories: dict[str, list[str]], label: str, iterations: int = 30, tolerance: float = 1e-12) -> Fit:
+    """The maximum-likelihood logistic model of a 0/1 label on numbers and categories (the last of each is the base).
+
+    Newton steps: a step is one pass in which every task adds up gradient and Hessian of its rows, d + d * d numbers, which are summed by
+    place; the d unknowns are solved for on the driver. Steps that do not gain likelihood are halved. Rows with a NULL, NaN or
+    infinite input take no part.
+    """
+    columns = [("(intercept)", ""), *[(c, "") for c in numeric], *[(c, v) for c, values in categories.items() for v in values[:-1]]]
+    d = len(columns)
+    inputs = Fit(columns, [0.0] * d, False).inputs()
+    rows = df.select(F.array(*inputs).alias("x"), F.col(label).cast("double").alias("y"))
+    finite = F.forall("x", lambda v: v.isNotNull() & (F.abs(v) < F.lit(float("inf"))))
+    rows = materialise(rows.filter(finite & F.col("y").isNotNull()), "training")
+    schema = pa.schema([("place", pa.int32()), ("value", pa.float64())])
+
+    def sums_at(beta: np.ndarray) -> np.ndarray:
+        def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(1 + d + d * d)
+            for batch in batches:
+                x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
+                y = batch.column("y").to_numpy(zero_copy_only=False)
+                z = x @ beta
+                p = 1 / (1 + np.exp(-np.clip(z, -700, 700)))
+                total[0] += np.sum(y * z - np.logaddexp(0, z))
+                total[1:1 + d] += (y - p) @ x
+                total[1 + d:] += ((x * (p * (1 - p))[:, None]).T @ x).ravel()
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total)), pa.int32()), pa.array(total)], schema=schema)
+
+        out = np.zeros(1 + d + d * d)
+        for r in rows.mapInArrow(partial, "place int, value double").groupBy("place").agg(F.sum("value").alias("value")).collect():
+            out[r.place] = r.value
+        return out
+
+    beta, done = np.zeros(d), False
+    best = sums_at(beta)
+    for _ in range(iterations):
+        gradient, hessian = best[1:1 + d], best[1 + d:].reshape(d, d)
+        scale = np.sqrt(np.diag(hessian) + 1e-300)  # inputs of one size, so that the solver's cut-off treats them alike
+        step = np.linalg.lstsq(hessian / np.outer(scale, scale) + RIDGE * 1e-4 * np.eye(d), gradient / scale, rcond=None)[0] / scale
+        gain = float(gradient @ step)  # Newton's decrement: twice the likelihood still to gain
+        if gain < tolerance:
+            done = True
+            break
+        tried = sums_at(beta + step)
+        while tried[0] < best[0] - 1e-9 * abs(best[0]):
+            step = step / 2
+            tried = sums_at(beta + step)
+        beta, best = beta + step, tried
+    return Fit(columns, beta.tolist(), done)
+
+
+def fitted_totals(df: DataFrame, fit: Fit, label: str) -> DataFrame:
+    """Per coefficient: the model's expected total of its input over the outcomes, sum of p x. At the likelihood's maximum, and only there,
+    this is what the data show, sum of y x (the score equations)."""
+    inputs = fit.inputs()
+    whole = reduce(and_, [x.isNotNull() & (F.abs(x) < F.lit(float("inf"))) for x in [*inputs, F.col(label).cast("double")]])
+    p = _sigmoid(fit.margin())
+    sums = df.filter(whole).agg(*[F.sum(p * x).alias(f"_{i}") for i, x in enumerate(inputs)])
+    named = F.array(*[F.struct(F.lit(c).alias("column"), F.lit(v).alias("category"), F.col(f"_{i}").alias("fitted_total")) for i, (c, v) in enumerate(fit.columns)])
+    return sums.select(F.inline(named))
+
+
+def fit_table(spark, fit: Fit, categories: dict[str, list[str]]) -> DataFrame:
+    """As many rows as the model has coefficients, and 0 for each base category."""
+    rows = [(c, v, float(b)) for (c, v), b in zip(fit.columns, fit.coefficients, strict=True)] + [(c, v[-1], 0.0) for c, v in categories.items()]
+    return spark.createDataFrame(rows, "column string, category string, coefficient double")
+
+
+def _scaled_means(df: DataFrame, predictions: dict[tuple[str, float], Sequence[tuple[str, Column]]]) -> DataFrame:
+    """One aggregation for all distances and multipliers, then a row for each."""
+    aggs, rows = [F.count(F.lit(1)).alias("_n")], []
+    for k, ((distance, m), outs) in enumerate(predictions.items()):
+        far = F.col(distance).cast("double") * F.lit(float(m))
+        aggs += [F.avg(far).alias(f"_mean{k}"), F.stddev(far).alias(f"_sd{k}"), *[F.avg(c).alias(f"_{n}{k}") for n, c in outs]]
+        rows.append(F.struct(F.lit(distance).alias("distance"), F.lit(float(m)).alias("multiplier"), *[F.col(f"_{n}{k}").alias(n) for n, _ in outs],
+                             F.col(f"_mean{k}").alias("mean_distance"), F.col(f"_sd{k}").alias("stdev_distance"), F.col("_n").alias("n")))
+    return df.agg(*aggs).select(F.inline(F.array(*rows)))
+
+
+def counterfactual(fit: Fit, df: DataFrame, distances: Sequence[str], multipliers: Sequence[float] = MULTIPLIERS) -> DataFrame:
+    """Mean predicted turnout (probability, and share above one half) with one distance scaled: a row per distance and multiplier.
+
+    Scaling shifts the margin by coefficient * distance * (m - 1): one pass over the rows, which are sent through no model twice.
+    """
+    at = {c: b for (c, v), b in zip(fit.columns, fit.coefficients, strict=True) if not v}
+    out = {}
+    for distance in distances:
+        for m in multipliers:
+            p = _sigmoid(fit.margin() + F.lit(at[distance]) * F.col(distance).cast("double") * F.lit(float(m) - 1.0))
+            out[distance, m] = [("turnout", p), ("turnout_hard", (p > 0.5).cast("double"))]
+    return _scaled_means(df, out)
+
+
+def tree_counterfactual(model, df: DataFrame, inputs: Sequence[Column], distances: dict[str, int], multipliers: Sequence[float] = MULTIPLIERS) -> DataFrame:
+    """The same for a fitted decision tree: ``distances`` maps a column to its place among the ``inputs``.
+
+    ``m x <= t`` is ``x <= t / m``: only the thresholds on the scaled distance move, and the tree is one expression per multiplier.
+    """
+    root = model._call_java("rootNode")
+
+    def grow(node, moved: int, m: float) -> Column:
+        if node.subtreeDepth() == 0:
+            counts = list(node.impurityStats().stats())
+            return F.lit(float(counts[1] / max(sum(counts), 1e-300)))
+        split = node.split()
+        x = inputs[split.featureIndex()]
+        if "Continuous" in split.getClass().getSimpleName():
+            left = x <= F.lit(split.threshold() / (m if split.featureIndex() == moved else 1.0))
+        else:
+            left = x.isin(list(split.leftCategories()))
+        return F.when(left, grow(node.leftChild(), moved, m)).otherwise(grow(node.rightChild(), moved, m))
+
+    out = {}
+    for distance, place in distances.items():
+        for m in multipliers:
+            p = grow(root, place, float(m))
+            out[distance, m] = [("turnout", p), ("turnout_hard", (p > 0.5).cast("double"))]
+    return _scaled_means(df, out)
 
 
 def _linear(coefs: Column, xs: Sequence[Column]) -> Column:
@@ -155,7 +263,7 @@ def grouped_logistic(df: DataFrame, by: Sequence[str], features: Sequence[str],
         if coefs is None:
             current = rows.withColumn("coefs", F.array(*[F.lit(0.0)] * d))
         else:
-            current = rows.join(coefs.select(*by, "coefs"), by)
+            current = join_keys(rows, coefs.select(*by, "coefs"), by)
         current = current.withColumn("_p", _sigmoid(_linear(F.col("coefs"), x[1:])))
         w = F.col("_p") * (F.lit(1.0) - F.col("_p"))
         sums = current.groupBy(*by).agg(F.first("coefs").alias("coefs"), *[F.sum(x[i] * (F.col("_y") - F.col("_p"))).alias(f"_g{i}") for i in range(d)],
@@ -180,12 +288,12 @@ def per_group_sensitivity(df: DataFrame, group: str, key: str, features: Sequenc
     counts = df.groupBy(group).agg(F.count(F.lit(1)).alias("n_samples"), F.count_if(active).alias("n_filtered"),
                                    F.countDistinct(F.when(active, F.col(label))).alias("_classes"))
     kept = counts.filter((F.col("n_samples") >= min_rows) & (F.col("_classes") > 1)).drop("_classes")
-    rows = df.filter(active).join(kept.select(group), group)
+    rows = join_keys(df.filter(active), kept.select(group), [group])
     salted = [F.struct(F.lit(s).alias("split"), (key_hash(key, s) < F.lit(int(train * HASH_SPACE))).alias("is_train")) for s in range(splits)]
     spread = rows.select("*", F.explode(F.array(*salted)).alias("_s")).select(*rows.columns, "_s.*")
     by = [group, "split"]
     coefs = grouped_logistic(spread.filter("is_train"), by, features, label)
-    test = spread.filter(~F.col("is_train")).join(coefs, by)
+    test = join_keys(spread.filter(~F.col("is_train")), coefs, by)
     xs = [F.col(f).cast("double") for f in features]
     scored = test.withColumn("score", _sigmoid(_linear(F.col("coefs"), xs))).withColumn("label", F.col(label))
     areas = auc(scored, by).groupBy(group).agg(F.avg("auc").alias("auc"))
@@ -198,7 +306,9 @@ def per_group_sensitivity(df: DataFrame, group: str, key: str, features: Sequenc
     names = ["intercept", *[f"coef_{f}" for f in features]]
     means = coefs.groupBy(group).agg(*[F.avg(F.col("coefs")[i]).alias(n) for i, n in enumerate(names)], F.min("converged").alias("converged"),
                                      F.max("iterations").alias("iterations"))
-    out = kept.join(means, group, "left").join(areas, group, "left").join(turnout, group, "left")
+    out = kept
+    for part in (means, areas, turnout):
+        out = join_keys(out, part, [group], "left")
     rests = {*names, "auc", *[c for c in turnout.columns if c.startswith("turnout_with")]}
     return out.select(*[F.when(F.col("converged"), F.col(c)).alias(c) if c in rests else c for c in out.columns])
 

@@ -87,6 +87,13 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str,
     inside = Window.partitionBy(*keys, "_range").orderBy("_q").rowsBetween(Window.unboundedPreceding, 0)
     ranked = kept.withColumn("_end", F.col("_start") + F.sum("_n").over(inside))
 
+    return _at_ranks(ranked, keys, probs)
+
+
+def _at_ranks(ranked: DataFrame, keys: list[str], probs: dict[str, float]) -> DataFrame:
+    """Interpolated quantiles from distinct values ``_q`` with ``_n`` rows, ``_end`` rows up to there and ``_total`` rows of the key."""
+    positions = {n: (F.col("_total") - 1) * F.lit(float(p)) for n, p in probs.items()}
+
     def at(rank: Column) -> Column:
         return F.max(F.when((rank >= F.col("_end") - F.col("_n")) & (rank < F.col("_end")), F.col("_q")))
 
@@ -97,3 +104,31 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str,
     got = ranked.groupBy(*keys).agg(*aggs)
     return got.select(*keys, *[(F.col(f"_lo_{n}") + (F.col(f"_hi_{n}") - F.col(f"_lo_{n}")) * F.col(f"_f_{n}")).alias(n)
                                for n in probs])
+
+
+def binned_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float], bins: int = 1024) -> DataFrame:
+    """Exact interpolated quantiles per key, for few keys of very many rows: the rows themselves hardly move.
+
+    Three passes over ``df``, which must be cheap to compute again: the range of each key, counts per bin of the range (both combined
+    before they move), and the values of the bins that hold a wanted rank. NULL values do not count.
+    """
+    known = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_q"))
+    part = keys or [F.lit(0)]
+
+    def joined(rows: DataFrame, small: DataFrame, on: list[str]) -> DataFrame:
+        small = small.select(*[F.col(c).alias(f"_e_{c}") for c in on], *[c for c in small.columns if c not in on])
+        same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_e_{c}")) for c in on], F.lit(True))
+        return rows.join(small, same).drop(*[f"_e_{c}" for c in on])
+
+    span = materialise(known.groupBy(*keys).agg(F.min("_q").alias("_lo"), F.max("_q").alias("_hi"), F.count(F.lit(1)).alias("_total")), "spans")
+    share = (F.col("_q") - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0))
+    binned = joined(known, span, keys).withColumn("_bin", F.coalesce(F.least(F.floor(share * bins), F.lit(bins - 1)), F.lit(0)).cast("int"))
+    counts = binned.groupBy(*keys, "_bin").agg(F.count(F.lit(1)).alias("_rn"), F.max("_total").alias("_total"))
+    before = Window.partitionBy(*part).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)  # at most ``bins`` rows per key
+    counts = counts.withColumn("_start", F.coalesce(F.sum("_rn").over(before), F.lit(0)))
+    ranks = [edge for p in probs.values() for edge in (F.floor((F.col("_total") - 1) * F.lit(float(p))), F.ceil((F.col("_total") - 1) * F.lit(float(p))))]
+    holds = reduce(lambda a, b: a | b, [(r >= F.col("_start")) & (r < F.col("_start") + F.col("_rn")) for r in ranks])
+    wanted = materialise(counts.filter(holds).select(*keys, "_bin", "_start"), "bins")
+    values = joined(binned, wanted, [*keys, "_bin"]).groupBy(*keys, "_bin", "_start", "_total", "_q").agg(F.count(F.lit(1)).alias("_n"))
+    inside = Window.partitionBy(*keys, "_bin").orderBy("_q").rowsBetween(Window.unboundedPreceding, 0)
+    return _at_ranks(values.withColumn("_end", F.col("_start") + F.sum("_n").over(inside)), keys, probs)

@@ -15,9 +15,7 @@ from civicspark.operators import tables as TB
 
 ADDRESS = ["locationName", "line1", "line2", "line3", "city", "state", "zip"]
 SCALARS = ["pollingHours", "startDate", "endDate", "notes"]
-PLACE = (f"struct<address:struct<{','.join(f'{f}:string' for f in ADDRESS)}>,"
-         f"sources:array<struct<name:string,official:boolean>>,{','.join(f'{f}:string' for f in SCALARS)}>")
-RESPONSE = f"map<string,array<{PLACE}>>"
+SOURCES = ["name", "official"]
 
 
 def count_types(df: DataFrame, col: str) -> DataFrame:
@@ -93,14 +91,32 @@ def mask_repeats(df: DataFrame, index: Sequence[str], tie: str) -> DataFrame:
 
 
 def flatten_places(df: DataFrame, col: str, keep: Sequence[str]) -> DataFrame:
-    """One row per place and source of a stored response: type, position, and every known place, address and source field."""
-    parsed = df.select(*keep, F.explode_outer(F.from_json(col, RESPONSE)).alias("place_type", "places"))
-    places = parsed.select(*keep, "place_type", F.posexplode_outer("places").alias("place_index", "p")).filter(F.col("p").isNotNull())
-    flat = places.select(*keep, "place_type", "place_index", *[F.col(f"p.{f}").alias(f.capitalize()) for f in SCALARS],
-                         *[F.col(f"p.address.{f}").alias(f"Address{f.capitalize()}") for f in ADDRESS],
-                         F.posexplode_outer("p.sources").alias("source_index", "s"))
-    return flat.select(*[c for c in flat.columns if c != "s"], F.col("s.name").alias("SourcesName"),
-                       F.col("s.official").cast("int").alias("SourcesOfficial"))
+    """One row per place and source of a stored response: type, position, and every field that any place, address or source has.
+
+    Records are open: the usual fields always have a column, further ones get theirs (in name order, after the usual ones) when some
+    response carries them. Their names come from one distributed pass, as many as there are distinct fields. Nested values stay JSON text.
+    """
+    parsed = df.select(*keep, F.explode_outer(F.from_json(col, "map<string,array<string>>")).alias("place_type", "places"))
+    places = parsed.select(*keep, "place_type", F.posexplode_outer("places").alias("place_index", "_place")).filter(F.col("_place").isNotNull())
+    places = places.withColumn("_p", F.from_json("_place", "map<string,string>")).drop("_place")
+    places = places.withColumn("_a", F.from_json(F.col("_p")["address"], "map<string,string>")).withColumn("_s", F.from_json(F.col("_p")["sources"], "array<map<string,string>>"))
+
+    def names(level: str, keys: Column) -> Column:
+        none = F.array().cast("array<string>")
+        return F.transform(F.coalesce(keys, none), lambda k: F.struct(F.lit(level).alias("level"), k.alias("key")))
+
+    source_keys = F.flatten(F.transform("_s", lambda s: F.map_keys(s)))
+    fields = places.select(F.explode(F.concat(names("", F.map_keys("_p")), names("Address", F.map_keys("_a")), names("Sources", source_keys))).alias("f"))
+    found = {(r.level, r.key) for r in fields.select("f.*").distinct().collect()} - {("", "address"), ("", "sources")}
+
+    def columns(level: str, usual: Sequence[str], record: Column) -> list[Column]:
+        keys = [*usual, *sorted(k for at, k in found if at == level and k not in usual)]
+        return [record[k].alias(level + k[:1].upper() + k[1:].lower()) for k in keys]
+
+    flat = places.select(*keep, "place_type", "place_index", *columns("", SCALARS, F.col("_p")), *columns("Address", ADDRESS, F.col("_a")),
+                         F.posexplode_outer("_s").alias("source_index", "_source"))
+    out = flat.select(*[c for c in flat.columns if c != "_source"], *columns("Sources", SOURCES, F.col("_source")))
+    return out.withColumn("SourcesOfficial", F.col("SourcesOfficial").try_cast("boolean").cast("int"))
 
 
 def sample_first_place(df: DataFrame, col: str, keep: Sequence[str], types: Sequence[str] = ()) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from civicspark.functions.hashing import hash_bucket, key_hash
+from civicspark.operators.joins import join_keys
 
 ROWS_PER_SLICE = 4096
 
@@ -27,7 +28,7 @@ def hash_rank(df: DataFrame, key: str, by: Sequence[str] = (), salt: int = 0, na
     offsets = counts.select(*by, "_slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     inside = F.row_number().over(Window.partitionBy(*by, "_slice").orderBy("_h", key))
     ranked = cut.repartition(*by, "_slice").withColumn("_inside", inside)  # never by the group alone
-    joined = ranked.join(offsets, [*by, "_slice"])
+    joined = join_keys(ranked, offsets, [*by, "_slice"])
     return joined.select(*df.columns, (F.col("_before") + F.col("_inside")).cast("bigint").alias(name))
 
 
@@ -58,9 +59,8 @@ def sample_backlog(df: DataFrame, todo, key: str, fraction: float) -> DataFrame:
 def sample_stratified(df: DataFrame, key: str, group: str, sizes: DataFrame, size: str, salt: int = 0) -> DataFrame:
     """``size`` rows per group without replacement; ``sizes`` has one row per group."""
     ranked = hash_rank(df, key, [group], salt)
-    wanted = sizes.select(F.col(group).alias("_g"), F.col(size).alias("_want"))
-    return (ranked.join(wanted, F.col(group) == F.col("_g")).filter(F.col("rn") <= F.col("_want"))
-            .drop("_g", "_want", "rn"))
+    wanted = sizes.select(F.col(group), F.col(size).alias("_want"))
+    return join_keys(ranked, wanted, [group]).filter(F.col("rn") <= F.col("_want")).drop("_want", "rn")
 
 
 def sample_disjoint(df: DataFrame, key: str, sizes: Sequence[int], salt: int = 0) -> DataFrame:

@@ -7,6 +7,9 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from civicspark.session import scratch_path
 
 
 def union_all(frames: Sequence[DataFrame]) -> DataFrame:
@@ -72,14 +75,33 @@ def dedup_records(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame
     return (df.select(*cols) if cols else df).dropDuplicates()
 
 
-def history_pivot(history: DataFrame, key: str, when: str, value: str, known: Sequence[str], name) -> DataFrame:
-    """One row per key, one column per known date holding the largest value (a fixed rule for double entries).
+def history_maps(history: DataFrame, key: str, when: str, value: str) -> DataFrame:
+    """One row per key with ``history``: a map from every date of the table that the key has to its largest value (a fixed rule for
+    double entries). Rows without a date stand under ''."""
+    once = history.groupBy(key, F.coalesce(F.col(when).cast("string"), F.lit("")).alias("_at")).agg(F.max(value).alias("_value"))
+    entries = F.array_sort(F.collect_list(F.struct("_at", "_value")))  # at most one entry per date
+    return once.groupBy(key).agg(F.map_from_entries(entries).alias("history"))
 
-    ``n_other`` counts the key's rows of dates that are not known, so that none is dropped without a word.
-    """
-    at = F.col(when).cast("string")
-    picks = [F.max(F.when(at == F.lit(d), F.col(value))).alias(name(d)) for d in known]
-    return history.groupBy(key).agg(*picks, F.count_if(~F.coalesce(at.isin(list(known)), F.lit(False))).alias("n_other"))
+
+def history_columns(maps: DataFrame, dates: Sequence[str], name) -> DataFrame:
+    """A wide view of ``history_maps``: one column per given date."""
+    return maps.select("*", *[F.try_element_at("history", F.lit(d)).alias(name(d)) for d in dates])
+
+
+def split_parts(df: DataFrame, condition: Column) -> tuple[DataFrame, DataFrame]:
+    """The rows that meet a condition and those that do not (or for which it is NULL): one pass writes both to the shared folder."""
+    spark, path = df.sparkSession, scratch_path(df.sparkSession, "parts")
+    flag = unused_name(df, "met")
+    df.withColumn(flag, F.coalesce(condition, F.lit(False)).cast("int")).write.partitionBy(flag).parquet(path)
+    stored = spark.read.schema(T.StructType([*df.schema.fields, T.StructField(flag, T.IntegerType())])).parquet(path)
+    return tuple(stored.filter(F.col(flag) == k).select(*df.columns) for k in (1, 0))
+
+
+def unused_name(df: DataFrame, name: str) -> str:
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def stack(df: DataFrame, ids: Sequence[str], values: Sequence[str], variable: str, value: str) -> DataFrame:

@@ -131,13 +131,16 @@ def people(t: Tables) -> DataFrame:
     return t.customer.select(F.col("c_custkey").alias("person"), (F.col("c_custkey") % 2).cast("double").alias("theta"))
 
 
+CORNERS = [[(-20.0, -8.0), (5.0, -12.0), (25.0, -6.0), (22.0, 9.0), (0.0, 4.0), (-24.0, 11.0)], [(26.5, -13.0), (30.0, -12.5), (29.0, -9.0), (27.0, -9.5)]]
+
+
 def polygons(t: Tables) -> DataFrame:
-    """One six-sided region per nation, on a 5 x 5 board of the globe."""
+    """A six-sided region per nation, on a 5 x 5 board of the globe, and for every third one a second part of four sides: a row per part."""
     k = F.col("n_nationkey")
     x, y = (k % 5 * 60 - 150).cast("double"), (F.floor(k / 5) * 30 - 75).cast("double")
-    corners = [(-20.0, -8.0), (5.0, -12.0), (25.0, -6.0), (22.0, 9.0), (0.0, 4.0), (-24.0, 11.0)]
-    ring = F.array(*[F.struct((x + dx).alias("lon"), (y + dy).alias("lat")) for dx, dy in corners])
-    return t.nation.select(k.cast("bigint").alias("poly_id"), F.col("n_name").alias("name"), ring.alias("ring"))
+    rings = [F.array(*[F.struct((x + dx).alias("lon"), (y + dy).alias("lat")) for dx, dy in corners]) for corners in CORNERS]
+    parts = F.when(k % 3 == 0, F.array(*rings)).otherwise(F.array(rings[0]))
+    return t.nation.select(k.cast("bigint").alias("poly_id"), F.col("n_name").alias("name"), F.posexplode(parts).alias("part", "ring"))
 
 
 _H = "(CAST({a} // 100 AS VARCHAR) || '.' || lpad(CAST({a} % 100 AS VARCHAR), 2, '0'))"
@@ -193,12 +196,20 @@ CTES: dict[str, str] = {
     "membership": """SELECT DISTINCT set_id, facility FROM (SELECT s_suppkey AS set_id, unnest([s_suppkey,
         (s_suppkey * 3 + 1) % (SELECT count(*) FROM supplier), (s_suppkey * 7 + 2) % (SELECT count(*) FROM supplier)]) AS facility FROM supplier)""",
     "people": "SELECT c_custkey AS person, CAST(c_custkey % 2 AS DOUBLE) AS theta FROM customer",
-    "corners": """SELECT * FROM (VALUES (1, -20.0::DOUBLE, -8.0::DOUBLE), (2, 5.0, -12.0), (3, 25.0, -6.0), (4, 22.0, 9.0), (5, 0.0, 4.0),
-        (6, -24.0, 11.0)) c(i, dx, dy)""",
-    "rings": """SELECT CAST(n_nationkey AS BIGINT) AS poly_id, i, CAST(n_nationkey % 5 * 60 - 150 AS DOUBLE) + dx AS lon,
-        CAST(n_nationkey // 5 * 30 - 75 AS DOUBLE) + dy AS lat FROM nation, corners""",
-    "edges": """SELECT a.poly_id, a.lon AS x1, a.lat AS y1, b.lon AS x2, b.lat AS y2 FROM rings a
-        JOIN rings b ON a.poly_id = b.poly_id AND b.i = a.i % 6 + 1""",
+    "corners": "SELECT * FROM (VALUES " + ", ".join(
+        f"({p}, {i}, {len(ring)}, {dx}::DOUBLE, {dy}::DOUBLE)" for p, ring in enumerate(CORNERS) for i, (dx, dy) in enumerate(ring)) + ") c(part, i, n, dx, dy)",
+    "rings": """SELECT CAST(n_nationkey AS BIGINT) AS poly_id, part, i, n, CAST(n_nationkey % 5 * 60 - 150 AS DOUBLE) + dx AS lon,
+        CAST(n_nationkey // 5 * 30 - 75 AS DOUBLE) + dy AS lat FROM nation JOIN corners ON part = 0 OR n_nationkey % 3 = 0""",
+    "edges": """SELECT a.poly_id, a.part, a.lon AS x1, a.lat AS y1, b.lon AS x2, b.lat AS y2 FROM rings a
+        JOIN rings b ON a.poly_id = b.poly_id AND a.part = b.part AND b.i = (a.i + 1) % a.n""",
+    # grid points every 200 km over the box of each part, from 30 km north and east of its corner
+    "grid": """SELECT poly_id, part, "row", unnest(range(0, CAST(floor((lon_max - lon0) / dlon) AS BIGINT) + 1)) AS col, lat, lon0 + col * dlon AS lon FROM
+        (SELECT *, lat0 + "row" * (200.0 / (6371.0088 * pi() / 180)) AS lat,
+            200.0 / (6371.0088 * pi() / 180 * cos(radians(lat0 + "row" * (200.0 / (6371.0088 * pi() / 180))))) AS dlon FROM
+          (SELECT *, unnest(range(0, CAST(floor((lat_max - lat0) / (200.0 / (6371.0088 * pi() / 180))) AS BIGINT) + 1)) AS "row" FROM
+            (SELECT *, lon_min + 30.0 / (6371.0088 * pi() / 180 * cos(radians(lat0))) AS lon0 FROM
+              (SELECT poly_id, part, min(lon) AS lon_min, max(lon) AS lon_max, max(lat) AS lat_max, min(lat) + 30.0 / (6371.0088 * pi() / 180) AS lat0
+               FROM rings GROUP BY 1, 2)) WHERE lat0 <= lat_max AND lon0 <= lon_max))""",
 }
 
 HAVERSINE_SQL = ("2 * 6371.0088 * asin(least(1.0, sqrt(pow(sin(radians({b}.lat - {a}.lat) / 2), 2) + cos(radians({a}.lat))"
@@ -213,7 +224,7 @@ CTES["near_wide"] = """SELECT voter_id, """ + ", ".join(
     f"max(CASE WHEN place_type = '{p}' THEN best.id END) AS \"closest_{p}\", max(CASE WHEN place_type = '{p}' THEN best.km END) AS \"dist_to_{p}\""
     for p in PLACE_TYPES) + " FROM near GROUP BY voter_id"
 
-NEEDS = {"near": ["voters", "facilities"], "near_wide": ["near"], "rings": ["corners"], "edges": ["rings"],
+NEEDS = {"near": ["voters", "facilities"], "near_wide": ["near"], "rings": ["corners"], "edges": ["rings"], "grid": ["rings"],
          "district": ["draws", "draw_precincts"], "prefs": ["district"], "set_dist": ["distances", "membership", "people"],
          "set_reach": ["set_dist"], "set_scores": ["set_reach"]}
 

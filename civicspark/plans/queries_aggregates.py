@@ -103,11 +103,14 @@ def agg_pivot_mean(t):
 
 @query("agg_pivot_history", sql("history voters", "SELECT v.voter_id, " + ", ".join(
     f"max(CASE WHEN election_at = '{d}' THEN vote_method END) AS {S.election_column_name(d)}" for d in ELECTIONS)
-    + ", count(*) FILTER (h.voter_id IS NOT NULL AND election_at NOT IN (" + ", ".join(f"'{d}'" for d in ELECTIONS)
-    + ")) AS n_other FROM voters v LEFT JOIN history h ON v.voter_id = h.voter_id GROUP BY v.voter_id"))
+    + """, string_agg(election_at || '=' || vote_method, ';' ORDER BY election_at) AS history, count(election_at) AS n_elections FROM voters v
+       LEFT JOIN (SELECT voter_id, election_at, max(vote_method) AS vote_method FROM history GROUP BY 1, 2) h ON v.voter_id = h.voter_id GROUP BY v.voter_id"""))
 def agg_pivot_history(t):
-    wide = TB.history_pivot(B.history(t), "voter_id", "election_at", "vote_method", ELECTIONS, S.election_column_name)
-    return B.voters(t).select("voter_id").join(wide, "voter_id", "left").withColumn("n_other", F.coalesce("n_other", F.lit(0)))
+    """Every date of the table, as a map; some dates also as columns."""
+    wide = TB.history_columns(TB.history_maps(B.history(t), "voter_id", "election_at", "vote_method"), ELECTIONS, S.election_column_name)
+    entries = F.transform(F.array_sort(F.map_entries("history")), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    out = B.voters(t).select("voter_id").join(wide, "voter_id", "left").withColumn("n_elections", F.coalesce(F.size("history"), F.lit(0)).cast("bigint"))
+    return out.withColumn("history", F.array_join(entries, ";"))
 
 
 @query("agg_type_counter", "SELECT kind, count(*) AS n FROM (SELECT unnest([event_type, 'point_of_interest', 'user_' || CAST(user_id % 7 AS VARCHAR)]) AS kind FROM events) GROUP BY 1")

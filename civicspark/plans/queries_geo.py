@@ -101,13 +101,15 @@ def geo_assigned_is_closest(t):
 @query("geo_within_radius", sql("voters facilities", f"""SELECT voter_id, facility_id, round(km, 6) AS km, rk AS nearby_rank FROM (SELECT *, row_number() OVER (PARTITION BY voter_id ORDER BY km, facility_id) - 1 AS rk
        FROM (SELECT v.voter_id, f.facility_id, {HAVERSINE_SQL.format(a='v', b='f')} AS km FROM voters v, facilities f) WHERE km <= 800) WHERE rk < 20"""))
 def geo_within_radius(t):
-    near = geo.rank_nearby(geo.within_radius(_points(t), _places(t), 800.0), 20)
+    near = geo.nearest_n(_points(t), _places(t), 20, 800.0)
     return near.select(F.col("point_id").alias("voter_id"), F.col("place_id").alias("facility_id"), F.round("km", 6).alias("km"), "nearby_rank")
 
 
-@query("geo_bbox", sql("rings", "SELECT poly_id, min(lon) AS lon_min, min(lat) AS lat_min, max(lon) AS lon_max, max(lat) AS lat_max FROM rings GROUP BY 1"))
+@query("geo_bbox", sql("rings", "SELECT poly_id, CAST(part AS BIGINT) AS part, min(lon) AS lon_min, min(lat) AS lat_min, max(lon) AS lon_max, max(lat) AS lat_max FROM rings GROUP BY 1, 2 UNION ALL SELECT poly_id, -1, min(lon), min(lat), max(lon), max(lat) FROM rings GROUP BY 1"))
 def geo_bbox(t):
-    return geo.bounding_box(B.polygons(t))
+    """Boxes of the parts, and of whole polygons (part -1)."""
+    polys = B.polygons(t).withColumn("part", F.col("part").cast("bigint"))
+    return geo.bounding_box(polys, ["poly_id", "part"]).unionByName(geo.bounding_box(polys).withColumn("part", F.lit(-1).cast("bigint")))
 
 
 @query("geo_polygon_centre", sql("rings", "SELECT poly_id, round(avg(lat), 8) AS lat, round(avg(lon), 8) AS lon FROM rings GROUP BY 1"))
@@ -123,34 +125,32 @@ def geo_point_in_polygon(t):
     return geo.points_in_polygons(_points(t), B.polygons(t), 5.0)
 
 
-@query("geo_grid", sql("edges", f"""SELECT g.poly_id, g."row", g.col, round(g.lat, 8) AS lat, round(g.lon, 8) AS lon FROM
-       (SELECT poly_id, "row", unnest(range(0, CAST(floor((lon_max - lon_min) / dlon) AS BIGINT) + 1)) AS col, lat, lon_min + col * dlon AS lon FROM
-         (SELECT *, lat_min + "row" * (200.0 / (6371.0088 * pi() / 180)) AS lat, 200.0 / (6371.0088 * pi() / 180 * cos(radians(lat_min + "row" * (200.0 / (6371.0088 * pi() / 180))))) AS dlon FROM
-           (SELECT *, unnest(range(0, CAST(floor((lat_max - lat_min) / (200.0 / (6371.0088 * pi() / 180))) AS BIGINT) + 1)) AS "row" FROM
-             (SELECT poly_id, min(lon) AS lon_min, min(lat) AS lat_min, max(lon) AS lon_max, max(lat) AS lat_max FROM rings GROUP BY 1)))) g
-       {_INSIDE.format(p='g', poly='e.poly_id = g.poly_id AND')} GROUP BY ALL HAVING count(*) % 2 = 1"""))
+_OWN_PART = "e.poly_id = g.poly_id AND e.part = g.part AND"
+
+
+def _grid_columns(grid):
+    return grid.select("poly_id", F.col("part").cast("bigint").alias("part"), F.col("row").cast("bigint").alias("row"), F.col("col").cast("bigint").alias("col"),
+                       F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"))
+
+
+@query("geo_grid", sql("edges grid", f"""SELECT g.poly_id, CAST(g.part AS BIGINT) AS part, g."row", g.col, round(g.lat, 6) AS lat, round(g.lon, 6) AS lon FROM grid g
+       {_INSIDE.format(p='g', poly=_OWN_PART)} GROUP BY ALL HAVING count(*) % 2 = 1"""))
 def geo_grid(t):
-    """Grid points inside their own polygon."""
-    polys = B.polygons(t)
-    grid = geo.grid_points(geo.bounding_box(polys), 200.0)
-    points = grid.withColumn("point_id", F.struct("poly_id", "row", "col"))
-    inside = geo.points_in_polygons(points, polys, 5.0).filter(F.col("point_id.poly_id") == F.col("poly_id"))
-    hits = inside.select("poly_id", F.col("point_id.row").alias("row"), F.col("point_id.col").alias("col"))
-    return (grid.join(hits, ["poly_id", "row", "col"])
-            .select("poly_id", F.col("row").cast("bigint").alias("row"), F.col("col").cast("bigint").alias("col"),
-                    F.round("lat", 8).alias("lat"), F.round("lon", 8).alias("lon")))
+    """Points of a shifted grid inside their own part of a polygon."""
+    return _grid_columns(geo.region_grid(B.polygons(t), 200.0, 30.0, cell=5.0))
 
 
-_U = [f"({key_hash_sql('voter_id', s)})" for s in (1, 2, 3)]
+_NUMBER = '(((poly_id * 1000 + part) * 100000 + "row") * 100000 + col)'
+_U = [f"({key_hash_sql(_NUMBER, s)})" for s in (1, 2, 3)]
 
 
-@query("geo_grid_jitter", sql("voters", f"""SELECT voter_id, round(degrees(p2), 6) AS lat, round(degrees(CASE WHEN abs(cos(p1)) < 1e-9 THEN radians(lon) ELSE radians(lon) + d * sin(b) / CASE WHEN abs(psi) > 1e-11 THEN dp / psi ELSE cos(p1) END END), 6) AS lon FROM
-       (SELECT *, CASE WHEN abs(cos(p1)) < 1e-9 THEN 0 ELSE ln(tan(p2 / 2 + pi() / 4) / tan(p1 / 2 + pi() / 4)) END AS psi FROM (SELECT *, CASE WHEN p1 + dp > pi() / 2 THEN pi() - (p1 + dp) WHEN p1 + dp < -pi() / 2 THEN -pi() - (p1 + dp) ELSE p1 + dp END AS p2 FROM (SELECT *, d * cos(b) AS dp FROM (SELECT voter_id, lon, radians(lat) AS p1,
-        abs(sqrt(-2.0 * ln(({_U[0]} + 1) / 2147483649.0::DOUBLE)) * cos(2 * pi() * ({_U[1]} / 2147483648.0::DOUBLE))) * 5.0 / 6371.0088 AS d, radians({_U[2]} / 2147483648.0::DOUBLE * 360.0 - 180.0) AS b
-        FROM voters))))"""))
+@query("geo_grid_jitter", sql("edges grid", f"""SELECT g.poly_id, CAST(g.part AS BIGINT) AS part, g."row", g.col, round(g.lat, 6) AS lat, round(g.lon, 6) AS lon FROM (SELECT poly_id, part, "row", col, degrees(p2) AS lat, degrees(CASE WHEN abs(cos(p1)) < 1e-9 THEN radians(lon) ELSE radians(lon) + d * sin(b) / CASE WHEN abs(psi) > 1e-11 THEN dp / psi ELSE cos(p1) END END) AS lon FROM
+       (SELECT *, CASE WHEN abs(cos(p1)) < 1e-9 THEN 0 ELSE ln(tan(p2 / 2 + pi() / 4) / tan(p1 / 2 + pi() / 4)) END AS psi FROM (SELECT *, CASE WHEN p1 + dp > pi() / 2 THEN pi() - (p1 + dp) WHEN p1 + dp < -pi() / 2 THEN -pi() - (p1 + dp) ELSE p1 + dp END AS p2 FROM (SELECT *, d * cos(b) AS dp FROM (SELECT poly_id, part, "row", col, lon, radians(lat) AS p1,
+        abs(sqrt(-2.0 * ln(({_U[0]} + 1) / 2147483649.0::DOUBLE)) * cos(2 * pi() * ({_U[1]} / 2147483648.0::DOUBLE))) * 60.0 / 6371.0088 AS d, radians({_U[2]} / 2147483648.0::DOUBLE * 360.0 - 180.0) AS b
+        FROM grid))))) g {_INSIDE.format(p='g', poly=_OWN_PART)} GROUP BY ALL HAVING count(*) % 2 = 1"""))
 def geo_grid_jitter(t):
-    out = geo.jitter(B.voters(t).select("voter_id", "lat", "lon"), "voter_id", 5.0)
-    return out.select("voter_id", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"))
+    """Grid points moved by normal distances along uniform bearings, as far as they stay in their part."""
+    return _grid_columns(geo.region_grid(B.polygons(t), 200.0, 30.0, 60.0, cell=5.0))
 
 
 @query("geo_destination", sql("voters", """SELECT voter_id, round(degrees(asin(s2)), 6) AS lat, round(degrees(radians(lon) + atan2(sin(b) * sin(d) * cos(p), cos(d) - sin(p) * s2)), 6) AS lon

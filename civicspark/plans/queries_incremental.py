@@ -12,17 +12,17 @@ from civicspark.streaming import backlog as BL
 from civicspark.streaming.ingest import ingest
 
 
-@query("inc_ingest", "SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, o_orderstatus FROM orders")
+@query("inc_ingest", "SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, o_orderstatus || CASE WHEN o_orderkey % 3 = 0 THEN chr(10) || ', \"late\"' ELSE '' END AS note, NULL AS broken FROM orders")
 def inc_ingest(t):
-    """Two runs over a growing folder: the second takes only the new files."""
+    """Two runs over a growing folder of records with line breaks: the second takes only the new files, whose columns stand in another order."""
     source, target, marks = (scratch_path(t.spark, n) for n in ("incoming", "ingested", "marks"))
-    cols = ["o_orderkey", "o_orderstatus"]
-    first, second = t.orders.filter(F.col("o_orderstatus") == "F"), t.orders.filter(F.col("o_orderstatus") != "F")
+    note = F.concat("o_orderstatus", F.when(F.col("o_orderkey") % 3 == 0, '\n, "late"').otherwise("")).alias("note")
     out = None
-    for part in (first, second):
-        part.select(*cols).write.mode("append").option("header", True).csv(source)
-        out = ingest(t.spark, source, target, marks, cols)
-    return out
+    for part, cols in ((F.col("o_orderstatus") == "F", ["o_orderkey", "note"]), (F.col("o_orderstatus") != "F", ["note", "o_orderkey"])):
+        rows = t.orders.filter(part).select("o_orderkey", note).select(*cols)
+        rows.write.mode("append").option("header", True).option("escape", '"').option("quoteAll", True).csv(source)
+        out = ingest(t.spark, source, target, marks, ["o_orderkey", "note"])
+    return out.withColumnRenamed("_broken", "broken")
 
 
 @query("inc_backlog", sql("raw_voters", """SELECT voter_key, CASE WHEN nullif(latitude, '') IS NULL OR nullif(longitude, '') IS NULL THEN 'coded ' || zip ELSE nullif(latitude, '') END AS latitude,

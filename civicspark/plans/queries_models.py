@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from civicspark.operators import features as FE
@@ -10,7 +9,8 @@ from civicspark.operators import joins as J
 from civicspark.operators import models as M
 from civicspark.operators import sampling as SA
 from civicspark.plans import bindings as B
-from civicspark.plans.bindings import CTES, sql
+from civicspark.functions.hashing import HASH_SPACE, key_hash_sql
+from civicspark.plans.bindings import CTES, NEEDS, sql
 from civicspark.plans.registry import query
 from civicspark.session import materialise
 
@@ -67,15 +67,63 @@ def _hot(t, cols):
     return enc.drop(*[f"{c}_index" for c in cols]), labels
 
 
+_SEX = "CASE WHEN sex = '' THEN 'NA' ELSE sex END"
+
+# rows ready for a model, and the categories of their columns by falling frequency
+CTES["prep"] = f"""SELECT voter_key, {_SEX} AS sex, demo, CAST(tract_geoid AS VARCHAR) AS tract, CASE WHEN vote_method = 'voted' THEN 1.0::DOUBLE ELSE 0.0 END AS y,
+    date_diff('day', try_cast(dob AS DATE), DATE '2021-02-18') * (1 / 365.0::DOUBLE) AS age, distance, CAST(no_vehicle AS DOUBLE) / total AS fraction_no_vehicle,
+    CAST(total AS DOUBLE) / nullif(land, 0) AS "popDensity" FROM model_rows WHERE try_cast(registered_at AS DATE) <= DATE '2016-11-08'"""
+CTES["whole"] = 'SELECT * FROM prep WHERE age IS NOT NULL AND distance IS NOT NULL AND fraction_no_vehicle IS NOT NULL AND "popDensity" IS NOT NULL'
+NEEDS |= {"model_rows": ["raw_voters", "tracts", "history"], "prep": ["model_rows"], "whole": ["prep"]}
+
+
+def _categories_sql(source: str, cols) -> str:
+    """column, category and place of the categories of some columns, most frequent first; ``last`` is the base."""
+    each = " UNION ALL ".join(f"SELECT '{c}' AS \"column\", {c} AS category FROM {source}" for c in cols)
+    return f"""SELECT *, place = count(*) OVER (PARTITION BY "column") AS last FROM (SELECT "column", category, row_number() OVER (PARTITION BY "column" ORDER BY count(*) DESC, category) AS place
+        FROM ({each}) GROUP BY 1, 2)"""
+
+
+def _totals_sql(rows: str, numeric, categories: str, cols) -> str:
+    """Sum of y x for each input of a model: the intercept, the numbers and every category but the base."""
+    parts = [f"SELECT '(intercept)' AS \"column\", '' AS category, sum(y) AS total FROM {rows}"]
+    parts += [f"SELECT '{c}', '', sum(y * \"{c}\") FROM {rows}" for c in numeric]
+    parts += [f"SELECT '{c}', k.category, coalesce(sum(r.y) FILTER (r.{c} = k.category), 0) FROM ({categories}) k, {rows} r WHERE k.\"column\" = '{c}' AND NOT k.last GROUP BY 2" for c in cols]
+    return " UNION ALL ".join(parts)
+
+
+def newton_sql(source: str, xs, rounds: int = 9) -> str:
+    """SQL of one row b0, b1, ...: the logistic model of y on the columns ``xs`` of ``source``, by Newton steps solved with L D L'."""
+    d = len(xs) + 1
+    x = ["1.0", *[f'"{c}"' for c in xs]]
+    z = " + ".join(f"b{i} * {x[i]}" for i in range(d))
+    sums = [f"sum((y - p) * {x[i]}) AS g{i}" for i in range(d)] + [f"sum(p * (1 - p) * {x[i]} * {x[j]}) AS h{i}_{j}" for i in range(d) for j in range(i + 1)]
+    solve = []
+    for j in range(d):
+        solve.append(f"h{j}_{j}" + "".join(f" - l{j}_{k} * l{j}_{k} * d{k}" for k in range(j)) + f" AS d{j}")
+        solve += [f"(h{i}_{j}" + "".join(f" - l{i}_{k} * l{j}_{k} * d{k}" for k in range(j)) + f") / d{j} AS l{i}_{j}" for i in range(j + 1, d)]
+    solve += [f"g{i}" + "".join(f" - l{i}_{k} * f{k}" for k in range(i)) + f" AS f{i}" for i in range(d)]
+    solve += [f"f{i} / d{i}" + "".join(f" - l{k}_{i} * s{k}" for k in range(i + 1, d)) + f" AS s{i}" for i in reversed(range(d))]
+    steps = ["n0 AS MATERIALIZED (SELECT " + ", ".join(f"0.0::DOUBLE AS b{i}" for i in range(d)) + ")"]
+    for r in range(rounds):
+        steps.append(f"n{r + 1} AS MATERIALIZED (SELECT " + ", ".join(f"b{i} + s{i} AS b{i}" for i in range(d)) + f" FROM (SELECT {', '.join(solve)} FROM (SELECT {', '.join(sums)}"
+                     f" FROM (SELECT *, 1 / (1 + exp(-({z}))) AS p FROM {source}, n{r}))), n{r})")
+    return f"(WITH {', '.join(steps)} SELECT * FROM n{rounds})"
+
+
 @query("ml_onehot", sql("raw_voters", """SELECT voter_key, CASE WHEN sex = '' THEN 'NA' ELSE sex END AS sex, CASE WHEN sex = 'F' THEN 1.0::DOUBLE ELSE 0.0 END AS "sex_hot[F]",
        CASE WHEN sex = 'M' THEN 1.0::DOUBLE ELSE 0.0 END AS "sex_hot[M]" FROM raw_voters"""))
 def ml_onehot(t):
     return _hot(t, ["sex"])[0]
 
 
-@query("ml_onehot_many")
+@query("ml_onehot_many", sql("raw_voters", f"""SELECT v.voter_key, k."column", k.category, CASE WHEN k.category = CASE k."column" WHEN 'demo' THEN v.demo ELSE {_SEX} END THEN 1.0::DOUBLE ELSE 0.0 END AS value
+       FROM raw_voters v, ({_categories_sql(f"(SELECT demo, {_SEX} AS sex FROM raw_voters)", CATEGORIES)}) k WHERE NOT k.last"""))
 def ml_onehot_many(t):
-    return _hot(t, CATEGORIES)[0]
+    """All columns encoded by one pipeline, as rows."""
+    wide, labels = _hot(t, CATEGORIES)
+    cells = [F.struct(F.lit(c).alias("column"), F.lit(v).alias("category"), F.col(f"`{c}_hot[{v}]`").alias("value")) for c in CATEGORIES for v in labels[c][:-1]]
+    return wide.select("voter_key", F.inline(F.array(*cells)))
 
 
 @query("ml_assemble", sql("raw_voters tracts history model_rows", """SELECT * FROM (SELECT CASE WHEN vote_method = 'voted' THEN 1.0::DOUBLE ELSE 0.0 END AS label,
@@ -109,10 +157,20 @@ def _split(t):
     return rows.filter("is_train = 1"), rows.filter("is_train = 0")
 
 
-@query("ml_logistic")
+def _category_rows(df, cols):
+    """Rows with blank categories named, and the categories of each column by falling frequency."""
+    clean, labels, _ = FE.encode(df, cols, one_hot=False)
+    return clean, labels
+
+
+@query("ml_logistic", sql("whole", f"""SELECT "column", category, round(total, 2) AS fitted_total FROM ({_totals_sql(
+    f"(SELECT * FROM whole WHERE {key_hash_sql('voter_key')} < {int(0.8 * HASH_SPACE)})", NUMERIC, _categories_sql("whole", CATEGORIES), CATEGORIES)})"""))
 def ml_logistic(t):
-    train, test = _split(t)
-    return _one_row(t, "logistic", M.area_under_roc(M.logistic(train).transform(test)))
+    """The score equations of the model fitted on the training rows: its expected totals are the totals that the data show."""
+    df, labels = _category_rows(_prepared(t).na.drop(subset=["vote_method", *NUMERIC]), CATEGORIES)
+    train = materialise(SA.hash_split(df, "voter_key").filter("is_train = 1"), "train")
+    fit = M.newton_logistic(train, NUMERIC, labels, "vote_method")
+    return M.fitted_totals(train, fit, "vote_method").withColumn("fitted_total", F.round("fitted_total", 2))
 
 
 @query("ml_mlp")
@@ -152,21 +210,46 @@ def ml_best_f_threshold(t):
     return M.best_f_threshold(B.scored(t)).withColumn("f_measure", F.round("f_measure", 8))
 
 
-@query("ml_coef_table")
+@query("ml_coef_table", sql("whole", 'SELECT "column", \'\' AS category, round(coefficient, 6) AS coefficient FROM (SELECT unnest([\'(intercept)\', '
+       + ", ".join(f"'{c}'" for c in NUMERIC) + ']) AS "column", unnest([b0, b1, b2, b3, b4]) AS coefficient FROM ' + newton_sql("whole", NUMERIC) + ")"))
 def ml_coef_table(t):
-    rows, labels = _assembled(t)
-    return M.coefficient_table(t.spark, rows, M.logistic(rows).coefficients.toArray().tolist(), labels)
+    rows = _prepared(t).na.drop(subset=["vote_method", *NUMERIC])
+    return M.fit_table(t.spark, M.newton_logistic(rows, NUMERIC, {}, "vote_method"), {}).withColumn("coefficient", F.round("coefficient", 6))
 
 
-@query("ml_counterfactual")
+DISTANCES = ["distance", "distance_early", "distance_drop"]
+
+
+def _distance_rows(t):
+    """Three distances per voter: to the polling place, the early site and the drop box."""
+    k = F.col("voter_key")
+    rows = _prepared(t).na.drop(subset=["vote_method", "distance"])
+    return rows.withColumns({"distance_early": (k * 53 % 700).cast("double") / 10.0, "distance_drop": (k * 91 % 400).cast("double") / 10.0})
+
+
+CTES["three"] = "SELECT *, CAST(voter_key * 53 % 700 AS DOUBLE) / 10.0 AS distance_early, CAST(voter_key * 91 % 400 AS DOUBLE) / 10.0 AS distance_drop FROM prep WHERE distance IS NOT NULL"
+NEEDS |= {"three": ["prep"]}
+_MARGIN = "b0 + b1 * distance + b2 * distance_early + b3 * distance_drop"
+
+
+@query("ml_counterfactual", sql("three", f"""SELECT distance, multiplier, round(avg(p), 6) AS turnout, round(avg(CASE WHEN p > 0.5 THEN 1.0::DOUBLE ELSE 0.0 END), 6) AS turnout_hard,
+       round(avg(far), 6) AS mean_distance, round(stddev(far), 6) AS stdev_distance, count(*) AS n FROM (SELECT distance, multiplier, far, 1 / (1 + exp(-(z + b * x * (multiplier - 1)))) AS p FROM
+       (SELECT z, multiplier, unnest(['distance', 'distance_early', 'distance_drop']) AS distance, unnest([distance, distance_early, distance_drop]) AS x, unnest([b1, b2, b3]) AS b,
+        unnest([distance * multiplier, distance_early * multiplier, distance_drop * multiplier]) AS far
+        FROM (SELECT *, {_MARGIN} AS z, unnest([{', '.join(f'{m!r}::DOUBLE' for m in M.MULTIPLIERS)}]) AS multiplier FROM three, {newton_sql("three", DISTANCES)}))) GROUP BY 1, 2"""))
 def ml_counterfactual(t):
-    enc, _ = _encoded(t)
-    assembler = VectorAssembler(inputCols=_inputs(), outputCol="features")
-    enc = materialise(enc, "encoded")  # every model reads it many times
-    train = assembler.transform(enc).select("features", F.col("vote_method").cast("double").alias("label"))
-    frames = [M.counterfactual(fit(train), enc, assembler, "distance", "voter_key").withColumn("model", F.lit(name))
-              for name, fit in (("logistic", M.logistic), ("tree", M.tree))]
-    return frames[0].unionByName(frames[1])
+    """Turnout under each of three distances scaled by eight multipliers: one pass over the rows."""
+    rows = materialise(_distance_rows(t).select("vote_method", *DISTANCES), "distances")
+    out = M.counterfactual(M.newton_logistic(rows, DISTANCES, {}, "vote_method"), rows, DISTANCES)
+    return out.withColumns({c: F.round(c, 6) for c in ("turnout", "turnout_hard", "mean_distance", "stdev_distance")})
+
+
+@query("ml_counterfactual_tree")
+def ml_counterfactual_tree(t):
+    """The same by a decision tree, whose thresholds on the scaled distance move."""
+    rows = materialise(_distance_rows(t).select("vote_method", *DISTANCES), "distances")
+    model = M.tree(FE.assemble(rows, DISTANCES, "vote_method"))
+    return M.tree_counterfactual(model, rows, [F.col(c) for c in DISTANCES], {c: i for i, c in enumerate(DISTANCES)})
 
 
 def _tract_rows(t):
@@ -181,14 +264,17 @@ def ml_per_tract(t):
     return M.per_group_sensitivity(_tract_rows(t), "tract", "key", ["distance", "discount"], "distance", "outcome", F.col("active"))
 
 
-@query("ml_fixed_effect")
+_TOP_TRACTS = "(SELECT * FROM whole WHERE tract IN (SELECT tract FROM whole GROUP BY 1 ORDER BY count(*) DESC, tract LIMIT 8))"
+
+
+@query("ml_fixed_effect", sql("whole", f"""SELECT "column", category, round(total, 2) AS fitted_total FROM ({_totals_sql(_TOP_TRACTS, NUMERIC, _categories_sql(_TOP_TRACTS, ["tract"]), ["tract"])})"""))
 def ml_fixed_effect(t):
-    """The tract as a category, on the rows of the most frequent tracts."""
+    """The tract as a category, on the rows of the most frequent tracts; checked by the score equations."""
     df = _prepared(t).na.drop(subset=NUMERIC).withColumn("tract", F.col("tract_geoid").cast("string"))
-    top = J.semi(df, J.top_keys(df, "tract", 8), "tract", "tract")
-    enc, labels, _ = FE.encode(top, ["tract"])
-    rows = FE.assemble(enc, [*NUMERIC, "tract_hot"], "vote_method")
-    return M.coefficient_table(t.spark, rows, M.logistic(rows).coefficients.toArray().tolist(), labels)
+    top, labels = _category_rows(J.semi(df, J.top_keys(df, "tract", 8), "tract", "tract"), ["tract"])
+    top = materialise(top, "top_tracts")
+    fit = M.newton_logistic(top, NUMERIC, labels, "vote_method")
+    return M.fitted_totals(top, fit, "vote_method").withColumn("fitted_total", F.round("fitted_total", 2))
 
 
 @query("ml_linear_trend", "SELECT round(regr_slope(l_extendedprice, l_quantity), 6) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 4) AS intercept, count(*) AS n FROM lineitem")

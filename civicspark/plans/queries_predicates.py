@@ -58,8 +58,16 @@ _pred("filter_active", "is_active_voter = 'Y'", lambda: F.col("is_active_voter")
 @query("filter_range", sql("precincts tracts", """SELECT precinct, x, t, n FROM precincts
        WHERE n > 0 AND x > 0 AND x < 1 AND t > 0 AND t < 1"""))
 def filter_range(t):
-    x, y = F.col("x"), F.col("t")
-    return B.precincts(t).filter((F.col("n") > 0) & (x > 0) & (x < 1) & (y > 0) & (y < 1))
+    return B.precincts(t).filter((F.col("n") > 0) & P.in_range({"x": (0.0, 1.0), "t": (0.0, 1.0)}))
+
+
+@query("filter_distance_income", sql("distances voters", """SELECT person, facility, dist, balance FROM distances JOIN voters ON person = voter_id
+       WHERE dist < 7 AND balance > 0 AND balance < 5000"""))
+def filter_distance_income(t):
+    """People near a facility and in an income range: each filter reaches its own side of the join."""
+    near = B.distances(t).filter(P.in_range({"dist": (None, 7.0)}))
+    earners = B.voters(t).select("voter_id", "balance").filter(P.in_range({"balance": (0.0, 5000.0)}))
+    return near.join(earners, F.col("person") == F.col("voter_id")).select("person", "facility", "dist", "balance")
 
 
 @query("filter_dates_before", sql("raw_voters", """SELECT voter_key, registered_at FROM raw_voters
@@ -68,11 +76,12 @@ def filter_dates_before(t):
     return B.raw_voters(t).filter(S.to_day(F.col("registered_at")) <= F.lit("2016-11-08").cast("date")).select("voter_key", "registered_at")
 
 
-@query("split_with_without", sql("raw_voters", """SELECT CASE WHEN coalesce(city, '') <> '' THEN 'with' ELSE 'without' END AS part,
-       count(*) AS n, min(voter_key) AS first_key FROM raw_voters GROUP BY 1"""))
+@query("split_with_without", sql("raw_voters", """SELECT 'with' AS part, voter_key, city, zip FROM raw_voters WHERE coalesce(city, '') <> ''
+       UNION ALL SELECT 'without', voter_key, city, zip FROM raw_voters WHERE coalesce(city, '') = ''"""))
 def split_with_without(t):
-    part = F.when(F.coalesce("city", F.lit("")) != "", "with").otherwise("without")
-    return B.raw_voters(t).groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n"), F.min("voter_key").alias("first_key"))
+    """Both parts, written in one pass and read back."""
+    parts = TB.split_parts(B.raw_voters(t).select("voter_key", "city", "zip"), F.nullif("city", F.lit("")).isNotNull())
+    return parts[0].withColumn("part", F.lit("with")).unionByName(parts[1].withColumn("part", F.lit("without")))
 
 
 @query("drop_na", sql("raw_voters", "SELECT voter_key, latitude, city FROM raw_voters WHERE latitude IS NOT NULL AND city IS NOT NULL"))

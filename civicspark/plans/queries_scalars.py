@@ -57,12 +57,12 @@ def str_state_of_metro(t):
 _STATES = "(VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in S.STATE_NAMES.items()) + ") s(code, state_name)"
 
 
-@query("str_state_names", f"""SELECT c_custkey, code, state_name FROM (SELECT c_custkey, unnest(string_split(trim(string_split({_METRO}, ',')[-1]), '-')) AS code FROM customer) JOIN {_STATES} USING (code)""")
+@query("str_state_names", f"""SELECT c_custkey, code, state_name, CASE WHEN state_name IS NOT NULL THEN code END AS code_again
+       FROM (SELECT c_custkey, unnest(string_split(trim(string_split({_METRO}, ',')[-1]), '-')) AS code FROM customer) LEFT JOIN {_STATES} USING (code)""")
 def str_state_names(t):
-    """The state table has a fixed size, so it is a literal map instead of a join."""
-    names = F.create_map(*[F.lit(x) for pair in S.STATE_NAMES.items() for x in pair])
+    """Codes to names and back; codes that no state has stay, without a name."""
     codes = t.customer.select("c_custkey", F.explode(S.metro_states(_metro())).alias("code"))
-    return codes.withColumn("state_name", F.element_at(names, F.col("code"))).filter(F.col("state_name").isNotNull())
+    return codes.withColumn("state_name", S.state_name(F.col("code"))).withColumn("code_again", S.state_code(F.col("state_name")))
 
 
 @query("str_date_colname", sql("history", "SELECT DISTINCT election_at, 'voted_' || replace(election_at, '-', '_') AS name FROM history"))
@@ -185,9 +185,13 @@ _POLL = """SELECT event_id, k, 'pollingLocations' AS place_type, CAST(i AS INTEG
 
 
 @query("json_flatten_place", sql("ek", f"""SELECT event_id, place_type, place_index, hours AS "Pollinghours", name AS "AddressLocationname", line1 AS "AddressLine1", city AS "AddressCity",
-       CAST(j AS INTEGER) AS source_index, NULL AS "Startdate", NULL AS "Enddate", NULL AS "Notes", NULL AS "AddressLine2", NULL AS "AddressLine3", 'ST' AS "AddressState", CAST(k % 100 AS VARCHAR) AS "AddressZip", 'src' || j AS "SourcesName", CASE j WHEN 0 THEN 1 WHEN 1 THEN 0 END AS "SourcesOfficial" FROM ({_POLL}) LEFT JOIN (SELECT unnest(range(0, 2)) AS j) ON j < ns"""))
+       CAST(j AS INTEGER) AS source_index, NULL AS "Startdate", NULL AS "Enddate", NULL AS "Notes", NULL AS "AddressLine2", NULL AS "AddressLine3", 'ST' AS "AddressState", CAST(k % 100 AS VARCHAR) AS "AddressZip", CASE WHEN name LIKE 'Early%' THEN NULL ELSE 'oak ' || name END AS "AddressLandmark",
+       CASE WHEN name LIKE 'Early%' THEN NULL ELSE '["ramp","desk"]' END AS "Voterservices", 'src' || j AS "SourcesName", CASE j WHEN 0 THEN 1 WHEN 1 THEN 0 END AS "SourcesOfficial" FROM ({_POLL}) LEFT JOIN (SELECT unnest(range(0, 2)) AS j) ON j < ns"""))
 def json_flatten_place(t):
-    return PL.flatten_places(_responses(t), "response", ["event_id"])
+    """Two fields that are not among the usual ones come through."""
+    odd = F.regexp_replace("response", r'"locationName":"(Hall \d+)"', '"landmark":"oak $1","locationName":"$1"')
+    odd = F.regexp_replace(odd, r'"pollingHours":', '"voterServices":["ramp","desk"],"pollingHours":')
+    return PL.flatten_places(_responses(t).withColumn("response", odd), "response", ["event_id"])
 
 
 CTES["first_place"] = f"SELECT *, left(place_type, -1) AS p FROM ({_POLL}) WHERE place_index = 0"

@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Mapping, Sequence
-from functools import reduce
-from operator import and_
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from civicspark.operators.tables import union_all
+from civicspark.sources.charsets import CHARSETS
+from civicspark.sources.records import read_records
 
 
 def text_schema(cols: Sequence[str]) -> T.StructType:
@@ -25,15 +23,14 @@ def header_of(spark: SparkSession, path: str, sep: str = ",") -> list[str]:
 
 
 def read_delimited(spark: SparkSession, path: str | list[str], cols: Sequence[str] | None = None, sep: str = ",",
-                   quoting: str = "minimal", quote: str = '"', escape: str = '"', header: bool = True, multiline: bool = False) -> DataFrame:
-    """Delimited text. ``quoting="none"`` takes quote characters as data; ``header=False`` needs ``cols``.
-
-    ``multiline`` reads fields with line breaks in quotes; each file is then read by one task.
+                   quoting: str = "minimal", quote: str = '"', escape: str = '"', header: bool = True) -> DataFrame:
+    """Clean delimited text, one record a line, by Spark's own reader. ``quoting="none"`` takes quote characters as data; ``header=False``
+    needs ``cols``. Files with line breaks in fields, uneven rows or mixed charsets are for ``read_records``.
     """
     first = path[0] if isinstance(path, list) else path
     # with a header, names are checked in every file: columns in another order fail the read instead of changing places
     reader = (spark.read.schema(text_schema(cols or header_of(spark, first, sep))).option("header", header).option("sep", sep)
-              .option("mode", "PERMISSIVE").option("enforceSchema", not header).option("multiLine", multiline))
+              .option("mode", "PERMISSIVE").option("enforceSchema", not header))
     if quoting == "none":
         reader = reader.option("quote", "").option("escape", "\u0000")
     else:
@@ -41,36 +38,15 @@ def read_delimited(spark: SparkSession, path: str | list[str], cols: Sequence[st
     return reader.csv(path)
 
 
-def decode_single_byte(raw: Column, charset: str) -> Column:
-    """Text of a single-byte charset that agrees with Latin-1 but for the controls 0x80-0x9F, such as windows-1252."""
-    latin = F.decode(raw, "ISO-8859-1")
-    pairs = [(chr(b), t) for b in range(0x80, 0xA0) if (t := bytes([b]).decode(charset, "ignore")) and t != chr(b)]
-    return F.translate(latin, "".join(a for a, _ in pairs), "".join(b for _, b in pairs)) if pairs else latin
-
-
-def decode_lines(lines: DataFrame, col: str = "value", fallback: str = "windows-1252") -> DataFrame:
-    """Decode each line by itself: UTF-8 where its bytes are valid, else ``fallback``. No line is lost."""
-    return lines.withColumn(col, F.when(F.is_valid_utf8(col), F.col(col)).otherwise(decode_single_byte(F.col(col).cast("binary"), fallback)))
-
-
-def read_mixed_encoding(spark: SparkSession, path: str, cols: Sequence[str], sep: str = ",", fallback: str = "windows-1252") -> DataFrame:
-    """Delimited text whose lines are in mixed encodings.
-
-    A line that names the columns, quoted or not and in any case, is a header.
-    """
-    lines = decode_lines(spark.read.text(path), fallback=fallback)
-    fields = ", ".join(f"`{c}` string" for c in cols)
-    rows = lines.select(F.from_csv("value", fields, {"sep": sep}).alias("r")).select("r.*")
-    head = [F.lower(F.trim(F.regexp_replace(F.coalesce(F.col(f"`{c}`"), F.lit("")), "\ufeff", ""))) == c.lower() for c in cols]
-    return rows.filter(~reduce(and_, head))
+def read_mixed_encoding(spark: SparkSession, path: str | Sequence[str], cols: Sequence[str] | None = None, sep: str = ",",
+                        charsets: Sequence[str] = CHARSETS) -> DataFrame:
+    """Delimited text whose lines are in mixed encodings; every file's columns are mapped by its own header."""
+    return read_records(spark, path if isinstance(path, str) else list(path), cols, sep, charsets=charsets)
 
 
 def read_many(spark: SparkSession, paths: Sequence[str], sep: str = ",") -> DataFrame:
-    """Several files with their own headers: columns in first-seen order, missing ones NULL. One scan per distinct header."""
-    by_header: dict[tuple[str, ...], list[str]] = {}
-    for p in paths:
-        by_header.setdefault(tuple(header_of(spark, p, sep)), []).append(p)
-    return union_all([read_delimited(spark, files, list(cols), sep) for cols, files in by_header.items()])
+    """Any number of files with their own headers: columns in first-seen order, missing ones NULL; headers come from one distributed job."""
+    return read_records(spark, list(paths), sep=sep)
 
 
 def with_path(df: DataFrame, name: str = "filename") -> DataFrame:
@@ -147,13 +123,45 @@ def html_rows(pages: DataFrame, col: str, keep: Sequence[str], row_tag: str = "t
     return rows.select(*keep, "row_index", F.transform(F.regexp_extract_all("_row", cell, F.lit(1)), clean).alias("cells"))
 
 
-def latest_snapshot(df: DataFrame, stamp: str = r"([^/]+)/?[^/]*$") -> DataFrame:
-    """Rows of the newest snapshot of a series, or none when there is no file.
+def polling_table(pages: DataFrame, col: str, keep: Sequence[str], junk: Sequence[str] = (" Bldg ", " Apt ")) -> DataFrame:
+    """The four fields of a county's table of polling places: precinct, precname, pollplace, polladdress.
+
+    Two layouts occur. Where the last cell holds a place in bold and an address link, the first two cells are code and name, and line breaks
+    of the address become "; ". Else the row's id is the code, the first cell the name, and the second the place and its address in parts
+    divided by NUL, of which junk ones are left out. Rows without data cells, such as headers, give no row.
+    """
+    row, cell = F.lit(r"(?s)(<tr\b[^>]*>.*?)</tr>"), F.lit(r"(?s)<td\b[^>]*>(.*?)</td>")
+    rows = pages.select(*keep, F.posexplode_outer(F.regexp_extract_all(col, row, F.lit(1))).alias("row_index", "_row")).withColumn("_cells", F.regexp_extract_all("_row", cell, F.lit(1)))
+    rows = rows.filter(F.size("_cells") >= 2)
+
+    def text(html: Column) -> Column:
+        return F.regexp_replace(html, "<[^>]+>", "")
+
+    def inside(tag: str) -> Column:
+        return F.nullif(F.regexp_extract(F.element_at("_cells", -1), rf"(?s)<{tag}\b[^>]*>(.*?)</{tag}>", 1), F.lit(""))
+
+    cells = [F.get("_cells", F.lit(i)) for i in (0, 1)]
+    bold = inside("strong").isNotNull()
+    parts = F.filter(F.split(text(cells[1]), "\u0000"), lambda x: ~x.isin(list(junk)))
+    row_id = F.nullif(F.regexp_extract("_row", r"""^<tr\b[^>]*\bid=["']([^"']*)["']""", 1), F.lit(""))
+    return rows.select(*keep, "row_index", F.when(bold, text(cells[0])).otherwise(row_id).alias("precinct"), F.when(bold, text(cells[1])).otherwise(text(cells[0])).alias("precname"),
+                       F.when(bold, text(inside("strong"))).otherwise(F.get(parts, F.lit(0))).alias("pollplace"),
+                       F.when(bold, F.replace(text(inside("a")), F.lit("\n"), F.lit("; "))).otherwise(F.array_join(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), " ")).alias("polladdress"))
+
+
+def newest_stamp(spark: SparkSession, path: str | Sequence[str], stamp: str) -> str | None:
+    """The greatest stamp in the names of the files below ``path``: one distributed job over the file table, no content is read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path if isinstance(path, str) else list(path))
+    found = F.regexp_extract("path", stamp, 1)
+    return files.select(F.max(F.nullif(found, F.lit("")))).first()[0]
+
+
+def latest_snapshot(spark: SparkSession, path: str | Sequence[str], read: Callable[[], DataFrame], stamp: str = r"([^/]+)/?[^/]*$") -> DataFrame:
+    """Rows of the newest snapshot of a series (``read`` gives all of them), or none when there is no file.
 
-    The newest stamp comes from the file list the plan already holds; the filter on the path then leaves the
-    other files unread.
+    The filter on the path leaves the other files unread.
     """
-    stamps = [m.group(1) for f in df.inputFiles() if (m := re.search(stamp, f))]
-    if not stamps:
-        return df.limit(0)
-    return df.filter(F.regexp_extract(F.col("_metadata.file_path"), stamp, 1) == F.lit(max(stamps)))
+    newest = newest_stamp(spark, path, stamp)
+    if newest is None:
+        return read().limit(0)
+    return read().filter(F.regexp_extract(F.col("_metadata.file_path"), stamp, 1) == F.lit(newest))

@@ -59,7 +59,8 @@ SPDX_IDS = ["0BSD", "AFL-3.0", "AGPL-3.0", "Apache-1.1", "Apache-2.0", "Artistic
 SPDX = r"(?i)spdx-license-identifier:[ \t(]*([a-z0-9.+-]+)"
 RIGHTS = r"(?i)all[ \t]+rights[ \t]+reserved"
 PROPRIETARY = "Proprietary"
-STOP = frozenset("0 2 3 4 a and any are by code copy for form forms free general in is may modify name names of or permitted person products public purpose source style subject terms that "
+STOP = frozenset("0 2 3 4 a and any are be by code copy following for form forms free from general in is its may met modify name names neither nor of or permitted person products provided public "
+                 "purpose source style subject terms that "
                  "the this to under use used v version with without work".split())
 PIECE_ENDS = r"[.!?;][ \t]+|[\r\n]+"
 RUN = 5

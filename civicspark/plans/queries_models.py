@@ -98,16 +98,19 @@ def newton_sql(source: str, xs, rounds: int = 9) -> str:
     x = ["1.0", *[f'"{c}"' for c in xs]]
     z = " + ".join(f"b{i} * {x[i]}" for i in range(d))
     sums = [f"sum((y - p) * {x[i]}) AS g{i}" for i in range(d)] + [f"sum(p * (1 - p) * {x[i]} * {x[j]}) AS h{i}_{j}" for i in range(d) for j in range(i + 1)]
+    # each figure is a query of its own around those before it: an alias used again in its own SELECT would be written out anew each time
     solve = []
     for j in range(d):
-        solve.append(f"h{j}_{j}" + "".join(f" - l{j}_{k} * l{j}_{k} * d{k}" for k in range(j)) + f" AS d{j}")
-        solve += [f"(h{i}_{j}" + "".join(f" - l{i}_{k} * l{j}_{k} * d{k}" for k in range(j)) + f") / d{j} AS l{i}_{j}" for i in range(j + 1, d)]
-    solve += [f"g{i}" + "".join(f" - l{i}_{k} * f{k}" for k in range(i)) + f" AS f{i}" for i in range(d)]
-    solve += [f"f{i} / d{i}" + "".join(f" - l{k}_{i} * s{k}" for k in range(i + 1, d)) + f" AS s{i}" for i in reversed(range(d))]
+        solve.append([f"h{j}_{j}" + "".join(f" - l{j}_{k} * l{j}_{k} * d{k}" for k in range(j)) + f" AS d{j}"])
+        solve.append([f"(h{i}_{j}" + "".join(f" - l{i}_{k} * l{j}_{k} * d{k}" for k in range(j)) + f") / d{j} AS l{i}_{j}" for i in range(j + 1, d)])
+    solve += [[f"g{i}" + "".join(f" - l{i}_{k} * f{k}" for k in range(i)) + f" AS f{i}"] for i in range(d)]
+    solve += [[f"f{i} / d{i}" + "".join(f" - l{k}_{i} * s{k}" for k in range(i + 1, d)) + f" AS s{i}"] for i in reversed(range(d))]
     steps = ["n0 AS MATERIALIZED (SELECT " + ", ".join(f"0.0::DOUBLE AS b{i}" for i in range(d)) + ")"]
     for r in range(rounds):
-        steps.append(f"n{r + 1} AS MATERIALIZED (SELECT " + ", ".join(f"b{i} + s{i} AS b{i}" for i in range(d)) + f" FROM (SELECT {', '.join(solve)} FROM (SELECT {', '.join(sums)}"
-                     f" FROM (SELECT *, 1 / (1 + exp(-({z}))) AS p FROM {source}, n{r}))), n{r})")
+        solved = f"(SELECT {', '.join(sums)} FROM (SELECT *, 1 / (1 + exp(-({z}))) AS p FROM {source}, n{r}))"
+        for figures in filter(None, solve):
+            solved = f"(SELECT *, {', '.join(figures)} FROM {solved})"
+        steps.append(f"n{r + 1} AS MATERIALIZED (SELECT " + ", ".join(f"b{i} + s{i} AS b{i}" for i in range(d)) + f" FROM {solved}, n{r})")
     return f"(WITH {', '.join(steps)} SELECT * FROM n{rounds})"
 
 

@@ -13,8 +13,8 @@ from civicspark.streaming.ingest import ingest
 
 @pytest.fixture
 def tiny_splits(spark):
-    """Splits of some 60 bytes, so that records and fields run over them."""
-    keys = {"spark.sql.files.maxPartitionBytes": "60", "spark.sql.files.openCostInBytes": "0", "spark.sql.files.minPartitionNum": "1000"}
+    """Splits of some 200 bytes, so that records and fields run over them."""
+    keys = {"spark.sql.files.maxPartitionBytes": "200", "spark.sql.files.openCostInBytes": "0"}
     before = {k: spark.conf.get(k, None) for k in keys}
     for k, v in keys.items():
         spark.conf.set(k, v)
@@ -79,7 +79,6 @@ def test_stray_quotes_lose_no_row(spark, tiny_splits, tmp_path):
     assert sorted(map(int, got)) == list(range(60))
     assert got["50"]._broken == lines[50] and [i for i, r in got.items() if r._broken] == ["50"]
     spark.conf.set("spark.sql.files.maxPartitionBytes", "1m")
-    spark.conf.set("spark.sql.files.minPartitionNum", "1")
     again = {r.id: r for r in records.read_records(spark, str(tmp_path)).collect()}
     assert again == got
 

@@ -168,7 +168,7 @@ def parse(lines: DataFrame, layout: Layout, cols: Sequence[str], sep: str, quote
         csv.field_size_limit(1 << 30)
         known, automaton = sent.value, Automaton(sep, quote) if quote is not None else None
         out: list[tuple] = []
-        number = {c: k for k, c in enumerate(cols)}
+        number = {c.lower(): k for k, c in enumerate(cols)}
 
         def row(file: str, places: list[int], fields: list[str], text: str) -> tuple:
             values: list[str | None] = [None] * len(cols)
@@ -184,7 +184,7 @@ def parse(lines: DataFrame, layout: Layout, cols: Sequence[str], sep: str, quote
 
         for file, start, split in _splits(batches):
             head = known.headers[known.unusual.get(file, 0)]
-            places = [number.get(c, -1) for c in head]
+            places = [number.get(c.lower(), -1) for c in head]
             if automaton is not None and (file, start) in known.inside:  # the rest of a record of the split before
                 rest = []
                 for line in split:
@@ -234,10 +234,10 @@ def _joined_fragments(parsed: DataFrame, layout: Layout, cols: Sequence[str], se
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         csv.field_size_limit(1 << 30)
-        known, number, automaton = sent.value, {c: k for k, c in enumerate(cols)}, Automaton(sep, quote)
+        known, number, automaton = sent.value, {c.lower(): k for k, c in enumerate(cols)}, Automaton(sep, quote)
         for batch in batches:
             for r in batch.to_pylist():
-                places = [number.get(c, -1) for c in known.headers[known.unusual.get(r["file"], 0)]]
+                places = [number.get(c.lower(), -1) for c in known.headers[known.unusual.get(r["file"], 0)]]
                 texts: list[list[str]] = []
                 for p in r["pieces"]:
                     if p["opens"] or not texts:
@@ -264,7 +264,7 @@ def records(lines: DataFrame, cols: Sequence[str] | None = None, sep: str = ",",
             broken: str = "_broken", filename: str | None = None, told: int = TOLD) -> DataFrame:
     """Records of ``lines`` (see ``lines_of``) as text columns, and ``broken``: the text of records with too few or too many fields.
 
-    Columns are mapped by name from each file's header: missing ones are NULL, and without ``cols`` all headers' columns come out, those of the
+    Columns are mapped by name, in any case, from each file's header: missing ones are NULL, and without ``cols`` all headers' columns come out, those of the
     first files first. ``header=False`` needs ``cols``, in the files' order. ``quote=None`` takes quotes as data: every line is a record.
     Empty fields are NULL, blank lines are skipped. ``filename`` names a column for the file.
     """
@@ -277,7 +277,11 @@ def records(lines: DataFrame, cols: Sequence[str] | None = None, sep: str = ",",
                  .orderBy(F.desc("files"), "first").collect())  # one row per distinct header
         headers = [list(k.header) for k in kinds] or headers
         if cols is None:
-            cols = list(dict.fromkeys(c for k in sorted(kinds, key=lambda k: k.first) for c in k.header))
+            seen: dict[str, str] = {}
+            for kind in sorted(kinds, key=lambda k: k.first):
+                for c in kind.header:
+                    seen.setdefault(c.lower(), c)
+            cols = list(seen.values())
     if cols is None:
         raise ValueError("no header and no column names")
     entries = []

@@ -1,4 +1,6 @@
-"""Every registered query against its DuckDB twin on the smallest data."""
+"""Every registered query against its DuckDB twin on the smallest data; those of the subpackage llm have tests of their own."""
+
+import re
 
 import pytest
 
@@ -14,7 +16,7 @@ def con():
     return duck(FOLDER)
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(n for n in QUERIES if not re.match(r"op\d+_|pipeline$", n)))
 def test_query(spark, con, name):
     message = compare(QUERIES[name](spark, FOLDER), con, ORACLES.get(name))
     assert message.startswith("ok"), message

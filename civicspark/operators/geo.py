@@ -41,8 +41,7 @@ def attach_nearest(people: DataFrame, key: str, places: DataFrame, types: Sequen
 
     Each distinct point is searched once and joined back by its coordinates.
     """
-    spots = people.select("lat", "lon").filter(F.col("lat").isNotNull() & F.col("lon").isNotNull()).distinct()
-    spots = spots.select(F.struct("lat", "lon").alias("point_id"), "lat", "lon")
+    spots = spots_of(people).select(F.struct("lat", "lon").alias("point_id"), "lat", "lon")
     wide = nearest_wide(nearest(spots, places, metric), types)
     wide = wide.select(F.col("point_id.lat").alias("_lat"), F.col("point_id.lon").alias("_lon"), *[c for c in wide.columns if c != "point_id"])
     return people.join(wide, (F.col("lat") == F.col("_lat")) & (F.col("lon") == F.col("_lon")), "left").drop("_lat", "_lon")

@@ -123,5 +123,8 @@ class Tree:
 
 
 def spots_of(points: DataFrame) -> DataFrame:
-    """Each distinct point is searched once."""
-    return points.filter(F.col("lat").isNotNull() & F.col("lon").isNotNull()).select("lat", "lon").distinct()
+    """Each distinct point is searched once. Their rows are few bytes and much work, so they keep the session's number of shuffle partitions
+    instead of being coalesced by size."""
+    spread = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    known = points.filter(F.col("lat").isNotNull() & F.col("lon").isNotNull()).select("lat", "lon")
+    return known.repartition(spread, "lat", "lon").distinct()

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from civicspark.functions import scalars as S
 from civicspark.operators import ordered as O
 from civicspark.operators import tables as TB
+from civicspark.session import materialise
 
 ADDRESS = ["locationName", "line1", "line2", "line3", "city", "state", "zip"]
 SCALARS = ["pollingHours", "startDate", "endDate", "notes"]
@@ -100,6 +101,7 @@ def flatten_places(df: DataFrame, col: str, keep: Sequence[str]) -> DataFrame:
     places = parsed.select(*keep, "place_type", F.posexplode_outer("places").alias("place_index", "_place")).filter(F.col("_place").isNotNull())
     places = places.withColumn("_p", F.from_json("_place", "map<string,string>")).drop("_place")
     places = places.withColumn("_a", F.from_json(F.col("_p")["address"], "map<string,string>")).withColumn("_s", F.from_json(F.col("_p")["sources"], "array<map<string,string>>"))
+    places = materialise(places, "places")  # parsed once, read twice
 
     def names(level: str, keys: Column) -> Column:
         none = F.array().cast("array<string>")

@@ -3,7 +3,7 @@
 The index. An item is cut into units of at most ``UNIT_WORDS`` words. The impact of a term on a unit is its BM25 weight divided
 by the unit's score against itself, so a passage that holds the whole unit scores 1 whatever the unit's length. Postings
 are sorted by unit and cut into blocks of ``BLOCK`` postings that carry their largest impact. The index is cut into
-shards of at most ``SHARD_WORDS`` item words: only one bounded shard at a time is sent to the tasks.
+shards of ``SHARD_WORDS`` item words on average, dealt by a hash of id and text: one shard at a time is sent to the tasks.
 
 The queries. A passage is a window of ``2 * UNIT_WORDS`` words, moved on by ``UNIT_WORDS``: every unit that a text holds lies
 whole in some window. One vectorised step passes over the windows on which no unit can reach the threshold: it sums the
@@ -220,8 +220,8 @@ def search(shard: Shard, words: np.ndarray, rows: np.ndarray, threshold: float,
 def shards_of(items: DataFrame) -> Iterator[Shard]:
     """The index, one bounded shard at a time. Document frequencies and lengths cover all items.
 
-    ``items`` holds item_id and text. They are dealt to shards by running word counts on ranges of item_id, and a shard is
-    read alone. An item longer than a shard is a shard of its own.
+    ``items`` holds item_id and text. They are dealt to shards by a hash of both, and a shard is read alone; many equal rows meet in one
+    shard, which is then larger than the average.
     """
     sized = items.withColumn("n", F.regexp_count("text", F.lit(_TOKEN))).filter("n > 0")
     total = sized.agg(F.sum("n").alias("n"), F.sum(F.ceil(F.col("n") / UNIT_WORDS)).alias("units")).first()

@@ -10,13 +10,37 @@ from pyspark.sql import functions as F
 
 from civicspark.functions import scalars as S
 from civicspark.operators import ordered as O
+from civicspark.session import dealt, parts_for
 
 GREEDY_SHARE = 1.0 - 1.0 / math.e
 
 
-def set_distance(membership: DataFrame, distances: DataFrame) -> DataFrame:
-    """Per set and person: the distance to the nearest facility of the set."""
-    return membership.join(distances, "facility").groupBy("set_id", "person").agg(F.min("dist").alias("r"))
+CUTS = 8  # at least: parts of a set's people that may lie in different tasks
+
+
+def set_distance(membership: DataFrame, distances: DataFrame, pairs: int = 0, keep: Sequence[str] = ()) -> DataFrame:
+    """Per set and person: the distance to the nearest facility of the set.
+
+    ``pairs``: about how many rows ``distances`` has, by which the work is dealt (0: the optimizer deals); ``keep``: columns of
+    ``distances`` that a person has one value of. A set is dealt in few cuts, so that sums per set are small where they leave a task.
+    """
+    size = membership.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("facility").alias("facilities"), F.count_distinct("set_id").alias("sets")).first()
+    rows = pairs * size["n"] // max(size["facilities"], 1)
+    cuts = max(CUTS, 4 * parts_for(rows) // max(size["sets"], 1))
+    met = distances.join(membership, "facility").withColumn("_cut", F.pmod(F.xxhash64("person"), F.lit(cuts)))
+    nearest = dealt(met, rows, "set_id", "_cut").groupBy("set_id", "_cut", "person", *keep).agg(F.min("dist").alias("r"))
+    return nearest.select("set_id", "person", *keep, "r")
+
+
+def set_reach(membership: DataFrame, distances: DataFrame, people: DataFrame, pairs: int = 0) -> DataFrame:
+    """``set_distance`` with each person's theta, a row for each row of the person in ``people``; people without one are left out.
+
+    Theta joins the pairs, of which there are fewer than of sets and people. Equal rows of ``people`` become one with their number until
+    the distances are known.
+    """
+    who = dealt(people, pairs, "person").groupBy("person", "theta").agg(F.count(F.lit(1)).cast("int").alias("_n"))
+    nearest = set_distance(membership, distances.join(who, "person"), pairs, ["theta", "_n"])
+    return nearest.select("set_id", "person", F.explode(F.array_repeat("theta", F.col("_n"))).alias("theta"), "r")
 
 
 def utilities(theta: Column, r: Column, beta: Sequence[float]) -> dict[str, Column]:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from civicspark.plans.registry import Tables
+from civicspark.session import dealt
 
 PLACE_TYPES = ["pollingLocation", "dropOffLocation", "earlyVoteSite"]
 ELECTIONS = [f"{y}-11-08" for y in range(1995, 2002)]
@@ -111,9 +112,11 @@ def scored(t: Tables) -> DataFrame:
 
 
 def distances(t: Tables) -> DataFrame:
-    """Person-facility distances: the pairs that meet in the order lines."""
-    pairs = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
-        F.col("o_custkey").alias("person"), F.col("l_suppkey").alias("facility")).distinct()
+    """Person-facility distances: the pairs that meet in the order lines, at most one per line."""
+    rows = t.lineitem.count()
+    lines = dealt(t.lineitem.select("l_orderkey", F.col("l_suppkey").alias("facility")), rows, "l_orderkey")
+    met = lines.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("person"), "facility")
+    pairs = dealt(met, rows, "person").distinct()
     return pairs.withColumn("dist", ((F.col("person") * 7919 + F.col("facility") * 104729) % 1000).cast("double") / 100.0)
 
 

@@ -25,7 +25,7 @@ CTES["set_scores"] = " UNION ALL ".join(
 
 
 def _reach(t):
-    return FA.set_distance(B.membership(t), B.distances(t)).join(B.people(t), "person")
+    return FA.set_reach(B.membership(t), B.distances(t), B.people(t), t.lineitem.count())
 
 
 def _all(t):
@@ -48,7 +48,7 @@ _ONE = "SELECT set_id, total, low_total FROM set_scores WHERE objective = 'prob'
 
 @query("fair_set_distance", sql("set_dist", "SELECT set_id, person, r FROM set_dist"))
 def fair_set_distance(t):
-    return FA.set_distance(B.membership(t), B.distances(t))
+    return FA.set_distance(B.membership(t), B.distances(t), t.lineitem.count())
 
 
 @query("fair_set_objective", sql("set_scores", "SELECT set_id, objective, weight, total, low_total FROM set_scores"))

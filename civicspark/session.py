@@ -52,3 +52,21 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+ROWS_PER_PART = 524_288
+
+
+def parts_for(rows: int) -> int:
+    """Partitions that hold ``ROWS_PER_PART`` of ``rows`` each."""
+    return -(-rows // ROWS_PER_PART)
+
+
+def dealt(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """Deal about ``rows`` rows by ``keys`` to as many partitions as they need, so that a task's rows don't grow with the table.
+
+    Where the session's own number of partitions is enough, nothing moves: the optimizer deals as it sees fit. Tables dealt by the same
+    key and ``rows`` lie alike. What groups or joins by ``keys`` (and more columns, when it groups) needs no further exchange.
+    """
+    parts = parts_for(rows)
+    return df.repartition(parts, *keys) if parts > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df

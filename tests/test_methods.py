@@ -3,18 +3,22 @@
 import json
 import math
 import random
+import re
 
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from civicspark.operators import fairness as FA
 from civicspark.operators import geo
 from civicspark.operators import models as M
 from civicspark.operators import ordered as O
 from civicspark.operators import places as PL
 from civicspark.operators import sampling as SA
 from civicspark.operators import tables as TB
+from civicspark.plans import bindings as B
+from civicspark.plans.registry import Tables
 
 RING = "poly_id bigint, ring array<struct<lon: double, lat: double>>"
 
@@ -170,3 +174,45 @@ def test_open_records_bring_every_field(spark):
     assert len(rows) == 2 and {"Pollinghours", "AddressCity", "AddressLandmark", "Hours2", "SourcesSeen", "SourcesOfficial"} <= set(rows[0].asDict())
     assert (rows[0].AddressLandmark, rows[0].Hours2, rows[0].SourcesSeen, rows[0].SourcesOfficial) == ("oak", '{"mon":"7-9"}', "now", 1)
     assert rows[1].AddressCity is None and rows[1].source_index is None
+
+
+def dealt_to(df):
+    """Numbers of partitions that a plan deals rows to, by what."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return {(re.sub(r"#\d+L?", "", m[1]), int(m[2])) for m in re.finditer(r"hashpartitioning\(([^()]*), (\d+)\), REPARTITION_BY_NUM", plan)}
+
+
+def test_reach_is_dealt_by_the_number_of_pairs(spark, monkeypatch):
+    """Partitions follow the rows instead of the session's number; people may repeat, lack theta or be missing; equal to brute force."""
+    monkeypatch.setattr("civicspark.session.ROWS_PER_PART", 50)
+    rng = random.Random(5)
+    members = [(s, f) for s in range(30) for f in rng.sample(range(40), 3)] + [(0, None), (7, 99)]
+    near = [(p, f, rng.randint(0, 999) / 100) for p in [*range(60), None] for f in rng.sample(range(40), 20)]
+    who = [(p, float(p % 2)) for p in range(50)] + [(3, 1.0), (3, 1.0), (4, 1.0), (5, None), (None, 1.0), (77, 0.0)]
+    sets = spark.createDataFrame(members, "set_id bigint, facility bigint")
+    pairs = spark.createDataFrame(near, "person bigint, facility bigint, dist double")
+    people = spark.createDataFrame(who, "person bigint, theta double")
+    want = {}
+    for s, f in members:
+        for p, g, d in near:
+            if f == g:
+                want[s, p] = min(d, want.get((s, p), d))
+    found = FA.set_distance(sets, pairs, len(near))
+    assert sorted(map(repr, map(tuple, found.collect()))) == sorted(repr((s, p, r)) for (s, p), r in want.items())
+    reach = FA.set_reach(sets, pairs, people, len(near))
+    assert sorted(map(repr, map(tuple, reach.collect()))) == sorted(repr((s, p, t, r)) for (s, p), r in want.items() for q, t in who if p is not None and p == q)
+    small, large = ({n for by, n in dealt_to(FA.set_reach(sets, pairs, people, k)) if by == "set_id, _cut"} for k in (1220, 12200))
+    assert len(small) == len(large) == 1 and max(large) > 9 * max(small) > 9 * 8
+    assert not dealt_to(FA.set_reach(sets, pairs, people, 100))  # few rows: left to the optimizer
+
+
+def test_pairs_are_dealt_by_the_number_of_lines(spark, monkeypatch, tmp_path):
+    rows = spark.range(3000)
+    rows.select((F.col("id") % 700).alias("l_orderkey"), (F.col("id") % 13).alias("l_suppkey")).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.range(700).select(F.col("id").alias("o_orderkey"), (F.col("id") % 90).alias("o_custkey")).write.parquet(f"{tmp_path}/orders.parquet")
+    plain = {tuple(r) for r in B.distances(Tables(spark, str(tmp_path))).collect()}
+    assert {(p, f) for p, f, _ in plain} == {(k % 700 % 90, k % 13) for k in range(3000)}
+    monkeypatch.setattr("civicspark.session.ROWS_PER_PART", 100)
+    pairs = B.distances(Tables(spark, str(tmp_path)))
+    assert dealt_to(pairs) == {("l_orderkey", 30), ("person", 30)}
+    assert sorted(map(tuple, pairs.collect())) == sorted(plain)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from civicspark.functions import scalars as S
 from civicspark.operators import ordered as O
 from civicspark.operators import tables as TB
-from civicspark.session import materialise
+from civicspark.session import dealt, materialise
 
 ADDRESS = ["locationName", "line1", "line2", "line3", "city", "state", "zip"]
 SCALARS = ["pollingHours", "startDate", "endDate", "notes"]
@@ -30,16 +30,20 @@ def first_seen_counts(seen: DataFrame, types: Sequence[str] = ()) -> DataFrame:
     """Per point and type: how many places, and how many whose (type, name) no earlier point had.
 
     With ``types`` each point has a row for each of them, with zeros where it has no place of that type.
-    The first point of a name is a minimum, so names are merged before they move; a name counts once.
+    The first point of a name is a minimum, so names are merged before they move; a name counts once. Places, first points and zeros
+    are rows of one sum, dealt by point to as many partitions as the places need: nothing is joined.
     """
-    totals = seen.groupBy("point", "place_type").agg(F.count(F.lit(1)).alias("total"))
-    firsts = seen.groupBy("place_type", "name").agg(F.min("point").alias("point"))
-    unseen = firsts.groupBy("point", "place_type").agg(F.count(F.lit(1)).alias("unseen"))
+    zero, one = F.lit(0).cast("bigint"), F.lit(1).cast("bigint")
+    firsts = seen.groupBy("place_type", "name").agg(F.min("point").alias("point")).filter("place_type IS NOT NULL AND point IS NOT NULL")
+    places = seen.select("point", "place_type", one.alias("total"), zero.alias("unseen"))
+    rows = places.unionByName(firsts.select("point", "place_type", zero.alias("total"), one.alias("unseen")))
+    sums = [F.sum(c).alias(c) for c in ("total", "unseen")]
+    counts = dealt(rows, seen.count(), "point").groupBy("point", "place_type").agg(*sums)
     if types:
-        blank = seen.select("point").distinct().withColumn("place_type", F.explode(F.array(*[F.lit(t) for t in types])))
-        totals = (totals.unionByName(blank.withColumn("total", F.lit(0).cast("bigint"))).groupBy("point", "place_type").agg(F.sum("total").alias("total")))
-    return (totals.join(unseen, ["point", "place_type"], "left")
-            .select("point", "place_type", "total", F.coalesce("unseen", F.lit(0)).cast("bigint").alias("unseen")))
+        blank = [F.struct(F.lit(t).alias("place_type"), zero.alias("total"), zero.alias("unseen")) for t in types]
+        own = F.struct("place_type", "total", "unseen")
+        counts = counts.select("point", F.explode(F.array(own, *blank)).alias("c")).select("point", "c.*").groupBy("point", "place_type").agg(*sums)
+    return counts
 
 
 def fill_same_address(df: DataFrame, address: Sequence[str], order: str, cols: Sequence[str], any_row: bool = False) -> DataFrame:

@@ -216,3 +216,26 @@ def test_pairs_are_dealt_by_the_number_of_lines(spark, monkeypatch, tmp_path):
     pairs = B.distances(Tables(spark, str(tmp_path)))
     assert dealt_to(pairs) == {("l_orderkey", 30), ("person", 30)}
     assert sorted(map(tuple, pairs.collect())) == sorted(plain)
+
+
+def test_first_seen_counts_are_dealt_by_the_number_of_places(spark, monkeypatch):
+    """Blank points, types and names, equal rows, a type that is not asked for; equal to brute force, nothing joined."""
+    rng = random.Random(9)
+    rows = [(rng.choice([None, *range(40)]), rng.choice([None, "a", "b", "x"]), rng.choice([None, *range(25)])) for _ in range(900)]
+    first, want = {}, {}
+    for p, k, n in rows:
+        if p is not None:
+            first[k, n] = min(p, first.get((k, n), p))
+        want.setdefault((p, k), [0, 0])[0] += 1
+    for (k, _), p in first.items():
+        want[p, k][1] += k is not None
+    every = {(p, k): [0, 0] for p in {r[0] for r in rows} for k in ("a", "b", "c")} | want
+    seen = spark.createDataFrame(rows, "point bigint, place_type string, name bigint")
+    monkeypatch.setattr("civicspark.session.ROWS_PER_PART", 60)
+    for types, right in (((), want), (("a", "b", "c"), every)):
+        counts = PL.first_seen_counts(seen, types)
+        assert dealt_to(counts) == {("point", 15)} and "Join" not in counts._jdf.queryExecution().executedPlan().toString()
+        assert sorted(repr(tuple(r)) for r in counts.collect()) == sorted(repr((p, k, t, u)) for (p, k), (t, u) in right.items())
+    monkeypatch.setattr("civicspark.session.ROWS_PER_PART", 900)
+    few = PL.first_seen_counts(seen, ("a", "b", "c"))
+    assert not dealt_to(few) and sorted(map(repr, map(tuple, few.collect()))) == sorted(map(repr, map(tuple, counts.collect())))

@@ -39,7 +39,7 @@ def set_reach(membership: DataFrame, distances: DataFrame, people: DataFrame, pa
     the distances are known.
     """
     who = dealt(people, pairs, "person").groupBy("person", "theta").agg(F.count(F.lit(1)).cast("int").alias("_n"))
-    nearest = set_distance(membership, distances.join(who, "person"), pairs, ["theta", "_n"])
+    nearest = set_distance(membership, dealt(distances, pairs, "person").join(who, "person"), pairs, ["theta", "_n"])
     return nearest.select("set_id", "person", F.explode(F.array_repeat("theta", F.col("_n"))).alias("theta"), "r")
 
 

@@ -116,7 +116,7 @@ def distances(t: Tables) -> DataFrame:
     rows = t.lineitem.count()
     lines = dealt(t.lineitem.select("l_orderkey", F.col("l_suppkey").alias("facility")), rows, "l_orderkey")
     met = lines.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("person"), "facility")
-    pairs = dealt(met, rows, "person").distinct()
+    pairs = dealt(met, rows, "person", "facility").distinct()
     return pairs.withColumn("dist", ((F.col("person") * 7919 + F.col("facility") * 104729) % 1000).cast("double") / 100.0)
 
 
